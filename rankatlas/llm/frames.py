@@ -30,3 +30,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20) -> DataFrame:
+    """keyed() rows with `batch`, a number that deals them evenly into groups of about `size` bytes of text or fewer.
+
+    Groups by batch fit in one Python call; there are at least four for each shuffle partition.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.xxhash64(F.col(id_col).cast("long"), text)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key"))
+    return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(4 * parts, total // size + 1))))

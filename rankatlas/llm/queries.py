@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import blocks, bpe, packing, suffixes
 from .frames import table
 
 
@@ -20,6 +20,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.digests(blocks.remove_passages(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -29,7 +37,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op6_bpe": op6_bpe}
+    return {"op1_suffix_array": op1_suffix_array, "op2_packing": op2_packing, "op3_substring": op3_substring, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
