@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, packing, suffixes
+from . import blocks, bpe, line_rules, near_lines, packing, suffixes
 from .frames import table
 
 
@@ -32,13 +32,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.digests(line_rules.judge_documents(table(spark, sf_dir, "documents")))
+
+
+def op8_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lines.digests(near_lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_array": op1_suffix_array, "op2_packing": op2_packing, "op3_substring": op3_substring, "op6_bpe": op6_bpe}
+    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_rules": line_rules.ORACLE_SQL}
