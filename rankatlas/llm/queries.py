@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, line_rules, near_lines, packing, suffixes
+from . import blocks, bpe, line_rules, near_lines, packing, pivots, suffixes
 from .frames import table
 
 
@@ -44,10 +44,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines)
+    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines, op9_pivot_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": line_rules.ORACLE_SQL}
+    return {"op5_line_rules": line_rules.ORACLE_SQL, "op9_pivot_search": pivots.ORACLE_SQL}
