@@ -41,7 +41,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     def run(batches):
         words_of = get_encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 4 << 20):
                 ids, at = words_of.ids(part.column("text"))
                 n = np.diff(at) + 1
                 ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
