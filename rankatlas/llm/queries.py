@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, line_rules, near_lines, packing, pivots, suffixes
+from . import blocks, bpe, context_tree, line_rules, near_lines, packing, pivots, suffixes
 from .frames import table
 
 
@@ -48,8 +48,12 @@ def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines, op9_pivot_search)
+    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines, op9_pivot_search, op10_context_tree)
     return {f.__name__: f for f in found}
 
 
