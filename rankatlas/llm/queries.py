@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, context_tree, line_rules, near_lines, packing, pivots, suffixes
+from . import blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, suffixes
 from .frames import table
 
 
@@ -36,6 +36,10 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.digests(line_rules.judge_documents(table(spark, sf_dir, "documents")))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.digests(forest.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op8_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines.digests(near_lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
@@ -53,7 +57,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op8_near_lines, op9_pivot_search, op10_context_tree)
+    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op7_lsh_forest, op8_near_lines, op9_pivot_search, op10_context_tree)
     return {f.__name__: f for f in found}
 
 
