@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, suffixes
+from . import blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, site_quality, suffixes
 from .frames import table
 
 
@@ -32,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.digests(site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.digests(line_rules.judge_documents(table(spark, sf_dir, "documents")))
 
@@ -57,7 +61,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array, op2_packing, op3_substring, op5_line_rules, op6_bpe, op7_lsh_forest, op8_near_lines, op9_pivot_search, op10_context_tree)
+    found = (op1_suffix_array, op2_packing, op3_substring, op4_site_quality, op5_line_rules, op6_bpe, op7_lsh_forest, op8_near_lines, op9_pivot_search, op10_context_tree)
     return {f.__name__: f for f in found}
 
 
