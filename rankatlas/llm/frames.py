@@ -3,23 +3,62 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and row_key, a hash of both, dealt by row_key.
+def rest_of(docs: DataFrame, text_col: str) -> list[Column]:
+    """One column, `carried`: all columns but the text."""
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("carried")]
+
+
+def schema_of(fields: str, frame: DataFrame) -> StructType:
+    """These fields, and `carried` if the frame has it."""
+    found = StructType.fromDDL(fields)
+    return found.add(frame.schema["carried"]) if "carried" in frame.columns else found
+
+
+def restored(cut: DataFrame, docs: DataFrame, text: str, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The columns of docs from a result that carries them, with a new text, and n_chars to match."""
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.col(text).alias(c))
+        elif c == chars_col:
+            out.append(F.length(text).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col("carried").getField(c).alias(c))
+    return cut.select(*out)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", deal: bool = True, carry: bool = False) -> DataFrame:
+    """doc_id, text (null: empty) and row_key, a hash of both, dealt by row_key unless `deal` is false.
 
     Rows that agree in id and text share a key and so any result. Every use of this frame reads
     all three columns, so Spark shuffles the texts once and reuses that exchange.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key")).repartition("row_key")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), *(rest_of(docs, text_col) if carry else []))
+    return out.repartition("row_key") if deal else out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data; a temporary one only where none is configured."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -27,12 +66,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: int = 4) -> DataFrame:
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: int = 4, carry: bool = False) -> DataFrame:
     """keyed() rows with `batch`, a number that deals them evenly into groups of about `size` bytes of text or fewer.
 
     Groups by batch fit in one Python call; there are at least `least` for each shuffle partition.
@@ -42,5 +80,5 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64(F.col(id_col).cast("long"), text)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key"), *(rest_of(docs, text_col) if carry else []))
     return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(least * parts, total // size + 1))))

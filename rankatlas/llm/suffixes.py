@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, Rolling, covered, mix, pieces, runs, sliding_min, spans, text_bytes
-from .frames import keyed
+from .arrays import BYTE_VALUES, Rolling, covered, pieces, runs, sliding_min, spans, text_bytes
+from .frames import checkpoint, keyed
 
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -52,9 +52,8 @@ def _anchor_rows(width: int, gram: int):
                 data, at = text_bytes(part.column("text"))
                 text, first, end, anchor, content = segments(data, at, width, gram)
                 key = part.column("row_key").take(pa.array(text))
-                begin, size = (first - at[text]).astype(np.int64), (end - first).astype(np.int32)
-                copy = mix(np.asarray(key).view(np.uint64) + begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([key, pa.array(begin), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(copy.view(np.int64))], ["row_key", "begin", "size", "anchor", "content", "copy"])
+                begin, size = (first - at[text]).astype(np.int32), (end - first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([key, pa.array(begin), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["row_key", "begin", "size", "anchor", "content"])
 
     return run
 
@@ -162,7 +161,7 @@ def _sorted_repeats(width: int, chunk: int):
         a, b = runs(np.where(keep, row, -1))
         good = keep[a] if len(a) else np.zeros(0, bool)
         a, b = a[good], b[good]
-        key, begin = np.asarray(rows.column("row_key"))[row[a]], np.asarray(rows.column("begin"))[row[a]]
+        key, begin = np.asarray(rows.column("row_key"))[row[a]], np.asarray(rows.column("begin"))[row[a]].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(begin + offset[a]), pa.array((begin + offset[b - 1] + width).astype(np.int64))], ["row_key", "begin", "end"])
 
     def run(batches):
@@ -205,7 +204,7 @@ def _cut(batches):
             )
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4 << 20) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns a row a
@@ -214,22 +213,23 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, id_col: s
     `width` bytes, keep what they have; rows that repeat lose all of a long enough text, each;
     null ids are results like any other; other columns are ignored; an empty table gives none.
 
-    The texts are shuffled once, to be read for anchors, for the bytes of segments to compare and
-    for the cut; besides, only hashes and the segments that differ under a repeated anchor move.
+    Anchors are found where the texts lie; texts are shuffled once, to be read for the bytes of the
+    segments to compare and for the cut. Besides, only hashes and the segments that differ under a
+    repeated anchor move; rows under repeated anchors are checkpointed, as three joins read them.
     Counts are summed before a shuffle, and the joins that bring them back can be split by Spark
     where one anchor is very frequent.
     """
     texts = keyed(docs, id_col, text_col)
-    found = texts.mapInArrow(_anchor_rows(width, gram), "row_key long, begin long, size int, anchor long, content long, copy long")
+    found = keyed(docs, id_col, text_col, deal=False).mapInArrow(_anchor_rows(width, gram), "row_key long, begin int, size int, anchor long, content long")
     twice = found.groupBy("anchor").agg(F.count("*").alias("copies")).filter("copies > 1").select("anchor")
-    near = found.join(twice, "anchor")
-    kinds = near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("copy").alias("copy"))
+    near = checkpoint(found.join(twice, "anchor")).withColumn("own", F.xxhash64("row_key", "begin"))
+    kinds = near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("own").alias("copy"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    counted = near.withColumnRenamed("copy", "own").join(kinds, ["anchor", "content"])
-    whole = counted.filter("n > 1").select("row_key", "begin", (F.col("begin") + F.col("size")).alias("end"))
+    counted = near.join(kinds, ["anchor", "content"])
+    whole = counted.filter("n > 1").select("row_key", F.col("begin").cast("long").alias("begin"), (F.col("begin") + F.col("size")).cast("long").alias("end"))
     # one copy of each kind, of anchors that have more than one
     wanted = counted.filter("own = copy").join(mixed, "anchor").groupBy("row_key").agg(F.collect_list(F.struct("anchor", "begin", "size", "n")).alias("wanted"))
-    chosen = texts.join(wanted, "row_key").mapInArrow(_segment_text, "anchor long, row_key long, begin long, n long, bytes binary")
+    chosen = texts.join(wanted, "row_key").mapInArrow(_segment_text, "anchor long, row_key long, begin int, n long, bytes binary")
     part = chosen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(width, chunk), "row_key long, begin long, end long")
     ranges = whole.unionByName(part).groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
