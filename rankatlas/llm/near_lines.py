@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .arrays import BYTE_VALUES, Rolling, pieces, powers, spans, text_bytes, words
-from .frames import keyed
+from .frames import keyed, restored, schema_of
 
 _EDGE = 4
 
@@ -136,14 +136,17 @@ def _cut(batches):
             done = [b"\n".join(k) for k in kept]
             per = lambda v: pa.array(np.bincount(x.text, weights=v, minlength=part.num_rows).astype(np.int64))
             cols = [part.column("doc_id"), part.column("row_key"), per(np.ones(len(x.text))), per(gone), per(near), pa.array([d.decode("utf-8", "replace") for d in done], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in done], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "n_lines", "n_removed", "n_near", "kept", "kept_sha256"])
+            names = ["doc_id", "row_key", "n_lines", "n_removed", "n_near", "kept", "kept_sha256"]
+            if "carried" in part.schema.names:
+                cols, names = [*cols, part.column("carried")], [*names, "carried"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def _place(*more: str):
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "line", *more)
 
 
-def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Removes each line that is equal or near to an earlier one, anywhere in the table.
 
     Lines are split at newlines and compared as words `[^\\x20\\x09-\\x0D]+`; those without a word
@@ -152,7 +155,8 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     whether or not that one goes too. Earlier is a smaller id, then an earlier line; rows without
     id come last; different texts under one id stand in the order of a hash of both. Rows that
     agree in id and text are one document and keep the same lines each. Null texts are empty.
-    Returns a row a row of docs: doc_id, row_key, n_lines, n_removed, n_near, kept, kept_sha256.
+    Returns a row a row of docs: doc_id, row_key, n_lines, n_removed, n_near, kept, kept_sha256;
+    with `carry` also a struct of the other columns.
 
     Equal lines are found by minima of hashes, summed before the shuffle. A single edit leaves the
     first four or the last four words of a line of eight as they are, so only lines that share one
@@ -163,7 +167,7 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     """
     if near_words < 2 * _EDGE:
         raise ValueError("near_words must be 8 or more")
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col, carry=carry)
     rows = texts.mapInArrow(_line_rows, "row_key long, doc_id long, line int, hash long, n_words int, head long, tail long")
     kinds = rows.groupBy("hash").agg(F.min(_place("n_words", "head", "tail")).alias("first"))
     equal = rows.join(kinds, "hash").filter(_place("n_words", "head", "tail") > F.col("first")).select("row_key", "line", F.lit(False).alias("near"))
@@ -191,7 +195,14 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     near = pairs.join(text_of, "hash").join(text_of.select(F.col("hash").alias("lead_hash"), F.col("words").alias("lead_words")), F.col("lead.hash") == F.col("lead_hash"))
     near = near.filter(verified("words", "lead_words")).select("row_key", "line", F.lit(True).alias("near"))
     gone = equal.unionByName(near).groupBy("row_key").agg(F.collect_set(F.struct("line", "near")).alias("gone"))
-    return texts.join(gone, "row_key", "left").mapInArrow(_cut, "doc_id long, row_key long, n_lines long, n_removed long, n_near long, kept string, kept_sha256 string")
+    return texts.join(gone, "row_key", "left").mapInArrow(_cut, schema_of("doc_id long, row_key long, n_lines long, n_removed long, n_near long, kept string, kept_sha256 string", texts))
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs with repeated lines gone from the text; rows that lose every word go."""
+    cut = drop_repeated_lines(docs, text_col=text_col, carry=True, **more)
+    has_word = lambda c: F.col(c).rlike(r"[^\x20\x09-\x0D]")
+    return restored(cut.filter((F.col("n_removed") == 0) | has_word("kept")), docs, "kept", text_col)
 
 
 def digests(cut: DataFrame) -> DataFrame:
