@@ -503,3 +503,89 @@ def j2_rate_audit(v):
 @query()
 def j5_block_episodes(v):
     return U.block_episodes(v.request)
+
+
+# --- resolution, extraction, streams
+
+
+def _observations(v):
+    """Businesses, and copies of half of them that are seen later under a longer name and a slightly moved place."""
+    b = v.business.select(F.col("business_id").alias("obs_id"), F.lit(0).cast("long").alias("observed_at"), "name", F.lit(None).cast("string").alias("place_id"), "phone", "website", "city", "lat", "lng", "rating", F.col("reviews").alias("review_count"), F.lit("maps").alias("source"))
+    copies = b.filter("obs_id % 2 = 0").withColumns({"obs_id": F.col("obs_id") + 1_000_000_000, "observed_at": F.lit(1).cast("long"), "name": F.concat("name", F.lit(" LLC")), "lat": F.col("lat") + 0.0001, "phone": F.when(F.col("obs_id") % 3 > 0, F.col("phone")), "source": F.lit("bing")})
+    return b.unionByName(copies)
+
+
+@query()
+def i9_resolve_entities(v):
+    from rankatlas.operators.resolve import resolve_entities
+
+    return resolve_entities(_observations(v), order=("place_id", "name_location"))
+
+
+@query("SELECT business_id % 400 AS entity, arg_min(name, business_id) AS name, arg_max(phone, business_id) FILTER (phone IS NOT NULL) AS phone, arg_max(website, business_id) FILTER (website IS NOT NULL) AS website, arg_max(rating, business_id) FILTER (rating IS NOT NULL) AS rating, arg_max(reviews, business_id) FILTER (rating IS NOT NULL) AS reviews, max(business_id) AS last_seen FROM business GROUP BY 1", "business")
+def e12_survive(v):
+    from rankatlas.operators.resolve import survive
+
+    seen = v.business.select((F.col("business_id") % 400).alias("entity"), F.col("business_id").alias("obs_id"), F.col("business_id").alias("observed_at"), "name", "phone", "website", "rating", "reviews")
+    return survive(seen, ["name"], ["phone", "website"], {"review": ["rating", "reviews"]}, key="entity")
+
+
+@query()
+def i1_harvest_emails(v):
+    from rankatlas.operators.extract import harvest_emails
+
+    return harvest_emails(v.pages).select("page_id", F.array_join("emails", ",").alias("emails"))
+
+
+@query()
+def i2_contact_links(v):
+    from rankatlas.operators.extract import contact_links
+
+    return contact_links(v.pages).select("url", "target", "nth")
+
+
+@query()
+def i4_extract_listings(v):
+    from rankatlas.operators.extract import extract_listings
+
+    return extract_listings(v.pages.select("page_id", "html"), r"(?s)<h[1-3][^>]*>(.*?)</h[1-3]>", {"link": r"href=\"([^\"]+)\"", "first_paragraph": r"(?s)<p>(.*?)</p>"})
+
+
+@query("SELECT page_id, CASE WHEN length(html) = 0 THEN 'none' WHEN starts_with(url, 'https://') AND regexp_matches(lower(html), '<meta[^>]*viewport') THEN 'modern' ELSE 'outdated' END AS website_quality FROM pages")
+def i12_website_quality(v):
+    from rankatlas.operators.extract import website_quality
+
+    return website_quality(v.pages).select("page_id", "website_quality")
+
+
+@query("SELECT CAST(floor(second / 3600) AS BIGINT) AS hour, engine, count(*) AS requests, count(*) FILTER (outcome = 'error') AS errors FROM request GROUP BY 1, 2", "request")
+def j3_quota_stream(v):
+    from rankatlas.streaming.streams import quota_stream, read_stream, run_once
+
+    log = read_stream(v.spark, v.sf_dir, "events").select("ts", F.col("event_type").alias("engine"), F.when((F.col("event_type") == "error") | (F.col("event_id") % 11 == 0), "error").when(F.col("event_id") % 17 == 0, "blocked").otherwise("ok").alias("outcome"))
+    out = run_once(quota_stream(log))
+    return out.select(F.floor(F.unix_timestamp("window.start") / 3600).alias("hour"), "engine", "requests", "errors")
+
+
+@query("SELECT CAST(floor(second / 86400) AS BIGINT) AS day, count(*) AS requests FROM request WHERE engine IN ('click', 'view') GROUP BY 1", "request")
+def j4_group_quota_stream(v):
+    from rankatlas.streaming.streams import group_quota_stream, read_stream, run_once
+
+    log = read_stream(v.spark, v.sf_dir, "events").select("ts", F.col("event_type").alias("engine"))
+    return run_once(group_quota_stream(log, ["click", "view"])).select(F.floor(F.unix_timestamp("window.start") / 86400).alias("day"), "requests")
+
+
+@query("SELECT o_orderpriority AS engine, count(*) AS points_total, count(*) FILTER (o_orderstatus = 'F') AS points_done FROM orders GROUP BY 1")
+def j6_progress_stream(v):
+    from rankatlas.streaming.streams import progress_stream, read_stream, run_once
+
+    points = read_stream(v.spark, v.sf_dir, "orders").select(F.col("o_orderpriority").alias("engine"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
+    return run_once(progress_stream(points, ["engine"]))
+
+
+@query("SELECT user_id AS business_id, year(ts) * 12 + month(ts) AS month, count(*) AS snapshots FROM events GROUP BY 1, 2")
+def j9_review_months_stream(v):
+    from rankatlas.streaming.streams import read_stream, review_months_stream, run_once
+
+    rows = read_stream(v.spark, v.sf_dir, "events").select("ts", F.col("user_id").alias("business_id"))
+    return run_once(review_months_stream(rows)).select("business_id", (F.year("month") * 12 + F.month("month")).alias("month"), "snapshots")
