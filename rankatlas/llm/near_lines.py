@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .arrays import BYTE_VALUES, Rolling, pieces, powers, spans, text_bytes, words
-from .frames import keyed, restored, schema_of
-
-_EDGE = 4
+from .frames import checkpoint, keyed, restored, schema_of
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +32,9 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+_EDGES = ["head", "tail", "short_head", "short_tail"]
+
+
 class Lines:
     """The lines of a table's texts with their words' hashes."""
 
@@ -58,9 +59,12 @@ def _line_rows(batches):
             has = np.nonzero(x.last > x.first)[0]
             a, b = x.first[has], x.last[has]
             of = pa.array(x.text[has])
-            edge = np.minimum(_EDGE, b - a)
-            cols = [part.column("row_key").take(of), part.column("doc_id").take(of), pa.array(x.index[has].astype(np.int32)), pa.array(x.hashes(a, b)), pa.array((b - a).astype(np.int32)), pa.array(x.hashes(a, a + edge)), pa.array(x.hashes(b - edge, b))]
-            yield pa.RecordBatch.from_arrays(cols, ["row_key", "doc_id", "line", "hash", "n_words", "head", "tail"])
+            # halves of the line and of one a word shorter; the side and the length are part of an edge
+            edges = []
+            for half in ((b - a) // 2, (b - a - 1) // 2):
+                edges += [x.hashes(a, a + half), x.hashes(b - half, b) ^ np.int64(0x5BD1E995)]
+            columns = [part.column("row_key").take(of), part.column("doc_id").take(of), pa.array(x.index[has].astype(np.int32)), pa.array(x.hashes(a, b)), pa.array((b - a).astype(np.int32)), *map(pa.array, edges)]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "line", "hash", "n_words", *_EDGES])
 
 
 def _line_text(batches):
@@ -74,11 +78,12 @@ def _line_text(batches):
             raw = x.data.tobytes()
             text = [b" ".join(raw[a:b].split()) for a, b in zip(x.start[at].tolist(), x.end[at].tolist(), strict=True)]
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("row_key").take(of), part.column("doc_id").take(of), inner.field("line"), inner.field("hash"), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())], ["row_key", "doc_id", "line", "hash", "words"])
+            columns = [part.column("row_key").take(of), part.column("doc_id").take(of), *(inner.field(c) for c in ("line", "hash", "head", "tail")), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "line", "hash", "head", "tail", "words"])
 
 
 def _variants(batches):
-    """Each line's hash, as position -1, and its hash without each of its words."""
+    """Each line's hash, as position -1, and its hash without each of the words that an edit may lie at: outside a half that it shares."""
     for batch in batches:
         for part in pieces(batch, "words", 1 << 18):
             data, at = text_bytes(part.column("words"))
@@ -93,7 +98,9 @@ def _variants(batches):
             head = np.where(whole, sums[0][b] - sums[0][a], sums[0][at_skip] - sums[0][a])
             rest = np.where(whole, np.uint64(0), sums[1][b] - sums[1][np.minimum(at_skip + 1, b)])
             value = head + rest + (n[row] - ~whole).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-            of = pa.array(row)
+            half = (n[row] - 1) // 2
+            may = whole | (np.asarray(part.column("head"))[row] & (skip >= half)) | (np.asarray(part.column("tail"))[row] & (skip < n[row] - half))
+            of, value, skip = pa.array(row[may]), value[may], skip[may]
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in ("row_key", "doc_id", "line", "hash")), pa.array(value.view(np.int64)), pa.array(skip.astype(np.int32))], ["row_key", "doc_id", "line", "hash", "variant", "skip"])
 
 
@@ -151,7 +158,7 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
 
     Lines are split at newlines and compared as words `[^\\x20\\x09-\\x0D]+`; those without a word
     stay. Equal lines: all words. Near lines: one word inserted, deleted or changed, among lines of
-    `near_words` words or more (8 at least). A line goes if an earlier line is within that bound,
+    `near_words` words or more (2 at least). A line goes if an earlier line is within that bound,
     whether or not that one goes too. Earlier is a smaller id, then an earlier line; rows without
     id come last; different texts under one id stand in the order of a hash of both. Rows that
     agree in id and text are one document and keep the same lines each. Null texts are empty.
@@ -159,24 +166,29 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     with `carry` also a struct of the other columns.
 
     Equal lines are found by minima of hashes, summed before the shuffle. A single edit leaves the
-    first four or the last four words of a line of eight as they are, so only lines that share one
-    of those with a different line emit their deletion variants. A line without its i-th word that
+    first or the last half of the shorter line as it is, so only lines that share a half with a
+    different line emit their deletion variants. A line without its i-th word that
     equals another without its i-th, or equals another whole line, is within the bound, so minima
     over equal variants find the earliest and no pairs within a group are made; each line's one
     match is verified word by word.
     """
-    if near_words < 2 * _EDGE:
-        raise ValueError("near_words must be 8 or more")
+    if near_words < 2:
+        raise ValueError("near_words must be 2 or more")
+    rows = keyed(docs, id_col, text_col, deal=False).mapInArrow(_line_rows, "row_key long, doc_id long, line int, hash long, n_words int, " + ", ".join(f"{e} long" for e in _EDGES))
+    kinds = rows.groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"))
+    places = rows.groupBy("hash").agg(F.min(_place()).alias("first"))
+    equal = rows.select("hash", "doc_id", "row_key", "line").join(places, "hash").filter(_place() > F.col("first")).select("row_key", "line", F.lit(False).alias("near"))
+    even = F.col("first.n_words") % 2 == 0
+    edges = F.array("first.head", "first.tail", F.when(even, F.col("first.short_head")), F.when(even, F.col("first.short_tail")))
+    long_ = kinds.filter(F.col("first.n_words") >= near_words).select("hash", "first.row_key", "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
+    shared = long_.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
+    matched = long_.join(shared, "edge").groupBy("row_key", "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
+    wanted = checkpoint(matched.groupBy("row_key").agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted")))
     texts = keyed(docs, id_col, text_col, carry=carry)
-    rows = texts.mapInArrow(_line_rows, "row_key long, doc_id long, line int, hash long, n_words int, head long, tail long")
-    kinds = rows.groupBy("hash").agg(F.min(_place("n_words", "head", "tail")).alias("first"))
-    equal = rows.join(kinds, "hash").filter(_place("n_words", "head", "tail") > F.col("first")).select("row_key", "line", F.lit(False).alias("near"))
-    long_ = kinds.filter(F.col("first.n_words") >= near_words).select("hash", "first.*")
-    edges = long_.select("hash", "row_key", "line", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("edge")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("edge")))).alias("e")).select("hash", "row_key", "line", "e.*")
-    shared = edges.groupBy("side", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("side", "edge")
-    wanted = edges.join(shared, ["side", "edge"]).groupBy("row_key").agg(F.collect_set(F.struct("line", "hash")).alias("wanted"))
-    chosen = texts.join(wanted, "row_key").mapInArrow(_line_text, "row_key long, doc_id long, line int, hash long, words string")
-    variants = chosen.mapInArrow(_variants, "row_key long, doc_id long, line int, hash long, variant long, skip int")
+    chosen = texts.join(wanted, "row_key").mapInArrow(_line_text, "row_key long, doc_id long, line int, hash long, head boolean, tail boolean, words string")
+    emitted = chosen.mapInArrow(_variants, "row_key long, doc_id long, line int, hash long, variant long, skip int")
+    again = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
+    variants = emitted.join(again, "variant")
     leads = variants.groupBy("variant", "skip").agg(F.min(_place("hash")).alias("lead"), F.count("*").alias("n"))
     # across lengths: a whole line against lines without any one word
     whole = leads.filter("skip < 0").select("variant", F.col("lead").alias("whole"))
