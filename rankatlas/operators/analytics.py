@@ -205,3 +205,33 @@ def review_velocity(reviews: DataFrame, months: float = 3, days: int = 90) -> Da
     old = F.col("captured") - F.col("first") >= days * 86_400
     kind = F.when(rate > 5, "accelerating").when(rate >= 1, "stable").when((rate == 0) & old, "stale").otherwise("slowing")
     return seen.select("business_id", rate.alias("rate"), kind.alias("velocity"))
+
+
+def enrichment_summary(log: DataFrame) -> DataFrame:
+    """One row: how a run of enrichments went."""
+    is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+    return log.agg(F.count("*").alias("total"), is_("success").alias("enriched"), is_("no_email_found").alias("processed_without"), is_("no_website", "invalid_url").alias("skipped"), is_("error").alias("failed"))
+
+
+def discovery_stats(resolved: DataFrame) -> DataFrame:
+    """Observations by how they were matched."""
+    return resolved.groupBy("match_type").agg(F.count("*").alias("observations"), F.countDistinct("business_id").alias("businesses"))
+
+
+def weaknesses(businesses: DataFrame, few_reviews: int = 50, stale: int = 500) -> DataFrame:
+    """Flags of what a business lacks, as one sorted list."""
+    flags = {"few_reviews": F.col("reviews") < few_reviews, "no_https": ~F.coalesce(F.col("website").startswith("https://"), F.lit(False)), "no_phone": F.col("phone").isNull(), "stale": F.col("last_seen") < stale}
+    found = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in sorted(flags.items()))), lambda x: x.isNotNull())
+    return businesses.select("business_id", F.array_join(found, ",").alias("weaknesses"))
+
+
+def enrichment_priority(businesses: DataFrame, facts: DataFrame, hours: int = 720) -> DataFrame:
+    """Tier of each business: ours, competitors, those ranked in the first five, never enriched, long ago, the rest."""
+    top = facts.filter("rank <= 5").select("business_id").distinct().withColumn("top", F.lit(True))
+    tier = F.when(F.col("is_mine"), 1).when(F.col("is_competitor"), 2).when(F.col("top"), 3).when(F.col("enriched_hours").isNull(), 4).when(F.col("enriched_hours") > hours, 5).otherwise(6)
+    return businesses.join(top, "business_id", "left").select("business_id", tier.alias("tier"))
+
+
+def first_non_empty(*arrays: Column) -> Column:
+    """The first array that has an element."""
+    return F.coalesce(*(F.when(F.size(a) > 0, a) for a in arrays))

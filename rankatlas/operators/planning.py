@@ -80,3 +80,30 @@ def pending_depth(points: DataFrame) -> DataFrame:
 def cancel(scans: DataFrame) -> DataFrame:
     """Cancelled, except what has ended."""
     return scans.withColumn("status", F.when(F.col("status").isin(*TERMINAL), F.col("status")).otherwise("cancelled"))
+
+
+def seed_dimensions(spark, areas: list[tuple], tree: dict[str, dict[str, list[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Areas (name, state, lat, lng, radius), the category tree and its keywords; a keyword's priority falls along its list."""
+    area = spark.createDataFrame(areas, "name string, state string, lat double, lng double, radius_miles double")
+    rows = [(p, None, []) for p in tree] + [(c, p, k) for p, children in tree.items() for c, k in children.items()]
+    category = spark.createDataFrame(rows, "slug string, parent string, keywords array<string>")
+    keyword = category.select(F.col("slug").alias("category"), F.posexplode("keywords").alias("index", "keyword"), F.size("keywords").alias("n"))
+    return area, category.drop("keywords"), keyword.select("category", "keyword", (F.col("n") - F.col("index")).alias("priority"))
+
+
+def expand_schedules(schedules: DataFrame, areas: DataFrame, column: str = "area_ids") -> DataFrame:
+    """A row for each schedule and area; an empty list means all active ones, which the schedules' own job sends along."""
+    listed = schedules.filter(F.size(column) > 0).select("schedule_id", F.explode(column).alias("area_id"))
+    every = schedules.filter((F.size(column) <= 0) | F.col(column).isNull()).select("schedule_id").crossJoin(areas.filter("is_active").select("area_id"))
+    return listed.unionByName(every)
+
+
+def eta(progress: DataFrame, started: Column, now: Column) -> DataFrame:
+    """When a scan will be done if it goes on as it went; null before its first point."""
+    per_point = (now - started) / F.col("points_done")
+    return progress.withColumn("eta", F.when(F.col("points_done") > 0, started + per_point * F.col("points_total")))
+
+
+def scan_counts(scans: DataFrame, today: Column) -> DataFrame:
+    """Pending, running and completed today."""
+    return scans.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count_if((F.col("status") == "completed") & (F.col("day") == today)).alias("completed_today"))

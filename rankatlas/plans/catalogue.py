@@ -589,3 +589,69 @@ def j9_review_months_stream(v):
 
     rows = read_stream(v.spark, v.sf_dir, "events").select("ts", F.col("user_id").alias("business_id"))
     return run_once(review_months_stream(rows)).select("business_id", (F.year("month") * 12 + F.month("month")).alias("month"), "snapshots")
+
+
+# --- more of plans and metrics
+
+
+@query("SELECT schedule_id, a.area_id FROM (SELECT * FROM schedule WHERE schedule_id % 2 = 0) CROSS JOIN (SELECT area_id FROM area WHERE is_active) a UNION ALL SELECT schedule_id, unnest([schedule_id, 1]) FROM schedule WHERE schedule_id % 2 = 1", "schedule area")
+def c9_expand_schedules(v):
+    lists = v.schedule.withColumn("area_ids", F.when(F.col("schedule_id") % 2 == 1, F.array(F.col("schedule_id"), F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return P.expand_schedules(lists, v.area)
+
+
+@query("SELECT area_id, engine, CASE WHEN d > 0 THEN round(100 + 50.0 / d * t, 4) END AS eta FROM (SELECT area_id, engine, count(*) FILTER (status = 'completed') AS d, count(*) AS t FROM point GROUP BY ALL)", "point")
+def d6_eta(v):
+    progress = P.scan_progress(v.point, ["area_id", "engine"])
+    return P.eta(progress, F.lit(100.0), F.lit(150.0)).select("area_id", "engine", F.round("eta", 4).alias("eta"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (email IS NOT NULL AND website IS NOT NULL) AS enriched, count(*) FILTER (email IS NULL AND website IS NOT NULL) AS processed_without, count(*) FILTER (website IS NULL) AS skipped, 0::BIGINT AS failed FROM business", "business")
+def d9_enrichment_summary(v):
+    status = F.when(F.col("website").isNull(), "no_website").when(F.col("email").isNull(), "no_email_found").otherwise("success")
+    return A.enrichment_summary(v.business.withColumn("status", status))
+
+
+@query()
+def d25_discovery_stats(v):
+    from rankatlas.operators.resolve import resolve_entities
+
+    return A.discovery_stats(resolve_entities(_observations(v), order=("place_id", "name_location")))
+
+
+@query("SELECT business_id, concat_ws(',', CASE WHEN reviews < 50 THEN 'few_reviews' END, CASE WHEN website IS NULL THEN 'no_https' END, CASE WHEN phone IS NULL THEN 'no_phone' END, CASE WHEN last_seen < 500 THEN 'stale' END) AS weaknesses FROM business", "business")
+def d30_weaknesses(v):
+    return A.weaknesses(v.business)
+
+
+@query("SELECT count(*) FILTER (status = 'pending') AS pending, 0::BIGINT AS running, count(*) FILTER (status = 'completed' AND scan_month = 23970) AS completed_today FROM point", "point")
+def d31_scan_counts(v):
+    return P.scan_counts(v.point.withColumn("day", F.col("scan_month")), F.lit(23970))
+
+
+@query("SELECT business_id, CASE WHEN is_mine THEN 1 WHEN is_competitor THEN 2 WHEN business_id IN (SELECT business_id FROM fact WHERE rank <= 5) THEN 3 WHEN enriched_hours IS NULL THEN 4 WHEN enriched_hours > 300 THEN 5 ELSE 6 END AS tier FROM business", "business fact")
+def i11_enrichment_priority(v):
+    return A.enrichment_priority(v.business, v.fact, 300)
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'https://%' THEN regexp_extract(lower(url), '^https://(www\\.)?([^/?#:]+)', 2) ELSE regexp_extract(lower(url), '^http://(www\\.)?([^/?#:]+)', 2) END AS domain FROM pages")
+def h2_normalize_domain(v):
+    return v.pages.select("page_id", S.normalize_domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT a.business_id, b.business_id AS other, levenshtein(a.name, b.name) <= 3 AS close FROM business a JOIN business b ON b.business_id = a.business_id * 3 + 7", "business")
+def h3_levenshtein(v):
+    b = v.business.select(F.col("business_id").alias("other"), F.col("name").alias("name2"))
+    return v.business.join(b, F.col("other") == F.col("business_id") * 3 + 7).select("business_id", "other", S.names_close(F.col("name"), F.col("name2")).alias("close"))
+
+
+@query("SELECT business_id, CASE WHEN reviews % 3 = 0 THEN reviews * 100 WHEN reviews % 3 = 1 THEN reviews END AS n FROM business", "business")
+def h9_compact_number(v):
+    text = F.when(F.col("reviews") % 3 == 0, F.concat((F.col("reviews") / 10).cast("string"), F.lit("K"))).when(F.col("reviews") % 3 == 1, F.format_number("reviews", 0)).otherwise("n/a")
+    return v.business.select("business_id", S.compact_number(text).alias("n"))
+
+
+@query("SELECT business_id, coalesce(email IS NOT NULL AND NOT (business_id % 2 = 0), FALSE) AS valid FROM business", "business")
+def h18_email_valid(v):
+    mail = F.when(F.col("business_id") % 2 == 0, F.regexp_replace("email", "^info@", "noreply@")).otherwise(F.col("email"))
+    return v.business.select("business_id", S.email_valid(mail).alias("valid"))
