@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, Rolling, covered, pieces, runs, sliding_min, spans, text_bytes, words
-from .frames import batched
+from .frames import batched, restored, schema_of
 
-_FLAG = np.uint64(1 << 38)
-_FINGER = np.uint64((1 << 38) - 1)
+#: A window is sent as 30 bits of its hash beside two flags: starts several times in its batch, is a block of the index.
+_FINGER, _SEVERAL, _INDEXED = (1 << 30) - 1, np.uint32(1 << 30), np.uint32(1 << 31)
 
 
 class Words:
@@ -39,82 +39,77 @@ class Words:
         return grams, np.arange(len(grams)) + n <= self.first[1:][self.text[: len(grams)]]
 
 
-def _five_bytes(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+class Entries:
+    """A batch's distinct windows of a block's length in the order of bucket and hash, as they are sent and answered."""
 
-
-def _from_five(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel().astype(np.uint64)
-
-
-def _fingers(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return (grams >> np.uint64(40)).astype(np.int64) % buckets, grams & _FINGER
+    def __init__(self, w: Words, block: int, buckets: int):
+        self.grams, ok = w.grams(block)
+        self.at = np.nonzero(ok)[0]
+        grams = self.grams[self.at]
+        code = (grams >> np.uint64(34)).astype(np.int64) % buckets << 30 | (grams & np.uint64(_FINGER)).astype(np.int64)
+        self.order = np.argsort(code, kind="stable")
+        self.code = code[self.order]
+        self.a, self.b = runs(self.code)
+        self.bucket = self.code[self.a] >> 30
+        self.c, self.d = runs(self.bucket)
 
 
 def _probe(rows: pa.Table, block: int, buckets: int) -> pa.Table:
-    """Of one batch, for each bucket: its distinct rolling windows, marked if they are blocks of the index and if there are several."""
+    """Of one batch, for each bucket, its entries with their flags."""
     w = Words(rows.column("text"))
-    grams, ok = w.grams(block)
-    at = np.nonzero(ok)[0]
-    grams, indexed = grams[at], (at - w.first[w.text[at]]) % block == 0 if len(at) else np.zeros(0, bool)
-    bucket, finger = _fingers(grams, buckets)
-    order = np.lexsort((finger, bucket))
-    bucket, finger, indexed = bucket[order], finger[order], indexed[order]
-    a, b = runs(bucket.astype(np.uint64) * np.uint64(1 << 38) + finger)
-    if not len(a):
-        return _probed([], [], [])
-    value = finger[a] | np.where(b - a > 1, _FLAG, np.uint64(0)) | np.where(np.logical_or.reduceat(indexed, a), _FLAG << np.uint64(1), np.uint64(0))
-    c, d = runs(bucket[a])
-    raw = _five_bytes(value)
-    return _probed(bucket[a][c], [int(rows.column("batch")[0].as_py())] * len(c), [raw[x:y].tobytes() for x, y in zip(c.tolist(), d.tolist(), strict=True)])
-
-
-def _probed(bucket, batch, raw) -> pa.Table:
-    return pa.table({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array(batch, pa.int64()), "windows": pa.array(raw, pa.binary())})
+    x = Entries(w, block, buckets)
+    if not len(x.a):
+        return pa.table({"bucket": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "windows": pa.array([], pa.binary())})
+    indexed = ((x.at - w.first[w.text[x.at]]) % block == 0)[x.order]
+    value = (x.code[x.a] & _FINGER).astype(np.uint32) | np.where(x.b - x.a > 1, _SEVERAL, np.uint32(0)) | np.where(np.logical_or.reduceat(indexed, x.a), _INDEXED, np.uint32(0))
+    return pa.table({"bucket": x.bucket[x.c], "batch": np.full(len(x.c), rows.column("batch")[0].as_py(), np.int64), "windows": pa.array([value[i:j].astype("<u4").tobytes() for i, j in zip(x.c.tolist(), x.d.tolist(), strict=True)], pa.binary())})
 
 
 def _hits(rows: pa.Table) -> pa.Table:
-    """Of one bucket, for each batch: its windows that are indexed anywhere and start in two places or more."""
-    parts = [_from_five(x) for x in rows.column("windows").to_pylist()]
-    value, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    finger = value & _FINGER
+    """Of one bucket, for each batch, two bits an entry: it starts in two places or more; and it is a block of the index besides."""
+    data, at = text_bytes(rows.column("windows"))
+    value = np.frombuffer(data.tobytes(), "<u4")
+    finger = value & np.uint32(_FINGER)
     order = np.argsort(finger, kind="stable")
     a, b = runs(finger[order])
     flags = np.bitwise_or.reduceat(value[order], a)
-    hit = (flags & (_FLAG << np.uint64(1)) > 0) & ((b - a > 1) | (flags & _FLAG > 0))
-    good = np.zeros(len(value), bool)
-    good[order] = np.repeat(hit, b - a)
-    out = [finger[good & (owner == i)] for i in range(len(parts))] if len(parts) < 32 else np.split(finger[good], np.searchsorted(owner[good], np.arange(1, len(parts))))
-    keep = [i for i, x in enumerate(out) if len(x)]
-    return pa.table({"bucket": rows.column("bucket").take(pa.array(keep, pa.int64())), "batch": rows.column("batch").take(pa.array(keep, pa.int64())), "hits": pa.array([_five_bytes(out[i]).tobytes() for i in keep], pa.binary())})
+    several = np.empty(len(value), bool)
+    several[order] = np.repeat((b - a > 1) | (flags & _SEVERAL > 0), b - a)
+    hit = np.empty(len(value), bool)
+    hit[order] = np.repeat(flags & _INDEXED > 0, b - a)
+    hit &= several
+    cuts = list(zip((at[:-1] // 4).tolist(), (at[1:] // 4).tolist(), strict=True))
+    pack = lambda x: pa.array([np.packbits(x[i:j]).tobytes() for i, j in cuts], pa.binary())
+    return pa.table({"bucket": rows.column("bucket"), "batch": rows.column("batch"), "several": pack(several), "hits": pack(hit)})
 
 
 def _found(key, w: Words, text, first, count, **more) -> pa.Table:
     return pa.table({"row_key": key.take(pa.array(text)), "begin": pa.array((first - w.first[text]).astype(np.int64)), "count": pa.array(count.astype(np.int64)), **{k: pa.array(v.view(np.int64)) for k, v in more.items()}})
 
 
-def _extend(rows: pa.Table, hits: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
-    """Runs of windows under one anchor: of a window's windows of a block's length that hit, the least-hashed one."""
+def _extend(rows: pa.Table, answers: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
+    """Runs of windows under one anchor: of a window's blocks that hit, the least-hashed one. All its blocks must start in two places."""
     w = Words(rows.column("text"))
-    grams, ok = w.grams(block)
-    bucket, finger = _fingers(grams, buckets)
-    hit = np.zeros(len(grams), bool)
-    if hits.num_rows:
-        parts = [_from_five(x) for x in hits.column("hits").to_pylist()]
-        known = np.unique(np.concatenate([p | (np.uint64(b) << np.uint64(38)) for p, b in zip(parts, hits.column("bucket").to_pylist(), strict=True)]))
-        value = finger | (bucket.astype(np.uint64) << np.uint64(38))
-        hit = ok & (known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value)
+    x = Entries(w, block, buckets)
+    grams, hit, several = x.grams, np.zeros(len(x.grams), bool), np.zeros(len(x.grams), bool)
+    size = dict(zip(x.bucket[x.c].tolist(), zip(x.c.tolist(), x.d.tolist(), strict=True), strict=True)) if len(x.a) else {}
+    for name, flags in (("several", several), ("hits", hit)):
+        entry = np.zeros(len(x.a), bool)
+        for bucket, raw in zip(answers.column("bucket").to_pylist(), answers.column(name).to_pylist(), strict=True):
+            i, j = size[bucket]
+            entry[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i).astype(bool)
+        flags[x.at[x.order]] = np.repeat(entry, x.b - x.a)
+    need, summed = window - block + 1, np.concatenate([np.zeros(1, np.int64), np.cumsum(several)])
+    all_several = summed[need:] - summed[:-need] == need
     bits = np.uint64((1 << max(24, len(grams).bit_length())) - 1)
     none = ~np.uint64(0) & ~bits
     least = sliding_min(np.where(hit, np.minimum(grams & ~bits, none - bits - np.uint64(1)), none) | np.arange(len(grams), dtype=np.uint64), window - block + 1)
     text = w.text[: len(least)]
-    fine = np.nonzero((np.arange(len(least)) + window <= w.first[1:][text]) & ((least & ~bits) != none))[0] if len(least) else np.zeros(0, np.int64)
-    a, b = runs(((least & bits).astype(np.int64) - fine[0] + text * (len(grams) + 1))[fine] if len(fine) else fine)
+    fine = np.nonzero((np.arange(len(least)) + window <= w.first[1:][text]) & ((least & ~bits) != none) & all_several)[0] if len(least) else np.zeros(0, np.int64)
+    gaps = np.cumsum(np.diff(fine, prepend=-1) > 1)
+    a, b = runs(gaps * (len(grams) + 1) + (least[fine] & bits).astype(np.int64))
     first, count = fine[a], b - a
     own = (least[first] & bits).astype(np.int64)
-    # windows of one anchor and text have no gap between them: each holds the anchor
     return _found(rows.column("row_key").combine_chunks(), w, text[first], first, count, anchor=grams[own], content=w.rolling.ranges(first, first + count + window - 1)).append_column("doc_id", rows.column("doc_id").combine_chunks().take(pa.array(text[first]))).append_column("batch", pa.array(np.full(len(first), rows.column("batch")[0].as_py() if rows.num_rows else 0)))
 
 
@@ -154,7 +149,16 @@ def _cut(rows: pa.Table, found: pa.Table, window: int) -> pa.Table:
             ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(~gone)])[w.first]]
             raw = joined.tobytes()
             kept = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            done.append(pa.table({"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}))
+            found_ = {"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+            if "carried" in part.schema.names:
+                # the text as it was, without the removed words and the blanks after each
+                after = np.append(w.start[1:], len(w.data))
+                after = np.minimum(after, w.at[1:][w.text])
+                left = ~covered(len(w.data), w.start[gone], after[gone])
+                cuts = np.concatenate([[0], np.cumsum(left)])[w.at]
+                raw = w.data[left].tobytes()
+                found_ |= {"cleaned": pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string()), "carried": part.column("carried")}
+            done.append(pa.table(found_))
     return pa.concat_tables(done)
 
 
@@ -165,7 +169,7 @@ def _place() -> object:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "begin")
 
 
-def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Removes every word covered by a window of `window` words that also starts earlier.
 
     Words are `[^\\x20\\x09-\\x0D]+`; windows lie in one text and are judged on the input. Earlier
@@ -175,16 +179,18 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     than a window, null or empty ones keep what they have; other columns are ignored.
 
     Returns doc_id, row_key, n_words, n_removed, kept (the kept words joined by one space) and
-    kept_sha256. The texts are shuffled once and read for the probe, the extension and the cut. A
-    batch sends a window once however often it holds it, and the counts that decide are minima
-    summed before a shuffle, so a passage that is everywhere costs each batch one entry.
+    kept_sha256; with `carry` also the text with its own blanks and a struct of the other columns. The texts are shuffled once and read for the probe, the extension and the cut. A
+    batch sends a window once, in four bytes, however often it holds it, and gets two bits back;
+    hashes cut so short can only propose too much, as all that is removed is matched by full ones.
+    The choice of the earliest is a minimum taken before a shuffle, so a passage that is everywhere
+    costs each batch one entry.
     """
     spark = docs.sparkSession
     block, buckets = window // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = batched(docs, id_col, text_col)
+    texts = batched(docs, id_col, text_col, size=4 << 20, least=8, carry=carry)
     grouped = texts.groupBy("batch")
     probes = grouped.applyInArrow(lambda rows: _probe(rows, block, buckets), "bucket long, batch long, windows binary")
-    hits = probes.groupBy("bucket").applyInArrow(_hits, "bucket long, batch long, hits binary")
+    hits = probes.groupBy("bucket").applyInArrow(_hits, "bucket long, batch long, several binary, hits binary")
     found = grouped.cogroup(hits.groupBy("batch")).applyInArrow(lambda rows, hits: _extend(rows, hits, window, block, buckets), "row_key long, begin long, count long, anchor long, content long, doc_id long, batch long")
     kinds = found.groupBy("anchor", "content").agg(F.min(_place()).alias("earliest"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
@@ -195,7 +201,14 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     later = single.join(leads, "content").filter(_place() > F.col("earliest"))
     ranges = placed.filter("later").select("batch", "row_key", "begin", "count").unionByName(later.select("batch", "row_key", "begin", "count"))
     lists = ranges.groupBy("batch", "row_key").agg(F.collect_list(F.struct("begin", "count")).alias("found"))
-    return grouped.cogroup(lists.groupBy("batch")).applyInArrow(lambda rows, found: _cut(rows, found, window), "doc_id long, row_key long, n_words long, n_removed long, kept string, kept_sha256 string")
+    fields = "doc_id long, row_key long, n_words long, n_removed long, kept string, kept_sha256 string" + ", cleaned string" * carry
+    return grouped.cogroup(lists.groupBy("batch")).applyInArrow(lambda rows, found: _cut(rows, found, window), schema_of(fields, texts))
+
+
+def dedup_passages(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs with repeated passages gone from the text; rows that lose every word go."""
+    cut = remove_passages(docs, text_col=text_col, carry=True, **more)
+    return restored(cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs, "cleaned", text_col)
 
 
 def digests(cut: DataFrame) -> DataFrame:
