@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, Rolling, pieces, runs, text_bytes, words
@@ -21,6 +21,8 @@ from .frames import batched, checkpoint
 _HALF = math.log(0.5)
 #: Contexts of so many bytes are worked out together in one group; shorter ones, 257 at most, on the driver.
 _JOINT = 2
+#: Keys of words have this bit, which those of grams (seven bytes at most) don't.
+WORDS = 1 << 62
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -47,18 +49,36 @@ def grams(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.
 
 def token_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = words(data, at)
-    return Rolling(BYTE_VALUES[data]).ranges(start, end).view(np.int64), first
+    return ((Rolling(BYTE_VALUES[data]).ranges(start, end) >> np.uint64(2)) | np.uint64(WORDS)).astype(np.int64), first
 
 
 def counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how many of each are for training."""
-    order = np.argsort(key, kind="stable")
-    key, train = key[order], train[order]
+    """Distinct keys, below 2**63, and how many of each are for training (train: 0 or 1)."""
+    packed = np.sort(key.astype(np.uint64) << np.uint64(1) | train.astype(np.uint64))
+    key = packed >> np.uint64(1)
     a, b = runs(key)
-    total = np.concatenate([[0], np.cumsum(train)])
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum((packed & np.uint64(1)).astype(np.int64))])
+    return key[a].astype(np.int64), total[b] - total[a]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several counted() results, together."""
+    key, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(key)
+    key = key[order]
+    a, b = runs(key)
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])
     return key[a], total[b] - total[a]
 
 
+def looked_up(known: np.ndarray, value: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Values of keys, all of them known; keys are looked up in order, which is kind to caches."""
+    order = np.argsort(key)
+    out = np.empty(len(key), value.dtype)
+    out[order] = value[np.searchsorted(known, key[order])]
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov estimate of a zeros and b ones."""
 
@@ -170,7 +190,7 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
                 data, at = text_bytes(part.column("text"))
                 key, first = grams(lowered(data), at, depth)
                 key, n = counted(key, np.repeat(np.asarray(part.column("train")).astype(np.int64), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     joint = F.shiftright("key", 8).bitwiseAND((1 << 8 * _JOINT) - 1)
     counts = checkpoint(plain.mapInArrow(count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
@@ -188,66 +208,62 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
         tree = Subtree(key, np.asarray(rows.column("n")), depth)
         context = np.repeat((key >> np.uint64(8) & np.uint64(255)).astype(np.int64), 8)
         p = share[tree.bit.astype(np.int64), context, tree.node] + rest[context, tree.node] * tree.mixed
-        return pa.table({"key": rows.column("key"), "value": np.log10(p).reshape(-1, 8).sum(1)})
+        # rounded to single precision, which halves what goes back
+        return pa.table({"key": rows.column("key"), "value": np.log10(p).reshape(-1, 8).sum(1).astype(np.float32).astype(float)})
 
     gram_values = grouped.mapInArrow(_groups(values, 1 << 17), "key long, value double")
 
-    texts = batched(docs, id_col, text_col, size=24 << 20, least=1).withColumn("train", trains)
+    texts = batched(docs, id_col, text_col, size=24 << 20, least=0.25).withColumn("train", trains)
     by_batch = texts.groupBy("batch")
 
-    def keys(rows: pa.Table) -> pa.Table:
-        """A batch's distinct grams (kind 0) and words (kind 1), with training counts."""
-        found: list[list] = [[], []]
+    def keys(rows: pa.Table, of) -> pa.Table:
+        """A batch's distinct grams or words, with training counts."""
+        found: list = []
         for part in _parts(rows):
             data, at = text_bytes(part.column("text"))
-            data, train = lowered(data), np.asarray(part.column("train")).astype(np.int64)
-            for kind, (key, first) in enumerate((grams(data, at, depth), token_keys(data, at))):
-                found[kind].append(counted(key.view(np.int64), np.repeat(train, np.diff(first))))
-        out = []
-        for kind in (0, 1):
-            key, n = np.concatenate([x for x, _ in found[kind]]), np.concatenate([x for _, x in found[kind]])
-            key, n = counted(key, n)
-            out.append(pa.table({"kind": np.full(len(key), kind, np.int32), "key": key, "batch": np.full(len(key), rows.column("batch")[0].as_py(), np.int64), "n": n}))
-        return pa.concat_tables(out)
-
-    sent = by_batch.applyInArrow(lambda rows: keys(rows), "kind int, key long, batch long, n long")
-    word_counts = sent.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("batches"))
-    stats = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"))
+            key, first = of(lowered(data), at)
+            found.append(counted(key, np.repeat(np.asarray(part.column("train")).astype(np.int64), np.diff(first))))
+        key, n = merged(found)
+        return pa.table({"key": key, "batch": np.full(len(key), rows.column("batch")[0].as_py(), np.int64), "n": n})
+
+    fields = "key long, batch long, n long"
+    gram_rows = by_batch.applyInArrow(lambda rows: keys(rows, lambda data, at: grams(data, at, depth)), fields).select("key", "batch")
+    # what is asked of the words is asked above one exchange by key; a key has one row a batch at most
+    by_key = Window.partitionBy("key")
+    word_rows = by_batch.applyInArrow(lambda rows: keys(rows, token_keys), fields)
+    word_rows = word_rows.withColumns({"total": F.sum("n").over(by_key), "batches": F.count("*").over(by_key), "least": F.min("batch").over(by_key)})
+    stats = word_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if((F.col("total") > 0) & (F.col("batch") == F.col("least"))).alias("v"))
     ends = plain.agg(F.count_if("train").alias("ends"))
-    word_values = sent.filter("kind = 1").select("key", "batch").join(word_counts.filter("batches > 1").select("key", F.col("n").cast("double").alias("value")), "key").withColumn("kind", F.lit(1))
-    back = sent.filter("kind = 0").select("key", "batch").join(gram_values, "key").withColumn("kind", F.lit(0)).unionByName(word_values)
+    word_values = word_rows.filter("batches > 1").select("key", "batch", F.col("total").cast("double").alias("value"))
+    back = gram_rows.join(gram_values, "key").select("key", "batch", "value").unionByName(word_values)
 
     def total(rows: pa.Table, found: pa.Table) -> pa.Table:
-        kind = np.asarray(found.column("kind")) if found.num_rows else np.zeros(0, np.int32)
-        tables = []
-        for k in (0, 1):
-            key, value = np.asarray(found.column("key"))[kind == k], np.asarray(found.column("value"))[kind == k]
-            order = np.argsort(key)
-            tables.append((key[order], value[order]))
+        key = np.asarray(found.column("key")) if found.num_rows else np.zeros(0, np.int64)
+        value = np.asarray(found.column("value")) if found.num_rows else np.zeros(0)
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        cut = int(np.searchsorted(key, WORDS))
         local: list = []
         for part in _parts(rows):
             data, at = text_bytes(part.column("text"))
-            key, first = token_keys(lowered(data), at)
-            local.append(counted(key, np.repeat(np.asarray(part.column("train")).astype(np.int64), np.diff(first))))
-        own, own_n = counted(np.concatenate([x for x, _ in local]), np.concatenate([x for _, x in local]))
-        spread = tables[1][0]
-        if len(spread):
-            at = np.minimum(np.searchsorted(own, spread), len(own) - 1)
-            own_n = own_n.astype(float)
-            own_n[at] = tables[1][1]
+            word, first = token_keys(lowered(data), at)
+            local.append(counted(word, np.repeat(np.asarray(part.column("train")).astype(np.int64), np.diff(first))))
+        own, own_n = merged(local)
+        own_n = own_n.astype(float)
+        own_n[np.searchsorted(own, key[cut:])] = value[cut:]
         done = []
         for part in _parts(rows):
             data, at = text_bytes(part.column("text"))
             data = lowered(data)
-            key, first = grams(data, at, depth)
-            cumulated = lambda x, first: np.diff(np.concatenate([np.zeros(1), np.cumsum(x)])[first])
+            gram, first = grams(data, at, depth)
             # sums text by text, so that long batches don't lose digits
-            log_p = np.add.reduceat(tables[0][1][np.searchsorted(tables[0][0], key.view(np.int64))], first[:-1]) if len(key) else np.zeros(0)
+            log_p = np.add.reduceat(looked_up(key[:cut], value[:cut], gram.astype(np.int64)), first[:-1])
             word, word_first = token_keys(data, at)
-            c = own_n[np.searchsorted(own, word)] if len(own) else np.zeros(0)
+            c = looked_up(own, own_n, word)
+            known = np.concatenate([np.zeros(1, np.int64), np.cumsum(c > 0)])[word_first]
             logs = np.append(np.log10(c + 1), 0.0)
             text_logs = np.where(np.diff(word_first) > 0, np.add.reduceat(logs, word_first[:-1]), 0.0)
-            done.append(pa.table({"doc_id": part.column("doc_id"), "held_out": pa.array(~np.asarray(part.column("train"))), "n_words": np.diff(word_first), "known_words": cumulated(c > 0, word_first).astype(np.int64), "logs": text_logs, "score": log_p, "n_bytes": np.diff(at)}))
+            done.append(pa.table({"doc_id": part.column("doc_id"), "held_out": pa.array(~np.asarray(part.column("train"))), "n_words": np.diff(word_first), "known_words": np.diff(known), "logs": text_logs, "score": log_p, "n_bytes": np.diff(at)}))
         return pa.concat_tables(done)
 
     scored = by_batch.cogroup(back.groupBy("batch")).applyInArrow(lambda rows, found: total(rows, found), "doc_id long, held_out boolean, n_words long, known_words long, logs double, score double, n_bytes long")

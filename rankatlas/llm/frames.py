@@ -70,7 +70,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: int = 4, carry: bool = False) -> DataFrame:
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: float = 4, carry: bool = False) -> DataFrame:
     """keyed() rows with `batch`, a number that deals them evenly into groups of about `size` bytes of text or fewer.
 
     Groups by batch fit in one Python call; there are at least `least` for each shuffle partition.
@@ -81,4 +81,4 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64(F.col(id_col).cast("long"), text)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key"), *(rest_of(docs, text_col) if carry else []))
-    return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(least * parts, total // size + 1))))
+    return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(int(least * parts), total // size + 1))))

@@ -142,7 +142,8 @@ def test_language_model(spark):
     got = [tuple(x)[:7] for x in context_tree.score(frame(spark, rows), depth=3).collect()]
     order = lambda x: (str(x[0]), x[2], round(x[5], 6), round(x[6], 6))
     for a, b in zip(sorted(got, key=order), sorted(brute.language_model(rows, 3), key=order), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+        # values of contexts travel in single precision
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-6)
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark):
