@@ -187,7 +187,7 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     block, buckets = window // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = batched(docs, id_col, text_col, size=4 << 20, least=8, carry=carry)
+    texts = batched(docs, id_col, text_col, size=4 << 20, least=4, carry=carry)
     grouped = texts.groupBy("batch")
     probes = grouped.applyInArrow(lambda rows: _probe(rows, block, buckets), "bucket long, batch long, windows binary")
     hits = probes.groupBy("bucket").applyInArrow(_hits, "bucket long, batch long, several binary, hits binary")
