@@ -39,6 +39,7 @@ def _signatures(size: int, trees: int, deepest: int, depth: int):
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 63, trees * deepest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = rng.integers(0, 1 << 63, trees * deepest, dtype=np.uint64)
+    used = [x.reshape(trees, deepest)[:, :depth].ravel() for x in (factors, terms)]
 
     def run(batches):
         for batch in batches:
@@ -48,33 +49,82 @@ def _signatures(size: int, trees: int, deepest: int, depth: int):
                 has = np.nonzero(np.diff(first) > 0)[0]
                 if not len(has):
                     continue
-                least = np.stack([np.minimum.reduceat((grams * f + t) >> np.uint64(32), first[has]) for f, t in zip(factors, terms, strict=True)], 1).reshape(len(has), trees, deepest)
+                least = np.stack([np.minimum.reduceat((grams * f + t) >> np.uint64(32), first[has]) for f, t in zip(*used, strict=True)], 1).reshape(len(has), trees, depth)
                 prefix = np.zeros((len(has), trees), np.uint64) + np.arange(trees, dtype=np.uint64)
                 for d in range(depth):
                     prefix = mix(prefix * np.uint64(31) + least[:, :, d])
-                rest = least[:, :, depth:].astype(">u4")
-                width = 4 * (deepest - depth)
-                ends = pa.py_buffer((np.arange(len(has) * trees + 1) * width).astype(np.int32))
-                sorted_by = pa.Array.from_buffers(pa.binary(), len(has) * trees, [None, ends, pa.py_buffer(np.ascontiguousarray(rest))])
-                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(np.repeat(has, trees))), pa.array(prefix.ravel().view(np.int64)), sorted_by], ["text_key", "prefix", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(np.repeat(has, trees))), pa.array(prefix.ravel().view(np.int64))], ["text_key", "prefix"])
 
     return run
 
 
-def _neighbours(reach: int):
-    """Of rows in the order of the tries: pairs of each row and the next few under the same prefix."""
+def _common(x: list[np.ndarray], y: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many values each set of x has in common with each of y: products of 0/1 matrices, `width` values at a time."""
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), np.float32)
+    cells = []
+    for s, values in zip((x, y), flat, strict=True):
+        at = np.searchsorted(shared, values)
+        ok = shared[np.minimum(at, len(shared) - 1)] == values if len(shared) else np.zeros(len(values), bool)
+        row, at = np.repeat(np.arange(len(s)), [len(v) for v in s])[ok], at[ok]
+        order = np.argsort(at, kind="stable")
+        cells.append((row[order], at[order]))
+    for first in range(0, len(shared), width):
+        sides = []
+        for s, (row, at) in zip((x, y), cells, strict=True):
+            lo, hi = np.searchsorted(at, [first, first + width])
+            m = np.zeros((len(s), min(width, len(shared) - first)), np.float32)
+            m[row[lo:hi], at[lo:hi] - first] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric 0/1 matrix: each node that isn't the first of its component, and that first one."""
+    new, nodes, heads = linked.any(1), [], []
+    for head in np.nonzero(new)[0].tolist():
+        if not new[head]:
+            continue
+        new[head], front = False, np.array([head])
+        while len(front):
+            front = np.nonzero(linked[front].any(0) & new)[0]
+            new[front] = False
+            nodes.append(front)
+            heads.append(np.full(len(front), head))
+    return (np.concatenate(nodes), np.concatenate(heads)) if nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _block_links(threshold: float):
+    """Of two blocks of a crowd (or one and itself): each text's links, and edges that join what is linked.
+
+    A pair that meets in several crowds is counted in the one of least prefix.
+    """
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [*held, batch])
-            key, prefix = rows.column("text_key").combine_chunks(), np.asarray(rows.column("prefix"))
-            new = 0 if held is None else sum(b.num_rows for b in held)
-            a = np.concatenate([np.arange(max(new - d, 0), rows.num_rows - d) for d in range(1, reach + 1) if rows.num_rows > d] or [np.zeros(0, np.int64)])
-            b = np.concatenate([np.arange(max(new - d, 0), rows.num_rows - d) + d for d in range(1, reach + 1) if rows.num_rows > d] or [np.zeros(0, np.int64)])
-            same = (prefix[a] == prefix[b]) & (b >= new)
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(a[same])), key.take(pa.array(b[same]))], ["a", "b"])
-            held = rows.slice(max(0, rows.num_rows - reach)).to_batches()
+    def run(group: pa.Table) -> pa.Table:
+        key, block = group.column("text_key").combine_chunks(), np.asarray(group.column("block"))
+        prefix, i, j = (group.column(c)[0].as_py() for c in ("prefix", "i", "j"))
+        sets = [np.frombuffer(v, np.uint64) for v in group.column("shingles").to_pylist()]
+        others = [np.array([c for c in v if c < prefix], np.int64) for v in group.column("crowds").to_pylist()]
+        left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        pick = lambda s: ([s[k] for k in left], [s[k] for k in right])
+        sizes = np.array([len(s) for s in sets], np.float64)
+        common = _common(*pick(sets)).astype(np.float64)
+        similar = common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9
+        similar &= _common(*pick(others)) == 0
+        if i == j:
+            np.fill_diagonal(similar, False)
+        linked = np.zeros((len(sets), len(sets)), bool)
+        linked[np.ix_(left, right)] = similar
+        linked |= linked.T
+        n = linked.sum(1)
+        has = np.nonzero(n)[0]
+        node, head = _stars(linked)
+        keys = pa.concat_arrays([key.take(pa.array(has)), key.take(pa.array(node))])
+        heads = pa.concat_arrays([pa.nulls(len(has), pa.string()), key.take(pa.array(head)).cast(pa.string())])
+        counts = pa.concat_arrays([pa.array(n[has], pa.int64()), pa.nulls(len(node), pa.int64())])
+        return pa.Table.from_arrays([keys.cast(pa.string()), heads, counts], ["text_key", "head", "n"])
 
     return run
 
@@ -109,7 +159,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 16, deepest: int = 8, target: float = 0.999, crowd: int = 32, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 16, deepest: int = 8, target: float = 0.999, crowd: int = 32, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of texts whose shingle sets have a Jaccard similarity of `threshold` or more.
 
     Returns a row a row of docs: doc_id, text_key (md5 of the text), class_key, class_id (least id
@@ -118,27 +168,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, tree
     an empty or null one has none and is only linked with copies of itself. Equal texts are one
     node, so copies make no pairs; other columns are ignored; an empty table gives no rows.
 
-    Under a prefix with up to `crowd` texts all pairs are proposed. In a crowded one every text is
-    paired with a leader from the fullest deeper prefix of each tree and with the next `reach`
-    texts in the tries' order, which grows with the texts and not with their pairs; so there n_links counts
-    links to leaders and neighbours. Pairs are verified on whole shingle sets.
+    All pairs of texts under a prefix are compared on whole shingle sets. Up to `crowd` texts they
+    are rows; a crowded prefix is cut into blocks of about `block` texts and 4 MB of shingles, and
+    each two blocks are compared in a task of their own, which returns counts and joining edges
+    instead of pairs. Work on a crowd grows with the square of its different texts.
     """
     depth = prefix_depth(threshold, trees, deepest, target)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_key"))
     nodes = keyed.select("doc_id", "text_key")
-    marks = checkpoint(keyed.select("text_key", "text").mapInArrow(_signatures(size, trees, deepest, depth), "text_key string, prefix long, rest binary").distinct())
+    marks = checkpoint(keyed.select("text_key", "text").mapInArrow(_signatures(size, trees, deepest, depth), "text_key string, prefix long").distinct())
     full = marks.groupBy("prefix").agg(F.count("*").alias("texts")).filter("texts > 1")
     few = marks.join(full.filter(F.col("texts") <= crowd).select("prefix"), "prefix").select("prefix", "text_key")
-    pairs = few.withColumnRenamed("text_key", "a").join(few.withColumnRenamed("text_key", "b"), "prefix").filter("a < b").select("a", "b")
-    many = marks.join(full.filter(F.col("texts") > crowd).select("prefix"), "prefix")
-    leaders = many.groupBy("prefix", "rest").agg(F.count("*").alias("n"), F.min("text_key").alias("k")).groupBy("prefix").agg(F.max(F.struct("n", "k")).alias("most")).select("prefix", F.col("most.k").alias("leader"))
-    stars = many.join(leaders, "prefix").filter("text_key <> leader").select(F.least("text_key", "leader").alias("a"), F.greatest("text_key", "leader").alias("b"))
-    order = ["prefix", "rest", "text_key"]
-    beside = many.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(reach), "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    proposed = checkpoint(pairs.unionByName(stars).unionByName(beside).distinct())
-    needed = proposed.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    sets = keyed.select("text_key", "text").join(needed, "text_key").mapInArrow(_sets(size), "text_key string, shingles binary").dropDuplicates(["text_key"])
+    proposed = checkpoint(few.withColumnRenamed("text_key", "a").join(few.withColumnRenamed("text_key", "b"), "prefix").filter("a < b").select("a", "b").distinct())
+    many = checkpoint(marks.join(full.filter(F.col("texts") > crowd).select("prefix"), "prefix").select("prefix", "text_key"))
+    crowds = many.groupBy("text_key").agg(F.collect_set("prefix").alias("crowds"))
+    needed = proposed.select(F.explode(F.array("a", "b")).alias("text_key")).unionByName(many.select("text_key")).distinct()
+    sets = keyed.select("text_key", "text").join(needed, "text_key").mapInArrow(_sets(size), "text_key string, shingles binary").dropDuplicates(["text_key"]).join(crowds, "text_key", "left")
+
+    members = checkpoint(sets.filter("crowds is not null").withColumn("prefix", F.explode("crowds")))
+    wide = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("shingles").cast("long")) / (4 << 20))).cast("int")
+    dealt = members.join(members.groupBy("prefix").agg(wide.alias("blocks")), "prefix").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    compared = dealt.select("prefix", "i", "j", "block", "text_key", "shingles", "crowds").groupBy("prefix", "i", "j").applyInArrow(_block_links(threshold), "text_key string, head string, n long")
+    crowded = checkpoint(compared)
 
     @pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -152,10 +205,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, tree
             out.append(common >= threshold * (len(a) + len(b) - common) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    with_b = proposed.join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("theirs")), "b")
-    links = checkpoint(with_b.join(sets.select(F.col("text_key").alias("a"), "shingles"), "a").filter(similar("shingles", "theirs")).select("a", "b"))
-    label = components(links).select(F.col("node").alias("text_key"), F.col("label").alias("linked"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
+    with_b = proposed.join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("theirs"), F.col("crowds").alias("their_crowds")), "b")
+    with_both = with_b.join(sets.select(F.col("text_key").alias("a"), "shingles", "crowds"), "a").filter(~F.coalesce(F.arrays_overlap("crowds", "their_crowds"), F.lit(False)))
+    links = checkpoint(with_both.filter(similar("shingles", "theirs")).select("a", "b"))
+    edges = crowded.filter("head is not null").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    label = components(links.unionByName(edges)).select(F.col("node").alias("text_key"), F.col("label").alias("linked"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("text_key"), F.lit(1).cast("long").alias("n")).unionByName(crowded.filter("n is not null").select("text_key", "n"))
+    degree = degree.groupBy("text_key").agg(F.sum("n").alias("n_links"))
     texts = nodes.groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
     texts = texts.join(label, "text_key", "left").join(degree, "text_key", "left").select("text_key", "n_copies", "least", F.coalesce("linked", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     classes = texts.groupBy("class_key").agg(F.min("least").alias("class_id"))

@@ -218,3 +218,29 @@ def test_edges(spark, name):
 
 def test_search_of_nothing(spark):
     assert not pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
+
+
+@pytest.mark.parametrize("block", [1024, 25])
+def test_all_links_in_a_crowd(spark, block):
+    r = random.Random(8)
+    base = ["w%d" % i for i in range(250)]
+
+    def changed(words, n):
+        words = words[:]
+        for i in r.sample(range(len(words)), n):
+            words[i] = "x%d" % r.randrange(10**9)
+        return words
+
+    families = [changed(base, 3) for _ in range(90)]
+    planted = [changed(f, 2) for f in [changed(base, 3) for _ in range(15)] for _ in range(2)]
+    tight = [changed(["v" + w for w in base], 1) for _ in range(60)]
+    texts = [" ".join(w) for w in families + planted + tight]
+    found = {x.doc_id: x for x in forest.near_duplicates(frame(spark, list(enumerate(texts))), block=block).collect()}
+    pairs = brute.similar_pairs(texts, 5, 0.8)
+    degree, root = [0] * len(texts), list(range(len(texts)))
+    for a, b in pairs:
+        degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    assert [found[i].n_links for i in range(len(texts))] == degree
+    assert [found[i].class_id for i in range(len(texts))] == root
