@@ -473,6 +473,11 @@ def h1_normalize_name(v):
     return v.documents.select("doc_id", S.normalize_name(F.substring("text", 1, 400)).alias("name"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(llc|inc|corp|ltd|co|company|corporation|incorporated|limited)\b', '', 'g'), '[^a-z0-9_\t\n\x0B\f\r ]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS name FROM documents")
+def h1_normalize_whole(v):
+    return v.documents.select("doc_id", S.normalize_name(F.col("text")).alias("name"))
+
+
 @query("SELECT business_id, '+1' || phone AS e164, '(' || substr(phone, 1, 3) || ') ' || substr(phone, 4, 3) || '-' || substr(phone, 7) AS shown FROM business", "business")
 def h4_phones(v):
     e164 = S.normalize_phone(F.col("phone"))

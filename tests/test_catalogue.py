@@ -22,3 +22,8 @@ def test_matches_sql(spark, duck, name):
     assert sorted(columns) == sorted(got.columns)
     rows = sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
     assert rows == sorted(str(tuple(r)) for r in cursor.fetchall())
+
+
+def test_whole_text_is_normalised(spark, tmp_path):
+    spark.createDataFrame([(1, "Ab, " * 500 + "LLC End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.queries()["h1_normalize_whole"](spark, str(tmp_path)).first().name == "ab " * 500 + "end"
