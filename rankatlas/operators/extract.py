@@ -71,7 +71,7 @@ def extract_listings(pages: DataFrame, item: str, rules: dict[str, str], html: s
     """
     keep = [c for c in pages.columns if c != html]
     parts = F.split(F.regexp_replace(html, item, "\u0001$1\u0002"), "\u0001")
-    rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, 1000)).alias("position", "part"))
+    rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("position", "part"))
     rows = rows.withColumns({"name": F.trim(F.substring_index("part", "\u0002", 1)), "after": F.substring(F.substring_index("part", "\u0002", -1), 1, context)}).filter("name <> ''")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keep, "name").orderBy("position"))).filter("nth = 1")
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*keep).orderBy("position")))

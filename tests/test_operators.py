@@ -68,6 +68,12 @@ def test_pages(spark):
     assert [(r.rank, r.name, r.rating, r.phone) for r in listed.orderBy("rank").collect()] == [(1, "A", "4.5", None), (2, "B", None, "+15615263512")]
 
 
+def test_listings_of_a_long_page(spark):
+    pages = [("many", "<h3>A</h3>" * 1500 + "".join(f"<h3>n{i}</h3>" for i in range(1200))), ("none", "<p>x</p>"), ("empty", ""), ("null", None)]
+    listed = X.extract_listings(spark.createDataFrame(pages, "url string, html string"), r"<h3>(.*?)</h3>", {})
+    assert [(r.url, r.rank, r.name) for r in listed.orderBy("rank").collect()] == [("many", i + 1, n) for i, n in enumerate(["A", *(f"n{i}" for i in range(1200))])]
+
+
 def test_block_ladder_and_rates(spark):
     log = spark.createDataFrame([(i, i * 100, 1, "e", "blocked") for i in range(4)], "request_id long, second long, client long, engine string, outcome string")
     assert [r.minutes for r in U.block_episodes(log).orderBy("nth").collect()] == [15, 120, 1440, 1440]
