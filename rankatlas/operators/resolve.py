@@ -42,9 +42,10 @@ def match_edges(observations: DataFrame, phone_requires_name: bool = False) -> D
     edges = _earliest(df, ["place_id"], "place_id").unionByName(_near(df)).unionByName(_earliest(df, ["domain", "low_city"], "domain_city"))
     if not phone_requires_name:
         return edges.unionByName(_earliest(df, ["norm_phone"], "phone"))
-    first = df.dropna(subset=["norm_phone"]).groupBy("norm_phone").agg(F.min(F.struct("observed_at", "obs_id", "norm_name")).alias("p"))
-    close = df.join(first, "norm_phone").withColumn("parent", F.struct("p.observed_at", "p.obs_id"))
-    close = close.filter((_when() > F.col("parent")) & names_close(F.col("norm_name"), F.col("p.norm_name")))
+    names = df.dropna(subset=["norm_phone", "norm_name"]).groupBy("norm_phone", "norm_name").agg(F.min(_when()).alias("p"))
+    others = names.select("norm_phone", F.col("norm_name").alias("other"), F.col("p").alias("theirs"))
+    near = names.join(others, "norm_phone").filter(names_close(F.col("norm_name"), F.col("other"))).groupBy("norm_phone", "norm_name").agg(F.min("theirs").alias("parent"))
+    close = df.join(near, ["norm_phone", "norm_name"]).filter(_when() > F.col("parent"))
     return edges.unionByName(close.select("obs_id", "parent", F.lit("fuzzy_name_phone").alias("rule")))
 
 

@@ -514,8 +514,8 @@ def j5_block_episodes(v):
 
 
 def _observations(v):
-    """Businesses, and copies of half of them that are seen later under a longer name and a slightly moved place."""
-    b = v.business.select(F.col("business_id").alias("obs_id"), F.lit(0).cast("long").alias("observed_at"), "name", F.lit(None).cast("string").alias("place_id"), "phone", "website", "city", "lat", "lng", "rating", F.col("reviews").alias("review_count"), F.lit("maps").alias("source"))
+    """Businesses, a fifth with a place id, and copies of half of them that are seen later under a longer name and a slightly moved place."""
+    b = v.business.select(F.col("business_id").alias("obs_id"), F.lit(0).cast("long").alias("observed_at"), "name", F.when(F.col("business_id") % 5 == 0, F.concat(F.lit("place"), "business_id")).alias("place_id"), "phone", "website", "city", "lat", "lng", "rating", F.col("reviews").alias("review_count"), F.lit("maps").alias("source"))
     copies = b.filter("obs_id % 2 = 0").withColumns({"obs_id": F.col("obs_id") + 1_000_000_000, "observed_at": F.lit(1).cast("long"), "name": F.concat("name", F.lit(" LLC")), "lat": F.col("lat") + 0.0001, "phone": F.when(F.col("obs_id") % 3 > 0, F.col("phone")), "source": F.lit("bing")})
     return b.unionByName(copies)
 
@@ -524,7 +524,14 @@ def _observations(v):
 def i9_resolve_entities(v):
     from rankatlas.operators.resolve import resolve_entities
 
-    return resolve_entities(_observations(v), order=("place_id", "name_location"))
+    return resolve_entities(_observations(v))
+
+
+@query()
+def i9_resolve_strict(v):
+    from rankatlas.operators.resolve import resolve_entities
+
+    return resolve_entities(_observations(v), phone_requires_name=True)
 
 
 @query("SELECT business_id % 400 AS entity, arg_min(name, business_id) AS name, arg_max(phone, business_id) FILTER (phone IS NOT NULL) AS phone, arg_max(website, business_id) FILTER (website IS NOT NULL) AS website, arg_max(rating, business_id) FILTER (rating IS NOT NULL) AS rating, arg_max(reviews, business_id) FILTER (rating IS NOT NULL) AS reviews, max(business_id) AS last_seen FROM business GROUP BY 1", "business")
@@ -621,7 +628,7 @@ def d9_enrichment_summary(v):
 def d25_discovery_stats(v):
     from rankatlas.operators.resolve import resolve_entities
 
-    return A.discovery_stats(resolve_entities(_observations(v), order=("place_id", "name_location")))
+    return A.discovery_stats(resolve_entities(_observations(v)))
 
 
 @query("SELECT business_id, concat_ws(',', CASE WHEN reviews < 50 THEN 'few_reviews' END, CASE WHEN website IS NULL THEN 'no_https' END, CASE WHEN phone IS NULL THEN 'no_phone' END, CASE WHEN last_seen < 500 THEN 'stale' END) AS weaknesses FROM business", "business")

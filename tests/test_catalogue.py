@@ -1,7 +1,13 @@
+import math
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
+from rankatlas.operators.resolve import RULES
 from rankatlas.plans import catalogue
+from rankatlas.plans.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,3 +33,45 @@ def test_matches_sql(spark, duck, name):
 def test_whole_text_is_normalised(spark, tmp_path):
     spark.createDataFrame([(1, "Ab, " * 500 + "LLC End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.queries()["h1_normalize_whole"](spark, str(tmp_path)).first().name == "ab " * 500 + "end"
+
+
+def miles(a, b):
+    y, x = math.radians(b.lat - a.lat), math.radians(b.lng - a.lng)
+    h = math.sin(y / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(x / 2) ** 2
+    return 2 * 3958.8 * math.asin(math.sqrt(h))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("name", ["i9_resolve_entities", "i9_resolve_strict"])
+def test_resolution_uses_all_rules(spark, name):
+    seen = sorted(catalogue._observations(Views(spark, FOLDER)).collect(), key=lambda r: (r.observed_at, r.obs_id))
+    short = {r.obs_id: " ".join(re.sub(r"[^a-z0-9_ ]", "", re.sub(r"\b(llc|inc|co)\b", "", r.name.lower())).split()) for r in seen}
+    domain = {r.obs_id: r.website and re.search(r"//(?:www\.)?([^/]+)", r.website.lower())[1] for r in seen}
+    phone = lambda a, b: a.phone and a.phone == b.phone
+    rules = {
+        "place_id": lambda a, b: a.place_id and a.place_id == b.place_id,
+        "phone": phone,
+        "name_location": lambda a, b: short[a.obs_id] == short[b.obs_id] and miles(a, b) < 0.031,
+        "fuzzy_name_phone": lambda a, b: phone(a, b) and distance(short[a.obs_id], short[b.obs_id]) <= 3,
+        "domain_city": lambda a, b: domain[a.obs_id] and domain[a.obs_id] == domain[b.obs_id] and a.city.lower() == b.city.lower(),
+    }
+    del rules["phone" if name == "i9_resolve_strict" else "fuzzy_name_phone"]
+    want = {}
+    for i, b in enumerate(seen):
+        up, rule = next(((a.obs_id, rule) for rule, same in rules.items() for a in seen[:i] if same(a, b)), (b.obs_id, "new"))
+        want[b.obs_id] = want[up][0] if up != b.obs_id else up, rule, RULES.get(rule, 0)
+    got = {r.obs_id: (r.business_id, r.match_type, r.confidence) for r in catalogue.queries()[name](spark, FOLDER).collect()}
+    assert got == want
+    kinds = Counter(rule for _, rule, _ in want.values())
+    assert {"new", "place_id", "domain_city"} < set(kinds) and len(kinds) >= 4
+    if name == "i9_resolve_entities":
+        assert {r.match_type: r.observations for r in catalogue.queries()["d25_discovery_stats"](spark, FOLDER).collect()} == kinds

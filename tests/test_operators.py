@@ -49,6 +49,13 @@ def test_resolution_follows_chains_and_repeats(spark):
     assert all(again[i + 100] == again[i] for i in (1, 2, 3, 4, 5))
 
 
+def test_fuzzy_names_of_a_shared_phone(spark):
+    names = ["Alpha Bakery", "Zed Motors", "Zed Motor", "Zed Motors", "Alfa Bakery"]
+    df = spark.createDataFrame([(i, i, n, None, "5615263512", None, None, None, None) for i, n in enumerate(names)], OBS)
+    got = {r.obs_id: (r.business_id, r.match_type) for r in resolve_entities(df, phone_requires_name=True).collect()}
+    assert got == {0: (0, "new"), 1: (1, "new"), 2: (1, "fuzzy_name_phone"), 3: (1, "fuzzy_name_phone"), 4: (0, "fuzzy_name_phone")}
+
+
 def test_survivorship(spark):
     df = spark.createDataFrame([(1, 1, 1, "A", None, 4.0, 10), (1, 2, 2, "B", "w", 5.0, None), (1, 3, 3, "C", None, None, 7)], "business_id int, obs_id int, observed_at int, name string, website string, rating double, n int")
     row = survive(df, ["name"], ["website"], {"review": ["rating", "n"]}).first()
