@@ -85,6 +85,11 @@ def keyword_area_matrix(facts: DataFrame, areas: list[int]) -> DataFrame:
     return wide.select("business_id", "keyword", *(F.col(f"`{a}`").alias(f"a{a}") for a in areas))
 
 
+def keyword_area_ranks(facts: DataFrame) -> DataFrame:
+    """The matrix of all areas as rows: best rank of a business, keyword and area."""
+    return facts.groupBy("business_id", "keyword", "area_id").agg(F.min("rank").alias("rank"))
+
+
 def geo_dominance(facts: DataFrame, points: DataFrame, businesses: DataFrame) -> DataFrame:
     """Each area: our best share of voice against the best competitor's, and whose area it is."""
     shares = solv(facts, points, ["area_id"]).join(businesses.select("business_id", "is_mine", "is_competitor"), "business_id")

@@ -243,6 +243,11 @@ def c17_keyword_gap(v):
     return A.keyword_gap(v.fact.filter("rank = 1"), v.ranked)
 
 
+@query("SELECT DISTINCT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_competitor) EXCEPT SELECT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_mine)", "fact ranked")
+def c17_keyword_gap_all(v):
+    return A.keyword_gap(v.fact, v.ranked)
+
+
 @query("SELECT coalesce(x.business_id, y.business_id) AS business_id, coalesce(x.grid_row, y.grid_row) AS grid_row, coalesce(x.grid_col, y.grid_col) AS grid_col, before, after, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'lost' WHEN after < before THEN 'improved' WHEN after > before THEN 'declined' ELSE 'unchanged' END AS change FROM (SELECT business_id, grid_row, grid_col, min(rank) AS before FROM fact WHERE scan_month % 2 = 0 GROUP BY ALL) x FULL JOIN (SELECT business_id, grid_row, grid_col, min(rank) AS after FROM fact WHERE scan_month % 2 = 1 GROUP BY ALL) y ON x.business_id = y.business_id AND x.grid_row = y.grid_row AND x.grid_col = y.grid_col", "fact")
 def c18_compare_scans(v):
     return A.compare_scans(v.fact.filter("scan_month % 2 = 0"), v.fact.filter("scan_month % 2 = 1"))
@@ -334,6 +339,11 @@ def d19_keyword_area_matrix(v):
     return A.keyword_area_matrix(v.fact, [0, 1, 2, 3])
 
 
+@query("SELECT business_id, keyword, area_id, min(rank) AS rank FROM fact GROUP BY ALL", "fact")
+def d19_keyword_area_ranks(v):
+    return A.keyword_area_ranks(v.fact)
+
+
 @query("SELECT area_id, mine, theirs, CASE WHEN coalesce(mine, 0) < 1 AND coalesce(theirs, 0) < 1 THEN 'neither' WHEN abs(coalesce(mine, 0) - coalesce(theirs, 0)) <= 0.5 THEN 'contested' WHEN coalesce(mine, 0) > coalesce(theirs, 0) THEN 'mine' ELSE 'competitor' END AS holder FROM (SELECT s.area_id, max(solv) FILTER (is_mine) AS mine, max(solv) FILTER (is_competitor) AS theirs FROM (SELECT t.area_id, business_id, round(100.0 * n / points, 4) AS solv FROM (SELECT area_id, business_id, count(*) AS n FROM fact WHERE rank <= 3 AND point_id IN (SELECT point_id FROM point WHERE status = 'completed') GROUP BY ALL) t JOIN (SELECT area_id, count(*) AS points FROM point WHERE status = 'completed' GROUP BY area_id) p ON t.area_id = p.area_id) s JOIN ranked b ON s.business_id = b.business_id GROUP BY s.area_id)", "fact point ranked")
 def d20_geo_dominance(v):
     return A.geo_dominance(v.fact, v.point, v.ranked)

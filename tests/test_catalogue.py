@@ -75,3 +75,12 @@ def test_resolution_uses_all_rules(spark, name):
     assert {"new", "place_id", "domain_city"} < set(kinds) and len(kinds) >= 4
     if name == "i9_resolve_entities":
         assert {r.match_type: r.observations for r in catalogue.queries()["d25_discovery_stats"](spark, FOLDER).collect()} == kinds
+
+
+def test_gaps_and_areas_are_whole(spark):
+    found = catalogue.queries()
+    fact, ranked = Views(spark, FOLDER).fact.collect(), Views(spark, FOLDER).ranked.collect()
+    ours, theirs = ({r.business_id for r in ranked if r[c]} for c in ("is_mine", "is_competitor"))
+    gaps = {(r.area_id, r.keyword) for r in fact if r.business_id in theirs} - {(r.area_id, r.keyword) for r in fact if r.business_id in ours}
+    assert {tuple(r) for r in found["c17_keyword_gap_all"](spark, FOLDER).select("area_id", "keyword").collect()} == gaps
+    assert {r.area_id for r in found["d19_keyword_area_ranks"](spark, FOLDER).collect()} == {r.area_id for r in fact} > {0, 1, 2, 3}
