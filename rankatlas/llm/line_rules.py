@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from .arrays import pieces
+from .frames import rest_of, restored, schema_of
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\v\f\r"
@@ -69,36 +71,38 @@ def measure(text: str, max_lost: float) -> tuple:
 _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_bad_lines long, lost_words long, cleaned string"
 
 
-def judged(text: Column, max_lost: float = 0.5) -> Column:
-    """A struct of counts, verdicts and the cleaned text for a text column. Null counts as empty."""
+def _judge(max_lost: float):
+    """Small pieces of a batch at a time, so that a worker holds few texts as Python strings."""
     names = [x.split()[0] for x in _FIELDS.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in _FIELDS.split(", ")]
 
-    @pandas_udf(_FIELDS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(x or "", max_lost) for x in texts], columns=names)
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 18):
+                rows = [measure(x, max_lost) for x in part.column("text").to_pylist()]
+                carried = [c for c in part.schema.names if c == "carried"]
+                found = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found, *map(part.column, carried)], ["doc_id", *names, *carried])
 
-    return run(F.coalesce(text.cast("string"), F.lit("")))
+    return run
 
 
-def judge_documents(docs: DataFrame, max_lost: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a row of docs: doc_id, base counts, base_failed, kept, and the cleaned text.
+def judge_documents(docs: DataFrame, max_lost: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """A row a row of docs: doc_id, base counts, base_failed, kept, and the cleaned text; with `carry` a struct of the other columns.
 
-    Null and empty texts have no words and fail; repeated rows and texts are judged each; other
-    columns are ignored. Every text is judged whole, in its own row: no shuffle and no state.
+    Null and empty texts have no words and fail; repeated rows and texts are judged each; null ids
+    stay; other columns are ignored; an empty table gives no rows. Every text is judged whole, in
+    its own row, however long: no shuffle and no state.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), judged(F.col(text_col), max_lost).alias("found")).select("doc_id", "found.*")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *(rest_of(docs, text_col) if carry else []))
+    return plain.mapInArrow(_judge(max_lost), schema_of("doc_id long, " + _FIELDS, plain))
 
 
-def clean_documents(docs: DataFrame, max_lost: float = 0.5, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def clean_documents(docs: DataFrame, max_lost: float = 0.5, text_col: str = "text", **more) -> DataFrame:
     """The rows that pass, with all their columns; failed lines are gone from the text, and n_chars follows."""
-    found = "__found"
-    while found in docs.columns:
-        found += "_"
-    out = docs.withColumn(found, judged(F.col(text_col), max_lost)).filter(F.col(found)["kept"])
-    out = out.withColumn(text_col, F.col(found)["cleaned"])
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(judge_documents(docs, max_lost, text_col=text_col, carry=True, **more).filter("kept"), docs, "cleaned", text_col)
 
 
 def digests(found: DataFrame) -> DataFrame:
