@@ -98,6 +98,15 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, at)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Hashes of the words, some at a time, so that arrays of a value a byte stay small."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), step):
+        a, b = start[i : i + step], end[i : i + step]
+        out[i : i + step] = Rolling(BYTE_VALUES[data[a[0] : b[-1]]]).ranges(a - a[0], b - a[0])
+    return out
+
+
 def runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal neighbours."""
     if not len(group):

@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, Rolling, covered, pieces, runs, sliding_min, spans, text_bytes, words
-from .frames import batched, restored, schema_of
+from .arrays import Rolling, covered, pieces, runs, sliding_min, spans, text_bytes, word_hashes, words
+from .frames import IDENTITY, batched, restored, schema_of
 
+_BUCKET = 16 << 20
 #: A window is sent as 30 bits of its hash beside two flags: starts several times in its batch, is a block of the index.
 _FINGER, _SEVERAL, _INDEXED = (1 << 30) - 1, np.uint32(1 << 30), np.uint32(1 << 31)
 
@@ -30,7 +31,7 @@ class Words:
     def __init__(self, column: pa.Array):
         self.data, self.at = text_bytes(column)
         self.start, self.end, self.first = words(self.data, self.at)
-        self.rolling = Rolling(Rolling(BYTE_VALUES[self.data]).ranges(self.start, self.end))
+        self.rolling = Rolling(word_hashes(self.data, self.start, self.end))
         self.text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +84,22 @@ def _hits(rows: pa.Table) -> pa.Table:
     return pa.table({"bucket": rows.column("bucket"), "batch": rows.column("batch"), "several": pack(several), "hits": pack(hit)})
 
 
-def _found(key, w: Words, text, first, count, **more) -> pa.Table:
-    return pa.table({"row_key": key.take(pa.array(text)), "begin": pa.array((first - w.first[text]).astype(np.int64)), "count": pa.array(count.astype(np.int64)), **{k: pa.array(v.view(np.int64)) for k, v in more.items()}})
+#: What tells a document from others, with the batch that it lies in.
+_OWN = ["batch", "no_id", *IDENTITY]
+_OWN_FIELDS = "batch long, no_id boolean, id_key long, row_key long"
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _found(rows: pa.Table, w: Words, text, first, count, **more) -> pa.Table:
+    """Ranges of windows beside what tells their documents from others."""
+    of = pa.array(text)
+    own = {c: rows.column(c).combine_chunks().take(of) for c in _OWN}
+    return pa.table(own | {"begin": pa.array((first - w.first[text]).astype(np.int64)), "count": pa.array(count.astype(np.int64))} | {k: pa.array(v.view(np.int64)) for k, v in more.items()})
+
+
+def _places(rows: pa.Table) -> dict[tuple[int, int], int]:
+    """A row for each document of a table; repeats of a document are alike."""
+    return dict(zip(zip(*(rows.column(c).to_pylist() for c in IDENTITY), strict=True), range(rows.num_rows), strict=True))
 
 
 def _extend(rows: pa.Table, answers: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
@@ -101,72 +116,76 @@ def _extend(rows: pa.Table, answers: pa.Table, window: int, block: int, buckets:
         flags[x.at[x.order]] = np.repeat(entry, x.b - x.a)
     need, summed = window - block + 1, np.concatenate([np.zeros(1, np.int64), np.cumsum(several)])
     all_several = summed[need:] - summed[:-need] == need
-    bits = np.uint64((1 << max(24, len(grams).bit_length())) - 1)
-    none = ~np.uint64(0) & ~bits
-    least = sliding_min(np.where(hit, np.minimum(grams & ~bits, none - bits - np.uint64(1)), none) | np.arange(len(grams), dtype=np.uint64), window - block + 1)
+    # of equal upper halves the leftmost: the same in every copy of the window
+    none = ~_LOW
+    least = sliding_min(np.where(hit, np.minimum(grams & ~_LOW, none - _LOW - np.uint64(1)), none) | np.arange(len(grams), dtype=np.uint64), window - block + 1)
     text = w.text[: len(least)]
-    fine = np.nonzero((np.arange(len(least)) + window <= w.first[1:][text]) & ((least & ~bits) != none) & all_several)[0] if len(least) else np.zeros(0, np.int64)
+    fine = np.nonzero((np.arange(len(least)) + window <= w.first[1:][text]) & ((least & ~_LOW) != none) & all_several)[0] if len(least) else np.zeros(0, np.int64)
     gaps = np.cumsum(np.diff(fine, prepend=-1) > 1)
-    a, b = runs(gaps * (len(grams) + 1) + (least[fine] & bits).astype(np.int64))
+    own = (least[fine] & _LOW).astype(np.int64)
+    a, b = runs(gaps * (len(grams) + 1) + own)
     first, count = fine[a], b - a
-    own = (least[first] & bits).astype(np.int64)
-    return _found(rows.column("row_key").combine_chunks(), w, text[first], first, count, anchor=grams[own], content=w.rolling.ranges(first, first + count + window - 1)).append_column("doc_id", rows.column("doc_id").combine_chunks().take(pa.array(text[first]))).append_column("batch", pa.array(np.full(len(first), rows.column("batch")[0].as_py() if rows.num_rows else 0)))
+    return _found(rows, w, text[first], first, count, anchor=grams[own[a]], content=w.rolling.ranges(first, first + count + window - 1))
 
 
 def _single(rows: pa.Table, wanted: pa.Table, window: int) -> pa.Table:
     """The windows of the wanted segments, one by one."""
-    keys, order = np.asarray(rows.column("row_key")), np.argsort(np.asarray(rows.column("row_key")), kind="stable")
     if not wanted.num_rows or not rows.num_rows:
         rows, wanted = rows.slice(0, 0), wanted.slice(0, 0)
-        keys, order = keys[:0], order[:0]
-    w = Words(rows.column("text"))
-    text = order[np.searchsorted(keys[order], np.asarray(wanted.column("row_key")))] if len(order) else order
+    w, place = Words(rows.column("text")), _places(rows)
+    text = np.array([place[k] for k in zip(*(wanted.column(c).to_pylist() for c in IDENTITY), strict=True)], np.int64)
     count = np.asarray(wanted.column("count"))
     text, first = np.repeat(text, count), np.repeat(w.first[text] + np.asarray(wanted.column("begin")), count) + spans(count)
-    out = _found(rows.column("row_key").combine_chunks(), w, text, first, np.ones(len(first), np.int64), content=w.rolling.ranges(first, first + window))
-    return out.append_column("doc_id", rows.column("doc_id").combine_chunks().take(pa.array(text))).append_column("batch", pa.array(np.full(len(first), rows.column("batch")[0].as_py() if rows.num_rows else 0)))
+    return _found(rows, w, text, first, np.ones(len(first), np.int64), content=w.rolling.ranges(first, first + window))
+
 
+def _joined(w: Words, gone: np.ndarray) -> list[bytes]:
+    """Each text's kept words, joined by one space."""
+    length = (w.end - w.start)[~gone] + 1
+    source = np.repeat(w.start[~gone], length) + spans(length)
+    joined = np.append(w.data, np.uint8(32))[np.minimum(source, len(w.data))]
+    joined[np.cumsum(length) - 1] = 32
+    ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(~gone)])[w.first]]
+    raw = joined.tobytes()
+    return [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-def _cut(rows: pa.Table, found: pa.Table, window: int) -> pa.Table:
-    done = []
-    spot = {k: i for i, k in enumerate(found.column("row_key").to_pylist())}
+
+def _cleaned(w: Words, gone: np.ndarray) -> list[bytes]:
+    """The texts as they were, without the removed words and the blanks after each."""
+    after = np.minimum(np.append(w.start[1:], len(w.data)), w.at[1:][w.text])
+    left = ~covered(len(w.data), w.start[gone], after[gone])
+    cuts = np.concatenate([[0], np.cumsum(left)])[w.at]
+    raw = w.data[left].tobytes()
+    return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _cut(rows: pa.Table, found: pa.Table, window: int, carry: bool) -> pa.Table:
+    done, lists = [], found.column("found").combine_chunks()
+    spot = _places(found)
     for batch in rows.to_batches():
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 19):
             w = Words(part.column("text"))
-            where = [spot.get(k) for k in part.column("row_key").to_pylist()]
+            where = [spot.get(k) for k in zip(*(part.column(c).to_pylist() for c in IDENTITY), strict=True)]
             row = [i for i, x in enumerate(where) if x is not None]
-            lists = found.column("found").combine_chunks().take(pa.array([where[i] for i in row], pa.int64()))
-            inner = lists.flatten()
-            text = np.repeat(np.array(row, np.int64), np.asarray(pc.list_value_length(lists)))
+            mine = lists.take(pa.array([where[i] for i in row], pa.int64()))
+            inner = mine.flatten()
+            text = np.repeat(np.array(row, np.int64), np.asarray(pc.list_value_length(mine)))
             begin = w.first[text] + np.asarray(inner.field("begin"))
             gone = covered(len(w.start), begin, begin + np.asarray(inner.field("count")) + window - 1)
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
-            # the kept words and one space after each lie end to end; the last space of a text is dropped
-            length = (w.end - w.start)[~gone] + 1
-            source = np.repeat(w.start[~gone], length) + spans(length)
-            joined = np.append(w.data, np.uint8(32))[np.minimum(source, len(w.data))]
-            joined[np.cumsum(length) - 1] = 32
-            ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(~gone)])[w.first]]
-            raw = joined.tobytes()
-            kept = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            found_ = {"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
-            if "carried" in part.schema.names:
-                # the text as it was, without the removed words and the blanks after each
-                after = np.append(w.start[1:], len(w.data))
-                after = np.minimum(after, w.at[1:][w.text])
-                left = ~covered(len(w.data), w.start[gone], after[gone])
-                cuts = np.concatenate([[0], np.cumsum(left)])[w.at]
-                raw = w.data[left].tobytes()
-                found_ |= {"cleaned": pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string()), "carried": part.column("carried")}
-            done.append(pa.table(found_))
+            out = {"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(removed.astype(np.int64))}
+            texts = _cleaned(w, gone) if carry else _joined(w, gone)
+            out["kept"] = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
+            if carry:
+                out["carried"] = part.column("carried")
+            else:
+                out["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+            done.append(pa.table(out))
     return pa.concat_tables(done)
 
 
-
-
-
 def _place() -> object:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "begin")
+    return F.struct("no_id", *IDENTITY, "begin")
 
 
 def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -176,39 +195,44 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     is a smaller id, or an earlier start in the same text. Rows without id come after all others;
     different texts under one id, or without one, stand in the order of a hash of both; rows that
     agree in id and text are one document and get the same result each. Texts with fewer words
-    than a window, null or empty ones keep what they have; other columns are ignored.
+    than a window, null or empty ones keep what they have; a text of any length is in one batch;
+    other columns are ignored; an empty table gives no rows.
 
-    Returns doc_id, row_key, n_words, n_removed, kept (the kept words joined by one space) and
-    kept_sha256; with `carry` also the text with its own blanks and a struct of the other columns. The texts are shuffled once and read for the probe, the extension and the cut. A
+    Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and kept_sha256;
+    with `carry` kept has the text's own blanks, and a struct of the other columns follows instead
+    of the digest. The texts are shuffled once and read for the probe, the extension and the cut. A
     batch sends a window once, in four bytes, however often it holds it, and gets two bits back;
     hashes cut so short can only propose too much, as all that is removed is matched by full ones.
-    The choice of the earliest is a minimum taken before a shuffle, so a passage that is everywhere
-    costs each batch one entry.
+    Buckets are as many as keep the windows of one to those of `_BUCKET` bytes of text, so batches
+    and buckets stay of one size as the table grows, and no more rows are sent than there are
+    windows. The choice of the earliest is a minimum taken before a shuffle, so a passage that is
+    everywhere costs each batch one entry.
     """
-    spark = docs.sparkSession
-    block, buckets = window // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = batched(docs, id_col, text_col, size=4 << 20, least=4, carry=carry)
+    block = window // 2
+    texts, total = batched(docs, id_col, text_col, size=2 << 20, least=4, carry=carry)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET + 1)
     grouped = texts.groupBy("batch")
     probes = grouped.applyInArrow(lambda rows: _probe(rows, block, buckets), "bucket long, batch long, windows binary")
     hits = probes.groupBy("bucket").applyInArrow(_hits, "bucket long, batch long, several binary, hits binary")
-    found = grouped.cogroup(hits.groupBy("batch")).applyInArrow(lambda rows, hits: _extend(rows, hits, window, block, buckets), "row_key long, begin long, count long, anchor long, content long, doc_id long, batch long")
+    ranges_of = _OWN_FIELDS + ", begin long, count long"
+    found = grouped.cogroup(hits.groupBy("batch")).applyInArrow(lambda rows, hits: _extend(rows, hits, window, block, buckets), ranges_of + ", anchor long, content long")
     kinds = found.groupBy("anchor", "content").agg(F.min(_place()).alias("earliest"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
     placed = found.join(kinds, ["anchor", "content"]).withColumn("later", _place() > F.col("earliest"))
-    wanted = placed.filter("not later").join(mixed, "anchor").select("batch", "row_key", "begin", "count").distinct()
-    single = grouped.cogroup(wanted.groupBy("batch")).applyInArrow(lambda rows, wanted: _single(rows, wanted, window), "row_key long, begin long, count long, content long, doc_id long, batch long")
+    wanted = placed.filter("not later").join(mixed, "anchor").select("batch", *IDENTITY, "begin", "count").distinct()
+    single = grouped.cogroup(wanted.groupBy("batch")).applyInArrow(lambda rows, wanted: _single(rows, wanted, window), ranges_of + ", content long")
     leads = single.groupBy("content").agg(F.min(_place()).alias("earliest"))
     later = single.join(leads, "content").filter(_place() > F.col("earliest"))
-    ranges = placed.filter("later").select("batch", "row_key", "begin", "count").unionByName(later.select("batch", "row_key", "begin", "count"))
-    lists = ranges.groupBy("batch", "row_key").agg(F.collect_list(F.struct("begin", "count")).alias("found"))
-    fields = "doc_id long, row_key long, n_words long, n_removed long, kept string, kept_sha256 string" + ", cleaned string" * carry
-    return grouped.cogroup(lists.groupBy("batch")).applyInArrow(lambda rows, found: _cut(rows, found, window), schema_of(fields, texts))
+    ranges = placed.filter("later").select("batch", *IDENTITY, "begin", "count").unionByName(later.select("batch", *IDENTITY, "begin", "count"))
+    lists = ranges.groupBy("batch", *IDENTITY).agg(F.collect_list(F.struct("begin", "count")).alias("found"))
+    fields = "doc_id long, n_words long, n_removed long, kept string" + ", kept_sha256 string" * (not carry)
+    return grouped.cogroup(lists.groupBy("batch")).applyInArrow(lambda rows, found: _cut(rows, found, window, carry), schema_of(fields, texts))
 
 
 def dedup_passages(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """The rows of docs with repeated passages gone from the text; rows that lose every word go."""
     cut = remove_passages(docs, text_col=text_col, carry=True, **more)
-    return restored(cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs, "cleaned", text_col)
+    return restored(cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs, "kept", text_col)
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
 
     gram_values = grouped.mapInArrow(_groups(values, 1 << 17), "key long, value double")
 
-    texts = batched(docs, id_col, text_col, size=24 << 20, least=0.25).withColumn("train", trains)
+    texts = batched(docs, id_col, text_col, size=24 << 20, least=0.25)[0].withColumn("train", trains)
     by_batch = texts.groupBy("batch")
 
     def keys(rows: pa.Table, of) -> pa.Table:

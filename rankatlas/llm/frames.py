@@ -38,20 +38,37 @@ def restored(cut: DataFrame, docs: DataFrame, text: str, text_col: str = "text",
     return cut.select(*out)
 
 
+def _row(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """doc_id, text (null: empty), and what tells a document from others: no_id, id_key and row_key.
+
+    row_key is a hash of id and text. id_key is the id, or another hash of the text where there is
+    none, so the two differ between different documents unless 64 bits collide under one id, or
+    128 bits without.
+    """
+    text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    return [own.alias("doc_id"), text.alias("text"), own.isNull().alias("no_id"), F.coalesce(own, F.xxhash64(F.lit("none"), text)).alias("id_key"), F.xxhash64(own, text).alias("row_key")]
+
+
+#: The columns that tell a document from others; IDENTITY for joins, with no_id for an order.
+IDENTITY = ["id_key", "row_key"]
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", deal: bool = True, carry: bool = False) -> DataFrame:
-    """doc_id, text (null: empty) and row_key, a hash of both, dealt by row_key unless `deal` is false.
+    """Rows of docs with the columns that tell documents apart, dealt by them unless `deal` is false.
 
-    Rows that agree in id and text share a key and so any result. Every use of this frame reads
-    all three columns, so Spark shuffles the texts once and reuses that exchange.
+    Rows that agree in id and text share them and so any result. Every use of this frame reads
+    all of its columns, so Spark shuffles the texts once and reuses that exchange.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), *(rest_of(docs, text_col) if carry else []))
-    return out.repartition("row_key") if deal else out
+    out = docs.select(*_row(docs, id_col, text_col), *(rest_of(docs, text_col) if carry else []))
+    return out.repartition(*IDENTITY) if deal else out
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data; a temporary one only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="spark-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -70,15 +87,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: float = 4, carry: bool = False) -> DataFrame:
-    """keyed() rows with `batch`, a number that deals them evenly into groups of about `size` bytes of text or fewer.
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8 << 20, least: float = 4, carry: bool = False) -> tuple[DataFrame, int]:
+    """keyed() rows with `batch`, a number that deals them evenly into groups of about `size` bytes of text or fewer; and all bytes.
 
     Groups by batch fit in one Python call; there are at least `least` for each shuffle partition.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.xxhash64(F.col(id_col).cast("long"), text)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key"), *(rest_of(docs, text_col) if carry else []))
-    return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(int(least * parts), total // size + 1))))
+    plain = docs.select(*_row(docs, id_col, text_col), *(rest_of(docs, text_col) if carry else []))
+    return plain.withColumn("batch", F.pmod(F.col("row_key"), F.lit(max(int(least * parts), total // size + 1)))), total

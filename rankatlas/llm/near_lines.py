@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .arrays import BYTE_VALUES, Rolling, pieces, powers, spans, text_bytes, words
-from .frames import checkpoint, keyed, restored, schema_of
+from .arrays import Rolling, pieces, powers, spans, text_bytes, word_hashes, words
+from .frames import IDENTITY, checkpoint, keyed, restored, schema_of
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +33,9 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _EDGES = ["head", "tail", "short_head", "short_tail"]
+#: What tells a document from others, in the order of documents.
+_OWN = ["no_id", *IDENTITY]
+_OWN_FIELDS = "no_id boolean, id_key long, row_key long"
 
 
 class Lines:
@@ -45,7 +48,7 @@ class Lines:
         count = cut + 1 if len(self.at) > 1 else cut
         self.text, self.index = np.repeat(np.arange(len(count)), count), spans(count)
         word_start, word_end, _ = words(self.data, self.at)
-        self.rolling = Rolling(Rolling(BYTE_VALUES[self.data]).ranges(word_start, word_end))
+        self.rolling = Rolling(word_hashes(self.data, word_start, word_end))
         self.first, self.last = np.searchsorted(word_start, self.start), np.searchsorted(word_start, self.end)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,8 +66,8 @@ def _line_rows(batches):
             edges = []
             for half in ((b - a) // 2, (b - a - 1) // 2):
                 edges += [x.hashes(a, a + half), x.hashes(b - half, b) ^ np.int64(0x5BD1E995)]
-            columns = [part.column("row_key").take(of), part.column("doc_id").take(of), pa.array(x.index[has].astype(np.int32)), pa.array(x.hashes(a, b)), pa.array((b - a).astype(np.int32)), *map(pa.array, edges)]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "line", "hash", "n_words", *_EDGES])
+            columns = [*(part.column(c).take(of) for c in _OWN), pa.array(x.index[has].astype(np.int32)), pa.array(x.hashes(a, b)), pa.array((b - a).astype(np.int32)), *map(pa.array, edges)]
+            yield pa.RecordBatch.from_arrays(columns, [*_OWN, "line", "hash", "n_words", *_EDGES])
 
 
 def _line_text(batches):
@@ -78,8 +81,8 @@ def _line_text(batches):
             raw = x.data.tobytes()
             text = [b" ".join(raw[a:b].split()) for a, b in zip(x.start[at].tolist(), x.end[at].tolist(), strict=True)]
             of = pa.array(row)
-            columns = [part.column("row_key").take(of), part.column("doc_id").take(of), *(inner.field(c) for c in ("line", "hash", "head", "tail")), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "line", "hash", "head", "tail", "words"])
+            columns = [*(part.column(c).take(of) for c in _OWN), *(inner.field(c) for c in ("line", "hash", "head", "tail")), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*_OWN, "line", "hash", "head", "tail", "words"])
 
 
 def _variants(batches):
@@ -88,7 +91,7 @@ def _variants(batches):
         for part in pieces(batch, "words", 1 << 18):
             data, at = text_bytes(part.column("words"))
             start, end, first = words(data, at)
-            word = Rolling(BYTE_VALUES[data]).ranges(start, end)
+            word = word_hashes(data, start, end)
             n = np.diff(first)
             row, skip = np.repeat(np.arange(len(n)), n + 1), spans(n + 1) - 1
             # the words' hashes weighted by position: what follows the skipped word moves up by one
@@ -101,7 +104,7 @@ def _variants(batches):
             half = (n[row] - 1) // 2
             may = whole | (np.asarray(part.column("head"))[row] & (skip >= half)) | (np.asarray(part.column("tail"))[row] & (skip < n[row] - half))
             of, value, skip = pa.array(row[may]), value[may], skip[may]
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in ("row_key", "doc_id", "line", "hash")), pa.array(value.view(np.int64)), pa.array(skip.astype(np.int32))], ["row_key", "doc_id", "line", "hash", "variant", "skip"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in (*_OWN, "line", "hash")), pa.array(value.view(np.int64)), pa.array(skip.astype(np.int32))], [*_OWN, "line", "hash", "variant", "skip"])
 
 
 def _weights(first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -142,15 +145,15 @@ def _cut(batches):
                 kept[t].append(raw[a:b])
             done = [b"\n".join(k) for k in kept]
             per = lambda v: pa.array(np.bincount(x.text, weights=v, minlength=part.num_rows).astype(np.int64))
-            cols = [part.column("doc_id"), part.column("row_key"), per(np.ones(len(x.text))), per(gone), per(near), pa.array([d.decode("utf-8", "replace") for d in done], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in done], pa.string())]
-            names = ["doc_id", "row_key", "n_lines", "n_removed", "n_near", "kept", "kept_sha256"]
+            cols = [part.column("doc_id"), per(np.ones(len(x.text))), per(gone), per(near), pa.array([d.decode("utf-8", "replace") for d in done], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in done], pa.string())]
+            names = ["doc_id", "n_lines", "n_removed", "n_near", "kept", "kept_sha256"]
             if "carried" in part.schema.names:
                 cols, names = [*cols, part.column("carried")], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def _place(*more: str):
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "line", *more)
+    return F.struct(*_OWN, "line", *more)
 
 
 def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -158,12 +161,14 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
 
     Lines are split at newlines and compared as words `[^\\x20\\x09-\\x0D]+`; those without a word
     stay. Equal lines: all words. Near lines: one word inserted, deleted or changed, among lines of
-    `near_words` words or more (2 at least). A line goes if an earlier line is within that bound,
-    whether or not that one goes too. Earlier is a smaller id, then an earlier line; rows without
-    id come last; different texts under one id stand in the order of a hash of both. Rows that
-    agree in id and text are one document and keep the same lines each. Null texts are empty.
-    Returns a row a row of docs: doc_id, row_key, n_lines, n_removed, n_near, kept, kept_sha256;
-    with `carry` also a struct of the other columns.
+    `near_words` words or more (2 at least): in shorter ones a word is too large a part of the line
+    for the two to say the same. A line goes if an earlier line is within that bound, whether or
+    not that one goes too. Earlier is a smaller id, then an earlier line; rows without id come
+    last; different texts under one id stand in the order of a hash of both. Rows that agree in id
+    and text are one document and keep the same lines each. Null texts are empty; a text or a line
+    of any length is one row; other columns are ignored; an empty table gives no rows. Returns a
+    row a row of docs: doc_id, n_lines, n_removed, n_near, kept, kept_sha256; with `carry` also a
+    struct of the other columns.
 
     Equal lines are found by minima of hashes, summed before the shuffle. A single edit leaves the
     first or the last half of the shorter line as it is, so only lines that share a half with a
@@ -174,19 +179,19 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     """
     if near_words < 2:
         raise ValueError("near_words must be 2 or more")
-    rows = keyed(docs, id_col, text_col, deal=False).mapInArrow(_line_rows, "row_key long, doc_id long, line int, hash long, n_words int, " + ", ".join(f"{e} long" for e in _EDGES))
+    rows = keyed(docs, id_col, text_col, deal=False).mapInArrow(_line_rows, f"{_OWN_FIELDS}, line int, hash long, n_words int, " + ", ".join(f"{e} long" for e in _EDGES))
     kinds = rows.groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"))
-    places = rows.groupBy("hash").agg(F.min(_place()).alias("first"))
-    equal = rows.select("hash", "doc_id", "row_key", "line").join(places, "hash").filter(_place() > F.col("first")).select("row_key", "line", F.lit(False).alias("near"))
+    earliest = F.struct(*(F.col(f"first.{c}").alias(c) for c in (*_OWN, "line")))
+    equal = rows.select("hash", *_OWN, "line").join(kinds.select("hash", earliest.alias("first")), "hash").filter(_place() > F.col("first")).select(*IDENTITY, "line", F.lit(False).alias("near"))
     even = F.col("first.n_words") % 2 == 0
     edges = F.array("first.head", "first.tail", F.when(even, F.col("first.short_head")), F.when(even, F.col("first.short_tail")))
-    long_ = kinds.filter(F.col("first.n_words") >= near_words).select("hash", "first.row_key", "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
+    long_ = kinds.filter(F.col("first.n_words") >= near_words).select("hash", *(f"first.{c}" for c in IDENTITY), "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
     shared = long_.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
-    matched = long_.join(shared, "edge").groupBy("row_key", "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
-    wanted = checkpoint(matched.groupBy("row_key").agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted")))
+    matched = long_.join(shared, "edge").groupBy(*IDENTITY, "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
+    wanted = checkpoint(matched.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted")))
     texts = keyed(docs, id_col, text_col, carry=carry)
-    chosen = texts.join(wanted, "row_key").mapInArrow(_line_text, "row_key long, doc_id long, line int, hash long, head boolean, tail boolean, words string")
-    emitted = chosen.mapInArrow(_variants, "row_key long, doc_id long, line int, hash long, variant long, skip int")
+    chosen = texts.join(wanted, IDENTITY).mapInArrow(_line_text, f"{_OWN_FIELDS}, line int, hash long, head boolean, tail boolean, words string")
+    emitted = chosen.mapInArrow(_variants, f"{_OWN_FIELDS}, line int, hash long, variant long, skip int")
     again = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
     variants = emitted.join(again, "variant")
     leads = variants.groupBy("variant", "skip").agg(F.min(_place("hash")).alias("lead"), F.count("*").alias("n"))
@@ -196,8 +201,8 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     both = whole.join(less, "variant").select("variant", "whole", "less")
     same = variants.join(leads.filter("skip >= 0 and n > 1").select("variant", "skip", "lead"), ["variant", "skip"])
     across = variants.join(both, "variant").withColumn("lead", F.when(F.col("skip") < 0, F.col("less")).otherwise(F.col("whole")))
-    columns = ["row_key", "doc_id", "line", "hash", "lead"]
-    pairs = same.select(columns).unionByName(across.select(columns)).filter(_place("hash") > F.col("lead")).groupBy("hash", "row_key", "line").agg(F.min("lead").alias("lead"))
+    columns = [*_OWN, "line", "hash", "lead"]
+    pairs = same.select(columns).unionByName(across.select(columns)).filter(_place("hash") > F.col("lead")).groupBy("hash", *IDENTITY, "line").agg(F.min("lead").alias("lead"))
 
     @pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -205,9 +210,9 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
 
     text_of = chosen.select("hash", "words")
     near = pairs.join(text_of, "hash").join(text_of.select(F.col("hash").alias("lead_hash"), F.col("words").alias("lead_words")), F.col("lead.hash") == F.col("lead_hash"))
-    near = near.filter(verified("words", "lead_words")).select("row_key", "line", F.lit(True).alias("near"))
-    gone = equal.unionByName(near).groupBy("row_key").agg(F.collect_set(F.struct("line", "near")).alias("gone"))
-    return texts.join(gone, "row_key", "left").mapInArrow(_cut, schema_of("doc_id long, row_key long, n_lines long, n_removed long, n_near long, kept string, kept_sha256 string", texts))
+    near = near.filter(verified("words", "lead_words")).select(*IDENTITY, "line", F.lit(True).alias("near"))
+    gone = equal.unionByName(near).groupBy(*IDENTITY).agg(F.collect_set(F.struct("line", "near")).alias("gone"))
+    return texts.join(gone, IDENTITY, "left").mapInArrow(_cut, schema_of("doc_id long, n_lines long, n_removed long, n_near long, kept string, kept_sha256 string", texts))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
