@@ -1,10 +1,10 @@
 """Exact byte-substring dedup: a suffix array over the places that can repeat.
 
 Every window of `width` bytes belongs to one anchor, the least-hashed gram in it, so equal windows
-share their anchor's hash. Windows that lie next to each other under one anchor form a segment.
-Spark counts anchors and equal segments; a segment whose bytes occur twice repeats as a whole and
-needs no text. Where one anchor has differing segments, one copy of each goes to the anchor's task,
-and their suffixes are sorted deep-shallow: multikey partitioning by eight-byte words to a shallow
+share their anchor's hash and the place of the anchor in them. Windows that lie next to each other
+under one anchor form a segment. Equal segments are collapsed to one copy and their count. Where an
+anchor has differing segments, one copy of each goes to the anchor's task, and their suffixes,
+bucketed by the anchor's place, are sorted deep-shallow: ternary multikey quicksort to a shallow
 depth, then a blind trie for each group that still agrees.
 """
 
@@ -18,31 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, Rolling, covered, pieces, runs, sliding_min, spans, text_bytes
-from .frames import checkpoint, keyed
+from .frames import IDENTITY, checkpoint, keyed
 
-_POSITION = np.uint64((1 << 24) - 1)
+_POSITION = np.uint64((1 << 32) - 1)
 
 
 def segments(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts that lie end to end: text, start and end of the bytes its windows cover, anchor hash, content hash."""
+    """Segments of texts that lie end to end: text, start and end of the bytes its windows cover, place and hash of the anchor, content hash."""
     rolling = Rolling(BYTE_VALUES[data])
     grams = rolling.grams(gram)
     if len(data) < width:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    if len(data) >= 1 << 24:  # positions of more bits, so the hash gives up more
-        bits = np.uint64((1 << len(data).bit_length()) - 1)
-    else:
-        bits = _POSITION
-    least = sliding_min((grams & ~bits) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
-    owner = (least & bits).astype(np.int64)  # the leftmost, if equal
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    least = sliding_min((grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
+    owner = (least & _POSITION).astype(np.int64)  # the leftmost of equal upper halves: the same in every copy of a window
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(owner)]
     ok = np.arange(len(owner)) + width <= at[1:][text]
     start = np.nonzero(ok)[0]
     a, b = runs(owner[start] * 1 + text[start] * (len(data) + 1))
     first, end = start[a], start[b - 1] + width if len(b) else start[:0]
     # a run of one owner in one text has no gap: windows that end in the text lie next to each other
-    anchor = grams[owner[first]]
-    return text[first], first, end, anchor, rolling.ranges(first, end)
+    return text[first], first, end, owner[first] - first, grams[owner[first]], rolling.ranges(first, end)
+
+
+_IDENTITY_FIELDS = "id_key long, row_key long"
 
 
 def _anchor_rows(width: int, gram: int):
@@ -50,10 +48,10 @@ def _anchor_rows(width: int, gram: int):
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, at = text_bytes(part.column("text"))
-                text, first, end, anchor, content = segments(data, at, width, gram)
-                key = part.column("row_key").take(pa.array(text))
+                text, first, end, place, anchor, content = segments(data, at, width, gram)
+                keys = [part.column(c).take(pa.array(text)) for c in IDENTITY]
                 begin, size = (first - at[text]).astype(np.int32), (end - first).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([key, pa.array(begin), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["row_key", "begin", "size", "anchor", "content"])
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (begin, size, place.astype(np.int32), anchor.view(np.int64), content.view(np.int64)))], [*IDENTITY, "begin", "size", "place", "anchor", "content"])
 
     return run
 
@@ -68,7 +66,8 @@ def _segment_text(batches):
             joined = data[np.repeat(at[row] + begin, size) + spans(size)]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(joined))])
-            yield pa.RecordBatch.from_arrays([inner.field("anchor"), part.column("row_key").take(pa.array(row)), inner.field("begin"), inner.field("n"), binary], ["anchor", "row_key", "begin", "n", "bytes"])
+            of, told = pa.array(row), ["anchor", "begin", "place", "n", "share"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in IDENTITY), *(inner.field(c) for c in told), binary], [*IDENTITY, *told, "bytes"])
 
 
 def blind_trie(strings: list[bytes]) -> list[list[int]]:
@@ -112,6 +111,59 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def multikey_quicksort(word: np.ndarray, start: np.ndarray, group: np.ndarray, depth_limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that agree with another of their group to the depth, and their new groups, end to end.
+
+    word[i] holds the eight bytes from i on. All groups are partitioned at once: each takes the
+    median of three suffixes' words as pivot and falls into less, equal and greater; the equal part
+    moves on by eight bytes, single suffixes are done.
+    """
+    order = np.argsort(group, kind="stable")
+    depth, done, done_groups, made = np.zeros(len(order), np.int64), [], [], 0
+    group = group[order]
+    while True:
+        a, b = runs(group)
+        n = b - a
+        many = np.repeat(n > 1, n)
+        order, depth, n = order[many], depth[many], n[n > 1]
+        first = np.cumsum(n) - n
+        over = depth[first] >= depth_limit if len(n) else np.zeros(0, bool)
+        if over.any():
+            ends = np.repeat(over, n)
+            done.append(order[ends])
+            done_groups.append(made + np.repeat(np.arange(over.sum()), n[over]))
+            made += int(over.sum())
+            order, depth, n = order[~ends], depth[~ends], n[~over]
+            first = np.cumsum(n) - n
+        if not len(order):
+            break
+        key = word[start[order] + depth]
+        three = np.sort(np.stack([key[first], key[first + n // 2], key[first + n - 1]]), axis=0)
+        pivot = np.repeat(three[1], n)
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        depth = depth + 8 * (side == 1)
+        # a stable partition of every group by counting
+        at, base = np.empty(len(order), np.int64), np.repeat(first, n)
+        for k in range(3):
+            mine = side == k
+            rank = np.cumsum(mine)
+            count = np.add.reduceat(mine.astype(np.int64), first)
+            before = rank[first] - mine[first]
+            at[mine] = (base + rank - 1 - np.repeat(before, n))[mine]
+            base = base + np.repeat(count, n)
+        group = np.empty(len(order), np.int64)
+        group[at] = np.repeat(np.arange(len(n)), n) * 3 + side
+        order, depth = _placed(order, at), _placed(depth, at)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *done]), np.concatenate([none, *done_groups])
+
+
+def _placed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[at] = values
+    return out
+
+
 def repeated_suffixes(data: bytes, group: np.ndarray, start: np.ndarray, width: int, shallow: int = 32) -> np.ndarray:
     """Which suffixes, sorted within their groups, share their first `width` bytes with another."""
     raw = np.frombuffer(data + bytes(8), np.uint8)
@@ -119,50 +171,62 @@ def repeated_suffixes(data: bytes, group: np.ndarray, start: np.ndarray, width:
     for i in range(8):
         word = word << np.uint64(8) | raw[i : len(raw) - 7 + i]
     out = np.zeros(len(start), bool)
-    left, depth = np.arange(len(start)), 0
-    while depth < min(shallow, width) and len(left):
-        keys = word[start[left] + depth]
-        if depth + 8 > width:
-            keys = keys >> np.uint64(8 * (depth + 8 - width))
-        order = np.lexsort((keys, group[left]))
-        left, keys = left[order], keys[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[left][1:] != group[left][:-1])])
-        ids = np.cumsum(new) - 1
-        many = np.bincount(ids)[ids] > 1
-        group = group.copy()
-        group[left] = ids
-        left, depth = left[many], depth + 8
-    if depth >= width:
-        out[left] = True
-        return out
-    a, b = runs(group[left])
+    left, ids = multikey_quicksort(word, start, group, min(shallow, width) // 8 * 8)
+    depth = min(shallow, width) // 8 * 8
+    a, b = runs(ids)
+    # two suffixes make a trie of one branch: they are compared word by word, all pairs at once
+    x, y = left[a[b - a == 2]], left[a[b - a == 2] + 1]
+    for d in [*range(depth, width - 7, 8), width - 8]:
+        same = word[start[x] + d] == word[start[y] + d]
+        x, y = x[same], y[same]
+    out[x] = out[y] = True
+    more = b - a > 2
     where = start[left].tolist()
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        strings = [data[p : p + width] for p in where[x:y]]
-        if y - x == 2:
-            if strings[0] == strings[1]:
-                out[left[x:y]] = True
-            continue
-        for equal in blind_trie(strings):
+    for i, j in zip(a[more].tolist(), b[more].tolist(), strict=True):
+        for equal in blind_trie([data[p : p + width] for p in where[i:j]]):
             if len(equal) > 1:
-                out[left[[x + i for i in equal]]] = True
+                out[left[[i + k for k in equal]]] = True
     return out
 
 
+_NOTHING = ("anchor", "at", "content")
+
+
 def _sorted_repeats(width: int, chunk: int):
+    """Of segments in the order of their anchors: ranges of repeated windows; of the anchors that are shared out, all windows."""
+
+    def split(rows: pa.Table) -> pa.RecordBatch:
+        data, at = text_bytes(rows.column("bytes"))
+        count = np.diff(at) - width + 1
+        row, offset = np.repeat(np.arange(rows.num_rows), count), spans(count)
+        start = at[row] + offset
+        content = Rolling(BYTE_VALUES[data]).ranges(start, start + width)
+        column = lambda c: np.asarray(rows.column(c))[row].astype(np.int64)
+        begin = column("begin") + offset
+        columns = [*map(column, IDENTITY), begin, begin + width, column("n"), column("anchor"), column("place") - offset, content.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*IDENTITY, "begin", "end", "n", *_NOTHING])
+
     def work(rows: pa.Table) -> pa.RecordBatch:
         data, at = text_bytes(rows.column("bytes"))
         count = np.diff(at) - width + 1
-        row = np.repeat(np.arange(rows.num_rows), count)
-        repeated = repeated_suffixes(data.tobytes(), np.asarray(rows.column("anchor"))[row], at[row] + spans(count), width)
-        repeated |= np.asarray(rows.column("n"))[row] > 1
-        keep = repeated & (np.asarray(rows.column("n"))[row] == 1)
-        offset = spans(count)
+        row, offset = np.repeat(np.arange(rows.num_rows), count), spans(count)
+        a, b = runs(np.asarray(rows.column("anchor")))
+        group = np.repeat(np.arange(len(a)), b - a)[row] * (2 * width) + np.asarray(rows.column("place"))[row] - offset + width
+        single = (np.asarray(rows.column("n")) == 1)[row]
+        keep = repeated_suffixes(data.tobytes(), group, at[row] + offset, width) & single
         a, b = runs(np.where(keep, row, -1))
         good = keep[a] if len(a) else np.zeros(0, bool)
         a, b = a[good], b[good]
-        key, begin = np.asarray(rows.column("row_key"))[row[a]], np.asarray(rows.column("begin"))[row[a]].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(begin + offset[a]), pa.array((begin + offset[b - 1] + width).astype(np.int64))], ["row_key", "begin", "end"])
+        begin = np.asarray(rows.column("begin"))[row[a]].astype(np.int64)
+        keys = [pa.array(np.asarray(rows.column(c))[row[a]]) for c in IDENTITY]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(begin + offset[a]), pa.array(begin + offset[b - 1] + width), pa.array(np.ones(len(a), np.int64)), *(pa.nulls(len(a), pa.int64()) for _ in _NOTHING)], [*IDENTITY, "begin", "end", "n", *_NOTHING])
+
+    def shares(rows: pa.Table):
+        hot = np.asarray(rows.column("share")) > 0
+        for a, b in zip(*runs(hot), strict=True):
+            step = max(1, chunk // (2 * width)) if hot[a] else b - a
+            for i in range(a, b, step):
+                yield (split if hot[a] else work)(rows.slice(i, min(step, b - i)))
 
     def run(batches):
         held, size = [], 0
@@ -173,12 +237,13 @@ def _sorted_repeats(width: int, chunk: int):
                 rows = pa.Table.from_batches(held)
                 anchors = np.asarray(rows.column("anchor"))
                 whole = int(np.nonzero(anchors != anchors[-1])[0][-1]) + 1 if (anchors != anchors[-1]).any() else 0
-                if whole:
-                    yield work(rows.slice(0, whole))
+                if rows.column("share")[-1].as_py() > 0:
+                    whole = rows.num_rows
+                yield from shares(rows.slice(0, whole))
                 held = rows.slice(whole).to_batches()
                 size = sum(b.nbytes for b in held) if whole else size
         if held and sum(b.num_rows for b in held):
-            yield work(pa.Table.from_batches(held))
+            yield from shares(pa.Table.from_batches(held))
 
     return run
 
@@ -204,36 +269,47 @@ def _cut(batches):
             )
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2 << 20, hot: int = 4096) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns a row a
     row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: what is
     left may cut characters) and kept_sha256. Null texts count as empty and, like any text under
-    `width` bytes, keep what they have; rows that repeat lose all of a long enough text, each;
-    null ids are results like any other; other columns are ignored; an empty table gives none.
+    `width` bytes, keep what they have; a text of any length is one row; rows that repeat lose all
+    of a long enough text, each; null ids are results like any other; other columns are ignored; an
+    empty table gives none.
 
     Anchors are found where the texts lie; texts are shuffled once, to be read for the bytes of the
     segments to compare and for the cut. Besides, only hashes and the segments that differ under a
     repeated anchor move; rows under repeated anchors are checkpointed, as three joins read them.
+    Segments are the same if the hashes of their anchor and of their bytes agree, 128 bits.
     Counts are summed before a shuffle, and the joins that bring them back can be split by Spark
-    where one anchor is very frequent.
+    where one anchor is very frequent. An anchor with more than `hot` different segments is shared
+    out between tasks instead of sorted in one: its windows, each with the anchor's place, are
+    counted by Spark.
     """
+    if width < 8 or gram > width:
+        raise ValueError("width must be 8 or more, and no less than gram")
     texts = keyed(docs, id_col, text_col)
-    found = keyed(docs, id_col, text_col, deal=False).mapInArrow(_anchor_rows(width, gram), "row_key long, begin int, size int, anchor long, content long")
+    found = keyed(docs, id_col, text_col, deal=False).mapInArrow(_anchor_rows(width, gram), f"{_IDENTITY_FIELDS}, begin int, size int, place int, anchor long, content long")
     twice = found.groupBy("anchor").agg(F.count("*").alias("copies")).filter("copies > 1").select("anchor")
-    near = checkpoint(found.join(twice, "anchor")).withColumn("own", F.xxhash64("row_key", "begin"))
+    near = checkpoint(found.join(twice, "anchor")).withColumn("own", F.xxhash64(*IDENTITY, "begin"))
     kinds = near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("own").alias("copy"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     counted = near.join(kinds, ["anchor", "content"])
-    whole = counted.filter("n > 1").select("row_key", F.col("begin").cast("long").alias("begin"), (F.col("begin") + F.col("size")).cast("long").alias("end"))
-    # one copy of each kind, of anchors that have more than one
-    wanted = counted.filter("own = copy").join(mixed, "anchor").groupBy("row_key").agg(F.collect_list(F.struct("anchor", "begin", "size", "n")).alias("wanted"))
-    chosen = texts.join(wanted, "row_key").mapInArrow(_segment_text, "anchor long, row_key long, begin int, n long, bytes binary")
-    part = chosen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(width, chunk), "row_key long, begin long, end long")
-    ranges = whole.unionByName(part).groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    whole = counted.filter("n > 1").select(*IDENTITY, F.col("begin").cast("long").alias("begin"), (F.col("begin") + F.col("size")).cast("long").alias("end"))
+    # one copy of each kind, of anchors that have more than one; a hot anchor's in many shares
+    share = F.when(F.col("kinds") > hot, 1 + F.pmod("own", F.greatest(F.lit(1), F.col("kinds") / hot).cast("long"))).otherwise(0)
+    wanted = counted.filter("own = copy").join(mixed, "anchor").withColumn("share", share).groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "begin", "size", "place", "n", "share")).alias("wanted"))
+    chosen = texts.join(wanted, IDENTITY).mapInArrow(_segment_text, f"{_IDENTITY_FIELDS}, anchor long, begin int, place int, n long, share long, bytes binary")
+    part = checkpoint(chosen.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_sorted_repeats(width, chunk), f"{_IDENTITY_FIELDS}, begin long, end long, n long, anchor long, at long, content long"))
+    windows = part.filter("content is not null")
+    again = windows.groupBy(*_NOTHING).agg(F.count("*").alias("copies")).filter("copies > 1").select(*_NOTHING)
+    shared = windows.filter("n = 1").join(again, list(_NOTHING))
+    ranges = [d.select(*IDENTITY, "begin", "end") for d in (whole, part.filter("content is null"), shared)]
+    lists = ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).groupBy(*IDENTITY).agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return texts.join(ranges, "row_key", "left").mapInArrow(_cut, schema)
+    return texts.join(lists, IDENTITY, "left").mapInArrow(_cut, schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -16,16 +16,28 @@ def frame(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema).repartition(4)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_byte_repeats(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 4096), (2, 4096), (2, 2)])
+def test_byte_repeats(spark, seed, hot):
     r = random.Random(seed)
     base = ["".join(r.choice("ab") for _ in range(60)) for _ in range(6)]
     rows = [(i if i % 17 else None, "".join(r.choice(base)[r.randint(0, 30) : r.randint(30, 60)] + r.choice(["", "x", "é"]) for _ in range(r.randint(0, 8)))) for i in range(100)]
     rows += [(500, None), (501, ""), (502, "a" * 300), (502, "a" * 300), (503, "q" * 39)]
-    got = suffixes.digests(suffixes.remove_repeats(frame(spark, rows), 40, 20)).collect()
+    got = suffixes.digests(suffixes.remove_repeats(frame(spark, rows), 40, 20, hot=hot)).collect()
     assert sorted(tuple(x)[1:] for x in got) == sorted(brute.byte_repeats([t for _, t in rows], 40))
 
 
+def test_suffix_sort():
+    r = random.Random(6)
+    data = bytes(r.choice(b"ab") for _ in range(3000)) * 2 + bytes(40)
+    start, group = np.arange(6000), np.array([r.randrange(7) for _ in range(6000)])
+    places = {}
+    for s, g in zip(start.tolist(), group.tolist()):
+        places.setdefault((g, data[s : s + 37]), []).append(s)
+    want = {s for p in places.values() if len(p) > 1 for s in p}
+    got = suffixes.repeated_suffixes(data, group, start, 37, shallow=16)
+    assert set(np.nonzero(got)[0].tolist()) == want
+
+
 def test_blind_trie():
     r = random.Random(4)
     strings = [bytes(r.choice(b"ab") for _ in range(8)) for _ in range(300)]
@@ -156,12 +168,16 @@ def test_search(spark):
     r = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.normal(size=(700, 8)).round(1))]
     rows += [(700, None), (720, []), (740, [1.0] * 7 + [float("nan")]), (760, [1.0] * 7 + [None]), (None, [1.0] * 8), (780, rows[20][1])]
+    # ids and whole rows that repeat: each is a query and a candidate of the others
+    rows += [(20, rows[33][1]), (40, rows[40][1]), (40, rows[40][1]), (41, rows[41][1]), (800, [0.5] * 3)]
     got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=100).collect()
-    whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and not np.isnan(v).any()}
-    for q in (i for i in whole if i % 20 == 0):
-        best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:20]
-        assert [(-x.score, x.vec_id) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == best
-    assert {x.query_id for x in got} == {i for i in whole if i % 20 == 0}
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and None not in v and not np.isnan(v).any()]
+    want = []
+    for n, (i, q) in enumerate(whole):
+        if i % 20 == 0:
+            best = sorted((-int(q @ v), j) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))[:20]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 @pytest.mark.parametrize("name", ["op5_line_rules", "op9_pivot_search"])
