@@ -104,6 +104,19 @@ def test_near_duplicates_lose_no_link(spark):
     assert all(found[i].n_links == len(links[i] - {texts[i]}) for i in links)
 
 
+def test_depth_follows_the_measured_recall():
+    assert forest.shortened(0.8, 16, 8, 0.999, {}) == 4 and forest.shortened(0.8, 16, 8, 0.9, {8: 100}) == 8
+    assert forest.shortened(0.8, 16, 8, 0.9, {8: 100, 6: 50}) == 6 and forest.shortened(0.8, 16, 8, 0.999, {8: 100, 2: 1}) == 2
+    assert forest.meeting_chance(0.8, 8, forest.more_trees(0.8, 8, 0.99999)) >= 0.99999
+
+
+def test_measured_pairs_are_those_of_brute_force(spark):
+    texts = near_texts(9)
+    keyed = frame(spark, [(str(i).encode(), t) for i, t in enumerate(texts)], "text_key binary, text string")
+    met = forest.measure(keyed, 10_000, 1 << 16, 5, 0.8, 16, 8)
+    assert sum(met.values()) == 2 * len(brute.similar_pairs(texts, 5, 0.8)) and sum(n for d, n in met.items() if d >= 4) >= 0.99 * sum(met.values())
+
+
 def test_near_duplicates_in_a_crowd(spark):
     r = random.Random(5)
     base = ["w%d" % i for i in range(200)]
@@ -236,8 +249,8 @@ def test_search_of_nothing(spark):
     assert not pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
 
 
-@pytest.mark.parametrize("block", [1024, 25])
-def test_all_links_in_a_crowd(spark, block):
+@pytest.mark.parametrize("gathered, block", [(1024, 1024), (1024, 25), (32, 25)])
+def test_all_links_in_a_crowd(spark, gathered, block):
     r = random.Random(8)
     base = ["w%d" % i for i in range(250)]
 
@@ -251,7 +264,7 @@ def test_all_links_in_a_crowd(spark, block):
     planted = [changed(f, 2) for f in [changed(base, 3) for _ in range(15)] for _ in range(2)]
     tight = [changed(["v" + w for w in base], 1) for _ in range(60)]
     texts = [" ".join(w) for w in families + planted + tight]
-    found = {x.doc_id: x for x in forest.near_duplicates(frame(spark, list(enumerate(texts))), block=block).collect()}
+    found = {x.doc_id: x for x in forest.near_duplicates(frame(spark, list(enumerate(texts))), gathered=gathered, block=block).collect()}
     pairs = brute.similar_pairs(texts, 5, 0.8)
     degree, root = [0] * len(texts), list(range(len(texts)))
     for a, b in pairs:
