@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,20 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Each drops something that a worker keeps between tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Drops what tasks of other operators kept in this Python worker, and gives its free memory back to the system."""
+    for drop in KEPT:
+        drop()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's first n powers and those of its inverse, modulo 2**64."""
     if len(_powers["up"]) < n:

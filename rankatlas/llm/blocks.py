@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, covered, pieces, runs, sliding_min, spans, text_bytes, word_hashes, words
+from .arrays import Rolling, covered, let_go, pieces, runs, sliding_min, spans, text_bytes, word_hashes, words
 from .frames import IDENTITY, batched, restored, schema_of
 
 _BUCKET = 16 << 20
@@ -57,6 +57,7 @@ class Entries:
 
 def _probe(rows: pa.Table, block: int, buckets: int) -> pa.Table:
     """Of one batch, for each bucket, its entries with their flags."""
+    let_go()
     w = Words(rows.column("text"))
     x = Entries(w, block, buckets)
     if not len(x.a):

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, pieces, spans, text_bytes, words
+from .arrays import KEPT, SPACE, pieces, spans, text_bytes, words
 
 END = "</w>"
 #: The tokenizer file's own split pattern, with its white space spelt out.
@@ -277,6 +277,9 @@ def encoder(path: str, pid: int) -> WordEncoder:
     return WordEncoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def get_encoder(path: str) -> WordEncoder:
     return encoder(path, os.getpid())
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .arrays import Rolling, mix, pieces, spans, text_bytes, word_hashes, words
+from .arrays import Rolling, let_go, mix, pieces, spans, text_bytes, word_hashes, words
 from .frames import checkpoint
 
 
@@ -81,6 +81,7 @@ def _mark_rows(keys: pa.Array, has: np.ndarray, prefix: np.ndarray) -> pa.Record
 
 def _marks(size: int, trees: int, deepest: int, depth: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for part in pieces(batch, "text"):
                 grams, first = shingles(*text_bytes(part.column("text")), size)
@@ -236,6 +237,7 @@ def _block_links(threshold: float):
 
 def _sets(size: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, at = text_bytes(part.column("text"))

@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import pieces
+from .arrays import let_go, pieces
 from .frames import rest_of, restored, schema_of
 
 SYMBOLS = "#*$%&|<>"
@@ -78,6 +78,7 @@ def _judge(max_lost: float):
     types = [kinds[x.split()[1]] for x in _FIELDS.split(", ")]
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in pieces(batch, "text", 1 << 18):
                 rows = [measure(x, max_lost) for x in part.column("text").to_pylist()]

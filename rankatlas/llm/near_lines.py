@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .arrays import Rolling, pieces, powers, spans, text_bytes, word_hashes, words
+from .arrays import Rolling, let_go, pieces, powers, spans, text_bytes, word_hashes, words
 from .frames import IDENTITY, checkpoint, keyed, restored, schema_of
 
 
@@ -56,6 +56,7 @@ class Lines:
 
 
 def _line_rows(batches):
+    let_go()
     for batch in batches:
         for part in pieces(batch, "text"):
             x = Lines(part.column("text"))
@@ -71,6 +72,7 @@ def _line_rows(batches):
 
 
 def _line_text(batches):
+    let_go()
     for batch in batches:
         for part in pieces(batch, "text"):
             x = Lines(part.column("text"))
@@ -128,6 +130,7 @@ def within_one_word(a: str, b: str) -> bool:
 
 
 def _cut(batches):
+    let_go()
     for batch in batches:
         for part in pieces(batch, "text"):
             x = Lines(part.column("text"))
@@ -190,8 +193,8 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     matched = long_.join(shared, "edge").groupBy(*IDENTITY, "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
     wanted = checkpoint(matched.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted")))
     texts = keyed(docs, id_col, text_col, carry=carry)
-    chosen = texts.join(wanted, IDENTITY).mapInArrow(_line_text, f"{_OWN_FIELDS}, line int, hash long, head boolean, tail boolean, words string")
-    emitted = chosen.mapInArrow(_variants, f"{_OWN_FIELDS}, line int, hash long, variant long, skip int")
+    chosen = texts.join(wanted, IDENTITY)
+    emitted = chosen.mapInArrow(lambda batches: _variants(_line_text(batches)), f"{_OWN_FIELDS}, line int, hash long, variant long, skip int")
     again = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
     variants = emitted.join(again, "variant")
     leads = variants.groupBy("variant", "skip").agg(F.min(_place("hash")).alias("lead"), F.count("*").alias("n"))
@@ -208,7 +211,7 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_word(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    text_of = chosen.select("hash", "words")
+    text_of = chosen.mapInArrow(_line_text, f"{_OWN_FIELDS}, line int, hash long, head boolean, tail boolean, words string").select("hash", "words")
     near = pairs.join(text_of, "hash").join(text_of.select(F.col("hash").alias("lead_hash"), F.col("words").alias("lead_words")), F.col("lead.hash") == F.col("lead_hash"))
     near = near.filter(verified("words", "lead_words")).select(*IDENTITY, "line", F.lit(True).alias("near"))
     gone = equal.unionByName(near).groupBy(*IDENTITY).agg(F.collect_set(F.struct("line", "near")).alias("gone"))

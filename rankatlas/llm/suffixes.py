@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, Rolling, covered, pieces, runs, sliding_min, spans, text_bytes
+from .arrays import BYTE_VALUES, Rolling, covered, let_go, pieces, runs, sliding_min, spans, text_bytes
 from .frames import IDENTITY, checkpoint, keyed
 
 _POSITION = np.uint64((1 << 32) - 1)
@@ -45,6 +45,7 @@ _IDENTITY_FIELDS = "id_key long, row_key long"
 
 def _anchor_rows(width: int, gram: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, at = text_bytes(part.column("text"))
