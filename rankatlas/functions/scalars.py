@@ -16,7 +16,7 @@ ASSET_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js",
 BLOCK_MARKERS = ("unusual traffic", "captcha", "our systems have detected", "sorry/index", "recaptcha")
 GOOGLE_GROUP = ("google_search", "google_maps", "google_local")
 PHONE_PATTERN = r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
-STREET_PATTERN = r"(?i)\d+\s+[a-z0-9.' ]+?\b(?:st|street|ave|avenue|blvd|boulevard|rd|road|dr|drive|ln|lane|way|ct|court|hwy|highway|pkwy)\b"
+STREET_PATTERN = r"\d+\s+[A-Za-z][A-Za-z0-9_\s]{3,40}(?:St|Ave|Blvd|Dr|Rd|Way|Ln|Ct|Pl|Pkwy|Hwy)\.?"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -43,6 +43,16 @@ def url_host(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@\s]+)", 1), F.lit("")))
 
 
+def url_origin(url: Column) -> Column:
+    """scheme://host[:port] in lower case; null for what has no host."""
+    return F.lower(F.nullif(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+)", 1), F.lit("")))
+
+
+def non_empty(text: Column) -> Column:
+    """The trimmed text, or null if nothing is left."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
 def normalize_domain(url: Column) -> Column:
     """Lower-case host without a leading www; https is assumed where the text doesn't start with http."""
     full = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), url))
@@ -146,3 +156,4 @@ def engine_family(engine: Column, strict: bool = True) -> Column:
     """google, bing or other; not strict: all that isn't bing is google."""
     other = F.when(engine.isin(*GOOGLE_GROUP), "google").otherwise("other") if strict else F.lit("google")
     return F.when(engine.startswith("bing"), "bing").otherwise(other)
+

@@ -36,7 +36,8 @@ def solv(facts: DataFrame, points: DataFrame, keys: list[str], within: int = 3)
     """Share of local voice: of a key's completed points, those where a business ranks in the first three; with its gauge."""
     total = points.filter(F.col("status") == "completed").groupBy(*keys).agg(F.count("*").alias("points"))
     ended = points.filter(F.col("status") == "completed").select("point_id")
-    top = facts.join(ended, "point_id", "left_semi").filter(F.col("rank") <= within).groupBy("business_id", *keys).agg(F.count("*").alias("top_points"))
+    done = facts.filter(F.col("status") == "completed") if "status" in facts.columns else facts.join(ended, "point_id", "left_semi")
+    top = done.filter(F.col("rank") <= within).groupBy("business_id", *keys).agg(F.count("*").alias("top_points"))
     out = top.join(total, keys).withColumn("solv", _share(F.col("top_points"), F.col("points")))
     return out.withColumn("gauge", F.when(F.col("solv") >= 70, "green").when(F.col("solv") >= 40, "yellow").otherwise("red"))
 
@@ -49,8 +50,10 @@ def solv_trend(shares: DataFrame, keys: list[str]) -> DataFrame:
 
 def quick_stats(facts: DataFrame) -> DataFrame:
     """For each business: points in the first three, mean, best and worst rank and how many points have them."""
-    ends = facts.groupBy("business_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"))
-    return facts.join(ends, "business_id").groupBy("business_id", "best", "worst").agg(F.count_if(F.col("rank") <= 3).alias("top_points"), F.round(F.avg("rank"), 4).alias("avg_rank"), F.count_if(F.col("rank") == F.col("best")).alias("n_best"), F.count_if(F.col("rank") == F.col("worst")).alias("n_worst"))
+    ranks = facts.groupBy("business_id", "rank").agg(F.count("*").alias("n"))  # few rows a business, whatever its points
+    total, weighted = F.sum("n"), F.sum(F.col("rank") * F.col("n"))
+    top = F.coalesce(F.sum(F.when(F.col("rank") <= 3, F.col("n"))), F.lit(0))
+    return ranks.groupBy("business_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), top.alias("top_points"), F.round(weighted / total, 4).alias("avg_rank"), F.min_by("n", "rank").alias("n_best"), F.max_by("n", "rank").alias("n_worst"))
 
 
 def band_histogram(facts: DataFrame) -> DataFrame:
@@ -70,6 +73,16 @@ def competitor_comparison(facts: DataFrame, businesses: DataFrame) -> DataFrame:
     return businesses.filter("is_mine or is_competitor").join(own, "business_id", "left").select("business_id", "name", "is_mine", "avg_rank", "keywords", "areas", "engines", "reviews", "rating")
 
 
+def competitor_profile(facts: DataFrame, businesses: DataFrame, velocity: DataFrame, momentum: DataFrame, engines: list[str]) -> DataFrame:
+    """competitor_comparison() with each engine's mean rank, review velocity and ranking momentum."""
+    wide = facts.groupBy("business_id").pivot("engine", engines).agg(F.round(F.avg("rank"), 4))
+    wide = wide.select("business_id", *(F.col(f"`{e}`").alias("e" + "".join(c for c in e if c.isdigit())) for e in engines))
+    out = competitor_comparison(facts, businesses)
+    for more in (wide, velocity.select("business_id", "velocity"), momentum.select("business_id", "momentum")):
+        out = out.join(more, "business_id", "left")
+    return out
+
+
 def market_overview(facts: DataFrame, businesses: DataFrame, k: int = 3) -> DataFrame:
     """For each area and keyword: businesses, mean rating, and the k best by mean rank, then reviews, then id."""
     means = facts.groupBy("area_id", "keyword", "business_id").agg(F.avg("rank").alias("mean"))
@@ -91,11 +104,14 @@ def keyword_area_ranks(facts: DataFrame) -> DataFrame:
 
 
 def geo_dominance(facts: DataFrame, points: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Each area: our best share of voice against the best competitor's, and whose area it is."""
+    """Each area: our best share of voice against the best competitor's, and whose area it is.
+
+    Shares under 40 hold no area; two of 40 or more within 10 points contest it.
+    """
     shares = solv(facts, points, ["area_id"]).join(businesses.select("business_id", "is_mine", "is_competitor"), "business_id")
     best = shares.groupBy("area_id").agg(F.max(F.when(F.col("is_mine"), F.col("solv"))).alias("mine"), F.max(F.when(F.col("is_competitor"), F.col("solv"))).alias("theirs"))
     a, b = F.coalesce("mine", F.lit(0.0)), F.coalesce("theirs", F.lit(0.0))
-    kind = F.when((a < 1) & (b < 1), "neither").when(F.abs(a - b) <= 0.5, "contested").when(a > b, "mine").otherwise("competitor")
+    kind = F.when((a < 40) & (b < 40), "neither").when((a >= 40) & (b >= 40) & (F.abs(a - b) <= 10), "contested").when(a > b, "mine").otherwise("competitor")
     return best.withColumn("holder", kind)
 
 
@@ -107,6 +123,18 @@ def geo_gap(facts: DataFrame) -> DataFrame:
     return ends.select("business_id", "keyword", "areas", F.round(gap, 4).alias("gap"), F.when(gap >= 10, "high").when(gap >= 5, "medium").otherwise("low").alias("opportunity"))
 
 
+def competitor_gap(facts: DataFrame, businesses: DataFrame) -> DataFrame:
+    """By area and keyword, our best mean rank against the best competitor's, and the opportunity in it.
+
+    High: ten ranks behind, or not ranked where a competitor is in the first three; medium: five behind.
+    """
+    means = facts.groupBy("area_id", "keyword", "business_id").agg(F.avg("rank").alias("mean")).join(businesses.select("business_id", "is_mine", "is_competitor"), "business_id")
+    best = means.groupBy("area_id", "keyword").agg(F.min(F.when(F.col("is_mine"), F.col("mean"))).alias("mine"), F.min(F.when(F.col("is_competitor"), F.col("mean"))).alias("theirs")).filter("theirs is not null")
+    gap = F.col("mine") - F.col("theirs")
+    kind = F.when((gap >= 10) | (F.col("mine").isNull() & (F.col("theirs") <= 3)), "high").when(gap >= 5, "medium").otherwise("low")
+    return best.select("area_id", "keyword", F.round("mine", 4).alias("mine"), F.round("theirs", 4).alias("theirs"), F.round(gap, 4).alias("gap"), kind.alias("opportunity"))
+
+
 def keyword_gap(facts: DataFrame, businesses: DataFrame) -> DataFrame:
     """Keyword and area pairs where a competitor ranks and we don't."""
     theirs = facts.join(businesses.filter("is_competitor"), "business_id", "left_semi").select("area_id", "keyword").distinct()
@@ -122,6 +150,12 @@ def compare_scans(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, cells, "full_outer").withColumn("change", change)
 
 
+def scan_changes(compared: DataFrame) -> DataFrame:
+    """How many cells of each business improved, declined, are new, lost or unchanged."""
+    kinds = ("improved", "declined", "new", "lost", "unchanged")
+    return compared.groupBy("business_id").agg(*(F.count_if(F.col("change") == k).alias(k) for k in kinds))
+
+
 def rank_alerts(facts: DataFrame, least: float = 3) -> DataFrame:
     """Mean rank moved by `least` or more since the scan before."""
     means = facts.groupBy("business_id", "keyword", "engine", "scan_month").agg(F.avg("rank").alias("mean"))
@@ -145,16 +179,18 @@ def latest_scan(points: DataFrame) -> DataFrame:
     return months.withColumn("nth", F.row_number().over(order)).groupBy("area_id", "keyword", "engine").agg(F.max(F.when(F.col("nth") == 1, F.col("scan_month"))).alias("latest"), F.max(F.when(F.col("nth") == 2, F.col("scan_month"))).alias("previous"))
 
 
-def top_k(facts: DataFrame, k: int = 5) -> DataFrame:
-    """Each area's k best by mean rank, then id."""
-    means = facts.groupBy("area_id", "business_id").agg(F.round(F.avg("rank"), 4).alias("avg_rank"))
-    return means.withColumn("nth", F.row_number().over(Window.partitionBy("area_id").orderBy("avg_rank", "business_id"))).filter(F.col("nth") <= k)
+def top_k(facts: DataFrame, businesses: DataFrame, k: int = 5) -> DataFrame:
+    """Each area's k best by mean rank, then most reviews, then id."""
+    means = facts.groupBy("area_id", "business_id").agg(F.avg("rank").alias("mean")).join(businesses.select("business_id", "reviews"), "business_id", "left")
+    order = Window.partitionBy("area_id").orderBy("mean", F.desc_nulls_last("reviews"), "business_id")
+    return means.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("area_id", "business_id", F.round("mean", 4).alias("avg_rank"), "nth")
 
 
-def point_leaders(facts: DataFrame, k: int = 3) -> DataFrame:
-    """The first k at each point, as one list."""
+def point_leaders(facts: DataFrame, k: int | None = 3) -> DataFrame:
+    """The first k at each point, or all, as one list in rank order."""
     order = Window.partitionBy("point_id").orderBy("rank", "business_id")
-    top = facts.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    top = facts.withColumn("nth", F.row_number().over(order))
+    top = top if k is None else top.filter(F.col("nth") <= k)
     return top.groupBy("point_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "business_id"))), lambda x: x["business_id"].cast("string")), ",").alias("leaders"))
 
 
@@ -195,10 +231,16 @@ def review_deltas(reviews: DataFrame) -> DataFrame:
     return reviews.select("snapshot_id", "business_id", "source", "captured", (F.col("review_count") - before).alias("delta"))
 
 
-def reviews_per_day(reviews: DataFrame, seconds: int = 86_400) -> DataFrame:
-    """New reviews in each period, drops left out."""
+def month_of(seconds: Column) -> Column:
+    """Months since the year 0 of seconds since 1970, in UTC whatever the session's zone is."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int"))
+    return F.year(day) * 12 + F.month(day)
+
+
+def reviews_per_month(reviews: DataFrame) -> DataFrame:
+    """New reviews in each month, drops left out."""
     gains = review_deltas(reviews).filter("delta > 0")
-    return gains.groupBy("business_id", F.floor(F.col("captured") / seconds).alias("period")).agg(F.sum("delta").alias("gained"))
+    return gains.groupBy("business_id", month_of(F.col("captured")).alias("month")).agg(F.sum("delta").alias("gained"))
 
 
 def review_velocity(reviews: DataFrame, months: float = 3, days: int = 90) -> DataFrame:
@@ -213,9 +255,11 @@ def review_velocity(reviews: DataFrame, months: float = 3, days: int = 90) -> Da
 
 
 def enrichment_summary(log: DataFrame) -> DataFrame:
-    """One row: how a run of enrichments went."""
+    """A row a run, or one row: how enrichments went, and the addresses they found in order."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
-    return log.agg(F.count("*").alias("total"), is_("success").alias("enriched"), is_("no_email_found").alias("processed_without"), is_("no_website", "invalid_url").alias("skipped"), is_("error").alias("failed"))
+    runs = log.groupBy(*(c for c in ("run_id",) if c in log.columns))
+    mails = F.array_join(F.array_sort(F.collect_set("email")), ",").alias("emails") if "email" in log.columns else F.lit(None).cast("string").alias("emails")
+    return runs.agg(F.count("*").alias("total"), is_("success").alias("enriched"), is_("no_email_found").alias("processed_without"), is_("no_website", "invalid_url").alias("skipped"), is_("error").alias("failed"), mails)
 
 
 def discovery_stats(resolved: DataFrame) -> DataFrame:

@@ -22,44 +22,84 @@ def group_quota(log: DataFrame, group: list[str], limit: int) -> DataFrame:
     return days.withColumn("over", F.col("requests") >= limit)
 
 
+def usage_by_month(log: DataFrame, credits: dict[str, int]) -> DataFrame:
+    """Requests of each engine in each UTC month beside its month's credits, and the percent used."""
+    from rankatlas.operators.analytics import month_of
+
+    most = F.create_map(*(F.lit(x) for kv in credits.items() for x in kv))
+    used = log.groupBy("engine", month_of(F.col("second")).alias("month")).agg(F.count("*").alias("used")).withColumn("most", F.try_element_at(most, F.col("engine")))
+    return used.withColumn("percent", F.round(100 * F.col("used") / F.col("most"), 4))
+
+
 def error_streaks(log: DataFrame, base_ms: int = 1000, most_ms: int = 300_000) -> DataFrame:
-    """Consecutive errors of an engine so far, and the back-off they call for: gaps and islands over successes."""
-    order = Window.partitionBy("engine").orderBy("second", "request_id")
-    island = F.sum((F.col("outcome") == "ok").cast("int")).over(order)
-    marked = log.withColumn("island", island)
-    streak = F.sum((F.col("outcome") != "ok").cast("int")).over(Window.partitionBy("engine", "island").orderBy("second", "request_id"))
-    out = marked.withColumn("streak", streak)
+    """Consecutive errors of an engine so far, and the back-off they call for: gaps and islands over successes.
+
+    Streaks are counted within days, and what a day hands on to the next is found in a table of one
+    row an engine and day, so that a few engines' requests don't meet in a few tasks.
+    """
+    bad = F.col("outcome") != "ok"
+    days = log.withColumn("day", F.floor(F.col("second") / 86_400))
+    order = ["second", "request_id"]
+    own = Window.partitionBy("engine", "day").orderBy(*order)
+    marked = days.withColumn("island", F.sum((~bad).cast("int")).over(own))
+    within = F.sum(bad.cast("int")).over(Window.partitionBy("engine", "day", "island").orderBy(*order))
+    at = F.struct(*order)
+    last_ok = days.groupBy("engine", "day").agg(F.max(F.when(~bad, at)).alias("last_ok"))
+    ends = days.join(last_ok, ["engine", "day"]).groupBy("engine", "day").agg(F.count_if(bad & (F.col("last_ok").isNull() | (at > F.col("last_ok")))).alias("tail"), F.first(F.col("last_ok").isNotNull()).alias("had_ok"))
+    by_day = Window.partitionBy("engine").orderBy("day")
+    run = ends.withColumn("run", F.sum(F.col("had_ok").cast("int")).over(by_day)).withColumn("open", F.sum("tail").over(Window.partitionBy("engine", "run").orderBy("day")))
+    carried = run.select("engine", "day", F.coalesce(F.lag("open").over(by_day), F.lit(0)).alias("carry"))
+    out = marked.withColumn("within", within).join(carried, ["engine", "day"])
+    out = out.withColumn("streak", F.when(bad, F.col("within") + F.when(F.col("island") == 0, F.col("carry")).otherwise(0)).otherwise(0))
     wait = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("streak")), F.lit(float(most_ms))).cast("long")
     return out.select("request_id", "engine", "streak", F.when(F.col("streak") > 0, wait).otherwise(F.lit(0)).alias("backoff_ms"))
 
 
+def _islands(log: DataFrame, key: str, order: list[str], gap: int) -> DataFrame:
+    """Runs of a key's rows without a gap of `gap` seconds. A window of that length always starts anew after one, so runs are walked apart."""
+    w = Window.partitionBy(key).orderBy(*order)
+    starts = F.coalesce(F.col("second") - F.lag("second").over(w) >= gap, F.lit(True))
+    return log.withColumn("island", F.sum(starts.cast("long")).over(w))
+
+
 def rate_audit(log: DataFrame, seconds: int = 60, most: int = 120) -> DataFrame:
-    """Each client's windows, anchored at the first request after the last window, with how many it made and when to retry.
+    """Each client's windows, anchored at the first request after the last window, with how many it made.
 
-    The anchors need an order, so each client's requests are walked in a task of its own.
+    A flagged window has over `most`; retry_after is what was left of it, in whole seconds, at the
+    first request too many. Requests of one second are one row before the anchors are walked, and a
+    run without a gap of a window's length is a group of its own.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("second")
-        out, start, count = [], None, 0
-        for s in rows["second"]:
+        out, start, count, over = [], None, 0, None
+        client = rows["client"].iloc[0]
+        for s, n in rows.sort_values("second")[["second", "n"]].itertuples(index=False):
             if start is None or s - start >= seconds:
                 if start is not None:
-                    out.append((rows["client"].iloc[0], start, count))
-                start, count = int(s), 0
-            count += 1
-        out.append((rows["client"].iloc[0], start, count))
-        return pd.DataFrame(out, columns=["client", "start", "requests"])
-
-    found = log.select("client", "second").groupBy("client").applyInPandas(walk, "client long, start long, requests long")
-    return found.withColumn("flagged", F.col("requests") > most)
+                    out.append((client, start, count, over))
+                start, count, over = int(s), 0, None
+            count += int(n)
+            if count > most and over is None:
+                over = start + seconds - int(s)
+        out.append((client, start, count, over))
+        return pd.DataFrame(out, columns=["client", "start", "requests", "retry_after"]).astype({"retry_after": "Int64"})
+
+    each = _islands(log.groupBy("client", "second").agg(F.count("*").alias("n")), "client", ["second"], seconds)
+    island = Window.partitionBy("client", "island")
+    spans = each.withColumns({"first": F.min("second").over(island), "last": F.max("second").over(island), "so_far": F.sum("n").over(island.orderBy("second"))})
+    # a run shorter than a window is one window; only longer ones are walked
+    short = F.col("last") - F.col("first") < seconds
+    first_over = F.max(F.when(F.col("so_far") > most, F.col("first") + seconds - F.col("second")))
+    one = spans.filter(short).groupBy("client", "island").agg(F.min("first").alias("start"), F.sum("n").alias("requests"), first_over.alias("retry_after")).drop("island")
+    more = spans.filter(~short).select("client", "island", "second", "n").groupBy("client", "island").applyInPandas(walk, "client long, start long, requests long, retry_after long")
+    return one.unionByName(more).withColumn("flagged", F.col("requests") > most)
 
 
 BLOCK_MINUTES = (15, 120, 1440)
 
 
 def block_episodes(log: DataFrame, day: int = 86_400) -> DataFrame:
-    """Blocks of each engine with their number in a day anchored at the first, and how long each lasts."""
+    """Blocks of each engine with their number in a day anchored at the first, and how long each lasts; runs without a day's gap are walked apart."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["second", "request_id"])
@@ -71,10 +111,12 @@ def block_episodes(log: DataFrame, day: int = 86_400) -> DataFrame:
             out.append((rows["engine"].iloc[0], r, s, count, BLOCK_MINUTES[min(count, len(BLOCK_MINUTES)) - 1]))
         return pd.DataFrame(out, columns=["engine", "request_id", "second", "nth", "minutes"])
 
-    return log.filter(F.col("outcome") == "blocked").select("engine", "request_id", "second").groupBy("engine").applyInPandas(walk, "engine string, request_id long, second long, nth int, minutes int")
+    blocks = log.filter(F.col("outcome") == "blocked").select("engine", "request_id", "second")
+    return _islands(blocks, "engine", ["second", "request_id"], day).groupBy("engine", "island").applyInPandas(walk, "engine string, request_id long, second long, nth int, minutes int")
 
 
 def engine_status(log: DataFrame, depths: DataFrame) -> DataFrame:
-    """Each engine's counts, last request and waiting points."""
+    """Each engine's counts, last request, waiting points, and until when its last block holds (null if it never had one)."""
     seen = log.groupBy("engine").agg(F.count("*").alias("requests"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "blocked").alias("blocks"), F.max("second").alias("last"))
-    return seen.join(depths.filter("engine is not null"), "engine", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    until = block_episodes(log).groupBy("engine").agg(F.max(F.col("second") + F.col("minutes") * 60).alias("blocked_until"))
+    return seen.join(depths.filter("engine is not null"), "engine", "left").join(until, "engine", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankatlas.functions.scalars import email_valid, emails_in, normalize_phone, us_phone
+from rankatlas.functions.scalars import compact_number, email_valid, emails_in, non_empty, normalize_phone, street_address, unwrap_redirect, url_host, url_origin, us_phone, valid_rating, website_url
 
 # What a contact link's target or text holds.
 CONTACT_WORDS = ("contact", "about", "team", "staff", "connect", "reach", "get-in-touch", "support")
@@ -24,10 +24,13 @@ def scripts(html: Column, kind: str = "application/ld.json") -> Column:
 
 
 def harvest_emails(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Distinct valid addresses of each page, in the order of mail links, text, JSON-LD, meta tags, raw HTML."""
+    """Distinct valid addresses of each page, in the order of mail links, text, JSON-LD, meta tags, raw HTML.
+
+    JSON-LD addresses are the values of `email` keys at any depth, so contact points, authors and members count.
+    """
     h = F.coalesce(F.col(html), F.lit(""))
     mail = F.transform(F.regexp_extract_all(h, F.lit(r"(?i)mailto:([^\"'?>\s]+)"), F.lit(1)), F.lower)
-    data = F.flatten(F.transform(scripts(h), emails_in))
+    data = F.flatten(F.transform(scripts(h), lambda body: F.transform(F.regexp_extract_all(body, F.lit(r"\"email\"\s*:\s*\"(?:mailto:)?([^\"]+)\""), F.lit(1)), F.lower)))
     meta = F.flatten(F.transform(F.regexp_extract_all(h, F.lit(r"(?i)<meta[^>]*email[^>]*>"), F.lit(0)), emails_in))
     found = F.array_distinct(F.concat(mail, emails_in(visible_text(h)), data, meta, emails_in(h)))
     return pages.withColumn("emails", F.filter(found, email_valid))
@@ -55,40 +58,119 @@ def contact_links(pages: DataFrame, most: int = 5, html: str = "html", url: str
 def resolve_enrichment(candidates: DataFrame, harvested: DataFrame, most: int = 3) -> DataFrame:
     """Each candidate's first address: of its home page, else of the first of its contact pages that has any.
 
-    candidates: business_id, url (null: no website). harvested: home, step (0: home page), emails.
+    candidates: business_id, url as it was given. harvested: home (a website_url()), step (0: home
+    page, then contact pages in order), emails. status is no_website, invalid_url, error (nothing was
+    fetched), no_email_found or success.
     """
-    full = harvested.filter((F.col("step") <= most) & (F.size("emails") > 0)).groupBy(F.col("home").alias("url")).agg(F.min_by("emails", "step").alias("all_emails"))
-    seen = harvested.select(F.col("home").alias("url")).distinct().withColumn("fetched", F.lit(True))
-    out = candidates.join(full, "url", "left").join(seen, "url", "left")
-    status = F.when(F.col("url").isNull(), "no_website").when(F.col("fetched").isNull(), "error").when(F.col("all_emails").isNull(), "no_email_found").otherwise("success")
+    site = candidates.withColumn("home", website_url(F.col("url")))
+    full = harvested.filter((F.col("step") <= most) & (F.size("emails") > 0)).groupBy("home").agg(F.min_by("emails", "step").alias("all_emails"))
+    seen = harvested.select("home").distinct().withColumn("fetched", F.lit(True))
+    out = site.join(full, "home", "left").join(seen, "home", "left")
+    status = F.when(non_empty(F.col("url")).isNull(), "no_website").when(F.col("home").isNull(), "invalid_url").when(F.col("fetched").isNull(), "error").when(F.col("all_emails").isNull(), "no_email_found").otherwise("success")
     return out.select("business_id", "url", status.alias("status"), F.get("all_emails", F.lit(0)).alias("email"), "all_emails")
 
 
-def extract_listings(pages: DataFrame, item: str, rules: dict[str, str], html: str = "html", context: int = 1000) -> DataFrame:
+def enrichment_log(resolved: DataFrame, now: Column, source: str = "website") -> DataFrame:
+    """A log row an enrichment, with what it added as JSON."""
+    added = F.when(F.col("status") == "success", F.to_json(F.struct("email", F.col("all_emails").alias("allEmails"))))
+    return resolved.select("business_id", F.lit(source).alias("source"), "status", added.alias("data_added"), now.alias("created_at"))
+
+
+def apply_enrichment(businesses: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:
+    """Businesses with the addresses found and when they were enriched; without a website, or with one that isn't an URL, that stays as it was."""
+    found = resolved.select("business_id", F.col("email").alias("__email"), (~F.col("status").isin("no_website", "invalid_url")).alias("__done"))
+    out = businesses.join(found, "business_id", "left")
+    new = {"email": F.coalesce("__email", "email"), "last_enriched_at": F.when(F.col("__done"), now).otherwise(F.col("last_enriched_at"))}
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in businesses.columns))
+
+
+def _chain(text: Column, patterns: str | list[str]) -> Column:
+    """The first pattern's first group that isn't empty."""
+    tried = [patterns] if isinstance(patterns, str) else patterns
+    return F.coalesce(*(non_empty(visible_text(F.regexp_extract(text, p, 1))) for p in tried))
+
+
+def extract_listings(pages: DataFrame, item: str | list[str], rules: dict[str, str | list[str]], html: str = "html", context: int = 1000) -> DataFrame:
     """Listings of each page: the item pattern's first group is the name; each rule looks in the text after it.
 
-    Names repeat only once a page, the first place counts, and ranks follow the order on the page.
+    Of several item patterns the first that a page holds counts, of several patterns of a field the
+    first that finds something. A rule looks at the `context` characters after its item and no
+    further, however long the page is. Names repeat only once a page, the first place counts, and
+    ranks follow the order on the page.
     """
     keep = [c for c in pages.columns if c != html]
-    parts = F.split(F.regexp_replace(html, item, "\u0001$1\u0002"), "\u0001")
+    items = [item] if isinstance(item, str) else item
+    cut = lambda p: F.split(F.regexp_replace(html, p, "\u0001$1\u0002"), "\u0001")
+    parts = F.coalesce(*(F.when(F.col(html).rlike(p), cut(p)) for p in items)) if len(items) > 1 else cut(items[0])
     rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("position", "part"))
     rows = rows.withColumns({"name": F.trim(F.substring_index("part", "\u0002", 1)), "after": F.substring(F.substring_index("part", "\u0002", -1), 1, context)}).filter("name <> ''")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keep, "name").orderBy("position"))).filter("nth = 1")
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*keep).orderBy("position")))
-    fields = {f: F.nullif(F.regexp_extract("after", pattern, 1), F.lit("")) for f, pattern in rules.items()}
+    fields = {f: _chain(F.col("after"), pattern) if isinstance(pattern, list) else F.nullif(F.regexp_extract("after", pattern, 1), F.lit("")) for f, pattern in rules.items()}
     return first.select(*keep, "rank", "name", *(v.alias(f) for f, v in fields.items()), us_phone(F.col("after")).alias("phone"))
 
 
-BUSINESS_SCHEMA = "`@type` string, name string, telephone string, url string, address struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string>, geo struct<latitude:double,longitude:double>, aggregateRating struct<ratingValue:double,reviewCount:bigint>"
+#: Patterns of local results: an item's name, then its fields, each a chain; classes and labels as result pages have them.
+LOCAL_ITEMS = [r"(?is)<[^>]*class=\"[^\"]*(?:lm_entry_title|listing_title|titleLink)[^\"]*\"[^>]*>([^<]*)<", r"(?is)<[^>]*role=\"heading\"[^>]*>([^<]*)<", r"(?is)<h[23][^>]*>([^<]*)<"]
+LOCAL_RULES = {
+    "rating_text": [r"(?i)Rated (\d+\.?\d*) out of 5", r"(?is)<[^>]*class=\"[^\"]*(?:csrc|rating-value|yi40Hd)[^\"]*\"[^>]*>([^<]*)<"],
+    "review_text": [r"(?i)([\d,.]+[KkMm]?)\s*user reviews?", r"(?is)<[^>]*class=\"[^\"]*(?:reviewCount|ratingCount|RDApEe)[^\"]*\"[^>]*>\(?([\d,.]+[KkMm]?)"],
+    "address": [r"(?is)<[^>]*class=\"[^\"]*address[^\"]*\"[^>]*>([^<]*)<"],
+    "category": [r"(?is)<[^>]*class=\"[^\"]*categories[^\"]*\"[^>]*>([^<]*)<"],
+    "website": [r"(?is)<a[^>]*class=\"[^\"]*website[^\"]*\"[^>]*href=\"([^\"]+)\"", r"(?is)<a[^>]*href=\"(https?://[^\"]+)\""],
+    "place_id": [r"(?i)data-entityid=\"([^\"]+)\"", r"(?i)data-cid=\"([^\"]+)\""],
+}
+
+
+def extract_local(pages: DataFrame, html: str = "html") -> DataFrame:
+    """extract_listings() with the patterns of local results, typed: rating over 0 and up to 5, reviews as a number."""
+    found = extract_listings(pages, LOCAL_ITEMS, LOCAL_RULES, html)
+    keep = [c for c in pages.columns if c != html]
+    address = F.coalesce("address", street_address(F.col("address")))
+    return found.select(*keep, "rank", "name", address.alias("address"), "phone", valid_rating(F.col("rating_text")).alias("rating"), compact_number(F.col("review_text")).alias("reviews"), "category", "website", "place_id")
+
+
+#: Where an organic result begins, its link and title, its snippet.
+ORGANIC = {
+    "block": r"(?is)<(?:div|li|article)[^>]*class=\"[^\"]*\b(?:result|web-result|results_links|b_algo)\b[^\"]*\"[^>]*>",
+    "link": r"(?is)<a[^>]*href=\"([^\"]+)\"[^>]*>(.*?)</a>",
+    "snippet": r"(?is)class=\"[^\"]*(?:result__snippet|result__body|b_caption)[^\"]*\"[^>]*>(.*?)</(?:a|div|p)>",
+}
+
+
+def extract_organic(pages: DataFrame, patterns: dict[str, str] = ORGANIC, html: str = "html") -> DataFrame:
+    """Organic results of each page: position, title, url (redirects unwrapped), domain, snippet (or empty).
+
+    A block without a title or without an http(s) target is none and takes no position.
+    """
+    keep = [c for c in pages.columns if c != html]
+    parts = F.split(F.regexp_replace(html, patterns["block"], "\u0001"), "\u0001")
+    rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("nth", "part"))
+    url = unwrap_redirect(F.regexp_replace(F.regexp_extract("part", patterns["link"], 1), "&amp;", "&"))
+    rows = rows.withColumns({"title": non_empty(visible_text(F.regexp_extract("part", patterns["link"], 2))), "url": url, "snippet": visible_text(F.regexp_extract("part", patterns["snippet"], 1))})
+    rows = rows.filter(F.col("url").startswith("http") & F.col("title").isNotNull())
+    return rows.select(*keep, F.row_number().over(Window.partitionBy(*keep).orderBy("nth")).alias("position"), "title", "url", F.lower(url_host(F.col("url"))).alias("domain"), "snippet")
+
+
+_BUSINESS = "`@type`:string, name:string, telephone:string, url:string, address:struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string>, geo:struct<latitude:double,longitude:double>, aggregateRating:struct<ratingValue:double,reviewCount:bigint>"
+_LISTED = f"{_BUSINESS}, item:struct<{_BUSINESS}>"
+_DOCUMENT = f"struct<{_BUSINESS}, itemListElement:array<struct<{_LISTED}>>, `@graph`:array<struct<{_BUSINESS}, itemListElement:array<struct<{_LISTED}>>>>>"
+#: Types of JSON-LD documents that are businesses.
+BUSINESS_TYPES = ("LocalBusiness", "Restaurant")
 
 
-def extract_jsonld(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Businesses in a page's JSON-LD, single or in a list."""
+def extract_jsonld(pages: DataFrame, html: str = "html", types: tuple[str, ...] = BUSINESS_TYPES) -> DataFrame:
+    """Businesses in a page's JSON-LD by their @type: single, in a list, in @graph, or as elements of an item list or what such an element wraps."""
     keep = [c for c in pages.columns if c != html]
     body = pages.select(*keep, F.explode(scripts(F.col(html))).alias("body"))
-    one = F.array(F.from_json("body", BUSINESS_SCHEMA))
-    many = F.from_json("body", f"array<struct<{BUSINESS_SCHEMA.replace('`@type` string', '`@type`:string').replace(' string', ':string').replace(' struct', ':struct').replace(', ', ',')}>>")
-    rows = body.select(*keep, F.explode(F.coalesce(F.when(F.ltrim("body").startswith("["), many), one)).alias("b")).filter(F.col("b.name").isNotNull())
+    documents = F.coalesce(F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{_DOCUMENT}>")), F.array(F.from_json("body", _DOCUMENT)))
+    names = ("@type", "name", "telephone", "url", "address", "geo", "aggregateRating")
+    plain = lambda x: F.struct(*(x.getField(n).alias(n) for n in names))
+    none = lambda items: F.coalesce(items, F.array())
+    listed = lambda d: F.flatten(F.transform(none(d["itemListElement"]), lambda x: F.array(plain(x), plain(x["item"]))))
+    inside = lambda d: F.concat(F.array(plain(d)), listed(d))
+    every = F.flatten(F.transform(documents, lambda d: F.concat(inside(d), F.flatten(F.transform(none(d["@graph"]), inside)))))
+    rows = body.select(*keep, F.explode(every).alias("b")).filter(F.col("b.name").isNotNull() & F.col("b")["@type"].rlike(rf"\b(?:{'|'.join(types)})\b"))
     return rows.select(*keep, F.col("b.name").alias("name"), normalize_phone(F.col("b.telephone")).alias("phone"), F.col("b.url").alias("website"), F.col("b.address.addressLocality").alias("city"), F.col("b.geo.latitude").alias("lat"), F.col("b.geo.longitude").alias("lng"), F.col("b.aggregateRating.ratingValue").alias("rating"), F.col("b.aggregateRating.reviewCount").alias("review_count"))
 
 
@@ -98,8 +180,11 @@ def extract_related(pages: DataFrame, attribute: str = "data-q", html: str = "ht
 
 
 def listings_from_snippets(organic: DataFrame) -> DataFrame:
-    """Organic results whose snippet holds a valid US phone."""
-    return organic.withColumn("phone", us_phone(F.col("snippet"))).filter("phone is not null")
+    """Businesses of organic results whose snippet holds a valid US phone: name, address, phone, website (the result's origin), in order."""
+    keep = [c for c in organic.columns if c not in ("position", "title", "url", "domain", "snippet")]
+    found = organic.withColumn("phone", us_phone(F.col("snippet"))).filter("phone is not null")
+    order = Window.partitionBy(*keep).orderBy("position") if keep else Window.orderBy("position")
+    return found.select(*keep, F.row_number().over(order).alias("rank"), F.col("title").alias("name"), street_address(F.col("snippet")).alias("address"), "phone", url_origin(F.col("url")).alias("website"))
 
 
 def website_quality(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -82,15 +82,44 @@ def cancel(scans: DataFrame) -> DataFrame:
     return scans.withColumn("status", F.when(F.col("status").isin(*TERMINAL), F.col("status")).otherwise("cancelled"))
 
 
-def seed_dimensions(spark, areas: list[tuple], tree: dict[str, dict[str, list[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Areas (name, state, lat, lng, radius), the category tree and its keywords; a keyword's priority falls along its list."""
+# The seed areas (name, state, latitude, longitude, radius in miles).
+SEED_AREAS = [
+    ("Delray Beach", "FL", 26.4615, -80.0728, 3.0),
+    ("Boca Raton", "FL", 26.3683, -80.1289, 3.0),
+    ("Boynton Beach", "FL", 26.5254, -80.0662, 3.0),
+]
+# The seed categories (name, slug, parent's slug, keywords by falling priority).
+SEED_CATEGORIES = [
+    ("IT Consulting", "it-consulting", None, ["IT consulting", "tech consulting near me", "computer consulting", "IT support small business", "technology consultant"]),
+    ("Web Development", "web-development", None, ["web developer near me", "website development", "custom software development", "web design", "app development near me"]),
+    ("SEO Services", "seo-services", None, ["SEO services near me", "SEO company", "local SEO", "search engine optimization", "SEO agency"]),
+    ("Computer Repair", "computer-repair", None, ["computer repair near me", "laptop repair", "PC repair", "computer fix near me", "tech repair"]),
+    ("Managed IT Services", "managed-it-services", None, ["managed IT services", "managed service provider", "IT managed services near me", "MSP near me"]),
+    ("Restaurants", "restaurants", None, ["restaurants near me", "best restaurants", "food near me", "dinner near me", "lunch spots"]),
+    ("Pizza", "pizza", "restaurants", ["pizza near me", "best pizza", "pizza delivery", "pizzeria near me"]),
+    ("Mexican Restaurants", "mexican-restaurants", "restaurants", ["mexican food near me", "mexican restaurant", "tacos near me", "best mexican food"]),
+    ("Italian Restaurants", "italian-restaurants", "restaurants", ["italian restaurant near me", "italian food", "pasta near me", "best italian restaurant"]),
+    ("Fast Food", "fast-food", "restaurants", ["fast food near me", "drive through near me", "quick food", "cheap eats near me"]),
+    ("Coffee Shops", "coffee-shops", "restaurants", ["coffee near me", "coffee shop", "cafe near me", "best coffee"]),
+    ("Bars & Nightlife", "bars-nightlife", "restaurants", ["bars near me", "happy hour near me", "sports bar", "cocktail bar near me"]),
+]
+
+
+def seed_dimensions(spark, areas=SEED_AREAS, categories=SEED_CATEGORIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Areas, the category tree and its keywords; a keyword's priority falls along its list. Small by nature."""
     area = spark.createDataFrame(areas, "name string, state string, lat double, lng double, radius_miles double")
-    rows = [(p, None, []) for p in tree] + [(c, p, k) for p, children in tree.items() for c, k in children.items()]
-    category = spark.createDataFrame(rows, "slug string, parent string, keywords array<string>")
+    category = spark.createDataFrame(categories, "name string, slug string, parent string, keywords array<string>")
     keyword = category.select(F.col("slug").alias("category"), F.posexplode("keywords").alias("index", "keyword"), F.size("keywords").alias("n"))
     return area, category.drop("keywords"), keyword.select("category", "keyword", (F.col("n") - F.col("index")).alias("priority"))
 
 
+def plan_schedules(schedules: DataFrame, areas: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each schedule's part of a plan: the areas, categories (`slugs`) and engines that it lists; empty lists mean all."""
+    listed = lambda c, v: F.coalesce(F.size(c) <= 0, F.lit(True)) | F.coalesce(F.array_contains(c, F.col(v)), F.lit(False))
+    rows = expand_schedules(schedules, areas).join(schedules.select("schedule_id", "slugs", "engines"), "schedule_id").join(plan, "area_id")
+    return rows.filter(listed("slugs", "slug") & listed("engines", "engine")).drop("slugs", "engines")
+
+
 def expand_schedules(schedules: DataFrame, areas: DataFrame, column: str = "area_ids") -> DataFrame:
     """A row for each schedule and area; an empty list means all active ones, which the schedules' own job sends along."""
     listed = schedules.filter(F.size(column) > 0).select("schedule_id", F.explode(column).alias("area_id"))
@@ -104,6 +133,23 @@ def eta(progress: DataFrame, started: Column, now: Column) -> DataFrame:
     return progress.withColumn("eta", F.when(F.col("points_done") > 0, started + per_point * F.col("points_total")))
 
 
+def timeouts(scans: DataFrame, now: Column, single: int = 30, batch: int = 360) -> DataFrame:
+    """Running scans that began over `single` minutes ago, or `batch` for those of a batch, have failed, with a message; others stay.
+
+    scans: status, started (seconds since 1970), in_batch.
+    """
+    limit = F.when(F.col("in_batch"), batch).otherwise(single)
+    over = (F.col("status") == "running") & (now - F.col("started") > limit * 60)
+    return scans.withColumns({"status": F.when(over, "failed").otherwise(F.col("status")), "message": F.when(over, F.concat(F.lit("Timed out after "), limit, F.lit(" minutes")))})
+
+
+def quick_plan(areas: DataFrame, categories: DataFrame, keywords: DataFrame, businesses: DataFrame, engine: str, known: tuple[str, ...]) -> DataFrame:
+    """The plan of a quick scan: our own businesses' categories and areas, the first five keywords of each, one engine."""
+    own = businesses.filter("is_mine")
+    plan = expand_scan_plan(areas.join(own.select("area_id"), "area_id", "left_semi"), categories.join(own.select(F.col("category").alias("slug")), "slug", "left_semi"), keywords, [engine], known, per_category=5)
+    return plan
+
+
 def scan_counts(scans: DataFrame, today: Column) -> DataFrame:
     """Pending, running and completed today."""
     return scans.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count_if((F.col("status") == "completed") & (F.col("day") == today)).alias("completed_today"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankatlas.functions.scalars import haversine_miles, names_close, normalize_domain, normalize_name, normalize_phone
+from rankatlas.functions.scalars import engine_family, haversine_miles, names_close, normalize_domain, normalize_name, normalize_phone
 from rankatlas.operators.lineage import checkpoint
 
 # Confidence of each rule, in the order in which they are tried.
 RULES = {"place_id": 100, "phone": 90, "name_location": 95, "fuzzy_name_phone": 85, "domain_city": 80}
 NEAR_MILES = 0.031
-#: Degrees; two places in one cell are always near.
-CELL = 0.0002
+#: Degrees of latitude in NEAR_MILES; the side of a cell.
+CELL = NEAR_MILES / 69.0
 
 
 def _when() -> Column:
@@ -27,13 +27,22 @@ def _earliest(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
 
 
 def _near(df: DataFrame) -> DataFrame:
-    """Edges between equal names in the same or a nearby cell, by each cell's earliest observation."""
-    placed = df.dropna(subset=["norm_name", "lat", "lng"]).filter("norm_name <> ''").withColumns({"cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lng") / CELL)})
-    cells = placed.groupBy("norm_name", "cx", "cy").agg(F.min(F.struct("observed_at", "obs_id", "lat", "lng")).alias("p"))
-    reach = F.sequence(F.lit(-3), F.lit(3))
-    around = placed.withColumn("cx", F.explode(F.transform(reach, lambda i: F.col("cx") + i))).withColumn("cy", F.explode(F.transform(reach, lambda i: F.col("cy") + i)))
-    found = around.join(cells, ["norm_name", "cx", "cy"]).filter(haversine_miles(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng")) < NEAR_MILES)
-    return found.withColumn("parent", F.struct("p.observed_at", "p.obs_id")).filter(_when() > F.col("parent")).select("obs_id", "parent", F.lit("name_location").alias("rule"))
+    """Edges between equal names at near places, from each to the earliest one of the other places.
+
+    Observations of one name at one place are one candidate, so copies make no pairs; places are
+    compared with those in their own and the neighbouring cells, which are as many more to the east
+    and west as the meridians are closer.
+    """
+    placed = df.dropna(subset=["norm_name", "lat", "lng"]).filter("norm_name <> ''")
+    places = placed.groupBy("norm_name", "lat", "lng").agg(F.min(_when()).alias("p"))
+    cells = places.withColumns({"cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lng") / CELL)})
+    wide = F.ceil(1.001 / F.greatest(F.cos(F.radians(F.abs("lat") + CELL)), F.lit(0.001))).cast("int")
+    around = cells.select("norm_name", "lat", "lng", "cy", F.explode(F.transform(F.sequence(-wide, wide), lambda i: F.col("cx") + i)).alias("cx"))
+    around = around.withColumn("cy", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.col("cy") + i)))
+    others = cells.select("norm_name", "cx", "cy", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("p").alias("parent"))
+    close = around.join(others, ["norm_name", "cx", "cy"]).filter(haversine_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")) < NEAR_MILES)
+    earliest = close.groupBy("norm_name", "lat", "lng").agg(F.min("parent").alias("parent"))
+    return placed.join(earliest, ["norm_name", "lat", "lng"]).filter(_when() > F.col("parent")).select("obs_id", "parent", F.lit("name_location").alias("rule"))
 
 
 def match_edges(observations: DataFrame, phone_requires_name: bool = False) -> DataFrame:
@@ -87,7 +96,28 @@ def survive_by_source(resolved: DataFrame, columns: list[str], precedence: list[
 
 
 def build_facts(observations: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A ranking row an observation, and a review snapshot where rating and count are both there."""
+    """A ranking row an observation, and a review snapshot where rating and count are both there, by family of its source."""
     full = observations.join(resolved.select("obs_id", "business_id"), "obs_id")
-    snapshots = full.filter("rating is not null and review_count is not null").select("business_id", "source", "rating", "review_count", F.col("observed_at").alias("captured"))
+    snapshots = full.filter("rating is not null and review_count is not null").select("business_id", engine_family(F.col("source"), strict=False).alias("source"), "rating", "review_count", F.col("observed_at").alias("captured"))
     return full.select("business_id", "point_id", "rank", "observed_at"), snapshots
+
+
+def ingest(batch: DataFrame, number: int, folder: str, order: tuple[str, ...] = tuple(RULES), phone_requires_name: bool = False) -> None:
+    """One batch of observations into the dimension and the facts under a folder; for ingest_stream().
+
+    The entities known so far take part as observations of the oldest times. Everything is written
+    under the batch's number, in place of an earlier try of the same batch.
+    """
+    spark = batch.sparkSession
+    columns = ["obs_id", "observed_at", "name", "place_id", "phone", "website", "city", "lat", "lng"]
+    seen = batch.select(*columns)
+    if number:
+        seen = seen.unionByName(spark.read.parquet(f"{folder}/entities/batch={number - 1}").select(*columns))
+    resolved = checkpoint(resolve_entities(seen, order, phone_requires_name))
+    merged = survive(seen.join(resolved.select("obs_id", "business_id"), "obs_id"), ["name", "city"], ["place_id", "phone", "website"], {"point": ["lat", "lng"]})
+    # an entity goes on under its first observation
+    entities = merged.join(seen.select(F.col("obs_id").alias("business_id"), F.col("observed_at").alias("first_at")), "business_id").select(F.col("business_id").alias("obs_id"), F.col("first_at").alias("observed_at"), *columns[2:])
+    entities.write.mode("overwrite").parquet(f"{folder}/entities/batch={number}")
+    rankings, snapshots = build_facts(batch, resolved)
+    rankings.write.mode("overwrite").parquet(f"{folder}/rankings/batch={number}")
+    snapshots.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")

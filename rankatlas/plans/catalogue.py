@@ -29,10 +29,14 @@ def query(sql: str | None = None, needs: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from rankatlas.plans import more  # noqa: F401  registers its own
+
     return {n: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for n, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from rankatlas.plans import more  # noqa: F401
+
     return {n: sql for n, (_, sql) in _found.items() if sql}
 
 
@@ -130,14 +134,14 @@ def b7_mine(v):
     return C.filter_businesses(v.business, is_mine=True).select("business_id", "name")
 
 
-@query("SELECT business_id, name, last_seen FROM business WHERE is_active AND (contains(lower(name), '00012') OR contains(lower(city), '00012') OR contains(lower(website), '00012') OR contains(phone, '00012')) ORDER BY last_seen DESC, business_id LIMIT 50", "business")
+@query("SELECT business_id, name, last_seen FROM business WHERE is_active AND (contains(lower(name), '00012') OR contains(lower(address), '00012') OR contains(lower(city), '00012') OR contains(lower(website), '00012') OR contains(phone, '00012')) ORDER BY last_seen DESC, business_id LIMIT 50", "business")
 def b8_search(v):
     return C.search(v.business, "00012").select("business_id", "name", "last_seen")
 
 
 @query("SELECT point_id, scan_month FROM point WHERE engine = '1-URGENT' AND status = 'completed' AND area_id = 4", "point")
 def b9_filter_scans(v):
-    return v.point.filter("engine = '1-URGENT' AND status = 'completed' AND area_id = 4").select("point_id", "scan_month")
+    return C.filter_scans(v.point, status="completed", engine="1-URGENT", area=4).select("point_id", "scan_month")
 
 
 @query("SELECT business_id, enriched_hours FROM business WHERE is_active AND website IS NOT NULL AND email IS NULL AND (enriched_hours IS NULL OR enriched_hours > 168) ORDER BY enriched_hours DESC NULLS FIRST, business_id LIMIT 500", "business")
@@ -161,9 +165,9 @@ def b16_engine_family(v):
     return named.groupBy("engine", S.engine_family(F.col("id")).alias("family")).agg(F.count("*").alias("points"))
 
 
-@query("SELECT business_id, scan_month, rank FROM fact WHERE keyword = 'kw3' AND area_id < 5 AND engine = '3-MEDIUM' AND scan_month BETWEEN 23965 AND 23980", "fact")
+@query("SELECT business_id, scan_month, rank FROM fact WHERE keyword = 'kw3' AND area_id = 5 AND engine = '3-MEDIUM' AND scan_month BETWEEN 23965 AND 23980", "fact")
 def b17_filter_trend(v):
-    return v.fact.filter("keyword = 'kw3' AND area_id < 5 AND engine = '3-MEDIUM' AND scan_month BETWEEN 23965 AND 23980").select("business_id", "scan_month", "rank")
+    return C.filter_trend(v.fact, keyword="kw3", area=5, engine="3-MEDIUM", start=23965, end=23980).select("business_id", "scan_month", "rank")
 
 
 @query("SELECT page_id, contains(lower(html), 'captcha') OR contains(lower(html), 'unusual traffic') OR contains(lower(html), 'our systems have detected') OR contains(lower(html), 'sorry/index') OR contains(lower(html), 'recaptcha') AS blocked FROM pages")
@@ -173,13 +177,12 @@ def b18_blocked_pages(v):
 
 @query("SELECT page_id, octet_length(encode(html)) AS bytes FROM pages WHERE octet_length(encode(html)) <= 5242880 AND contains(lower(html), '<html')")
 def b19_usable_pages(v):
-    return v.pages.withColumn("bytes", F.octet_length("html").cast("long")).filter((F.col("bytes") <= 5 * 1024 * 1024) & F.lower("html").contains("<html")).select("page_id", "bytes")
+    return C.usable_pages(v.pages).filter(F.lower("html").contains("<html")).select("page_id", "bytes")
 
 
 @query("SELECT business_id, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY captured DESC, snapshot_id DESC) AS nth FROM review) WHERE nth <= 100", "review")
 def b21_review_history(v):
-    order = Window.partitionBy("business_id").orderBy(F.desc("captured"), F.desc("snapshot_id"))
-    return v.review.withColumn("nth", F.row_number().over(order)).filter("nth <= 100").select("business_id", "snapshot_id")
+    return C.review_history(v.review).select("business_id", "snapshot_id")
 
 
 # --- joins
@@ -211,7 +214,7 @@ def c5_category_overview(v):
     return C.category_overview(v.category, v.keyword)
 
 
-@query("SELECT slug AS ancestor, slug AS descendant, 0 AS depth FROM category UNION ALL SELECT parent, slug, 1 FROM category WHERE parent IS NOT NULL", "category")
+@query("WITH RECURSIVE tree AS (SELECT slug AS ancestor, slug AS descendant, 0 AS depth FROM category UNION ALL SELECT c.parent, t.descendant, t.depth + 1 FROM tree t JOIN category c ON t.ancestor = c.slug WHERE c.parent IS NOT NULL) SELECT * FROM tree", "category")
 def c6_category_closure(v):
     return C.category_closure(v.category)
 
@@ -238,9 +241,9 @@ def c16_recovery_plan(v):
     return P.recovery_plan(v.point, ["area_id", "engine", "scan_month"])[0].select("point_id", "area_id")
 
 
-@query("SELECT DISTINCT area_id, keyword FROM fact WHERE rank = 1 AND business_id IN (SELECT business_id FROM ranked WHERE is_competitor) EXCEPT SELECT area_id, keyword FROM fact WHERE rank = 1 AND business_id IN (SELECT business_id FROM ranked WHERE is_mine)", "fact ranked")
+@query("SELECT DISTINCT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_competitor) EXCEPT SELECT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_mine)", "fact ranked")
 def c17_keyword_gap(v):
-    return A.keyword_gap(v.fact.filter("rank = 1"), v.ranked)
+    return A.keyword_gap(v.fact, v.ranked)
 
 
 @query("SELECT DISTINCT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_competitor) EXCEPT SELECT area_id, keyword FROM fact WHERE business_id IN (SELECT business_id FROM ranked WHERE is_mine)", "fact ranked")
@@ -266,9 +269,9 @@ def d1_page_counts(v):
     return C.page_counts(C.active(v.business), 20)
 
 
-@query("SELECT 'area' AS table_name, count(*) AS rows, count(*) FILTER (is_active) AS active FROM area UNION ALL SELECT 'business', count(*), count(*) FILTER (is_active) FROM business UNION ALL SELECT 'point', count(*), NULL FROM point", "area business point")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, {'count(*) FILTER (is_active)' if active else 'NULL::BIGINT'} AS active FROM {t}" for t, active in (("area", 1), ("category", 1), ("business", 1), ("point", 0), ("ranking", 0))), "area category business point ranking")
 def d2_system_stats(v):
-    return C.system_stats(area=v.area, business=v.business, point=v.point)
+    return C.system_stats(area=v.area, category=v.category, business=v.business, point=v.point, ranking=v.ranking)
 
 
 @query("SELECT area_id, engine, scan_month, count(*) FILTER (status = 'completed') AS points_done, count(*) FILTER (status = 'failed') AS points_failed, count(*) AS points_total, CAST(round(100.0 * count(*) FILTER (status = 'completed') / count(*)) AS INT) AS percent FROM point GROUP BY area_id, engine, scan_month", "point")
@@ -334,9 +337,9 @@ def d18_market_overview(v):
     return A.market_overview(v.fact, v.ranked)
 
 
-@query("SELECT business_id, keyword, " + ", ".join(f"min(rank) FILTER (area_id = {a}) AS a{a}" for a in range(4)) + " FROM fact GROUP BY business_id, keyword", "fact")
+@query("SELECT business_id, keyword, " + ", ".join(f"min(rank) FILTER (area_id = {a}) AS a{a}" for a in range(25)) + " FROM fact GROUP BY business_id, keyword", "fact")
 def d19_keyword_area_matrix(v):
-    return A.keyword_area_matrix(v.fact, [0, 1, 2, 3])
+    return A.keyword_area_matrix(v.fact, [r.area_id for r in v.area.select("area_id").orderBy("area_id").collect()])
 
 
 @query("SELECT business_id, keyword, area_id, min(rank) AS rank FROM fact GROUP BY ALL", "fact")
@@ -344,7 +347,7 @@ def d19_keyword_area_ranks(v):
     return A.keyword_area_ranks(v.fact)
 
 
-@query("SELECT area_id, mine, theirs, CASE WHEN coalesce(mine, 0) < 1 AND coalesce(theirs, 0) < 1 THEN 'neither' WHEN abs(coalesce(mine, 0) - coalesce(theirs, 0)) <= 0.5 THEN 'contested' WHEN coalesce(mine, 0) > coalesce(theirs, 0) THEN 'mine' ELSE 'competitor' END AS holder FROM (SELECT s.area_id, max(solv) FILTER (is_mine) AS mine, max(solv) FILTER (is_competitor) AS theirs FROM (SELECT t.area_id, business_id, round(100.0 * n / points, 4) AS solv FROM (SELECT area_id, business_id, count(*) AS n FROM fact WHERE rank <= 3 AND point_id IN (SELECT point_id FROM point WHERE status = 'completed') GROUP BY ALL) t JOIN (SELECT area_id, count(*) AS points FROM point WHERE status = 'completed' GROUP BY area_id) p ON t.area_id = p.area_id) s JOIN ranked b ON s.business_id = b.business_id GROUP BY s.area_id)", "fact point ranked")
+@query("SELECT area_id, mine, theirs, CASE WHEN coalesce(mine, 0) < 40 AND coalesce(theirs, 0) < 40 THEN 'neither' WHEN coalesce(mine, 0) >= 40 AND coalesce(theirs, 0) >= 40 AND abs(coalesce(mine, 0) - coalesce(theirs, 0)) <= 10 THEN 'contested' WHEN coalesce(mine, 0) > coalesce(theirs, 0) THEN 'mine' ELSE 'competitor' END AS holder FROM (SELECT s.area_id, max(solv) FILTER (is_mine) AS mine, max(solv) FILTER (is_competitor) AS theirs FROM (SELECT t.area_id, business_id, round(100.0 * n / points, 4) AS solv FROM (SELECT area_id, business_id, count(*) AS n FROM fact WHERE rank <= 3 AND point_id IN (SELECT point_id FROM point WHERE status = 'completed') GROUP BY ALL) t JOIN (SELECT area_id, count(*) AS points FROM point WHERE status = 'completed' GROUP BY area_id) p ON t.area_id = p.area_id) s JOIN ranked b ON s.business_id = b.business_id GROUP BY s.area_id)", "fact point ranked")
 def d20_geo_dominance(v):
     return A.geo_dominance(v.fact, v.point, v.ranked)
 
@@ -357,9 +360,9 @@ def d21_geo_gap(v):
 _DELTA = "SELECT snapshot_id, business_id, source, captured, review_count - lag(review_count) OVER (PARTITION BY business_id, source ORDER BY captured, snapshot_id) AS delta FROM review"
 
 
-@query(f"SELECT business_id, CAST(floor(captured / 86400) AS BIGINT) AS period, sum(delta)::BIGINT AS gained FROM ({_DELTA}) WHERE delta > 0 GROUP BY 1, 2", "review")
+@query(f"SELECT business_id, CAST(year(make_timestamp(captured * 1000000)) * 12 + month(make_timestamp(captured * 1000000)) AS INT) AS month, sum(delta)::BIGINT AS gained FROM ({_DELTA}) WHERE delta > 0 GROUP BY 1, 2", "review")
 def d22_reviews_per_period(v):
-    return A.reviews_per_day(v.review)
+    return A.reviews_per_month(v.review)
 
 
 @query("SELECT business_id, count(*) FILTER (result_type = 'ads') AS ads, count(*) AS results FROM ranking GROUP BY business_id", "ranking")
@@ -382,9 +385,15 @@ def d27_usage(v):
     return U.usage(v.request, 40, 200)
 
 
-@query("SELECT engine, count(*) AS requests, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'blocked') AS blocks, max(second) AS last, 0::BIGINT AS depth FROM request GROUP BY engine", "request")
+_BLOCKS = "WITH RECURSIVE b AS (SELECT engine, second, row_number() OVER (PARTITION BY engine ORDER BY second, request_id) AS k FROM request WHERE outcome = 'blocked'), walk AS (SELECT engine, k, second, second AS start, 1 AS nth FROM b WHERE k = 1 UNION ALL SELECT b.engine, b.k, b.second, CASE WHEN b.second - w.start >= 86400 THEN b.second ELSE w.start END, CASE WHEN b.second - w.start >= 86400 THEN 1 ELSE w.nth + 1 END FROM walk w JOIN b ON b.engine = w.engine AND b.k = w.k + 1) SELECT engine, max(second + CASE nth WHEN 1 THEN 15 WHEN 2 THEN 120 ELSE 1440 END * 60) AS blocked_until FROM walk GROUP BY engine"
+#: Requests name other engines than points; these five stand for each other.
+_SAME = {"1-URGENT": "click", "2-HIGH": "view", "3-MEDIUM": "purchase", "4-NOT SPECIFIED": "signup", "5-LOW": "error"}
+
+
+@query(f"SELECT r.*, blocked_until, coalesce(depth, 0) AS depth FROM (SELECT engine, count(*) AS requests, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'blocked') AS blocks, max(second) AS last FROM request GROUP BY engine) r LEFT JOIN ({_BLOCKS}) u ON r.engine = u.engine LEFT JOIN (SELECT CASE engine {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in _SAME.items())} END AS engine, count(*) AS depth FROM point WHERE status = 'pending' GROUP BY 1) d ON r.engine = d.engine", "request point")
 def d28_engine_status(v):
-    return U.engine_status(v.request, P.pending_depth(v.point))
+    named = F.create_map(*(F.lit(x) for kv in _SAME.items() for x in kv))
+    return U.engine_status(v.request, P.pending_depth(v.point.withColumn("engine", named[F.col("engine")])))
 
 
 @query("SELECT business_id, " + ", ".join(f"bool_or(engine = '{e}') AS has{e[0]}" for e in ENGINES) + " FROM fact GROUP BY business_id", "fact")
@@ -430,9 +439,9 @@ def e8_latest_scan(v):
     return A.latest_scan(v.point)
 
 
-@query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY avg_rank, business_id) AS nth FROM (SELECT area_id, business_id, round(avg(rank), 4) AS avg_rank FROM fact GROUP BY ALL)) WHERE nth <= 5", "fact")
+@query("SELECT area_id, business_id, round(mean, 4) AS avg_rank, nth FROM (SELECT m.*, row_number() OVER (PARTITION BY m.area_id ORDER BY mean, reviews DESC NULLS LAST, m.business_id) AS nth FROM (SELECT area_id, business_id, avg(rank) AS mean FROM fact GROUP BY ALL) m LEFT JOIN ranked b ON m.business_id = b.business_id) WHERE nth <= 5", "fact ranked")
 def e9_top_k(v):
-    return A.top_k(v.fact)
+    return A.top_k(v.fact, v.ranked)
 
 
 @query("SELECT business_id, keyword, engine, scan_month, round(change, 4) AS change FROM (SELECT *, mean - lag(mean) OVER (PARTITION BY business_id, keyword, engine ORDER BY scan_month) AS change FROM (SELECT business_id, keyword, engine, scan_month, avg(rank) AS mean FROM fact GROUP BY ALL)) WHERE abs(change) >= 3", "fact")
@@ -478,9 +487,9 @@ def g5_keyword_sets(v):
 # --- scalars over the tables
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 400)), '\b(llc|inc|corp|ltd|co|company|corporation|incorporated|limited)\b', '', 'g'), '[^a-z0-9_\t\n\x0B\f\r ]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS name FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(llc|inc|corp|ltd|co|company|corporation|incorporated|limited)\b', '', 'g'), '[^a-z0-9_\t\n\x0B\f\r ]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS name FROM documents")
 def h1_normalize_name(v):
-    return v.documents.select("doc_id", S.normalize_name(F.substring("text", 1, 400)).alias("name"))
+    return v.documents.select("doc_id", S.normalize_name(F.col("text")).alias("name"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(llc|inc|corp|ltd|co|company|corporation|incorporated|limited)\b', '', 'g'), '[^a-z0-9_\t\n\x0B\f\r ]', '', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS name FROM documents")
@@ -605,12 +614,12 @@ def j6_progress_stream(v):
     return run_once(progress_stream(points, ["engine"]))
 
 
-@query("SELECT user_id AS business_id, year(ts) * 12 + month(ts) AS month, count(*) AS snapshots FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS business_id, year(ts) * 12 + month(ts) AS month, count(*) AS snapshots FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY 1, 2")
 def j9_review_months_stream(v):
-    from rankatlas.streaming.streams import read_stream, review_months_stream, run_once
+    from rankatlas.streaming.streams import read_stream, review_days_stream, review_months, run_once
 
     rows = read_stream(v.spark, v.sf_dir, "events").select("ts", F.col("user_id").alias("business_id"))
-    return run_once(review_months_stream(rows)).select("business_id", (F.year("month") * 12 + F.month("month")).alias("month"), "snapshots")
+    return review_months(run_once(review_days_stream(rows), "append"))
 
 
 # --- more of plans and metrics
@@ -628,9 +637,9 @@ def d6_eta(v):
     return P.eta(progress, F.lit(100.0), F.lit(150.0)).select("area_id", "engine", F.round("eta", 4).alias("eta"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (email IS NOT NULL AND website IS NOT NULL) AS enriched, count(*) FILTER (email IS NULL AND website IS NOT NULL) AS processed_without, count(*) FILTER (website IS NULL) AS skipped, 0::BIGINT AS failed FROM business", "business")
+@query("SELECT count(*) AS total, count(*) FILTER (email IS NOT NULL AND website IS NOT NULL AND business_id % 13 <> 5) AS enriched, count(*) FILTER (email IS NULL AND website IS NOT NULL AND business_id % 13 <> 5) AS processed_without, count(*) FILTER (website IS NULL) AS skipped, count(*) FILTER (business_id % 13 = 5 AND website IS NOT NULL) AS failed, string_agg(DISTINCT email, ',' ORDER BY email) AS emails FROM business", "business")
 def d9_enrichment_summary(v):
-    status = F.when(F.col("website").isNull(), "no_website").when(F.col("email").isNull(), "no_email_found").otherwise("success")
+    status = F.when(F.col("website").isNull(), "no_website").when(F.col("business_id") % 13 == 5, "error").when(F.col("email").isNull(), "no_email_found").otherwise("success")
     return A.enrichment_summary(v.business.withColumn("status", status))
 
 
@@ -646,9 +655,11 @@ def d30_weaknesses(v):
     return A.weaknesses(v.business)
 
 
-@query("SELECT count(*) FILTER (status = 'pending') AS pending, 0::BIGINT AS running, count(*) FILTER (status = 'completed' AND scan_month = 23970) AS completed_today FROM point", "point")
+@query("SELECT count(*) FILTER (left_ = n) AS pending, count(*) FILTER (left_ BETWEEN 1 AND n - 1) AS running, count(*) FILTER (left_ = 0 AND scan_month = 23970) AS completed_today FROM (SELECT area_id, engine, keyword, scan_month, count(*) AS n, count(*) FILTER (status = 'pending') AS left_ FROM point GROUP BY ALL)", "point")
 def d31_scan_counts(v):
-    return P.scan_counts(v.point.withColumn("day", F.col("scan_month")), F.lit(23970))
+    left = F.count_if(F.col("status") == "pending")
+    scans = v.point.groupBy("area_id", "engine", "keyword", F.col("scan_month").alias("day")).agg(F.when(left == F.count("*"), "pending").when(left > 0, "running").otherwise("completed").alias("status"))
+    return P.scan_counts(scans, F.lit(23970))
 
 
 @query("SELECT business_id, CASE WHEN is_mine THEN 1 WHEN is_competitor THEN 2 WHEN business_id IN (SELECT business_id FROM fact WHERE rank <= 5) THEN 3 WHEN enriched_hours IS NULL THEN 4 WHEN enriched_hours > 300 THEN 5 ELSE 6 END AS tier FROM business", "business fact")

@@ -14,11 +14,11 @@ VIEWS = {
     "area": "SELECT n_nationkey AS area_id, n_name AS area, n_regionkey AS state_id, CAST(24 + n_nationkey * 0.5 AS DOUBLE) AS lat, CAST(-80 - n_nationkey * 0.25 AS DOUBLE) AS lng, CAST(3 AS DOUBLE) AS radius_miles, n_nationkey % 5 <> 4 AS is_active FROM nation",
     "category": "SELECT DISTINCT p_type AS slug, CAST(NULL AS STRING) AS parent, TRUE AS is_active FROM part UNION ALL SELECT DISTINCT p_type || '/' || p_brand AS slug, p_type AS parent, p_brand <> 'Brand#9' AS is_active FROM part",
     "keyword": "SELECT p_type || '/' || p_brand AS category, p_name AS keyword, count(*) AS priority FROM part GROUP BY p_type, p_brand, p_name",
-    "business": "SELECT c_custkey AS business_id, c_name AS name, c_mktsegment AS category, CAST(c_nationkey AS STRING) AS city, c_nationkey AS area_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE round(1 + c_acctbal / 2500, 1) END AS rating, c_custkey * 7 % 500 AS reviews, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '561' || lpad(CAST(c_custkey % 9000 AS STRING), 7, '0') END AS phone, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'https://www.Shop' || CAST(c_custkey % 90 AS STRING) || '.example/x' END AS website, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'info@shop' || CAST(c_custkey AS STRING) || '.example' END AS email, c_custkey % 50 = 1 AS is_mine, c_custkey % 20 = 3 AS is_competitor, c_custkey % 10 <> 0 AS is_active, c_custkey * 37 % 1000 AS last_seen, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey * 11 % 400 END AS enriched_hours, CAST(24 + c_nationkey * 0.5 + (c_custkey % 97) * 0.001 AS DOUBLE) AS lat, CAST(-80 - c_nationkey * 0.25 - (c_custkey % 89) * 0.001 AS DOUBLE) AS lng FROM customer",
+    "business": "SELECT c_custkey AS business_id, c_name AS name, c_mktsegment AS category, CAST(c_nationkey AS STRING) AS city, CASE WHEN c_nationkey % 2 = 0 THEN 'FL' ELSE 'GA' END AS state, CAST(c_custkey AS STRING) || ' Main St' AS address, c_nationkey AS area_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE round(1 + c_acctbal / 2500, 1) END AS rating, c_custkey * 7 % 500 AS reviews, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '561' || lpad(CAST(c_custkey % 9000 AS STRING), 7, '0') END AS phone, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'https://www.Shop' || CAST(c_custkey % 90 AS STRING) || '.example/x' END AS website, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'info@shop' || CAST(c_custkey AS STRING) || '.example' END AS email, c_custkey % 50 = 1 AS is_mine, c_custkey % 20 = 3 AS is_competitor, c_custkey % 10 <> 0 AS is_active, c_custkey * 37 % 1000 AS last_seen, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey * 11 % 400 END AS enriched_hours, CAST(24 + c_nationkey * 0.5 + (c_custkey % 97) * 0.001 AS DOUBLE) AS lat, CAST(-80 - c_nationkey * 0.25 - (c_custkey % 89) * 0.001 AS DOUBLE) AS lng FROM customer",
     "point": "SELECT o_orderkey AS point_id, c_nationkey AS area_id, o_orderpriority AS engine, 'kw' || CAST(o_custkey % 8 AS STRING) AS keyword, year(o_orderdate) * 12 + month(o_orderdate) AS scan_month, CAST(floor((o_orderkey % 49) / 7) AS INT) AS grid_row, CAST(o_orderkey % 7 AS INT) AS grid_col, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders JOIN customer ON o_custkey = c_custkey",
     "ranking": "SELECT l_orderkey AS point_id, l_suppkey AS business_id, l_linenumber AS rank, CASE WHEN l_tax > 0.06 THEN 'ads' ELSE 'local' END AS result_type FROM lineitem",
     "ranked": "SELECT s_suppkey AS business_id, s_name AS name, s_nationkey AS area_id, s_suppkey % 10 = 1 AS is_mine, s_suppkey % 10 = 3 AS is_competitor, s_suppkey * 7 % 500 AS reviews, CASE WHEN s_acctbal < 0 THEN NULL ELSE round(1 + s_acctbal / 2500, 1) END AS rating FROM supplier",
-    "fact": "SELECT p.point_id, area_id, engine, keyword, scan_month, grid_row, grid_col, business_id, rank FROM (SELECT point_id, business_id, min(rank) AS rank FROM ranking GROUP BY point_id, business_id) r JOIN point p ON r.point_id = p.point_id",
+    "fact": "SELECT p.point_id, area_id, engine, keyword, scan_month, grid_row, grid_col, status, business_id, rank FROM (SELECT point_id, business_id, min(rank) AS rank FROM ranking GROUP BY point_id, business_id) r JOIN point p ON r.point_id = p.point_id",
     "review": "SELECT event_id AS snapshot_id, user_id AS business_id, event_type AS source, {seconds} AS captured, round(1 + value % 4, 1) AS rating, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + CAST(floor(event_id / 50) AS BIGINT) AS review_count FROM events",
     "request": "SELECT event_id AS request_id, {seconds} AS second, user_id AS client, event_type AS engine, CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'error' WHEN event_id % 17 = 0 THEN 'blocked' ELSE 'ok' END AS outcome FROM events",
     "schedule": "SELECT n_nationkey AS schedule_id, n_name AS name, n_regionkey % 2 = 0 AS is_active, n_nationkey AS created FROM nation",

@@ -31,11 +31,11 @@ API_SCHEMA = "webPages struct<value:array<struct<name:string,url:string,snippet:
 
 
 def read_api_results(responses: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Places and web pages of JSON search responses, each with its position."""
+    """Places and web pages of JSON search responses, each with its position; a response without any gives a row of nulls."""
     parsed = responses.withColumn("r", F.from_json(body, API_SCHEMA))
     keep = [c for c in responses.columns if c != body]
-    places = parsed.select(*keep, F.posexplode("r.places.value").alias("position", "p")).select(*keep, (F.col("position") + 1).alias("position"), "p.name", "p.url", "p.phone", "p.address", "p.geo")
-    pages = parsed.select(*keep, F.posexplode("r.webPages.value").alias("position", "p")).select(*keep, (F.col("position") + 1).alias("position"), "p.name", "p.url", "p.snippet")
+    places = parsed.select(*keep, F.posexplode_outer("r.places.value").alias("position", "p")).select(*keep, (F.col("position") + 1).alias("position"), "p.name", "p.url", "p.phone", "p.address", "p.geo")
+    pages = parsed.select(*keep, F.posexplode_outer("r.webPages.value").alias("position", "p")).select(*keep, (F.col("position") + 1).alias("position"), "p.name", "p.url", "p.snippet")
     return places, pages
 
 
@@ -44,11 +44,14 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """A new snapshot: rows of either; where both have a key, the named columns come from source if it has a value there."""
+    """A new snapshot: rows of either; where both have a key, the named columns come from source if it has a value there.
+
+    Null keys match nothing, so such rows of either side are kept as they are.
+    """
     update = [c for c in source.columns if c not in keys] if update is None else update
-    t, s = target.alias("t"), source.alias("s")
+    t, s = target.withColumn("__old", F.lit(True)).alias("t"), source.alias("s")
     joined = t.join(s, reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys)), "full_outer")
-    old = reduce(lambda a, b: a & b, (F.col(f"t.{k}").isNotNull() for k in keys))
+    old = F.col("t.__old").isNotNull()
 
     def pick(c: str) -> Column:
         if c not in source.columns:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankatlas.operators.lineage import shared_folder
+
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream, with the schema of what is there."""
@@ -37,17 +40,89 @@ def dedupe_stream(facts: DataFrame, keys: list[str], late: str = "1 day", time:
     return facts.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def review_months_stream(snapshots: DataFrame, late: str = "7 days") -> DataFrame:
-    """Snapshots a business and month; late rows beyond the watermark don't count."""
-    return snapshots.withWatermark("ts", late).groupBy("business_id", F.date_trunc("month", F.col("ts")).alias("month")).agg(F.count("*").alias("snapshots"))
+def review_days_stream(snapshots: DataFrame, late: str = "7 days") -> DataFrame:
+    """Snapshots a business and UTC day, for append mode: a day is final, and later rows of it don't count, once the watermark has passed its end."""
+    days = snapshots.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "business_id").agg(F.count("*").alias("snapshots"))
+    return days.select("business_id", F.col("window.start").alias("day"), "snapshots")
+
+
+def review_months(days: DataFrame) -> DataFrame:
+    """Months of what review_days_stream() has written."""
+    return days.groupBy("business_id", (F.year("day") * 12 + F.month("day")).alias("month")).agg(F.sum("snapshots").alias("snapshots"))
+
+
+def rate_audit_stream(log: DataFrame, seconds: int = 60, most: int = 120, late: str = "1 hour") -> DataFrame:
+    """Each client's anchored windows as they end: client, start, requests, flagged. For append mode.
+
+    log: client, second, and ts as event time. A client's state is the open window's start and
+    count; it ends with the first request after it, or when the watermark passes its end. Rows of a
+    micro-batch are put in order; a row older than the open window counts as part of it.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def walk(key, parts, state: GroupState):
+        out, (start, count) = [], state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            out.append((key[0], start, count, count > most))
+            state.remove()
+        else:
+            for s in sorted(int(x) for p in parts for x in p["second"]):
+                if start is None or s - start >= seconds:
+                    if start is not None:
+                        out.append((key[0], start, count, count > most))
+                    start, count = s, 0
+                count += 1
+            state.update((start, count))
+            state.setTimeoutTimestamp(max((start + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["client", "start", "requests", "flagged"])
+
+    rows = log.withWatermark("ts", late).select("client", "second", "ts").groupBy("client")
+    return rows.applyInPandasWithState(walk, "client long, start long, requests long, flagged boolean", "start long, requests long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(stream: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Runs what is there to its end and gives the result as a table.
+
+    It is written as Parquet with its checkpoint in the cluster's shared folder: in append mode by
+    the file sink, in complete mode by each micro-batch in place of the one before.
+    """
+    path = f"{folder or shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        q = writer.foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{path}/rows")).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
 
+def moved(batch: DataFrame, last: DataFrame | None, least: float = 3) -> tuple[DataFrame, DataFrame]:
+    """Alerts of a batch of facts against the means before, and the means after.
 
-def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs what is there to its end and gives the result as a table; for small results."""
-    name = "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    Means are of a business, keyword and engine in its newest scan month; an alert is a move of
+    `least` or more since the scan before.
+    """
+    keys = ["business_id", "keyword", "engine"]
+    means = batch.groupBy(*keys, "scan_month").agg(F.avg("rank").alias("mean"))
+    all_ = means if last is None else last.unionByName(means)
+    order = Window.partitionBy(*keys).orderBy("scan_month")
+    stepped = all_.withColumn("change", F.col("mean") - F.lag("mean").over(order))
+    alerts = stepped.join(means.select(*keys, "scan_month"), [*keys, "scan_month"], "left_semi").filter(F.abs("change") >= least).select(*keys, "scan_month", F.round("change", 4).alias("change"))
+    after = all_.groupBy(*keys).agg(F.max_by("mean", "scan_month").alias("mean"), F.max("scan_month").alias("scan_month")).select(*keys, "scan_month", "mean")
+    return alerts, after
+
+
+def alert_stream(facts: DataFrame, folder: str, least: float = 3):
+    """Writes each micro-batch's alerts under folder/alerts and the newest means under folder/means, both by the batch's number, so that a repeated batch replaces itself. Scans should come whole and in order."""
+    spark = facts.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        last = spark.read.parquet(f"{folder}/means/batch={number - 1}") if number else None
+        alerts, after = moved(batch, last, least)
+        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+        after.write.mode("overwrite").parquet(f"{folder}/means/batch={number}")
+
+    return ingest_stream(facts, run, f"{folder}/progress")
 
 
 def ingest_stream(observations: DataFrame, batch: Callable[[DataFrame, int], None], folder: str):
