@@ -121,13 +121,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     and path's posterior means, the posterior; then kept: quality at least and toxicity under a half.
 
     Null texts are empty; null hosts or paths are groups of their own; rows without id are scored
-    but can't be labelled; an id labelled twice counts once, by its lowest labels; repeated rows
-    are scored each; without labels of both kinds a target's evidence is zero.
+    but can't be labelled; an id labelled twice counts once, by its lowest labels, and one of several
+    rows with it is fitted; repeated rows are scored each; a text of any length is scored in its own
+    row; other columns are ignored; an empty table gives no rows; without labels of both kinds a target's evidence is zero.
     """
     columns = {id_col: "doc_id", host: "host", path: "path"}
     plain = docs.select(*(F.col(f"`{c}`").alias(n) if n != "doc_id" else F.col(c).cast("long").alias(n) for c, n in columns.items()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.min(F.col(t).cast("long")).alias(t) for t in TARGETS)).filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     labelled = plain.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
+    # one row an id, of the least text, so that ids which repeat add nothing to what the driver holds
+    labelled = labelled.groupBy("doc_id", "fold", *TARGETS).agg(F.min("text").alias("text"))
     fields = ["quality1", "quality0", "toxic1", "toxic0"]
     fitted = labelled.filter("fold > 0")
     sizes = fitted.agg(*(F.count_if(F.col(t) == v).alias(f"{t}{v}") for t in TARGETS for v in (1, 0))).first()

@@ -2,9 +2,10 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rankatlas.llm import blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, queries, site_quality, suffixes
+from rankatlas.llm import arrays, blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, queries, site_quality, suffixes
 
 from . import brute
 
@@ -216,6 +217,52 @@ def test_site_quality_on_labels(spark):
     assert found[found.good == 1].quality.mean() - found[found.good == 0].quality.mean() > 0.4
 
 
+def test_site_posteriors(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = site_quality.classify(docs, labels).collect()
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    for t in ("quality", "toxic"):
+        p = np.array([r[f"doc_{t}"] for r in rows])
+        mean, inner = p.mean(), max((p**2).mean() - p.mean() ** 2, 1e-9)
+        keys = {"host": [(r.host,) for r in rows], "path": [(r.host, r.path) for r in rows]}
+        groups = {k: {x: p[[i for i, y in enumerate(v) if y == x]] for x in set(v)} for k, v in keys.items()}
+        strength = {}
+        for k, g in groups.items():
+            between = np.mean([(v.mean() - mean) ** 2 - inner / len(v) for v in g.values() if len(v) >= 2])
+            strength[k] = min(max(inner / max(between, 1e-9), 1.0), 1e6)
+        host = {x: (v.sum() + strength["host"] * mean) / (len(v) + strength["host"]) for x, v in groups["host"].items()}
+        path = {x: (v.sum() + strength["path"] * host[x[:1]]) / (len(v) + strength["path"]) for x, v in groups["path"].items()}
+        for r in rows:
+            want = path[r.host, r.path]
+            assert r[f"host_{t}"] == pytest.approx(host[r.host,]) and r[f"path_{t}"] == pytest.approx(want)
+            assert r[t] == pytest.approx(1 / (1 + np.exp(-(logit(r[f"doc_{t}"]) + logit(want) - logit(mean)))))
+    assert all(r.kept == (r.quality >= 0.5 and r.toxic < 0.5) for r in rows)
+
+
+def test_marks_and_evidence():
+    texts = ["Good good WORD", "bad bad bad!", ""]
+    data, at = arrays.text_bytes(pa.array(texts))
+    owner, key = site_quality.marks(data, at)
+    of = lambda w: arrays.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])).view(np.int64)[0]
+    held = [set(key[owner == i].tolist()) for i in range(3)]
+    assert {of("good"), of("word")} < held[0] and of("bad") in held[1] and not {of("good"), of("bad")} & held[2]
+    assert [len(h) for h in held] == [8, 7, 6]
+    known = np.sort(np.array([of("good"), of("bad")]))
+    weight = np.where(known == of("good"), 2.0, -3.0)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(list(site_quality._evidence([(known, weight), (known[:0], weight[:0])])([batch])))
+    assert found.column("quality_evidence").to_pylist() == [2.0, -3.0, 0.0] and found.column("toxic_evidence").to_pylist() == [0.0] * 3
+
+
+def test_buckets(spark, tmp_path):
+    rows = [(i, "word " * (37 * i)) for i in range(40)]
+    got = packing.pack(frame(spark, rows), queries.tokenizer_path())
+    packing.write_buckets(got, f"{tmp_path}/b", size=4096)
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert back.count() == got.count() and back.filter("length <> shiftleft(1L, bucket)").count() == 0
+    assert {f.name for f in (tmp_path / "b").iterdir() if f.is_dir()} == {f"bucket={r.bucket}" for r in got.select("bucket").distinct().collect()}
+
+
 EDGES = [(None, None, None, None), (1, "", "a", "b"), (1, "", "a", "b"), (2, "word " * 40_000, "a", None), (3, "x" * 200_000, None, "b"), (4, "A line of nine plain words that ends well here.\n" * 3, "a", "b"), (4, "A line of nine plain words that ends well here.\n" * 3, "a", "b"), (None, "A line of nine plain words that ends well here.", "c", "b")]
 OPERATORS = {
     "suffixes": lambda d, s: suffixes.remove_repeats(d),
