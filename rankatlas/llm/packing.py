@@ -30,8 +30,9 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
 
     Returns a row a piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, bucket (log2 of length; the column to write or batch by), sequence_id and offset
-    (0: a piece fills its sequence). A null or empty text is the end id alone; repeated rows are
-    packed each; other columns are ignored. A text of any length is cut in its own task's batch.
+    (0: a piece fills its sequence). Sequences come bucket by bucket from each stretch of documents;
+    write_buckets() lays out a folder for each. A null or empty text is the end id alone; repeated rows are
+    packed each; null ids stay; other columns are ignored; an empty table gives no rows. A text of any length is cut in its own task's batch.
     There is no shuffle. sequence_id is unique in the result and its low four bits are the bucket;
     longest must be a power of two below 2**16.
     """
@@ -53,8 +54,10 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
                 ends = np.concatenate([[0], np.cumsum(length)]) * 4
                 binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
                 assert not len(row) or (first[row] + start == ends[:-1] // 4).all()
-                cols = [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length.astype(np.int64)), binary, pa.array(n[row]), pa.array(np.log2(length).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids", "doc_tokens", "bucket"])
+                bucket = np.log2(length).astype(np.int32)
+                cols = [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length.astype(np.int64)), binary, pa.array(n[row]), pa.array(bucket)]
+                found = pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids", "doc_tokens", "bucket"])
+                yield found.take(pa.array(np.argsort(bucket, kind="stable")))  # bucket by bucket
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     cut = plain.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int")
@@ -62,6 +65,18 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     return cut.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long"))
 
 
+def write_buckets(packed: DataFrame, path: str, size: int = 128 << 20) -> None:
+    """Writes a folder for each bucket, bucket=0 and up, so that a batch of equal lengths is read from one.
+
+    Each bucket is dealt to as many files as keep one to about `size` bytes of ids, by the sequence;
+    the largest bucket of a long corpus goes to as many tasks.
+    """
+    sums = {r.bucket: r.n for r in packed.groupBy("bucket").agg(F.sum("length").alias("n")).collect()}  # twelve rows at most
+    files = F.create_map(*(F.lit(x) for b, n in sums.items() for x in (b, max(1, n * 4 // size)))) if sums else F.create_map(F.lit(0), F.lit(1))
+    dealt = packed.withColumn("file", F.pmod(F.xxhash64("sequence_id"), files[F.col("bucket")]))
+    dealt.repartition("bucket", "file").drop("file").write.partitionBy("bucket").parquet(path)
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """The contract's columns from pack()'s."""
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
