@@ -152,7 +152,9 @@ def measure(keyed: DataFrame, probes: int, longest: int, size: int, threshold: f
     Probes are a bounded sample for choosing the depth only: at most `probes` texts of at most
     `longest` bytes, those of least key hash.
     """
-    sample = keyed.filter(F.octet_length("text") <= longest).orderBy(F.xxhash64("text_key"), "text_key").limit(probes).collect()
+    # keys first, so that no task sends texts that aren't chosen
+    keys = keyed.filter(F.octet_length("text") <= longest).select("text_key").orderBy(F.xxhash64("text_key"), "text_key").limit(probes).distinct()
+    sample = keyed.join(F.broadcast(keys), "text_key").dropDuplicates(["text_key"]).collect()
     chosen = {}
     for r in sample:
         grams, first = shingles(*text_bytes(pa.array([r.text])), size)
