@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, Rolling, pieces, runs, text_bytes, words
+from .arrays import let_go, pieces, runs, text_bytes, word_hashes, words
 from .frames import batched, checkpoint
 
 _HALF = math.log(0.5)
@@ -49,7 +49,7 @@ def grams(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.
 
 def token_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = words(data, at)
-    return ((Rolling(BYTE_VALUES[data]).ranges(start, end) >> np.uint64(2)) | np.uint64(WORDS)).astype(np.int64), first
+    return ((word_hashes(data, start, end) >> np.uint64(2)) | np.uint64(WORDS)).astype(np.int64), first
 
 
 def counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _groups(work, chunk: int):
 
 def _parts(rows: pa.Table):
     for batch in rows.to_batches():
-        yield from pieces(batch, "text", 2 << 20)
+        yield from pieces(batch, "text", 1 << 20)
 
 
 def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,6 +185,7 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("train", trains)
 
     def count_grams(batches):
+        let_go()
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
                 data, at = text_bytes(part.column("text"))
@@ -200,7 +201,7 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
         tree = Subtree(np.asarray(rows.column("key")).astype(np.uint64), np.asarray(rows.column("n")), depth)
         return pa.table({"context": tree.code >> 8 & 255, "node": tree.code & 255, "zeros": tree.zeros, "ones": tree.ones, "below": tree.weighted})
 
-    sums = grouped.mapInArrow(_groups(nodes, 1 << 17), "context long, node long, zeros double, ones double, below double").groupBy("context", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
+    sums = grouped.mapInArrow(_groups(nodes, 1 << 16), "context long, node long, zeros double, ones double, below double").groupBy("context", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
     share, rest = upper_levels(sums["context"].to_numpy(np.int64), sums["node"].to_numpy(np.int64), *(sums[c].to_numpy(float) for c in ("zeros", "ones", "below")))
 
     def values(rows: pa.Table) -> pa.Table:
@@ -211,18 +212,21 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
         # rounded to single precision, which halves what goes back
         return pa.table({"key": rows.column("key"), "value": np.log10(p).reshape(-1, 8).sum(1).astype(np.float32).astype(float)})
 
-    gram_values = grouped.mapInArrow(_groups(values, 1 << 17), "key long, value double")
+    gram_values = grouped.mapInArrow(_groups(values, 1 << 16), "key long, value double")
 
-    texts = batched(docs, id_col, text_col, size=24 << 20, least=0.25)[0].withColumn("train", trains)
+    texts = batched(docs, id_col, text_col, size=14 << 20, least=0.25)[0].withColumn("train", trains)
     by_batch = texts.groupBy("batch")
 
     def keys(rows: pa.Table, of) -> pa.Table:
         """A batch's distinct grams or words, with training counts."""
+        let_go()
         found: list = []
         for part in _parts(rows):
             data, at = text_bytes(part.column("text"))
             key, first = of(lowered(data), at)
             found.append(counted(key, np.repeat(np.asarray(part.column("train")).astype(np.int64), np.diff(first))))
+            if len(found) == 6:  # what parts share is held once
+                found = [merged(found)]
         key, n = merged(found)
         return pa.table({"key": key, "batch": np.full(len(key), rows.column("batch")[0].as_py(), np.int64), "n": n})
 
@@ -238,6 +242,7 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
     back = gram_rows.join(gram_values, "key").select("key", "batch", "value").unionByName(word_values)
 
     def total(rows: pa.Table, found: pa.Table) -> pa.Table:
+        let_go()
         key = np.asarray(found.column("key")) if found.num_rows else np.zeros(0, np.int64)
         value = np.asarray(found.column("value")) if found.num_rows else np.zeros(0)
         order = np.argsort(key)
