@@ -67,7 +67,7 @@ def _segment_text(batches):
             joined = data[np.repeat(at[row] + begin, size) + spans(size)]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(joined))])
-            of, told = pa.array(row), ["anchor", "begin", "place", "n", "share"]
+            of, told = pa.array(row), ["anchor", "begin", "place", "n"]
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in IDENTITY), *(inner.field(c) for c in told), binary], [*IDENTITY, *told, "bytes"])
 
 
@@ -190,22 +190,30 @@ def repeated_suffixes(data: bytes, group: np.ndarray, start: np.ndarray, width:
     return out
 
 
-_NOTHING = ("anchor", "at", "content")
+_WINDOW = ["anchor", "at", "content"]
 
 
-def _sorted_repeats(width: int, chunk: int):
-    """Of segments in the order of their anchors: ranges of repeated windows; of the anchors that are shared out, all windows."""
+def _windows(width: int):
+    """All windows of segments, one by one, with the place of the anchor in each and a hash of its bytes."""
 
-    def split(rows: pa.Table) -> pa.RecordBatch:
-        data, at = text_bytes(rows.column("bytes"))
-        count = np.diff(at) - width + 1
-        row, offset = np.repeat(np.arange(rows.num_rows), count), spans(count)
-        start = at[row] + offset
-        content = Rolling(BYTE_VALUES[data]).ranges(start, start + width)
-        column = lambda c: np.asarray(rows.column(c))[row].astype(np.int64)
-        begin = column("begin") + offset
-        columns = [*map(column, IDENTITY), begin, begin + width, column("n"), column("anchor"), column("place") - offset, content.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*IDENTITY, "begin", "end", "n", *_NOTHING])
+    def run(batches):
+        for batch in _segment_text(batches):
+            for rows in pieces(batch, "bytes", 1 << 16):
+                data, at = text_bytes(rows.column("bytes"))
+                count = np.diff(at) - width + 1
+                row, offset = np.repeat(np.arange(rows.num_rows), count), spans(count)
+                start = at[row] + offset
+                content = Rolling(BYTE_VALUES[data]).ranges(start, start + width)
+                column = lambda c: np.asarray(rows.column(c))[row].astype(np.int64)  # noqa: E731, B023
+                begin = column("begin") + offset
+                columns = [*map(column, IDENTITY), begin, begin + width, column("n"), column("anchor"), column("place") - offset, content.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*IDENTITY, "begin", "end", "n", *_WINDOW])
+
+    return run
+
+
+def _sorted_repeats(width: int, chunk: int):
+    """Of segments in the order of their anchors: ranges of repeated windows."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         data, at = text_bytes(rows.column("bytes"))
@@ -220,14 +228,7 @@ def _sorted_repeats(width: int, chunk: int):
         a, b = a[good], b[good]
         begin = np.asarray(rows.column("begin"))[row[a]].astype(np.int64)
         keys = [pa.array(np.asarray(rows.column(c))[row[a]]) for c in IDENTITY]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(begin + offset[a]), pa.array(begin + offset[b - 1] + width), pa.array(np.ones(len(a), np.int64)), *(pa.nulls(len(a), pa.int64()) for _ in _NOTHING)], [*IDENTITY, "begin", "end", "n", *_NOTHING])
-
-    def shares(rows: pa.Table):
-        hot = np.asarray(rows.column("share")) > 0
-        for a, b in zip(*runs(hot), strict=True):
-            step = max(1, chunk // (2 * width)) if hot[a] else b - a
-            for i in range(a, b, step):
-                yield (split if hot[a] else work)(rows.slice(i, min(step, b - i)))
+        return pa.RecordBatch.from_arrays([*keys, pa.array(begin + offset[a]), pa.array(begin + offset[b - 1] + width)], [*IDENTITY, "begin", "end"])
 
     def run(batches):
         held, size = [], 0
@@ -238,13 +239,12 @@ def _sorted_repeats(width: int, chunk: int):
                 rows = pa.Table.from_batches(held)
                 anchors = np.asarray(rows.column("anchor"))
                 whole = int(np.nonzero(anchors != anchors[-1])[0][-1]) + 1 if (anchors != anchors[-1]).any() else 0
-                if rows.column("share")[-1].as_py() > 0:
-                    whole = rows.num_rows
-                yield from shares(rows.slice(0, whole))
+                if whole:
+                    yield work(rows.slice(0, whole))
                 held = rows.slice(whole).to_batches()
                 size = sum(b.nbytes for b in held) if whole else size
         if held and sum(b.num_rows for b in held):
-            yield from shares(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held))
 
     return run
 
@@ -270,7 +270,7 @@ def _cut(batches):
             )
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2 << 20, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2 << 20, hot: int = 16_384) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns a row a
@@ -285,9 +285,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: st
     repeated anchor move; rows under repeated anchors are checkpointed, as three joins read them.
     Segments are the same if the hashes of their anchor and of their bytes agree, 128 bits.
     Counts are summed before a shuffle, and the joins that bring them back can be split by Spark
-    where one anchor is very frequent. An anchor with more than `hot` different segments is shared
-    out between tasks instead of sorted in one: its windows, each with the anchor's place, are
-    counted by Spark.
+    where one anchor is very frequent. An anchor with more than `hot` different segments is not
+    sorted in one task: its windows, each with the anchor's place, are rows that Spark counts.
     """
     if width < 8 or gram > width:
         raise ValueError("width must be 8 or more, and no less than gram")
@@ -296,19 +295,23 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: st
     twice = found.groupBy("anchor").agg(F.count("*").alias("copies")).filter("copies > 1").select("anchor")
     near = checkpoint(found.join(twice, "anchor")).withColumn("own", F.xxhash64(*IDENTITY, "begin"))
     kinds = near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("own").alias("copy"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = checkpoint(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     counted = near.join(kinds, ["anchor", "content"])
     whole = counted.filter("n > 1").select(*IDENTITY, F.col("begin").cast("long").alias("begin"), (F.col("begin") + F.col("size")).cast("long").alias("end"))
-    # one copy of each kind, of anchors that have more than one; a hot anchor's in many shares
-    share = F.when(F.col("kinds") > hot, 1 + F.pmod("own", F.greatest(F.lit(1), F.col("kinds") / hot).cast("long"))).otherwise(0)
-    wanted = counted.filter("own = copy").join(mixed, "anchor").withColumn("share", share).groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "begin", "size", "place", "n", "share")).alias("wanted"))
-    chosen = texts.join(wanted, IDENTITY).mapInArrow(_segment_text, f"{_IDENTITY_FIELDS}, anchor long, begin int, place int, n long, share long, bytes binary")
-    part = checkpoint(chosen.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_sorted_repeats(width, chunk), f"{_IDENTITY_FIELDS}, begin long, end long, n long, anchor long, at long, content long"))
-    windows = part.filter("content is not null")
-    again = windows.groupBy(*_NOTHING).agg(F.count("*").alias("copies")).filter("copies > 1").select(*_NOTHING)
-    shared = windows.filter("n = 1").join(again, list(_NOTHING))
-    ranges = [d.select(*IDENTITY, "begin", "end") for d in (whole, part.filter("content is null"), shared)]
-    lists = ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).groupBy(*IDENTITY).agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+
+    def chosen(anchors: DataFrame) -> DataFrame:
+        """The texts that hold one copy of each kind of segment of these anchors, with those."""
+        one = counted.filter("own = copy").join(anchors.select("anchor"), "anchor")
+        return texts.join(one.groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "begin", "size", "place", "n")).alias("wanted")), IDENTITY)
+
+    segments_ = chosen(mixed.filter(F.col("kinds") <= hot)).mapInArrow(_segment_text, f"{_IDENTITY_FIELDS}, anchor long, begin int, place int, n long, bytes binary")
+    ranges = whole.unionByName(segments_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(width, chunk), f"{_IDENTITY_FIELDS}, begin long, end long"))
+    if mixed.filter(F.col("kinds") > hot).limit(1).count():
+        # in the same plan, so that the exchange of the texts is used again
+        windows = chosen(mixed.filter(F.col("kinds") > hot)).mapInArrow(_windows(width), f"{_IDENTITY_FIELDS}, begin long, end long, n long, anchor long, at long, content long")
+        again = windows.groupBy(*_WINDOW).agg(F.count("*").alias("copies")).filter("copies > 1").select(*_WINDOW)
+        ranges = ranges.unionByName(windows.filter("n = 1").join(again, _WINDOW).select(*IDENTITY, "begin", "end"))
+    lists = ranges.groupBy(*IDENTITY).agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     return texts.join(lists, IDENTITY, "left").mapInArrow(_cut, schema)
 

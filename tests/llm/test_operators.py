@@ -17,7 +17,7 @@ def frame(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema).repartition(4)
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 4096), (2, 4096), (2, 2)])
+@pytest.mark.parametrize("seed, hot", [(1, 16_384), (2, 16_384), (2, 2)])
 def test_byte_repeats(spark, seed, hot):
     r = random.Random(seed)
     base = ["".join(r.choice("ab") for _ in range(60)) for _ in range(6)]
