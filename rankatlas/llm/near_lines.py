@@ -183,18 +183,22 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     if near_words < 2:
         raise ValueError("near_words must be 2 or more")
     rows = keyed(docs, id_col, text_col, deal=False).mapInArrow(_line_rows, f"{_OWN_FIELDS}, line int, hash long, n_words int, " + ", ".join(f"{e} long" for e in _EDGES))
-    kinds = rows.groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"))
+    # both uses read n, so that Spark works these out once
+    kinds = rows.groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"), F.count("*").alias("n"))
     earliest = F.struct(*(F.col(f"first.{c}").alias(c) for c in (*_OWN, "line")))
-    equal = rows.select("hash", *_OWN, "line").join(kinds.select("hash", earliest.alias("first")), "hash").filter(_place() > F.col("first")).select(*IDENTITY, "line", F.lit(False).alias("near"))
+    repeated = kinds.filter("n > 1").select("hash", earliest.alias("first"))
     even = F.col("first.n_words") % 2 == 0
     edges = F.array("first.head", "first.tail", F.when(even, F.col("first.short_head")), F.when(even, F.col("first.short_tail")))
-    long_ = kinds.filter(F.col("first.n_words") >= near_words).select("hash", *(f"first.{c}" for c in IDENTITY), "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
+    long_ = kinds.filter((F.col("first.n_words") >= near_words) & (F.col("n") > 0)).select("hash", *(f"first.{c}" for c in IDENTITY), "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
     shared = long_.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
     matched = long_.join(shared, "edge").groupBy(*IDENTITY, "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
-    wanted = checkpoint(matched.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted")))
+    wanted = matched.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted"))
+    found = checkpoint(wanted.unionByName(repeated, allowMissingColumns=True))
+    equal = rows.select("hash", *_OWN, "line").join(found.filter("first is not null").select("hash", "first"), "hash").filter(_place() > F.col("first")).select(*IDENTITY, "line", F.lit(False).alias("near"))
     texts = keyed(docs, id_col, text_col, carry=carry)
-    chosen = texts.join(wanted, IDENTITY)
-    emitted = chosen.mapInArrow(lambda batches: _variants(_line_text(batches)), f"{_OWN_FIELDS}, line int, hash long, variant long, skip int")
+    # one row a hash; every use reads all columns, so that texts are searched for these lines once
+    chosen = texts.join(found.filter("wanted is not null").select(*IDENTITY, "wanted"), IDENTITY).mapInArrow(_line_text, f"{_OWN_FIELDS}, line int, hash long, head boolean, tail boolean, words string").repartition("hash")
+    emitted = chosen.mapInArrow(_variants, f"{_OWN_FIELDS}, line int, hash long, variant long, skip int")
     again = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
     variants = emitted.join(again, "variant")
     leads = variants.groupBy("variant", "skip").agg(F.min(_place("hash")).alias("lead"), F.count("*").alias("n"))
@@ -211,7 +215,7 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_word(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    text_of = chosen.mapInArrow(_line_text, f"{_OWN_FIELDS}, line int, hash long, head boolean, tail boolean, words string").select("hash", "words")
+    text_of = chosen.mapInArrow(lambda batches: (b.select(["hash", "words"]) for b in batches), "hash long, words string")
     near = pairs.join(text_of, "hash").join(text_of.select(F.col("hash").alias("lead_hash"), F.col("words").alias("lead_words")), F.col("lead.hash") == F.col("lead_hash"))
     near = near.filter(verified("words", "lead_words")).select(*IDENTITY, "line", F.lit(True).alias("near"))
     gone = equal.unionByName(near).groupBy(*IDENTITY).agg(F.collect_set(F.struct("line", "near")).alias("gone"))
