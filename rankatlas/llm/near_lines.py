@@ -183,16 +183,18 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
     if near_words < 2:
         raise ValueError("near_words must be 2 or more")
     rows = keyed(docs, id_col, text_col, deal=False).mapInArrow(_line_rows, f"{_OWN_FIELDS}, line int, hash long, n_words int, " + ", ".join(f"{e} long" for e in _EDGES))
-    # both uses read n, so that Spark works these out once
-    kinds = rows.groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"), F.count("*").alias("n"))
+    # every use reads n, and the filter is what a join adds, so that Spark works these out once
+    kinds = rows.filter("hash is not null").groupBy("hash").agg(F.min(_place("n_words", *_EDGES)).alias("first"), F.count("*").alias("n"))
     earliest = F.struct(*(F.col(f"first.{c}").alias(c) for c in (*_OWN, "line")))
     repeated = kinds.filter("n > 1").select("hash", earliest.alias("first"))
     even = F.col("first.n_words") % 2 == 0
     edges = F.array("first.head", "first.tail", F.when(even, F.col("first.short_head")), F.when(even, F.col("first.short_tail")))
-    long_ = kinds.filter((F.col("first.n_words") >= near_words) & (F.col("n") > 0)).select("hash", *(f"first.{c}" for c in IDENTITY), "first.line", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
+    # edges carry the hash alone, which leads back to the line
+    long_ = kinds.filter((F.col("first.n_words") >= near_words) & (F.col("n") > 0)).select("hash", F.posexplode(edges).alias("side", "edge")).filter("edge is not null")
     shared = long_.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
-    matched = long_.join(shared, "edge").groupBy(*IDENTITY, "line", "hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
-    wanted = matched.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted"))
+    matched = long_.join(shared, "edge").groupBy("hash").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
+    lines = kinds.filter("n > 0").join(matched, "hash").select(*(F.col(f"first.{c}").alias(c) for c in (*IDENTITY, "line")), "hash", "head", "tail")
+    wanted = lines.groupBy(*IDENTITY).agg(F.collect_list(F.struct("line", "hash", "head", "tail")).alias("wanted"))
     found = checkpoint(wanted.unionByName(repeated, allowMissingColumns=True))
     equal = rows.select("hash", *_OWN, "line").join(found.filter("first is not null").select("hash", "first"), "hash").filter(_place() > F.col("first")).select(*IDENTITY, "line", F.lit(False).alias("near"))
     texts = keyed(docs, id_col, text_col, carry=carry)
