@@ -7,17 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, context_tree, forest, line_rules, near_lines, packing, pivots, site_quality, suffixes
+from . import blocks, bpe, context_tree, forest, line_rules, merkle, near_lines, packing, pivots, site_quality, spellings, suffixes, token_counts
 from .frames import table
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file: RANKATLAS_TOKENIZER, or the installed public one."""
-    if path := os.environ.get("RANKATLAS_TOKENIZER"):
+def _vocabulary(variable: str, name: str) -> str:
+    if path := os.environ.get(variable):
         return path
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file: RANKATLAS_TOKENIZER, or the installed public one."""
+    return _vocabulary("RANKATLAS_TOKENIZER", "word_bpe_49k.json")
+
+
+def byte_tokenizer_path() -> str:
+    """The byte-level vocabulary file: RANKATLAS_BYTE_TOKENIZER, or the installed public one."""
+    return _vocabulary("RANKATLAS_BYTE_TOKENIZER", "byte_bpe_50k.json")
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +69,22 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(table(spark, sf_dir, "documents"), merkle.altered()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array, op2_packing, op3_substring, op4_site_quality, op5_line_rules, op6_bpe, op7_lsh_forest, op8_near_lines, op9_pivot_search, op10_context_tree)
+    found = (op1_suffix_array, op2_packing, op3_substring, op4_site_quality, op5_line_rules, op6_bpe, op7_lsh_forest, op8_near_lines, op9_pivot_search, op10_context_tree, op11_token_counts, op12_spellings, op13_merkle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": line_rules.ORACLE_SQL, "op9_pivot_search": pivots.ORACLE_SQL}
+    return {"op5_line_rules": line_rules.ORACLE_SQL, "op9_pivot_search": pivots.ORACLE_SQL, "op12_spellings": spellings.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
