@@ -221,7 +221,7 @@ def followed(links: DataFrame) -> DataFrame:
         ends = ends.drop("moved")
 
 
-def spelling_variants(docs: DataFrame, every: int = 97, least_chars: int = 5, least: int = 3, times: int = 2, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
+def spelling_variants(docs: DataFrame, every: int = 97, least_chars: int = 5, least: int = 3, times: int = 2, index_least: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words and their commoner spellings: word, form, root, n, n_near and form_n.
 
     `form` is the near word (one edit away) of largest n, ties to the smaller in code-point order, if its
@@ -236,7 +236,7 @@ def spelling_variants(docs: DataFrame, every: int = 97, least_chars: int = 5, le
         raise ValueError("words of fewer than five letters may lack two grams that don't overlap")
     words = written(word_counts(docs, every, least_chars, least, id_col, text_col), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("best")
-    found = near_pairs(words, **index).groupBy("word").agg(F.count("*").alias("n_near"), best)
+    found = near_pairs(words, index_least).groupBy("word").agg(F.count("*").alias("n_near"), best)
     joined = words.join(found, "word", "left")
     good = -F.col("best.minus") >= times * F.col("n")
     formed = checkpoint(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(good, F.col("best.near")).alias("form"), F.when(good, -F.col("best.minus")).alias("form_n")))
