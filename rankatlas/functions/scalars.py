@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +17,24 @@ JUNK_DOMAINS = (r"@example\.(com|org|net)$", r"@sentry\.", r"@wixpress\.", r"@go
 ASSET_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "pdf")
 BLOCK_MARKERS = ("unusual traffic", "captcha", "our systems have detected", "sorry/index", "recaptcha")
 GOOGLE_GROUP = ("google_search", "google_maps", "google_local")
-PHONE_PATTERN = r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
-STREET_PATTERN = r"\d+\s+[A-Za-z][A-Za-z0-9_\s]{3,40}(?:St|Ave|Blvd|Dr|Rd|Way|Ln|Ct|Pl|Pkwy|Hwy)\.?"
+#: White space as page texts have it, no-break and other Unicode spaces included; the same without brackets, to stand in a class.
+BLANKS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK = f"[{BLANKS}]"
+PHONE_PATTERN = rf"\(?\d{{3}}\)?[{BLANKS}.-]?\d{{3}}[{BLANKS}.-]?\d{{4}}"
+STREET_PATTERN = rf"\d+{BLANK}+[A-Za-z][A-Za-z0-9_{BLANKS}]{{3,40}}(?:St|Ave|Blvd|Dr|Rd|Way|Ln|Ct|Pl|Pkwy|Hwy)\.?"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A body that uses a value more than once, or once for each item of an array, with the value worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, legal words and all but ASCII word characters removed, single spaces. Word edges are ASCII ones."""
     low = F.lower(name)
     bare = F.regexp_replace(low, rf"(?<![a-z0-9_])(?:{'|'.join(LEGAL_WORDS)})(?![a-z0-9_])", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9_\s]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"[^a-z0-9_{BLANKS}]", ""), rf"{BLANK}+", " "))
 
 
 def normalize_phone(phone: Column) -> Column:
@@ -50,7 +60,7 @@ def url_origin(url: Column) -> Column:
 
 def non_empty(text: Column) -> Column:
     """The trimmed text, or null if nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", ""), F.lit(""))
 
 
 def normalize_domain(url: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from rankatlas.functions.scalars import BLOCK_MARKERS, EARTH_MILES, EMAIL_PATTERN, LEGAL_WORDS, MILES_PER_DEGREE, PHONE_PATTERN
+from rankatlas.functions.scalars import BLANK, BLANKS, BLOCK_MARKERS, EARTH_MILES, EMAIL_PATTERN, LEGAL_WORDS, MILES_PER_DEGREE, PHONE_PATTERN
 
 _DIGITS = "regexp_replace(x, '[^0-9]', '')"
 _HALF = "pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng1) / 2), 2)"
 
 #: Name: parameters, type, body.
 FUNCTIONS = {
-    "normalize_name": ("x STRING", "STRING", rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(x), r'(?<![a-z0-9_])(?:{'|'.join(LEGAL_WORDS)})(?![a-z0-9_])', ''), r'[^a-z0-9_\s]', ''), r'\s+', ' '))"),
+    "normalize_name": ("x STRING", "STRING", rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(x), r'(?<![a-z0-9_])(?:{'|'.join(LEGAL_WORDS)})(?![a-z0-9_])', ''), r'[^a-z0-9_{BLANKS}]', ''), r'{BLANK}+', ' '))"),
     "normalize_phone": ("x STRING", "STRING", f"CASE WHEN length({_DIGITS}) = 10 THEN '+1' || {_DIGITS} WHEN length({_DIGITS}) = 11 AND startswith({_DIGITS}, '1') THEN '+' || {_DIGITS} END"),
     "us_phone": ("x STRING", "STRING", f"normalize_phone(regexp_extract(x, r'{PHONE_PATTERN}', 0))"),
     "emails_in": ("x STRING", "ARRAY<STRING>", f"transform(regexp_extract_all(x, r'{EMAIL_PATTERN}', 0), m -> lower(m))"),

@@ -19,13 +19,20 @@ def rank_trend(facts: DataFrame) -> DataFrame:
     return facts.groupBy("business_id", *SCAN).agg(F.round(F.avg("rank"), 4).alias("avg_rank"), F.min("rank").alias("best"), F.max("rank").alias("worst"))
 
 
-def geo_heatmap(facts: DataFrame, points: DataFrame, business: int) -> DataFrame:
-    """Each cell of each key's latest scan with the best rank of a business there, or null."""
+def geo_heatmap(facts: DataFrame, points: DataFrame, business: int, scan: int | None = None, businesses: DataFrame | None = None) -> DataFrame:
+    """Each cell of each key's latest scan, or of a given one, with the best rank of a business there, or null; with its name if businesses are given."""
     key = ["area_id", "keyword", "engine"]
-    latest = points.groupBy(*key).agg(F.max("scan_month").alias("scan_month"))
     ranks = facts.filter(F.col("business_id") == business).select("point_id", "rank")
-    cells = points.join(latest, [*key, "scan_month"]).join(ranks, "point_id", "left")
-    return cells.groupBy(*key, "scan_month", "grid_row", "grid_col").agg(F.min("rank").alias("rank"))
+    if scan is None:
+        chosen = points.join(points.groupBy(*key).agg(F.max("scan_month").alias("scan_month")), [*key, "scan_month"])
+    else:
+        chosen = points.filter(F.col("scan_month") == scan)
+    cells = chosen.join(ranks, "point_id", "left").groupBy(*key, "scan_month", "grid_row", "grid_col").agg(F.min("rank").alias("rank"))
+    if businesses is None:
+        return cells
+    named = businesses.filter(F.col("business_id") == business).select("business_id", "name")
+    # an id has one row; a cell without a rank keeps a null name
+    return cells.withColumn("business_id", F.when(F.col("rank").isNotNull(), F.lit(business))).join(named, "business_id", "left")
 
 
 def _share(top: Column, all_: Column) -> Column:
@@ -88,9 +95,11 @@ def market_overview(facts: DataFrame, businesses: DataFrame, k: int = 3) -> Data
     means = facts.groupBy("area_id", "keyword", "business_id").agg(F.avg("rank").alias("mean"))
     full = means.join(businesses.select("business_id", "reviews", "rating"), "business_id")
     order = Window.partitionBy("area_id", "keyword").orderBy("mean", F.desc("reviews"), "business_id")
-    top = full.withColumn("nth", F.row_number().over(order))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= k, F.struct("nth", "business_id")))), lambda x: x["business_id"].cast("string")), ",")
-    return top.groupBy("area_id", "keyword").agg(F.count("*").alias("businesses"), F.round(F.avg("rating"), 4).alias("avg_rating"), first.alias("top"))
+    counts = full.groupBy("area_id", "keyword").agg(F.count("*").alias("businesses"), F.round(F.avg("rating"), 4).alias("avg_rating"))
+    # a filter on the number alone lets each task drop all but its own k before the shuffle
+    top = full.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "business_id"))), lambda x: x["business_id"].cast("string")), ",")
+    return counts.join(top.groupBy("area_id", "keyword").agg(first.alias("top")), ["area_id", "keyword"])
 
 
 def keyword_area_matrix(facts: DataFrame, areas: list[int]) -> DataFrame:
@@ -255,11 +264,19 @@ def review_velocity(reviews: DataFrame, months: float = 3, days: int = 90) -> Da
 
 
 def enrichment_summary(log: DataFrame) -> DataFrame:
-    """A row a run, or one row: how enrichments went, and the addresses they found in order."""
+    """A row a run, or one row: how enrichments went, and the distinct addresses they found, in the order of the log's created_at, or sorted where it has none."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
-    runs = log.groupBy(*(c for c in ("run_id",) if c in log.columns))
-    mails = F.array_join(F.array_sort(F.collect_set("email")), ",").alias("emails") if "email" in log.columns else F.lit(None).cast("string").alias("emails")
-    return runs.agg(F.count("*").alias("total"), is_("success").alias("enriched"), is_("no_email_found").alias("processed_without"), is_("no_website", "invalid_url").alias("skipped"), is_("error").alias("failed"), mails)
+    run = F.col("run_id") if "run_id" in log.columns else F.lit(0)
+    counts = log.groupBy(run.alias("_run")).agg(F.count("*").alias("total"), is_("success").alias("enriched"), is_("no_email_found").alias("processed_without"), is_("no_website", "invalid_url").alias("skipped"), is_("error").alias("failed"))
+    if "email" in log.columns:
+        at = F.col("created_at") if "created_at" in log.columns else F.lit(0)
+        # each address once, at its first time, before addresses are gathered
+        first = log.filter("email IS NOT NULL").groupBy(run.alias("_of"), "email").agg(F.min(at).alias("at"))
+        listed = first.groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "email"))), lambda x: x["email"]), ",").alias("emails"))
+        counts = counts.join(listed, F.col("_run").eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        counts = counts.withColumn("emails", F.lit(None).cast("string"))
+    return counts.withColumnRenamed("_run", "run_id") if "run_id" in log.columns else counts.drop("_run")
 
 
 def discovery_stats(resolved: DataFrame) -> DataFrame:

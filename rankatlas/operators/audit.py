@@ -55,11 +55,21 @@ def error_streaks(log: DataFrame, base_ms: int = 1000, most_ms: int = 300_000) -
     return out.select("request_id", "engine", "streak", F.when(F.col("streak") > 0, wait).otherwise(F.lit(0)).alias("backoff_ms"))
 
 
-def _islands(log: DataFrame, key: str, order: list[str], gap: int) -> DataFrame:
-    """Runs of a key's rows without a gap of `gap` seconds. A window of that length always starts anew after one, so runs are walked apart."""
-    w = Window.partitionBy(key).orderBy(*order)
-    starts = F.coalesce(F.col("second") - F.lag("second").over(w) >= gap, F.lit(True))
-    return log.withColumn("island", F.sum(starts.cast("long")).over(w))
+def _islands(seconds: DataFrame, key: str, gap: int) -> DataFrame:
+    """Runs of a key's seconds, each a row, without a gap of `gap`. A window of that length always starts anew after one, so runs are walked apart.
+
+    Gaps are looked for within days, and what a day begins with is found in a table of one row a key
+    and day, so that a few keys' rows don't meet in a few tasks.
+    """
+    days = seconds.withColumn("day", F.floor(F.col("second") / 86_400))
+    within = Window.partitionBy(key, "day").orderBy("second")
+    marked = days.withColumn("starts", F.coalesce((F.col("second") - F.lag("second").over(within) >= gap).cast("long"), F.lit(0)))
+    of_day = marked.groupBy(key, "day").agg(F.min("second").alias("first"), F.max("second").alias("last"), F.sum("starts").alias("inner"))
+    by_day = Window.partitionBy(key).orderBy("day")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(by_day) >= gap, F.lit(True)).cast("long")
+    base = of_day.withColumn("opens", opens).withColumn("base", F.sum(F.col("opens") + F.col("inner")).over(by_day) - F.col("inner")).select(key, "day", "base")
+    so_far = F.sum("starts").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("so_far", so_far).join(base, [key, "day"]).withColumn("island", F.col("base") + F.col("so_far")).drop("day", "starts", "base", "so_far")
 
 
 def rate_audit(log: DataFrame, seconds: int = 60, most: int = 120) -> DataFrame:
@@ -84,7 +94,7 @@ def rate_audit(log: DataFrame, seconds: int = 60, most: int = 120) -> DataFrame:
         out.append((client, start, count, over))
         return pd.DataFrame(out, columns=["client", "start", "requests", "retry_after"]).astype({"retry_after": "Int64"})
 
-    each = _islands(log.groupBy("client", "second").agg(F.count("*").alias("n")), "client", ["second"], seconds)
+    each = _islands(log.groupBy("client", "second").agg(F.count("*").alias("n")), "client", seconds)
     island = Window.partitionBy("client", "island")
     spans = each.withColumns({"first": F.min("second").over(island), "last": F.max("second").over(island), "so_far": F.sum("n").over(island.orderBy("second"))})
     # a run shorter than a window is one window; only longer ones are walked
@@ -99,20 +109,27 @@ BLOCK_MINUTES = (15, 120, 1440)
 
 
 def block_episodes(log: DataFrame, day: int = 86_400) -> DataFrame:
-    """Blocks of each engine with their number in a day anchored at the first, and how long each lasts; runs without a day's gap are walked apart."""
+    """Blocks of each engine with their number in a day anchored at the first, and how long each lasts.
+
+    Anchors are found among the distinct seconds with a block, at most 86,400 a day whatever the log,
+    and runs of those without a day's gap are walked apart; blocks are then numbered within their
+    own anchor's day.
+    """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["second", "request_id"])
-        out, start, count = [], None, 0
-        for r, s in zip(rows["request_id"], rows["second"], strict=True):
+        seconds, start, anchors = sorted(rows["second"].tolist()), None, []
+        for s in seconds:
             if start is None or s - start >= day:
-                start, count = s, 0
-            count += 1
-            out.append((rows["engine"].iloc[0], r, s, count, BLOCK_MINUTES[min(count, len(BLOCK_MINUTES)) - 1]))
-        return pd.DataFrame(out, columns=["engine", "request_id", "second", "nth", "minutes"])
+                start = s
+            anchors.append(start)
+        return pd.DataFrame({"engine": rows["engine"].iloc[0], "second": seconds, "anchor": anchors})
 
     blocks = log.filter(F.col("outcome") == "blocked").select("engine", "request_id", "second")
-    return _islands(blocks, "engine", ["second", "request_id"], day).groupBy("engine", "island").applyInPandas(walk, "engine string, request_id long, second long, nth int, minutes int")
+    anchors = _islands(blocks.select("engine", "second").distinct(), "engine", day).groupBy("engine", "island").applyInPandas(walk, "engine string, second long, anchor long")
+    order = Window.partitionBy("engine", "anchor").orderBy("second", "request_id")
+    nth = F.row_number().over(order)
+    minutes = F.element_at(F.array(*(F.lit(m) for m in BLOCK_MINUTES)), F.least(nth, F.lit(len(BLOCK_MINUTES))))
+    return blocks.join(anchors, ["engine", "second"]).select("engine", "request_id", "second", nth.alias("nth"), minutes.alias("minutes"))
 
 
 def engine_status(log: DataFrame, depths: DataFrame) -> DataFrame:

@@ -184,17 +184,12 @@ def category_closure(categories: DataFrame) -> DataFrame:
 
 
 def nearby(df: DataFrame, miles: float, k: int) -> DataFrame:
-    """For each business of ours, the k nearest others within some miles, through a grid of cells as large as the reach and its neighbours."""
-    from rankatlas.functions.scalars import haversine_miles
-
-    cell = miles / 69.0
-    cells = df.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.floor(F.col("lng") / cell)})
-    wide = F.ceil(1.001 / F.greatest(F.cos(F.radians(F.abs("lat") + cell)), F.lit(0.001))).cast("int")
-    ours = cells.filter("is_mine").select(F.col("business_id").alias("ours"), F.col("lat").alias("lat0"), F.col("lng").alias("lng0"), "cy", F.explode(F.transform(F.sequence(-wide, wide), lambda i: F.col("cx") + i)).alias("cx"))
-    ours = ours.select("ours", "lat0", "lng0", "cx", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.col("cy") + i)).alias("cy"))
-    found = ours.join(cells, ["cx", "cy"]).filter("ours <> business_id").withColumn("miles", haversine_miles(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng"))).filter(F.col("miles") <= miles)
-    order = Window.partitionBy("ours").orderBy(F.round("miles", 6), "business_id")
-    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("ours", "business_id", "nth", F.round("miles", 4).alias("miles"))
+    """For each business of ours, the k nearest others within some miles; see geo.nearest()."""
+    from rankatlas.operators.geo import nearest
+
+    places = df.select(F.col("business_id").alias("id"), "lat", "lng", "is_mine")
+    found = nearest(places.filter("is_mine"), places, miles, k)
+    return found.select(F.col("id").alias("ours"), F.col("other").alias("business_id"), "nth", F.round("miles", 4).alias("miles"))
 
 
 def rank_history(facts: DataFrame, limit: int = 100) -> DataFrame:

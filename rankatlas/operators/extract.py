@@ -1,58 +1,73 @@
-"""Extraction from stored pages: listings, links, e-mails, JSON-LD. Native patterns; rules are data."""
+"""Extraction from stored pages: listings, links, e-mails, JSON-LD. Rules are data: selectors, attributes and patterns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankatlas.functions.scalars import compact_number, email_valid, emails_in, non_empty, normalize_phone, street_address, unwrap_redirect, url_host, url_origin, us_phone, valid_rating, website_url
+from rankatlas.functions import urls
+from rankatlas.functions.scalars import BLANK, compact_number, email_valid, emails_in, let, non_empty, normalize_phone, street_address, unwrap_redirect, url_host, url_origin, us_phone, valid_rating, website_url
+from rankatlas.operators.html import READ, attribute, first_match, fits, inside, matches, read_elements, text_of
 
-# What a contact link's target or text holds.
+# What a contact link's target or text holds, as whole words.
 CONTACT_WORDS = ("contact", "about", "team", "staff", "connect", "reach", "get-in-touch", "support")
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'#]+)[^"']*["'][^>]*>(.*?)</a>"""
 
 
-def visible_text(html: Column) -> Column:
-    """The page without scripts, styles and tags; a tag becomes a blank."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]+>", " "), r"\s+", " "))
+def _read(pages: DataFrame, html: str) -> DataFrame:
+    """Pages with their elements, read here unless the caller has done it by read_elements()."""
+    return pages if READ in pages.columns else read_elements(pages, html)
+
 
+def _others(pages: DataFrame, html: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in pages.columns if c not in (html, READ)]
 
-def scripts(html: Column, kind: str = "application/ld.json") -> Column:
-    """Bodies of scripts of a type."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<script[^>]*type\s*=\s*[\"']{kind}[\"'][^>]*>(.*?)</script>"), F.lit(1))
+
+def visible_text(html: Column) -> Column:
+    """A fragment without scripts, styles and tags; a tag becomes a blank. Entities stay; text_of() of an element has them decoded."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]+>", " "), rf"{BLANK}+", " "))
 
 
 def harvest_emails(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Distinct valid addresses of each page, in the order of mail links, text, JSON-LD, meta tags, raw HTML.
+    """Distinct valid addresses of each page, in the order of mail links, shown text, JSON-LD, meta tags, raw HTML.
 
-    JSON-LD addresses are the values of `email` keys at any depth, so contact points, authors and members count.
+    Text and attributes are decoded and hidden elements left out; of JSON-LD the texts under email,
+    contactPoint, author, creator and member count, at any depth. A null page has none.
     """
-    h = F.coalesce(F.col(html), F.lit(""))
-    mail = F.transform(F.regexp_extract_all(h, F.lit(r"(?i)mailto:([^\"'?>\s]+)"), F.lit(1)), F.lower)
-    data = F.flatten(F.transform(scripts(h), lambda body: F.transform(F.regexp_extract_all(body, F.lit(r"\"email\"\s*:\s*\"(?:mailto:)?([^\"]+)\""), F.lit(1)), F.lower)))
-    meta = F.flatten(F.transform(F.regexp_extract_all(h, F.lit(r"(?i)<meta[^>]*email[^>]*>"), F.lit(0)), emails_in))
-    found = F.array_distinct(F.concat(mail, emails_in(visible_text(h)), data, meta, emails_in(h)))
-    return pages.withColumn("emails", F.filter(found, email_valid))
+    every = F.col("_page.elements")
+    mail = F.transform(F.filter(every, lambda e: (e["tag"] == "a") & F.coalesce(attribute(e, "href").startswith("mailto:"), F.lit(False))), lambda e: F.lower(F.trim(F.substring_index(F.replace(attribute(e, "href"), F.lit("mailto:"), F.lit("")), "?", 1))))
+    meta = F.filter(every, lambda e: matches(e, "meta[property*=email], meta[name*=email], meta[itemprop=email]"))
+    of = lambda texts: F.flatten(F.transform(texts, emails_in))
+    found = F.array_distinct(F.concat(mail, emails_in(F.col("_page.seen")), of(F.col("_page.mails")), of(F.transform(meta, lambda e: F.coalesce(attribute(e, "content"), F.lit("")))), emails_in(F.coalesce(F.col(html), F.lit("")))))
+    return _read(pages, html).withColumn("emails", F.filter(found, email_valid)).drop(*([] if READ in pages.columns else [READ]))
+
+
+def _base(url: str) -> Column:
+    """What a page's references are resolved against: its base element's target, or its own URL."""
+    return F.coalesce(F.when(F.col("_page.base").isNotNull(), urls.resolve(F.col(url), F.col("_page.base"))), F.col(url))
 
 
 def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """A row a link: page url, position, href, text, and the target resolved against the page."""
-    pair = F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(LINK), F.lit(2)).alias("label"))
-    rows = pages.select(F.col(url).alias("url"), F.posexplode(pair).alias("position", "a")).select("url", "position", F.trim("a.href").alias("href"), visible_text(F.col("a.label")).alias("label"))
-    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    folder = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
-    target = F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), "href")).when(F.col("href").startswith("/"), F.concat(origin, "href")).otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), "href"))
-    return rows.withColumns({"origin": origin, "target": target})
+    """A row a link: page url, position, href, label, and the target resolved against the page, in normal form."""
+    anchors = F.filter(F.col("_page.elements"), lambda e: (e["tag"] == "a") & attribute(e, "href").isNotNull())
+    each = F.transform(anchors, lambda e: F.struct(attribute(e, "href").alias("href"), text_of(e).alias("label")))
+    rows = _read(pages, html).select(F.col(url).alias("url"), _base(url).alias("base"), F.posexplode(each).alias("position", "a"))
+    return rows.select("url", "position", "a.href", "a.label", urls.origin(F.col("url")).alias("origin"), urls.normalized(urls.resolve(F.col("base"), F.col("a.href"))).alias("target"))
 
 
 def contact_links(pages: DataFrame, most: int = 5, html: str = "html", url: str = "url") -> DataFrame:
-    """Up to `most` distinct links of a page's own site that look like contact pages."""
-    words = "|".join(CONTACT_WORDS)
-    hit = F.lower(F.concat_ws(" ", "href", "label")).rlike(words)
-    own = links(pages, html, url).filter(hit & (F.regexp_extract("target", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1) == F.col("origin")))
-    first = own.groupBy("url", "target").agg(F.min("position").alias("position"))
-    return first.withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("position"))).filter(F.col("nth") <= most)
+    """Up to `most` distinct links of a page's own site that look like contact pages: url, target, position, nth.
+
+    A page is one row from start to end, so pages that share a URL stay apart.
+    """
+    word = rf"(?i)(?<![a-z0-9_])(?:{'|'.join(CONTACT_WORDS)})(?![a-z0-9_])"
+    hit = lambda e: (e["tag"] == "a") & F.coalesce(attribute(e, "href").rlike(word) | (attribute(e, "href").isNotNull() & text_of(e).rlike(word)), F.lit(False))
+    read = _read(pages, html).withColumn("hits", F.transform(F.filter(F.col("_page.elements"), hit), lambda e: attribute(e, "href")))
+    # few of a page's links get here, and only they are resolved
+    rows = read.filter(F.size("hits") > 0).select(F.col(url).alias("url"), _base(url).alias("base"), urls.origin(F.col(url)).alias("origin"), "hits")
+    own = lambda base, home, hits: F.filter(F.transform(hits, lambda h: urls.normalized(urls.resolve(base, h))), lambda t: F.coalesce(urls.origin(t) == home, F.lit(False)))
+    first = rows.select("url", F.posexplode(F.slice(F.array_distinct(own(F.col("base"), F.col("origin"), F.col("hits"))), 1, most)).alias("position", "target"))
+    return first.select("url", "target", "position", (F.col("position") + 1).alias("nth"))
 
 
 def resolve_enrichment(candidates: DataFrame, harvested: DataFrame, most: int = 3) -> DataFrame:
@@ -90,100 +105,173 @@ def _chain(text: Column, patterns: str | list[str]) -> Column:
     return F.coalesce(*(non_empty(visible_text(F.regexp_extract(text, p, 1))) for p in tried))
 
 
+def _in_order(items: Column, kind: str) -> Column:
+    """A page's items by first place, each name once."""
+    return let(items, lambda rows: let(F.transform(rows, lambda x: x[kind]), lambda names: F.filter(rows, lambda x, i: F.array_position(names, x[kind]) == i + 1)))
+
+
 def extract_listings(pages: DataFrame, item: str | list[str], rules: dict[str, str | list[str]], html: str = "html", context: int = 1000) -> DataFrame:
-    """Listings of each page: the item pattern's first group is the name; each rule looks in the text after it.
+    """Listings of each page by patterns over its markup: the item pattern's first group is the name; each rule looks in the text after it.
 
     Of several item patterns the first that a page holds counts, of several patterns of a field the
     first that finds something. A rule looks at the `context` characters after its item and no
     further, however long the page is. Names repeat only once a page, the first place counts, and
-    ranks follow the order on the page.
+    ranks follow the order on the page. A page is a row from start to end: pages alike in all
+    columns stay apart, and nothing is shuffled.
     """
-    keep = [c for c in pages.columns if c != html]
     items = [item] if isinstance(item, str) else item
     cut = lambda p: F.split(F.regexp_replace(html, p, "\u0001$1\u0002"), "\u0001")
     parts = F.coalesce(*(F.when(F.col(html).rlike(p), cut(p)) for p in items)) if len(items) > 1 else cut(items[0])
-    rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("position", "part"))
-    rows = rows.withColumns({"name": F.trim(F.substring_index("part", "\u0002", 1)), "after": F.substring(F.substring_index("part", "\u0002", -1), 1, context)}).filter("name <> ''")
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keep, "name").orderBy("position"))).filter("nth = 1")
-    first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*keep).orderBy("position")))
-    fields = {f: _chain(F.col("after"), pattern) if isinstance(pattern, list) else F.nullif(F.regexp_extract("after", pattern, 1), F.lit("")) for f, pattern in rules.items()}
-    return first.select(*keep, "rank", "name", *(v.alias(f) for f, v in fields.items()), us_phone(F.col("after")).alias("phone"))
-
-
-#: Patterns of local results: an item's name, then its fields, each a chain; classes and labels as result pages have them.
-LOCAL_ITEMS = [r"(?is)<[^>]*class=\"[^\"]*(?:lm_entry_title|listing_title|titleLink)[^\"]*\"[^>]*>([^<]*)<", r"(?is)<[^>]*role=\"heading\"[^>]*>([^<]*)<", r"(?is)<h[23][^>]*>([^<]*)<"]
-LOCAL_RULES = {
-    "rating_text": [r"(?i)Rated (\d+\.?\d*) out of 5", r"(?is)<[^>]*class=\"[^\"]*(?:csrc|rating-value|yi40Hd)[^\"]*\"[^>]*>([^<]*)<"],
-    "review_text": [r"(?i)([\d,.]+[KkMm]?)\s*user reviews?", r"(?is)<[^>]*class=\"[^\"]*(?:reviewCount|ratingCount|RDApEe)[^\"]*\"[^>]*>\(?([\d,.]+[KkMm]?)"],
-    "address": [r"(?is)<[^>]*class=\"[^\"]*address[^\"]*\"[^>]*>([^<]*)<"],
-    "category": [r"(?is)<[^>]*class=\"[^\"]*categories[^\"]*\"[^>]*>([^<]*)<"],
-    "website": [r"(?is)<a[^>]*class=\"[^\"]*website[^\"]*\"[^>]*href=\"([^\"]+)\"", r"(?is)<a[^>]*href=\"(https?://[^\"]+)\""],
-    "place_id": [r"(?i)data-entityid=\"([^\"]+)\"", r"(?i)data-cid=\"([^\"]+)\""],
+    found = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct(F.trim(F.substring_index(x, "\u0002", 1)).alias("name"), F.substring(F.substring_index(x, "\u0002", -1), 1, context).alias("after")))
+    rows = pages.select(*_others(pages, html), F.posexplode(_in_order(F.filter(found, lambda x: x["name"] != ""), "name")).alias("nth", "x"))
+    fields = {f: _chain(F.col("x.after"), pattern) if isinstance(pattern, list) else F.nullif(F.regexp_extract("x.after", pattern, 1), F.lit("")) for f, pattern in rules.items()}
+    return rows.select(*_others(pages, html), (F.col("nth") + 1).alias("rank"), "x.name", *(v.alias(f) for f, v in fields.items()), us_phone(F.col("x.after")).alias("phone"))
+
+
+#: Local results: what an item's name is; of a page, the first that it holds.
+LOCAL_NAMES = [".lm_entry_title, .listing_title, a.titleLink", "[role=heading]", "h2, h3"]
+#: Fields of an item, each a chain of selector, attribute (or text) and pattern; the first that finds something counts.
+LOCAL_FIELDS = {
+    "rating_text": [("[aria-label*=out of 5]", "aria-label", r"(\d+(?:\.\d+)?) out of 5"), (".csrc, .rating-value, .yi40Hd", "text", r"(\d\.?\d?)")],
+    "review_text": [("[aria-label*=review]", "aria-label", r"(?i)([\d,.]+[km]?)\s*(?:user )?reviews?"), (".reviewCount, .ratingCount, .RDApEe", "text", r"([\d,.]+[KkMm]?)")],
+    "address": [(".lm_entry_address, .listing_address, .address", "text", "")],
+    "phone_text": [(".lm_entry_phone, .listing_phone, .phone", "text", "")],
+    "category": [(".lm_entry_categories, .categories", "text", "")],
+    "website": [("a.website", "href", ""), ("a[href^=http]", "href", "")],
 }
+PLACE_IDS = ("data-entityid", "data-cid")
+
 
+def _field(elements: Column, chain: list[tuple[str, str, str]], page: Column) -> Column:
+    def take(kind: str, pattern: str):
+        def value(e: Column) -> Column:
+            raw = text_of(e, page) if kind == "text" else attribute(e, kind)
+            return non_empty(F.regexp_extract(raw, pattern, 1) if pattern else raw)
 
-def extract_local(pages: DataFrame, html: str = "html") -> DataFrame:
-    """extract_listings() with the patterns of local results, typed: rating over 0 and up to 5, reviews as a number."""
-    found = extract_listings(pages, LOCAL_ITEMS, LOCAL_RULES, html)
-    keep = [c for c in pages.columns if c != html]
-    address = F.coalesce("address", street_address(F.col("address")))
-    return found.select(*keep, "rank", "name", address.alias("address"), "phone", valid_rating(F.col("rating_text")).alias("rating"), compact_number(F.col("review_text")).alias("reviews"), "category", "website", "place_id")
+        return value
 
+    return F.coalesce(*(first_match(elements, [selector], take(kind, pattern)) for selector, kind, pattern in chain))
 
-#: Where an organic result begins, its link and title, its snippet.
+
+def extract_local(pages: DataFrame, html: str = "html", names: list[str] = LOCAL_NAMES, fields: dict = LOCAL_FIELDS) -> DataFrame:
+    """Local results of each page, typed: rank, name, address, phone, rating (over 0 and up to 5), reviews, category, website, place_id.
+
+    An item reaches from its name to the next one's. Text is decoded. Without an address of its own
+    an item has the first street in its text, without a phone the first US number there. The place
+    id is of the element around the name or of one in the item. Names repeat only once a page.
+    """
+    every = F.col("_page.elements")
+    heads = F.coalesce(*(F.when(F.exists(every, fits(s)), F.filter(every, fits(s))) for s in names))
+
+    def region(h: Column, following: Column) -> Column:
+        last = F.coalesce(following["n"], F.size(every))
+        end = F.coalesce(following["start"], F.length(F.col("_page.text")) + 1)
+        ids = lambda e: F.coalesce(*(attribute(e, x) for x in PLACE_IDS))
+        around = F.filter(F.slice(every, 1, h["n"] + 1), lambda e: (e["last"] >= h["n"]) & ids(e).isNotNull())
+        within = F.slice(every, h["n"] + 2, last - h["n"] - 1)
+        place = F.coalesce(F.get(F.transform(F.reverse(around), ids), F.lit(0)), first_match(within, [f"[{x}]" for x in PLACE_IDS], ids))
+        return F.struct(text_of(h).alias("name"), within.alias("elements"), F.substring(F.col("_page.text"), h["end"] + 1, end - h["end"]).alias("after"), place.alias("place_id"))
+
+    items = let(heads, lambda hs: F.transform(hs, lambda h, i: region(h, F.get(hs, i + 1))))
+    rows = _read(pages, html).select(*_others(pages, html), F.col(READ), F.posexplode(_in_order(F.filter(items, lambda x: x["name"] != ""), "name")).alias("nth", "x"))
+    text = F.struct(F.col("_page.text").alias("text"))
+    found = {f: _field(F.col("x.elements"), chain, text) for f, chain in fields.items()}
+    rows = rows.select(*_others(pages, html), (F.col("nth") + 1).alias("rank"), "x.name", "x.after", "x.place_id", *(v.alias(f) for f, v in found.items()))
+    address = F.coalesce("address", street_address(F.col("after")))
+    phone = F.coalesce(normalize_phone(F.col("phone_text")), us_phone(F.col("after")))
+    return rows.select(*_others(pages, html), "rank", "name", address.alias("address"), phone.alias("phone"), valid_rating(F.col("rating_text")).alias("rating"), compact_number(F.col("review_text")).alias("reviews"), "category", "website", "place_id")
+
+
+#: Organic results: the block (of a page, the first that it holds), its link, its snippet.
 ORGANIC = {
-    "block": r"(?is)<(?:div|li|article)[^>]*class=\"[^\"]*\b(?:result|web-result|results_links|b_algo)\b[^\"]*\"[^>]*>",
-    "link": r"(?is)<a[^>]*href=\"([^\"]+)\"[^>]*>(.*?)</a>",
-    "snippet": r"(?is)class=\"[^\"]*(?:result__snippet|result__body|b_caption)[^\"]*\"[^>]*>(.*?)</(?:a|div|p)>",
+    "block": ["div.result, li.result, article.result", "div.web-result", "div.results_links", "[data-nrn=result]", ".b_algo", "div.g, [data-sokoban-container]"],
+    "link": ["a.result__a", "a[href]"],
+    "snippet": [".result__snippet", ".result__body", ".b_caption", ".VwiC3b, .st, .aCOpRe, [data-sncf]"],
 }
 
 
-def extract_organic(pages: DataFrame, patterns: dict[str, str] = ORGANIC, html: str = "html") -> DataFrame:
-    """Organic results of each page: position, title, url (redirects unwrapped), domain, snippet (or empty).
+def extract_organic(pages: DataFrame, rules: dict[str, list[str]] = ORGANIC, html: str = "html") -> DataFrame:
+    """Organic results of each page: position, title, url (redirects unwrapped), domain, snippet (or empty), all decoded.
 
     A block without a title or without an http(s) target is none and takes no position.
     """
-    keep = [c for c in pages.columns if c != html]
-    parts = F.split(F.regexp_replace(html, patterns["block"], "\u0001"), "\u0001")
-    rows = pages.select(*keep, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("nth", "part"))
-    url = unwrap_redirect(F.regexp_replace(F.regexp_extract("part", patterns["link"], 1), "&amp;", "&"))
-    rows = rows.withColumns({"title": non_empty(visible_text(F.regexp_extract("part", patterns["link"], 2))), "url": url, "snippet": visible_text(F.regexp_extract("part", patterns["snippet"], 1))})
-    rows = rows.filter(F.col("url").startswith("http") & F.col("title").isNotNull())
-    return rows.select(*keep, F.row_number().over(Window.partitionBy(*keep).orderBy("nth")).alias("position"), "title", "url", F.lower(url_host(F.col("url"))).alias("domain"), "snippet")
-
-
-_BUSINESS = "`@type`:string, name:string, telephone:string, url:string, address:struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string>, geo:struct<latitude:double,longitude:double>, aggregateRating:struct<ratingValue:double,reviewCount:bigint>"
-_LISTED = f"{_BUSINESS}, item:struct<{_BUSINESS}>"
-_DOCUMENT = f"struct<{_BUSINESS}, itemListElement:array<struct<{_LISTED}>>, `@graph`:array<struct<{_BUSINESS}, itemListElement:array<struct<{_LISTED}>>>>>"
+    every = F.col("_page.elements")
+    blocks = F.coalesce(*(F.when(F.exists(every, fits(s)), F.filter(every, fits(s))) for s in rules["block"]))
+
+    def result(b: Column) -> Column:
+        pick = lambda e: F.when(attribute(e, "href").isNotNull(), F.struct(unwrap_redirect(F.trim(attribute(e, "href"))).alias("url"), text_of(e).alias("title")))
+        link = first_match(inside(b), rules["link"], pick)
+        return F.struct(link["title"].alias("title"), link["url"].alias("url"), F.coalesce(first_match(inside(b), rules["snippet"], text_of), F.lit("")).alias("snippet"))
+
+    good = F.filter(F.transform(blocks, result), lambda r: r["url"].startswith("http") & (r["title"] != ""))
+    rows = _read(pages, html).select(*_others(pages, html), F.posexplode(good).alias("nth", "r"))
+    return rows.select(*_others(pages, html), (F.col("nth") + 1).alias("position"), "r.title", "r.url", F.lower(url_host(F.col("r.url"))).alias("domain"), "r.snippet")
+
+
 #: Types of JSON-LD documents that are businesses.
 BUSINESS_TYPES = ("LocalBusiness", "Restaurant")
 
 
 def extract_jsonld(pages: DataFrame, html: str = "html", types: tuple[str, ...] = BUSINESS_TYPES) -> DataFrame:
-    """Businesses in a page's JSON-LD by their @type: single, in a list, in @graph, or as elements of an item list or what such an element wraps."""
-    keep = [c for c in pages.columns if c != html]
-    body = pages.select(*keep, F.explode(scripts(F.col(html))).alias("body"))
-    documents = F.coalesce(F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{_DOCUMENT}>")), F.array(F.from_json("body", _DOCUMENT)))
-    names = ("@type", "name", "telephone", "url", "address", "geo", "aggregateRating")
-    plain = lambda x: F.struct(*(x.getField(n).alias(n) for n in names))
-    none = lambda items: F.coalesce(items, F.array())
-    listed = lambda d: F.flatten(F.transform(none(d["itemListElement"]), lambda x: F.array(plain(x), plain(x["item"]))))
-    inside = lambda d: F.concat(F.array(plain(d)), listed(d))
-    every = F.flatten(F.transform(documents, lambda d: F.concat(inside(d), F.flatten(F.transform(none(d["@graph"]), inside)))))
-    rows = body.select(*keep, F.explode(every).alias("b")).filter(F.col("b.name").isNotNull() & F.col("b")["@type"].rlike(rf"\b(?:{'|'.join(types)})\b"))
-    return rows.select(*keep, F.col("b.name").alias("name"), normalize_phone(F.col("b.telephone")).alias("phone"), F.col("b.url").alias("website"), F.col("b.address.addressLocality").alias("city"), F.col("b.geo.latitude").alias("lat"), F.col("b.geo.longitude").alias("lng"), F.col("b.aggregateRating.ratingValue").alias("rating"), F.col("b.aggregateRating.reviewCount").alias("review_count"))
-
-
-def extract_related(pages: DataFrame, attribute: str = "data-q", html: str = "html") -> DataFrame:
-    keep = [c for c in pages.columns if c != html]
-    return pages.select(*keep, F.posexplode(F.array_distinct(F.regexp_extract_all(html, F.lit(rf"{attribute}=\"([^\"]+)\""), F.lit(1)))).alias("position", "text"))
-
-
-def listings_from_snippets(organic: DataFrame) -> DataFrame:
-    """Businesses of organic results whose snippet holds a valid US phone: name, address, phone, website (the result's origin), in order."""
+    """Businesses in a page's JSON-LD by their @type: single or in lists, graphs and item lists at any depth, in order.
+
+    Values are read as they come: numbers may be strings, and an address or a place a list, of which
+    the first counts, or an address a text. What isn't what it should be is null.
+    """
+    rows = _read(pages, html).select(*_others(pages, html), F.posexplode(F.col("_page.things")).alias("nth", "thing")).withColumn("v", F.try_parse_json("thing"))
+
+    def text(*paths: str) -> Column:
+        return F.coalesce(*(non_empty(F.try_variant_get("v", p, "string")) for p in paths))
+
+    inner = lambda outer, name: text(f"$.{outer}.{name}", f"$.{outer}[0].{name}")
+    number = lambda outer, name, kind: inner(outer, name).try_cast(kind)
+    kind = F.try_variant_get("v", "$['@type']", "string")
+    plain = F.when(F.schema_of_variant("v").isNotNull() & (F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.address", "variant")), F.lit("")) == "STRING"), text("$.address"))
+    named = rows.filter(text("$.name").isNotNull() & kind.rlike(rf"(?<![A-Za-z0-9_])(?:{'|'.join(types)})(?![A-Za-z0-9_])"))
+    return named.select(*_others(pages, html), kind.alias("type"), text("$.name").alias("name"), normalize_phone(text("$.telephone", "$.telephone[0]")).alias("phone"), text("$.url").alias("website"), F.coalesce(inner("address", "streetAddress"), plain).alias("address"), inner("address", "addressLocality").alias("city"), inner("address", "addressRegion").alias("state"), inner("address", "postalCode").alias("zip"), number("geo", "latitude", "double").alias("lat"), number("geo", "longitude", "double").alias("lng"), number("aggregateRating", "ratingValue", "double").alias("rating"), number("aggregateRating", "reviewCount", "bigint").alias("review_count"))
+
+
+#: Questions that people also ask, and related searches: selector, and attributes that hold the text, or else the element's own.
+QUESTIONS = (".related-question-pair, div[data-q], div[data-lk]", ("data-q", "data-lk"))
+RELATED = ("div.s75CSd a, #brs a, a.k8XOCe", ())
+
+
+def extract_related(pages: DataFrame, rule: tuple[str, tuple[str, ...]] = QUESTIONS, html: str = "html") -> DataFrame:
+    """Questions (or, with RELATED, searches) of each page in order, each text once: position, text."""
+    selector, attributes = rule
+    every = F.col("_page.elements")
+    own = lambda e: first_match(inside(e), ["span"], lambda x: non_empty(text_of(x))) if attributes else text_of(e)
+    texts = F.transform(F.filter(every, lambda e: _descends(e, every, selector)), lambda e: F.coalesce(*(non_empty(attribute(e, a)) for a in attributes), own(e)))
+    return _read(pages, html).select(*_others(pages, html), F.posexplode(F.array_distinct(F.filter(texts, lambda t: t.isNotNull() & (t != "")))).alias("position", "text"))
+
+
+def _descends(element: Column, every: Column, selector: str) -> Column:
+    """matches(), where a comma-separated part may name an element around it first: `outer inner`."""
+    tests = []
+    for part in map(str.strip, selector.split(",")):
+        outer, _, inner = part.rpartition(" ")
+        fit = matches(element, inner)
+        if outer:
+            around = F.filter(F.slice(every, 1, element["n"]), lambda a: a["last"] >= element["n"])
+            fit &= F.exists(around, fits(outer))
+        tests.append(fit)
+    found = tests[0]
+    for t in tests[1:]:
+        found |= t
+    return found
+
+
+def listings_from_snippets(organic: DataFrame, page: list[str] | None = None) -> DataFrame:
+    """Businesses of organic results whose snippet holds a valid US phone: name, address, phone, website (the result's origin), ranked in order.
+
+    `page` names the columns that tell pages apart; without it all columns that aren't the result's do.
+    """
     keep = [c for c in organic.columns if c not in ("position", "title", "url", "domain", "snippet")]
+    key = keep if page is None else page
+    if not key:
+        raise ValueError("ranks are within a page: name the columns that tell pages apart")
     found = organic.withColumn("phone", us_phone(F.col("snippet"))).filter("phone is not null")
-    order = Window.partitionBy(*keep).orderBy("position") if keep else Window.orderBy("position")
+    order = Window.partitionBy(*key).orderBy("position")
     return found.select(*keep, F.row_number().over(order).alias("rank"), F.col("title").alias("name"), street_address(F.col("snippet")).alias("address"), "phone", url_origin(F.col("url")).alias("website"))
 
 

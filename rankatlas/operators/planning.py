@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankatlas.functions.scalars import miles_to_lat, miles_to_lng
+from rankatlas.operators.numbering import numbered
 
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -42,9 +43,8 @@ def estimate_plan(plan: DataFrame, costs: dict[str, tuple[float, int]], points:
 
 
 def queue_order(plan: DataFrame) -> DataFrame:
-    """Each engine's order of work: highest priority first, then as planned."""
-    order = Window.partitionBy("engine").orderBy(F.desc("priority"), "area_id", "slug", "keyword")
-    return plan.withColumn("turn", F.row_number().over(order))
+    """Each engine's order of work: highest priority first, then as planned. An engine's work is numbered in many tasks."""
+    return numbered(plan, ["engine"], [F.desc("priority"), "area_id", "slug", "keyword"], "turn").withColumn("turn", (F.col("turn") + 1).cast("int"))
 
 
 def scan_progress(points: DataFrame, keys: list[str]) -> DataFrame:

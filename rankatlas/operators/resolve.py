@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankatlas.functions.scalars import engine_family, haversine_miles, names_close, normalize_domain, normalize_name, normalize_phone
+from rankatlas.functions.scalars import engine_family, haversine_miles, names_close, non_empty, normalize_domain, normalize_name, normalize_phone
+from rankatlas.operators.components import components, followed
+from rankatlas.operators.geo import cells_around, own_cells
 from rankatlas.operators.lineage import checkpoint
 
 # Confidence of each rule, in the order in which they are tried.
@@ -13,6 +17,8 @@ RULES = {"place_id": 100, "phone": 90, "name_location": 95, "fuzzy_name_phone":
 NEAR_MILES = 0.031
 #: Degrees of latitude in NEAR_MILES; the side of a cell.
 CELL = NEAR_MILES / 69.0
+#: Edits that names may be apart, and the parts a name is cut into, of which one at least is then untouched.
+EDITS, PARTS = 3, 4
 
 
 def _when() -> Column:
@@ -26,34 +32,79 @@ def _earliest(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return with_keys.join(first, keys).filter(_when() > F.col("parent")).select("obs_id", "parent", F.lit(rule).alias("rule"))
 
 
+def near_places(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of places (name, lat, lng and their own columns) of one name and within NEAR_MILES; right's columns have `other_` before them.
+
+    Places meet in cells: a left one looks into its own and all around it, a right one lies in its own.
+    """
+    there = right.select(*(F.col(c).alias(f"other_{c}") for c in right.columns), F.explode(own_cells(F.col("lat"), F.col("lng"), CELL)).alias("other_cell"))
+    around = left.withColumn("cell", F.explode(cells_around(F.col("lat"), F.col("lng"), CELL)))
+    met = around.join(there, (F.col("cell") == F.col("other_cell")) & (F.col("norm_name") == F.col("other_norm_name")))
+    return met.filter(haversine_miles(F.col("lat"), F.col("lng"), F.col("other_lat"), F.col("other_lng")) < NEAR_MILES).drop("cell", "other_cell")
+
+
 def _near(df: DataFrame) -> DataFrame:
     """Edges between equal names at near places, from each to the earliest one of the other places.
 
-    Observations of one name at one place are one candidate, so copies make no pairs; places are
-    compared with those in their own and the neighbouring cells, which are as many more to the east
-    and west as the meridians are closer.
+    Observations of one name at one place are one candidate, so copies make no pairs.
     """
     placed = df.dropna(subset=["norm_name", "lat", "lng"]).filter("norm_name <> ''")
     places = placed.groupBy("norm_name", "lat", "lng").agg(F.min(_when()).alias("p"))
-    cells = places.withColumns({"cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lng") / CELL)})
-    wide = F.ceil(1.001 / F.greatest(F.cos(F.radians(F.abs("lat") + CELL)), F.lit(0.001))).cast("int")
-    around = cells.select("norm_name", "lat", "lng", "cy", F.explode(F.transform(F.sequence(-wide, wide), lambda i: F.col("cx") + i)).alias("cx"))
-    around = around.withColumn("cy", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.col("cy") + i)))
-    others = cells.select("norm_name", "cx", "cy", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("p").alias("parent"))
-    close = around.join(others, ["norm_name", "cx", "cy"]).filter(haversine_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")) < NEAR_MILES)
-    earliest = close.groupBy("norm_name", "lat", "lng").agg(F.min("parent").alias("parent"))
+    earliest = near_places(places.drop("p"), places).groupBy("norm_name", "lat", "lng").agg(F.min("other_p").alias("parent"))
     return placed.join(earliest, ["norm_name", "lat", "lng"]).filter(_when() > F.col("parent")).select("obs_id", "parent", F.lit("name_location").alias("rule"))
 
 
+def _part(size: Column, i: Column) -> tuple[Column, Column]:
+    """Start and length of the i-th of PARTS even parts of a name of `size` characters; the last ones take what is over."""
+    base, over = F.floor(size / PARTS).cast("int"), size % PARTS
+    first_long = PARTS - over
+    return i * base + F.greatest(i - first_long, F.lit(0)), base + (i >= first_long).cast("int")
+
+
+def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of names (norm_phone, norm_name) under one phone within EDITS; right's columns have `other_` before them.
+
+    Of PARTS parts of a name one at least is untouched by fewer edits, and moves by no more than the
+    edits that are left. A longer name looks for each part of the lengths up to its own where it can
+    stand, so names meet only where they share a part, however many one phone has.
+    """
+    size = F.length("norm_name")
+
+    def parts_of(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        start, n = _part(size, F.col("i"))
+        return rows.withColumns({"of": size, "piece": F.substring("norm_name", start + 1, n)})
+
+    def looked_for(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("less", F.explode(F.sequence(F.lit(0), F.lit(EDITS)))).withColumn("of", size - F.col("less")).filter("of > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        start, n = _part(F.col("of"), F.col("i"))
+        back, ahead = F.floor((EDITS - F.col("less")) / 2).cast("int"), F.floor((EDITS + F.col("less")) / 2).cast("int")
+        low, high = F.greatest(start - back, F.lit(0)), F.least(start + ahead, size - n)
+        places = F.when(n == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
+        rows = rows.withColumn("n", n).withColumn("at", F.explode(places))
+        return rows.withColumn("piece", F.substring("norm_name", F.col("at") + 1, F.col("n"))).drop("less", "n", "at").distinct()
+
+    key = ["norm_phone", "of", "i", "piece"]
+    named = lambda df, cols: df.select(*key, *(F.col(c).alias(f"other_{c}") for c in cols if c != "norm_phone"))
+    down = looked_for(left).join(named(parts_of(right), right.columns), key).drop("of", "i", "piece")
+    others = looked_for(right).select(*key, *(F.col(c).alias(f"other_{c}") for c in right.columns if c != "norm_phone"))
+    up = parts_of(left).join(others, key).drop("of", "i", "piece")
+    return down.unionByName(up).filter(names_close(F.col("norm_name"), F.col("other_norm_name"), EDITS)).distinct()
+
+
+def with_keys(observations: DataFrame) -> DataFrame:
+    """Observations with what the rules compare; what is empty is null and matches nothing."""
+    return observations.withColumns({"place_id": non_empty(F.col("place_id")), "norm_name": non_empty(normalize_name(F.col("name"))), "norm_phone": normalize_phone(F.col("phone")), "domain": non_empty(normalize_domain(F.col("website"))), "low_city": non_empty(F.lower("city"))})
+
+
 def match_edges(observations: DataFrame, phone_requires_name: bool = False) -> DataFrame:
     """Edges of all rules from each observation to an earlier one."""
-    df = observations.withColumns({"norm_name": normalize_name(F.col("name")), "norm_phone": normalize_phone(F.col("phone")), "domain": normalize_domain(F.col("website")), "low_city": F.lower("city")})
+    df = with_keys(observations)
     edges = _earliest(df, ["place_id"], "place_id").unionByName(_near(df)).unionByName(_earliest(df, ["domain", "low_city"], "domain_city"))
     if not phone_requires_name:
         return edges.unionByName(_earliest(df, ["norm_phone"], "phone"))
     names = df.dropna(subset=["norm_phone", "norm_name"]).groupBy("norm_phone", "norm_name").agg(F.min(_when()).alias("p"))
-    others = names.select("norm_phone", F.col("norm_name").alias("other"), F.col("p").alias("theirs"))
-    near = names.join(others, "norm_phone").filter(names_close(F.col("norm_name"), F.col("other"))).groupBy("norm_phone", "norm_name").agg(F.min("theirs").alias("parent"))
+    near = close_names(names.drop("p"), names).groupBy("norm_phone", "norm_name").agg(F.min("other_p").alias("parent"))
     close = df.join(near, ["norm_phone", "norm_name"]).filter(_when() > F.col("parent"))
     return edges.unionByName(close.select("obs_id", "parent", F.lit("fuzzy_name_phone").alias("rule")))
 
@@ -102,22 +153,109 @@ def build_facts(observations: DataFrame, resolved: DataFrame) -> tuple[DataFrame
     return full.select("business_id", "point_id", "rank", "observed_at"), snapshots
 
 
+#: What ingest() keeps under its folder, each written by batch and never again.
+STATE = {
+    "keys": "rule string, key string, id long",
+    "places": "norm_name string, lat double, lng double, id long",
+    "names": "norm_phone string, norm_name string, id long",
+    "aliases": "old long, id long",
+}
+FIRST, LAST, TOGETHER = ("name", "city"), ("place_id", "phone", "website"), ("lat", "lng")
+
+
+def _kept(spark: SparkSession, folder: str, name: str, number: int | None) -> DataFrame:
+    """A table of the batches before `number`, or of all."""
+    schema = f"{STATE[name]}, batch int"
+    if number == 0:
+        return spark.createDataFrame([], STATE[name])
+    rows = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return (rows if number is None else rows.filter(F.col("batch") < number)).drop("batch")
+
+
+def _current(rows: DataFrame, aliases: DataFrame, column: str = "id") -> DataFrame:
+    """Rows with today's ids."""
+    new = aliases.select(F.col("old").alias(column), F.col("id").alias("_now"))
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("_now", column)).drop("_now").select(*rows.columns)
+
+
+def _partial(rows: DataFrame) -> DataFrame:
+    """Each entity's first and last values beside their times, which merge by the same minima and maxima."""
+    at = _when()
+    first = [F.min(F.struct(F.struct("observed_at", "obs_id").alias("at"), F.col(c).alias("value"))).alias(c) for c in FIRST]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c) for c in LAST]
+    both = F.max(F.when(F.col(TOGETHER[0]).isNotNull(), F.struct(at.alias("at"), *TOGETHER))).alias("together")
+    return rows.groupBy("id").agg(*first, *last, both, F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+
+
+def entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The businesses that ingest() knows: id, first-seen and last non-null values, first_seen and last_seen."""
+    rows = _current(spark.read.parquet(f"{folder}/parts").drop("batch"), followed(_kept(spark, folder, "aliases", None)))
+    merged = rows.groupBy("id").agg(*(F.min(c).alias(c) for c in FIRST), *(F.max(c).alias(c) for c in (*LAST, "together")), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return merged.select("id", *(F.col(f"{c}.value").alias(c) for c in (*FIRST, *LAST)), *(f"together.{c}" for c in TOGETHER), "first_seen", "last_seen")
+
+
+def facts(spark: SparkSession, folder: str, name: str = "rankings") -> DataFrame:
+    """Rankings, snapshots or assigned (obs_id to business_id) of all batches, under the ids of entities()."""
+    return _current(spark.read.parquet(f"{folder}/{name}"), followed(_kept(spark, folder, "aliases", None)), "business_id")
+
+
 def ingest(batch: DataFrame, number: int, folder: str, order: tuple[str, ...] = tuple(RULES), phone_requires_name: bool = False) -> None:
-    """One batch of observations into the dimension and the facts under a folder; for ingest_stream().
+    """One batch of observations into the entities and facts under a folder; for ingest_stream().
 
-    The entities known so far take part as observations of the oldest times. Everything is written
-    under the batch's number, in place of an earlier try of the same batch.
+    An entity is what the rules in `order` join, over any number of observations, so batches in any
+    order give the same entities. Its id stays for good, or becomes an alias of another's when a
+    batch joins the two; entities() and facts() follow aliases, so no fact loses its entity. A
+    batch looks up only its own keys, and near places and names, among those that are kept; the
+    graph that is solved has its observations and the entities it meets. Every table is appended
+    to, under the batch's number, in place of an earlier try of the same batch; nothing is rewritten.
     """
     spark = batch.sparkSession
-    columns = ["obs_id", "observed_at", "name", "place_id", "phone", "website", "city", "lat", "lng"]
-    seen = batch.select(*columns)
-    if number:
-        seen = seen.unionByName(spark.read.parquet(f"{folder}/entities/batch={number - 1}").select(*columns))
-    resolved = checkpoint(resolve_entities(seen, order, phone_requires_name))
-    merged = survive(seen.join(resolved.select("obs_id", "business_id"), "obs_id"), ["name", "city"], ["place_id", "phone", "website"], {"point": ["lat", "lng"]})
-    # an entity goes on under its first observation
-    entities = merged.join(seen.select(F.col("obs_id").alias("business_id"), F.col("observed_at").alias("first_at")), "business_id").select(F.col("business_id").alias("obs_id"), F.col("first_at").alias("observed_at"), *columns[2:])
-    entities.write.mode("overwrite").parquet(f"{folder}/entities/batch={number}")
-    rankings, snapshots = build_facts(batch, resolved)
-    rankings.write.mode("overwrite").parquet(f"{folder}/rankings/batch={number}")
-    snapshots.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
+    seen = checkpoint(with_keys(batch.dropDuplicates(["obs_id"])))
+    known = checkpoint(followed(_kept(spark, folder, "aliases", number)))
+    one = {"place_id": F.col("place_id"), "domain_city": F.concat_ws("\n", F.when(F.col("low_city").isNotNull(), F.col("domain")), F.when(F.col("domain").isNotNull(), F.col("low_city")))}
+    if not phone_requires_name:
+        one["phone"] = F.col("norm_phone")
+    # equal keys: every row of a key is joined to the key's least id
+    keyed = [seen.select(F.lit(rule).alias("rule"), non_empty(c).alias("key"), F.col("obs_id").alias("id")).filter("key IS NOT NULL") for rule, c in one.items() if rule in order]
+    empty = spark.createDataFrame([], STATE["keys"])
+    keys = checkpoint(reduce(DataFrame.unionByName, keyed, empty))
+    held = checkpoint(_current(_kept(spark, folder, "keys", number).join(keys.select("rule", "key").distinct(), ["rule", "key"], "left_semi"), known))
+    rows = keys.unionByName(held)
+    stars = rows.join(rows.groupBy("rule", "key").agg(F.min("id").alias("least")), ["rule", "key"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    edges = [stars, seen.select(F.col("obs_id").alias("a"), F.col("obs_id").alias("b"))]
+    met = [held.select("id")]
+    new = {"keys": keys.join(held.select("rule", "key"), ["rule", "key"], "left_anti")}
+
+    def theta(name: str, columns: list[str], rule: str, wanted: DataFrame, near) -> None:
+        """Edges of a rule that compares more than equal keys, within the batch and to what is kept."""
+        nodes = checkpoint(wanted.groupBy(*columns).agg(F.min("obs_id").alias("id")))
+        same = wanted.join(nodes, columns).select(F.col("obs_id").alias("a"), F.col("id").alias("b"))
+        shared = "norm_name" if name == "places" else "norm_phone"
+        old = checkpoint(_current(_kept(spark, folder, name, number).join(nodes.select(shared).distinct(), shared, "left_semi"), known))
+        pairs = checkpoint(near(nodes, nodes.unionByName(old)).select(F.col("id").alias("a"), F.col("other_id").alias("b")))
+        edges.extend([same, pairs])
+        met.append(old.join(pairs.select(F.col("b").alias("id")), "id", "left_semi").select("id"))
+        new[name] = nodes.join(old.select(*columns), columns, "left_anti")
+
+    if "name_location" in order:
+        theta("places", ["norm_name", "lat", "lng"], "name_location", seen.dropna(subset=["norm_name", "lat", "lng"]), near_places)
+    if phone_requires_name and "fuzzy_name_phone" in order:
+        theta("names", ["norm_phone", "norm_name"], "fuzzy_name_phone", seen.dropna(subset=["norm_phone", "norm_name"]), close_names)
+    found = components(reduce(DataFrame.unionByName, edges))
+    old = reduce(DataFrame.unionByName, met).distinct().withColumn("old", F.lit(True))
+    marked = found.join(old, found.node == old.id, "left").select("node", "root", F.col("old").isNotNull().alias("old"))
+    # an entity that is there keeps its id; of several the least one does
+    named = marked.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("old"), F.col("node"))), F.min("node")).alias("id"))
+    final = checkpoint(marked.join(named, "root").select("node", "id", "old"))
+    ids = final.select("node", F.col("id").alias("_id"))
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+    put(final.filter("old AND node <> id").select(F.col("node").alias("old"), "id"), "aliases")
+    for name in ("keys", "places", "names"):
+        rows = new[name].join(ids, F.col("id") == F.col("node")).withColumn("id", F.col("_id")).drop("node", "_id").distinct() if name in new else spark.createDataFrame([], STATE[name])
+        put(rows, name)
+    put(_partial(seen.join(ids, F.col("obs_id") == F.col("node")).withColumn("id", F.col("_id"))), "parts")
+    assigned = final.select(F.col("node").alias("obs_id"), F.col("id").alias("business_id")).join(seen.select("obs_id"), "obs_id", "left_semi")
+    put(assigned, "assigned")
+    rankings, snapshots = build_facts(batch, assigned)
+    put(rankings, "rankings")
+    put(snapshots, "snapshots")

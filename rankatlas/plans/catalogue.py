@@ -29,13 +29,13 @@ def query(sql: str | None = None, needs: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rankatlas.plans import more  # noqa: F401  registers its own
+    from rankatlas.plans import flows, more, pages  # noqa: F401  register their own
 
     return {n: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for n, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from rankatlas.plans import more  # noqa: F401
+    from rankatlas.plans import flows, more, pages  # noqa: F401
 
     return {n: sql for n, (_, sql) in _found.items() if sql}
 

@@ -39,6 +39,16 @@ def read_api_results(responses: DataFrame, body: str = "body") -> tuple[DataFram
     return places, pages
 
 
+def read_path(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """What append() has written; a filter on its partition columns reads their folders only."""
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Writes these rows in place of the partitions that they belong to; others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
@@ -87,3 +97,20 @@ def page_envelope(df: DataFrame, page: int, limit: int, order: list[Column]) ->
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(*order).offset((page - 1) * limit).limit(limit).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("data"))
     return rows.crossJoin(total).select("data", "total", F.lit(page).alias("page"), F.lit(limit).alias("limit"), F.ceil(F.col("total") / limit).alias("total_pages"))
+
+
+def jdbc_bounds(spark: SparkSession, url: str, name: str, column: str, **options: str) -> tuple[int, int]:
+    """The least and largest value of a numeric column, as the database itself finds them; 0 and 0 for an empty table."""
+    row = spark.read.format("jdbc").options(url=url, query=f"SELECT min({column}) AS low, max({column}) AS high FROM {name}", **options).load().first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def read_jdbc_table(spark: SparkSession, url: str, name: str, column: str, parts: int = 32, **options: str) -> DataFrame:
+    """read_jdbc() in ranges between the bounds that the table has now; filters and columns go to the database."""
+    low, high = jdbc_bounds(spark, url, name, column, **options)
+    return read_jdbc(spark, url, name, column, low, max(high, low + 1), parts, **options)
+
+
+def save_facts(df: DataFrame, table: str, month: str = "scan_month", key: str = "point_id", buckets: int = 8) -> None:
+    """Facts as a table of the catalogue: a folder a month, within it files by hash of the key, so that months are pruned and joins and sums by key need no shuffle."""
+    df.repartition(buckets, key).write.mode("overwrite").partitionBy(month).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)

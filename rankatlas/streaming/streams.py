@@ -113,11 +113,18 @@ def moved(batch: DataFrame, last: DataFrame | None, least: float = 3) -> tuple[D
 
 
 def alert_stream(facts: DataFrame, folder: str, least: float = 3):
-    """Writes each micro-batch's alerts under folder/alerts and the newest means under folder/means, both by the batch's number, so that a repeated batch replaces itself. Scans should come whole and in order."""
-    spark = facts.sparkSession
+    """Writes each micro-batch's alerts under folder/alerts and its keys' newest means under folder/means, both by the batch's number, so that a repeated batch replaces itself.
+
+    Scans should come whole and in order. Only keys of the batch are looked up among the means
+    before, and only theirs are written; nothing else is rewritten.
+    """
+    spark, keys = facts.sparkSession, ["business_id", "keyword", "engine"]
 
     def run(batch: DataFrame, number: int) -> None:
-        last = spark.read.parquet(f"{folder}/means/batch={number - 1}") if number else None
+        last = None
+        if number:
+            kept = spark.read.parquet(f"{folder}/means").filter(F.col("batch") < number).join(batch.select(*keys).distinct(), keys, "left_semi")
+            last = kept.groupBy(*keys).agg(F.max("scan_month").alias("scan_month"), F.max_by("mean", "scan_month").alias("mean"))
         alerts, after = moved(batch, last, least)
         alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
         after.write.mode("overwrite").parquet(f"{folder}/means/batch={number}")
