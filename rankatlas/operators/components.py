@@ -9,13 +9,13 @@ from .lineage import checkpoint
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root, the least node that it is joined to, for all nodes of the edges; an edge from a node to itself names a lone one.
+    """node and root, the least node that it is joined to, for all nodes of the edges; an edge from a node to itself names a lone one, one from or to null is none.
 
     Every round hangs each node's larger neighbours on its least one, and then its smaller ones, so
     that components become stars in a number of rounds that grows with the logarithm of their size.
     A node's neighbours are never gathered: their least one is a sum before the shuffle.
     """
-    plain = edges.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low IS NOT NULL AND high IS NOT NULL")
+    plain = edges.dropna(subset=[a, b]).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
     nodes = checkpoint(plain.select(F.explode(F.array("low", "high")).alias("node")).distinct())
     links = checkpoint(plain.filter("low <> high").distinct())
     before = None

