@@ -231,7 +231,11 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
 
 def dedup_passages(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs with repeated passages gone from the text; rows that lose every word go."""
+    """The rows of docs with repeated passages gone from the text; rows that lose every word go.
+
+    Null and empty texts have no passages and stay as they are; rows without an id come last; a text of any
+    length is one row; other columns stay, whatever their names; an empty table gives no rows.
+    """
     cut = remove_passages(docs, text_col=text_col, carry=True, **more)
     return restored(cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs, "kept", text_col)
 

@@ -66,8 +66,8 @@ class WordEncoder:
         self.keep = keep
 
     @staticmethod
-    def _by_length(vocab: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length from 1: the sorted keys of tokens so long, and their ids."""
+    def _by_length(vocab: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from 1: the sorted keys of tokens so long, their ids and their bytes."""
         longest = max(map(len, vocab))
         out = []
         for n in range(1, longest + 1):
@@ -75,12 +75,14 @@ class WordEncoder:
             text = np.frombuffer(b"".join(t for t, _ in of), np.uint8).reshape(-1, n)
             keys, ids = WordEncoder._keys([text[:, n - 1 - j] for j in range(n)]), np.array([i for _, i in of], np.int64)
             order = np.argsort(keys)
-            out.append((keys[order], ids[order]))
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two tokens have one key")
+            out.append((keys[order], ids[order], text[order]))
         return out
 
     @staticmethod
     def _keys(columns: list[np.ndarray]) -> np.ndarray:
-        """A key of the bytes in these columns, the last byte first: exact for eight, mixed beyond."""
+        """A key of the bytes in these columns, the last byte first: no two tokens of a length share one, but other texts may, so bytes are compared."""
         key = np.zeros(len(columns[0]), np.uint64)
         for c in columns:
             key = WordEncoder._longer(key, c)
@@ -141,7 +143,7 @@ class WordEncoder:
         """Last token of the encoding of each row's first `end` bytes, and where that token begins."""
         token, begin = np.full(len(row), -1), np.zeros(len(row), np.int64)
         left, key = np.arange(len(row)), np.zeros(len(row), np.uint64)
-        for n, (keys, ids) in enumerate(vocab, 1):
+        for n, (keys, ids, bytes_) in enumerate(vocab, 1):
             more = end[left] >= n
             left, key = left[more], key[more]
             if not len(left):
@@ -152,6 +154,8 @@ class WordEncoder:
                 continue
             spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             is_token = np.nonzero(keys[spot] == key)[0]
+            same = (text[row[left[is_token], None], at[is_token, None] + np.arange(n)] == bytes_[spot[is_token]]).all(1)
+            is_token = is_token[same]
             found = ids[spot[is_token]]
             good = self.pairs(last[row[left[is_token]], at[is_token]].astype(np.int64), found)
             hit = is_token[good]
@@ -287,9 +291,10 @@ def get_encoder(path: str) -> WordEncoder:
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text: doc_id, ids array<int>, decoded string.
 
-    Null or empty texts have no ids and decode to an empty string; repeated rows are encoded each;
-    other columns are ignored, whatever their names. There is no shuffle: each batch encodes its
-    distinct words once, and workers keep a bounded memory of words.
+    Null or empty texts have no ids and decode to an empty string; null ids stay; repeated rows are
+    encoded each; other columns are ignored, whatever their names; an empty table gives no rows; a
+    text of any length is encoded whole, in a piece of its own. There is no shuffle: each batch
+    encodes its distinct words once, and workers keep a bounded memory of words.
     """
     def run(batches):
         words_of = get_encoder(tokenizer)

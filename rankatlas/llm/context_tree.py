@@ -171,7 +171,8 @@ def score(docs: DataFrame, depth: int = 5, folds: int = 7, held: int = 2, id_col
     train. A-Z become lower case; null texts are empty. Base tokens are words and one end. The
     trees code the text's bytes and a closing zero byte, from zeros before the text, with contexts
     of up to `depth` bytes (2 to 6); they are learnt from all training texts and then fixed.
-    Repeated rows count and are scored each. An empty table gives no rows.
+    Repeated rows count and are scored each; a text of any length is scored whole; other columns are
+    ignored, whatever their names. An empty table gives no rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and
     bits_per_byte. Counts are summed in each task before a shuffle. Texts are dealt once into

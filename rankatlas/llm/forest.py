@@ -348,7 +348,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, tree
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, one of each class: the one of least id; those without id come last, then the least md5 of the text.
 
-    Of rows that agree in id and text, the one whose other columns come first as JSON stays.
+    Of rows that agree in id and text, the one whose other columns come first as JSON stays. Null
+    and empty texts are one class of equal texts; a text of any length is one row; columns may have
+    any names; an empty table gives no rows.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **more)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")

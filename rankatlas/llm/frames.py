@@ -64,8 +64,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", deal:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate data; a temporary one only where none is configured."""
+    """The cluster's shared folder for intermediate data: spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only where there is none and the driver is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found or tempfile.mkdtemp(prefix="spark-")

@@ -102,7 +102,10 @@ def judge_documents(docs: DataFrame, max_lost: float = 0.5, id_col: str = "doc_i
 
 
 def clean_documents(docs: DataFrame, max_lost: float = 0.5, text_col: str = "text", **more) -> DataFrame:
-    """The rows that pass, with all their columns; failed lines are gone from the text, and n_chars follows."""
+    """The rows that pass, with all their columns; failed lines are gone from the text, and n_chars follows.
+
+    Null and empty texts fail; null ids and repeated rows are judged like others; an empty table gives no rows.
+    """
     return restored(judge_documents(docs, max_lost, text_col=text_col, carry=True, **more).filter("kept"), docs, "cleaned", text_col)
 
 

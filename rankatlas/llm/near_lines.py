@@ -225,7 +225,11 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8, id_col: str = "doc
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs with repeated lines gone from the text; rows that lose every word go."""
+    """The rows of docs with repeated lines gone from the text; rows that lose every word go.
+
+    Null and empty texts have no lines with words and stay as they are; all columns stay, whatever their
+    names; an empty table gives no rows.
+    """
     cut = drop_repeated_lines(docs, text_col=text_col, carry=True, **more)
     has_word = lambda c: F.col(c).rlike(r"[^\x20\x09-\x0D]")
     return restored(cut.filter((F.col("n_removed") == 0) | has_word("kept")), docs, "kept", text_col)

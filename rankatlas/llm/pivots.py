@@ -37,8 +37,9 @@ def upper_bounds(queries: np.ndarray, query_table: np.ndarray, rows: np.ndarray,
         np.maximum(low, nearest[None, :, p] - query_table[:, p, None], out=low)
         np.maximum(low, query_table[:, p, None] - farthest[None, :, p], out=low)
     norms = np.maximum.reduceat((rows**2).sum(1), starts)
-    # the tables are rounded to single precision: give the bound that much room
-    return ((queries**2).sum(1)[:, None] + norms[None] - np.square(np.maximum(low * (1 - 1e-6) - 1e-3, 0))) / 2 + 1
+    # the tables are rounded to single precision, by a share of the distances: give the bound that much room
+    room = 1e-3 + 1e-6 * (query_table.max(1)[:, None] + farthest.max(1)[None])
+    return ((queries**2).sum(1)[:, None] + norms[None] - np.square(np.maximum(low - room, 0))) / 2 * (1 + 1e-12) + 1
 
 
 def search_block(queries: np.ndarray, query_keys: np.ndarray, query_table: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, row_keys: np.ndarray, row_table: np.ndarray, k: int, group: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

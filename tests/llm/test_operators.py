@@ -148,6 +148,21 @@ def test_encoding_equals_the_library(spark):
         assert list(got[i].ids) == ids and got[i].decoded == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_that_share_a_key_with_a_token_are_not_it():
+    words_of = bpe.WordEncoder(queries.tokenizer_path())
+    keys, ids, bytes_ = words_of.inner[2]
+    first = {i: t for i, t in zip(ids.tolist(), map(bytes, bytes_), strict=True) if t.isalpha()}
+    words = [t + b"zq" for t in first.values()]
+    begins = {w: int(np.frombuffer(p, "<u4")[0]) for w, p in words_of.encode_pieces(words).items()}
+    held = [t for i, t in first.items() if begins[t + b"zq"] == i]
+    assert len(held) > 50
+    # the same keys, but of other texts: none of these tokens may be found any more
+    words_of.inner[2] = (keys, ids, bytes_ ^ np.uint8(1))
+    for t in held[:50]:
+        with pytest.raises(ValueError, match="lacks"):
+            words_of.encode_pieces([t + b"zq"])
+
+
 def test_packing_covers_every_id(spark):
     from tokenizers import Tokenizer
 
@@ -172,6 +187,14 @@ def test_language_model(spark):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-6)
 
 
+def test_language_model_at_the_depth_of_the_query(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("The the cat Dog sat é on mat".split()) for _ in range(r.randint(0, 12)))) for i in range(30)]
+    got = sorted((x.doc_id, x.score) for x in context_tree.score(frame(spark, rows)).collect())
+    want = sorted((x[0], x[6]) for x in brute.language_model(rows, 5))
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     got = context_tree.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_bytes": "sum"}).first()
     # bits a byte; uniform bytes would need 8
@@ -292,6 +315,19 @@ def test_edges(spark, name):
     assert not OPERATORS[name](docs.limit(0), spark).collect()
 
 
+def test_search_of_far_clusters(spark):
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(6, 8)) * 1e6
+    v = (centres[r.integers(0, 6, 600)] + r.normal(size=(600, 8))).astype(np.float32).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=150).collect()
+    e = np.floor(64 * v)
+    for i in range(0, 600, 20):
+        want = sorted((-int(sum(int(a) * int(b) for a, b in zip(e[i], e[j], strict=True))), j) for j in range(600) if j != i)[:20]
+        mine = sorted((x.rank, x.vec_id) for x in got if x.query_id == i)
+        assert len(mine) == 20 and {j for _, j in mine} <= {j for s, j in want} | {j for j in range(600) if abs(float(e[i] @ e[j]) + want[-1][0]) <= 1e-9 * abs(want[-1][0])}
+
+
 def test_search_of_nothing(spark):
     assert not pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
 
