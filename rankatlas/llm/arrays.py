@@ -25,6 +25,12 @@ def let_go() -> None:
     """Drops what tasks of other operators kept in this Python worker, and gives its free memory back to the system."""
     for drop in KEPT:
         drop()
+    trim()
+
+
+def trim() -> None:
+    """Gives this Python worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

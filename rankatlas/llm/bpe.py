@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import KEPT, SPACE, pieces, spans, text_bytes, words
+from .arrays import KEPT, SPACE, pieces, spans, text_bytes, trim, words
 
 END = "</w>"
 #: The tokenizer file's own split pattern, with its white space spelt out.
@@ -40,7 +40,7 @@ class WordEncoder:
 
     _SLOTS, _ALONE = 1 << 21, (1 << 20) - 1
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -297,9 +297,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     encodes its distinct words once, and workers keep a bounded memory of words.
     """
     def run(batches):
+        trim()
         words_of = get_encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 codes, packed, first = words_of.encode(part.column("text"))
                 ids, at = words_of.gathered(codes, packed, first)
                 named = [" ".join([words_of.names[i] for i in np.frombuffer(p, "<u4").tolist()]) for p in packed]

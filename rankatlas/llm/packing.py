@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import pieces, spans
+from .arrays import pieces, spans, trim
 from .bpe import get_encoder
 
 
@@ -40,9 +40,11 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
         raise ValueError("longest must be a power of two below 2**16")
 
     def run(batches):
+        trim()
         words_of = get_encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            trim()
+            for part in pieces(batch, "text"):
                 ids, at = words_of.ids(part.column("text"))
                 n = np.diff(at) + 1
                 ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
