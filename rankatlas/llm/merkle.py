@@ -188,6 +188,61 @@ def manifest(docs: DataFrame, tampered: Column | None = None, bits: int = 10, id
     return mine.cogroup(over.groupBy("tree", "block")).applyInArrow(run, fields)
 
 
+#: What append() keeps under its folder, by batch: trees as they are after it, new and changed nodes of each round, changed subroots.
+KEPT = {"trees": "tree long, lang string, size long, last_id long", "nodes": "tree long, index long, hash string", "subroots": "tree long, hash string"}
+
+
+def _kept(docs: DataFrame, path: str, fields: str, number: int, keys: list[str]) -> DataFrame:
+    """Rows of the batches before `number`, the newest for each key."""
+    spark = docs.sparkSession
+    if not number:
+        return spark.createDataFrame([], fields)
+    rows = spark.read.schema(f"{fields}, batch int").parquet(path).filter(F.col("batch") < number)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return newest.select(*keys, *(F.col(f"r.{c}").alias(c) for c in others))
+
+
+def append(docs: DataFrame, folder: str, number: int, bits: int = 10, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", text_col: str = "text") -> str | None:
+    """Appends a batch of rows to the manifest kept under a folder; the new root, as manifest() has it for all rows so far (None: no rows).
+
+    The kept rows aren't read again: new leaves take the places after a language's last one, only
+    blocks with a new node are appended to, round by round, and everything is written under the
+    batch's number in place of an earlier try of the same batch. Ids must be there and be greater
+    than all that a language has; otherwise nothing is written and an error says so.
+    """
+    spark = docs.sparkSession
+    own = F.col(id_col).cast("long")
+    found = docs.select(own.alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), leaf(own, F.col(source_col), F.col(lang_col), F.col(chars_col).cast("long"), F.col(text_col)).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    leaves = numbered(written(found, "leaves"), ["lang"], ["doc_id", "hash", "place"], "at", "more").drop("place")
+    new = leaves.groupBy("lang").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max("more").alias("more"), F.count_if(F.col("doc_id").isNull()).alias("no_id"))
+    trees = _kept(docs, f"{folder}/trees", KEPT["trees"], number, ["tree"])
+    next_tree = (trees.agg(F.max("tree")).first()[0] if number else None) or 0
+    met = written(new.join(trees.select(F.col("lang").alias("of"), "tree", "size", F.col("last_id").alias("before")), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of"), "trees")
+    if not met.filter("no_id > 0 OR first_id <= before").isEmpty():
+        raise ValueError("ids must be greater than those that are kept")
+    fresh = numbered(met.filter("tree IS NULL").drop("tree"), [], ["lang"], "tree").withColumn("tree", F.col("tree") + next_tree + 1)
+    grown = written(met.filter("tree IS NOT NULL").unionByName(fresh).select("tree", "lang", F.coalesce("size", F.lit(0)).alias("old"), (F.coalesce("size", F.lit(0)) + F.col("more")).alias("size"), "last_id"), "trees")
+    changed = written(leaves.join(grown.withColumnRenamed("lang", "of").drop("last_id"), F.col("lang").eqNullSafe(F.col("of"))).select("tree", (F.col("at") + F.col("old")).alias("index"), "size", "hash"), "nodes")
+    level, most = 0, grown.agg(F.max("size")).first()[0] or 0
+    while True:
+        changed.select("tree", "index", "hash").write.mode("overwrite").parquet(f"{folder}/nodes/round={level}/batch={number}")
+        if most <= 1:
+            break
+        block = F.shiftright("index", bits).alias("block")
+        first = changed.groupBy("tree", block).agg(F.min("index").alias("from"), F.max("size").alias("size"))
+        kept = _kept(docs, f"{folder}/nodes/round={level}", KEPT["nodes"], number, ["tree", "index"]).withColumn("block", F.shiftright("index", bits))
+        beside = kept.join(first, ["tree", "block"]).filter(F.col("index") < F.col("from")).select("tree", "index", "size", "hash")
+        changed = written(block_roots(changed.unionByName(beside), bits), "nodes")
+        level, most = level + 1, -(-most >> bits)
+    changed.select("tree", "hash").write.mode("overwrite").parquet(f"{folder}/subroots/batch={number}")
+    grown.select("tree", "lang", "size", "last_id").write.mode("overwrite").parquet(f"{folder}/trees/batch={number}")
+    named = _kept(docs, f"{folder}/trees", KEPT["trees"], number + 1, ["tree"]).join(_kept(docs, f"{folder}/subroots", KEPT["subroots"], number + 1, ["tree"]), "tree")
+    top = numbered(named.select("lang", "hash"), [], ["lang"], "index", "size").select(F.lit(0).cast("long").alias("tree"), "index", "size", "hash")
+    row = witnesses(written(top, "subroots"), bits).select("top").first()
+    return row and row.top
+
+
 def altered(every: int = 7, id_col: str = "doc_id") -> Column:
     """Rows whose id's crc32, of its decimal digits, `every` divides."""
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % every == 0, F.lit(False))

@@ -202,6 +202,18 @@ def test_manifest(spark, bits):
     assert {x.verified for x in got} == {True, False}
 
 
+def test_appends_give_the_root_of_all_rows(spark, tmp_path):
+    langs = ["en", "de", None, "fr"]
+    rows = [(i, f"t{i}", "s", langs[i % 2] if i < 30 else langs[i % 4], i) for i in range(70)]
+    for number, (a, b) in enumerate([(0, 1), (1, 30), (30, 33), (33, 33), (33, 70)]):
+        for _ in range(2 if number == 2 else 1):  # a repeated batch replaces itself
+            root = merkle.append(frame(spark, rows[a:b], MANIFEST), str(tmp_path), number, bits=2)
+        assert root == manifest_of(rows[:b])[0][3]
+    with pytest.raises(ValueError, match="greater"):
+        merkle.append(frame(spark, [(50, "x", "s", "en", 1)], MANIFEST), str(tmp_path), 5, bits=2)
+    assert merkle.append(frame(spark, [(50, "x", "s", "es", 1)], MANIFEST), str(tmp_path), 5, bits=2) == manifest_of([*rows, (50, "x", "s", "es", 1)])[0][3]
+
+
 def test_one_row_is_its_own_root(spark):
     (x,) = merkle.digests(merkle.manifest(frame(spark, [(1, "t", "s", "en", 1)], MANIFEST))).collect()
     assert x.leaf == x.subroot == x.root == x.folded_root and x.verified and x.proof_sha256 == merkle.digest()
