@@ -15,9 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     that components become stars in a number of rounds that grows with the logarithm of their size.
     A node's neighbours are never gathered: their least one is a sum before the shuffle.
     """
-    plain = edges.dropna(subset=[a, b]).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
-    nodes = checkpoint(plain.select(F.explode(F.array("low", "high")).alias("node")).distinct())
-    links = checkpoint(plain.filter("low <> high").distinct())
+    plain = checkpoint(edges.dropna(subset=[a, b]).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct())
+    nodes = plain.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+    links = plain.filter("low <> high")
     before = None
     while True:
         both = links.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(links.select(F.col("high").alias("u"), F.col("low").alias("v")))

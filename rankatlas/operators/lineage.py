@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where the driver is all there is."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only in local mode, where the driver is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")

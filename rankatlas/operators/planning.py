@@ -109,8 +109,13 @@ def seed_dimensions(spark, areas=SEED_AREAS, categories=SEED_CATEGORIES) -> tupl
     """Areas, the category tree and its keywords; a keyword's priority falls along its list. Small by nature."""
     area = spark.createDataFrame(areas, "name string, state string, lat double, lng double, radius_miles double")
     category = spark.createDataFrame(categories, "name string, slug string, parent string, keywords array<string>")
-    keyword = category.select(F.col("slug").alias("category"), F.posexplode("keywords").alias("index", "keyword"), F.size("keywords").alias("n"))
-    return area, category.drop("keywords"), keyword.select("category", "keyword", (F.col("n") - F.col("index")).alias("priority"))
+    return area, category.drop("keywords"), keyword_priorities(category)
+
+
+def keyword_priorities(categories: DataFrame) -> DataFrame:
+    """category, keyword and priority from slugs with lists of keywords: the first of n has priority n, the last 1."""
+    keyword = categories.select(F.col("slug").alias("category"), F.posexplode("keywords").alias("index", "keyword"), F.size("keywords").alias("n"))
+    return keyword.select("category", "keyword", (F.col("n") - F.col("index")).alias("priority"))
 
 
 def plan_schedules(schedules: DataFrame, areas: DataFrame, plan: DataFrame) -> DataFrame:

@@ -211,7 +211,8 @@ def ingest(batch: DataFrame, number: int, folder: str, order: tuple[str, ...] =
     """
     spark = batch.sparkSession
     seen = checkpoint(with_keys(batch.dropDuplicates(["obs_id"])))
-    known = checkpoint(followed(_kept(spark, folder, "aliases", number)))
+    known = _kept(spark, folder, "aliases", number)
+    known = followed(known) if number else known
     one = {"place_id": F.col("place_id"), "domain_city": F.concat_ws("\n", F.when(F.col("low_city").isNotNull(), F.col("domain")), F.when(F.col("domain").isNotNull(), F.col("low_city")))}
     if not phone_requires_name:
         one["phone"] = F.col("norm_phone")
@@ -219,7 +220,8 @@ def ingest(batch: DataFrame, number: int, folder: str, order: tuple[str, ...] =
     keyed = [seen.select(F.lit(rule).alias("rule"), non_empty(c).alias("key"), F.col("obs_id").alias("id")).filter("key IS NOT NULL") for rule, c in one.items() if rule in order]
     empty = spark.createDataFrame([], STATE["keys"])
     keys = checkpoint(reduce(DataFrame.unionByName, keyed, empty))
-    held = checkpoint(_current(_kept(spark, folder, "keys", number).join(keys.select("rule", "key").distinct(), ["rule", "key"], "left_semi"), known))
+    held = _kept(spark, folder, "keys", number)
+    held = checkpoint(_current(held.join(keys.select("rule", "key").distinct(), ["rule", "key"], "left_semi"), known)) if number else held
     rows = keys.unionByName(held)
     stars = rows.join(rows.groupBy("rule", "key").agg(F.min("id").alias("least")), ["rule", "key"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
     edges = [stars, seen.select(F.col("obs_id").alias("a"), F.col("obs_id").alias("b"))]
@@ -231,7 +233,8 @@ def ingest(batch: DataFrame, number: int, folder: str, order: tuple[str, ...] =
         nodes = checkpoint(wanted.groupBy(*columns).agg(F.min("obs_id").alias("id")))
         same = wanted.join(nodes, columns).select(F.col("obs_id").alias("a"), F.col("id").alias("b"))
         shared = "norm_name" if name == "places" else "norm_phone"
-        old = checkpoint(_current(_kept(spark, folder, name, number).join(nodes.select(shared).distinct(), shared, "left_semi"), known))
+        old = _kept(spark, folder, name, number)
+        old = checkpoint(_current(old.join(nodes.select(shared).distinct(), shared, "left_semi").select(*old.columns), known)) if number else old
         pairs = checkpoint(near(nodes, nodes.unionByName(old)).select(F.col("id").alias("a"), F.col("other_id").alias("b")))
         edges.extend([same, pairs])
         met.append(old.join(pairs.select(F.col("b").alias("id")), "id", "left_semi").select("id"))

@@ -17,7 +17,7 @@ from rankatlas.sources import tables as T
 
 # --- streams: a table in slices of time, some rows a slice late, and a last row far ahead that ends what is open
 
-SLICES = 5
+SLICES = 3
 
 
 def _folder(v, name: str) -> str:
@@ -136,7 +136,7 @@ def j10_alert_stream(v):
     from pyspark.sql import Window
 
     months = facts.select("scan_month").distinct().withColumn("part", third.over(Window.orderBy("scan_month")))
-    dealt = facts.join(F.broadcast(months), "scan_month")  # months are a few dozen
+    dealt = facts.join(months, "scan_month")
     for i in (1, 2, 3):
         dealt.filter(F.col("part") == i).drop("part").select(*facts.columns).coalesce(1).write.mode("append").parquet(f"{path}/facts")
     alert_stream(v.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/facts"), path).awaitTermination()
@@ -253,3 +253,88 @@ _MOMENTUM = "SELECT business_id, CASE WHEN new - old < -0.5 THEN 'rising' WHEN n
 @query("SELECT b.business_id, name, is_mine, avg_rank, keywords, areas, engines, reviews, rating, " + ", ".join(f"e{e[0]}" for e in ENGINES) + f", velocity, momentum FROM (SELECT * FROM ranked WHERE is_mine OR is_competitor) b LEFT JOIN (SELECT business_id, round(avg(rank), 4) AS avg_rank, count(DISTINCT keyword) AS keywords, count(DISTINCT area_id) AS areas, count(DISTINCT engine) AS engines, " + ", ".join(f"round(avg(rank) FILTER (engine = '{e}'), 4) AS e{e[0]}" for e in ENGINES) + f" FROM fact GROUP BY business_id) f USING (business_id) LEFT JOIN ({_VELOCITY}) USING (business_id) LEFT JOIN ({_MOMENTUM}) USING (business_id)", "fact ranked review")
 def d17_whole_profile(v):
     return A.competitor_profile(v.fact, v.ranked, A.review_velocity(v.review), A.ranking_momentum(v.fact), ENGINES)
+
+
+_SPREAD = "SELECT area_id, keyword, business_id, rank + business_id * 13 % 17 AS rank FROM fact"
+
+
+@query(f"SELECT area_id, keyword, round(mine, 4) AS mine, round(theirs, 4) AS theirs, round(mine - theirs, 4) AS gap, CASE WHEN mine - theirs >= 10 OR (mine IS NULL AND theirs <= 3) THEN 'high' WHEN mine - theirs >= 5 THEN 'medium' ELSE 'low' END AS opportunity FROM (SELECT m.area_id, keyword, min(mean) FILTER (is_mine) AS mine, min(mean) FILTER (is_competitor) AS theirs FROM (SELECT area_id, keyword, business_id, avg(rank) AS mean FROM ({_SPREAD}) GROUP BY ALL) m JOIN ranked b ON m.business_id = b.business_id GROUP BY ALL) WHERE theirs IS NOT NULL", "fact ranked")
+def d21_gap_classes(v):
+    """Ranks spread by business, so that gaps of all classes come up."""
+    return A.competitor_gap(v.fact.withColumn("rank", F.col("rank") + F.col("business_id") * 13 % 17), v.ranked)
+
+
+_SIDES = "SELECT point_id, status, area_id * 10 + point_id % 10 AS area_id, business_id % 4 AS business_id, min(rank) AS rank FROM fact GROUP BY ALL"
+
+
+@query(f"SELECT area_id, mine, theirs, CASE WHEN coalesce(mine, 0) < 40 AND coalesce(theirs, 0) < 40 THEN 'neither' WHEN coalesce(mine, 0) >= 40 AND coalesce(theirs, 0) >= 40 AND abs(coalesce(mine, 0) - coalesce(theirs, 0)) <= 10 THEN 'contested' WHEN coalesce(mine, 0) > coalesce(theirs, 0) THEN 'mine' ELSE 'competitor' END AS holder FROM (SELECT t.area_id, max(round(100.0 * n / points, 4)) FILTER (business_id = 0) AS mine, max(round(100.0 * n / points, 4)) FILTER (business_id = 1) AS theirs FROM (SELECT area_id, business_id, count(*) AS n FROM ({_SIDES}) WHERE rank <= 3 AND status = 'completed' GROUP BY ALL) t JOIN (SELECT area_id * 10 + point_id % 10 AS area_id, count(*) AS points FROM point WHERE status = 'completed' GROUP BY 1) p ON t.area_id = p.area_id WHERE business_id < 2 GROUP BY t.area_id)", "fact point")
+def d20_holder_classes(v):
+    """Four camps of businesses in tenths of areas, so that every kind of holder comes up."""
+    tenth = (F.col("area_id") * 10 + F.col("point_id") % 10).alias("area_id")
+    facts = v.fact.groupBy("point_id", "status", tenth, (F.col("business_id") % 4).alias("business_id")).agg(F.min("rank").alias("rank"))
+    points = v.point.select("point_id", "status", tenth)
+    camps = v.ranked.select((F.col("business_id") % 4).alias("business_id")).distinct().select("business_id", (F.col("business_id") == 0).alias("is_mine"), (F.col("business_id") == 1).alias("is_competitor"))
+    return A.geo_dominance(facts, points, camps)
+
+
+# --- rows that compare all that an operator gives
+
+
+@query("SELECT page_id, length(url) AS chars FROM pages WHERE page_id % 2 = 0")
+def a1_declared_schema(v):
+    """A table read by a declared schema, so that no footer is read for one."""
+    return T.read_table(v.spark, "pages", v.sf_dir, "page_id bigint, url string").filter("page_id % 2 = 0").select("page_id", F.length("url").alias("chars"))
+
+
+@query("SELECT category, keyword, count(*) OVER (PARTITION BY category) - row_number() OVER (PARTITION BY category ORDER BY priority DESC, keyword) + 1 AS priority FROM keyword", "keyword")
+def a4_seed_keywords(v):
+    """Priorities of all categories' keywords, from lists of them."""
+    lists = v.keyword.groupBy(F.col("category").alias("slug")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "keyword"))), lambda k: k["keyword"]).alias("keywords"))
+    return P.keyword_priorities(lists)
+
+
+@query("WITH RECURSIVE t AS (SELECT s_suppkey AS descendant, s_suppkey AS ancestor, 0 AS depth FROM supplier UNION ALL SELECT descendant, ancestor // 2, depth + 1 FROM t WHERE ancestor > 1) SELECT CAST(ancestor AS VARCHAR) AS ancestor, CAST(descendant AS VARCHAR) AS descendant, depth FROM t")
+def c6_deep_closure(v):
+    """A tree of as many levels as the suppliers' number has binary digits."""
+    slug, up = F.col("s_suppkey").cast("string"), F.floor(F.col("s_suppkey") / 2)
+    return C.category_closure(v.supplier.select(slug.alias("slug"), F.when(up > 0, up.cast("string")).alias("parent"))).select("ancestor", "descendant", "depth")
+
+
+@query("SELECT business_id, business_id % 50 AS point_id, CAST(business_id % 9 AS INT) AS rank, 0 AS observed_at FROM business UNION ALL SELECT business_id, (business_id + 1000000000) % 50, CAST((business_id + 1000000000) % 9 AS INT), 1 FROM business WHERE business_id % 2 = 0", "business")
+def i10_rankings(v):
+    """The ranking row of every observation."""
+    from rankatlas.plans.catalogue import _observations
+
+    seen = _observations(v).withColumns({"point_id": F.col("obs_id") % 50, "rank": (F.col("obs_id") % 9).cast("int")})
+    known = seen.select("obs_id", F.when(F.col("obs_id") >= 1_000_000_000, F.col("obs_id") - 1_000_000_000).otherwise(F.col("obs_id")).alias("business_id"))
+    return R.build_facts(seen, known)[0].withColumn("observed_at", F.col("observed_at").cast("int"))
+
+
+@query("SELECT business_id, 'google' AS source, rating, reviews AS review_count FROM business WHERE rating IS NOT NULL UNION ALL SELECT business_id, 'bing', rating, reviews FROM business WHERE business_id % 2 = 0 AND rating IS NOT NULL", "business")
+def i10_snapshots(v):
+    """The review snapshot of every observation that has a rating and a count."""
+    from rankatlas.plans.catalogue import _observations
+
+    seen = _observations(v).withColumns({"point_id": F.col("obs_id") % 50, "rank": F.lit(1)})
+    known = seen.select("obs_id", F.when(F.col("obs_id") >= 1_000_000_000, F.col("obs_id") - 1_000_000_000).otherwise(F.col("obs_id")).alias("business_id"))
+    return R.build_facts(seen, known)[1].select("business_id", "source", "rating", "review_count")
+
+
+@query("SELECT DISTINCT o_orderkey, o_custkey FROM orders")
+def j8_deduped_rows(v):
+    """Every order arrives twice, the second time in a later micro-batch; the rows that stay."""
+    from rankatlas.streaming.streams import dedupe_stream, run_once
+
+    path, orders = _folder(v, "twice"), v.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    for _ in range(2):
+        orders.coalesce(1).write.mode("append").parquet(path)
+    rows = v.spark.readStream.schema("o_orderkey long, o_custkey long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return run_once(dedupe_stream(rows, ["o_orderkey", "o_custkey"], "100000 days"), "append").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT business_id % 7 AS run_id, count(*) AS total, count(*) FILTER (business_id % 3 > 0) AS enriched, count(*) FILTER (business_id % 3 = 0) AS processed_without, 0::BIGINT AS skipped, 0::BIGINT AS failed, string_agg(mail, ',' ORDER BY at) AS emails FROM (SELECT business_id, business_id % 3 AS k, CASE WHEN business_id % 3 > 0 AND row_number() OVER (PARTITION BY business_id % 7, 'm' || business_id % 40, business_id % 3 > 0 ORDER BY last_seen * 100000 + business_id) = 1 THEN 'm' || business_id % 40 END AS mail, last_seen * 100000 + business_id AS at FROM business) GROUP BY 1", "business")
+def d9_runs_in_order(v):
+    """Runs of enrichment, each with its distinct addresses in the order in which they were found."""
+    found = F.col("business_id") % 3 > 0
+    log = v.business.select((F.col("business_id") % 7).alias("run_id"), F.when(found, "success").otherwise("no_email_found").alias("status"), F.when(found, F.concat(F.lit("m"), (F.col("business_id") % 40).cast("string"))).alias("email"), (F.col("last_seen") * 100_000 + F.col("business_id")).alias("created_at"))
+    return A.enrichment_summary(log)

@@ -32,7 +32,7 @@ def a4_seed_plan(v):
     """Seeded keywords of a tree that is built from the tables: each list's order is its priority."""
     lists = v.keyword.filter(F.col("category").startswith("PROMO/")).groupBy("category").agg(F.sort_array(F.collect_list(F.struct("priority", "keyword")), asc=False).alias("k"))
     words = lists.select("category", F.explode("k").alias("k")).select("category", "k.keyword", "k.priority")
-    return v.area.filter("area_id < 3").select("area_id").crossJoin(F.broadcast(words))
+    return v.area.filter("area_id < 3").select("area_id").crossJoin(words)
 
 
 @query("SELECT business_id, name, CASE WHEN rating IS NULL THEN 'rating: must be from 1 to 5' ELSE '' END || CASE WHEN rating IS NULL AND phone IS NULL THEN ', ' ELSE '' END || CASE WHEN phone IS NULL THEN 'phone: must have 9 to 50 characters' ELSE '' END AS errors FROM business WHERE rating IS NULL OR phone IS NULL", "business")

@@ -18,7 +18,7 @@ VIEWS = {
     "point": "SELECT o_orderkey AS point_id, c_nationkey AS area_id, o_orderpriority AS engine, 'kw' || CAST(o_custkey % 8 AS STRING) AS keyword, year(o_orderdate) * 12 + month(o_orderdate) AS scan_month, CAST(floor((o_orderkey % 49) / 7) AS INT) AS grid_row, CAST(o_orderkey % 7 AS INT) AS grid_col, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders JOIN customer ON o_custkey = c_custkey",
     "ranking": "SELECT l_orderkey AS point_id, l_suppkey AS business_id, l_linenumber AS rank, CASE WHEN l_tax > 0.06 THEN 'ads' ELSE 'local' END AS result_type FROM lineitem",
     "ranked": "SELECT s_suppkey AS business_id, s_name AS name, s_nationkey AS area_id, s_suppkey % 10 = 1 AS is_mine, s_suppkey % 10 = 3 AS is_competitor, s_suppkey * 7 % 500 AS reviews, CASE WHEN s_acctbal < 0 THEN NULL ELSE round(1 + s_acctbal / 2500, 1) END AS rating FROM supplier",
-    "fact": "SELECT p.point_id, area_id, engine, keyword, scan_month, grid_row, grid_col, status, business_id, rank FROM (SELECT point_id, business_id, min(rank) AS rank FROM ranking GROUP BY point_id, business_id) r JOIN point p ON r.point_id = p.point_id",
+    "fact": "SELECT p.point_id, area_id, engine, keyword, scan_month, grid_row, grid_col, status, business_id, rank FROM (SELECT point_id, business_id, min(rank) AS rank FROM (SELECT /*+ REPARTITION(point_id) */ * FROM ranking) GROUP BY point_id, business_id) r JOIN point p ON r.point_id = p.point_id",
     "review": "SELECT event_id AS snapshot_id, user_id AS business_id, event_type AS source, {seconds} AS captured, round(1 + value % 4, 1) AS rating, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + CAST(floor(event_id / 50) AS BIGINT) AS review_count FROM events",
     "request": "SELECT event_id AS request_id, {seconds} AS second, user_id AS client, event_type AS engine, CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'error' WHEN event_id % 17 = 0 THEN 'blocked' ELSE 'ok' END AS outcome FROM events",
     "schedule": "SELECT n_nationkey AS schedule_id, n_name AS name, n_regionkey % 2 = 0 AS is_active, n_nationkey AS created FROM nation",
