@@ -332,7 +332,7 @@ def j8_deduped_rows(v):
     return run_once(dedupe_stream(rows, ["o_orderkey", "o_custkey"], "100000 days"), "append").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT business_id % 7 AS run_id, count(*) AS total, count(*) FILTER (business_id % 3 > 0) AS enriched, count(*) FILTER (business_id % 3 = 0) AS processed_without, 0::BIGINT AS skipped, 0::BIGINT AS failed, string_agg(mail, ',' ORDER BY at) AS emails FROM (SELECT business_id, business_id % 3 AS k, CASE WHEN business_id % 3 > 0 AND row_number() OVER (PARTITION BY business_id % 7, 'm' || business_id % 40, business_id % 3 > 0 ORDER BY last_seen * 100000 + business_id) = 1 THEN 'm' || business_id % 40 END AS mail, last_seen * 100000 + business_id AS at FROM business) GROUP BY 1", "business")
+@query("SELECT business_id % 7 AS run_id, count(*) AS total, count(*) FILTER (business_id % 3 > 0) AS enriched, count(*) FILTER (business_id % 3 = 0) AS processed_without, 0::BIGINT AS skipped, 0::BIGINT AS failed, string_agg(mail, ',' ORDER BY found_at) AS emails FROM (SELECT business_id, CASE WHEN business_id % 3 > 0 AND row_number() OVER (PARTITION BY business_id % 7, 'm' || business_id % 40, business_id % 3 > 0 ORDER BY last_seen * 100000 + business_id) = 1 THEN 'm' || business_id % 40 END AS mail, last_seen * 100000 + business_id AS found_at FROM business) GROUP BY 1", "business")
 def d9_runs_in_order(v):
     """Runs of enrichment, each with its distinct addresses in the order in which they were found."""
     found = F.col("business_id") % 3 > 0
