@@ -36,11 +36,11 @@ def byte_names() -> list[str]:
 
 
 class WordEncoder:
-    """Encodes distinct words; remembers up to `keep` of them between batches."""
+    """Encodes distinct words; remembers up to `keep` of them between batches, in two generations: what half of them didn't ask for is forgotten."""
 
     _SLOTS, _ALONE = 1 << 21, (1 << 20) - 1
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -63,6 +63,7 @@ class WordEncoder:
         self.final = self._by_length({bytes(raw[c] for c in t.removesuffix(END)): i for t, i in vocab.items() if t.endswith(END)})
         self.pair_key, self.pair_fits = np.zeros(self._SLOTS, np.int64) - 1, np.zeros(self._SLOTS, bool)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.keep = keep
 
     @staticmethod
@@ -154,12 +155,13 @@ class WordEncoder:
                 continue
             spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             is_token = np.nonzero(keys[spot] == key)[0]
-            same = (text[row[left[is_token], None], at[is_token, None] + np.arange(n)] == bytes_[spot[is_token]]).all(1)
-            is_token = is_token[same]
+            if not len(is_token):
+                continue
             found = ids[spot[is_token]]
             good = self.pairs(last[row[left[is_token]], at[is_token]].astype(np.int64), found)
             hit = is_token[good]
-            token[left[hit]], begin[left[hit]] = found[good], at[hit]
+            hit = hit[(text[row[left[hit], None], at[hit, None] + np.arange(n)] == bytes_[spot[hit]]).all(1)]
+            token[left[hit]], begin[left[hit]] = ids[spot[hit]], at[hit]
             rest = np.ones(len(left), bool)
             rest[hit] = False
             left, key = left[rest], key[rest]
@@ -234,9 +236,16 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each word."""
         known = self.known
         out = list(map(known.get, distinct))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if len(known) + len(missing) > self.keep:
-            known.clear()
+        missing = []
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := self.older.get(distinct[i])) is None:
+                    missing.append(i)
+                else:
+                    out[i] = known[distinct[i]] = x
+        if len(known) + len(missing) > self.keep // 2:
+            self.older, self.known = known, {}
+            known = self.known
         parts, wanted = [], set()
         for i in missing:
             w = distinct[i]

@@ -148,6 +148,18 @@ def test_encoding_equals_the_library(spark):
         assert list(got[i].ids) == ids and got[i].decoded == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_a_small_memory_of_words_changes_nothing():
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    words_of, library = bpe.WordEncoder(queries.tokenizer_path(), keep=40), Tokenizer.from_file(queries.tokenizer_path())
+    for _ in range(30):
+        texts = [" ".join(r.choice(["the", "of", "w%d" % r.randrange(60)]) for _ in range(8)) for _ in range(5)]
+        ids, at = words_of.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(words_of.known) <= 60 and len(words_of.older) <= 60
+
+
 def test_texts_that_share_a_key_with_a_token_are_not_it():
     words_of = bpe.WordEncoder(queries.tokenizer_path())
     keys, ids, bytes_ = words_of.inner[2]
