@@ -18,9 +18,9 @@ def stream(spark, folder, parts, schema):
 
 
 def shuffled(rows, late, r, last):
-    """Micro-batches of rows that come up to `late` seconds after others of later times, and a last one far ahead."""
+    """Micro-batches of rows that come up to `late` seconds after others of later times, and two far ahead."""
     order = sorted(rows, key=lambda x: x[3] + r.uniform(0, late * 0.9))
-    return [order[i : i + 40] for i in range(0, len(order), 80)] + [[last]]
+    return [order[i : i + 40] for i in range(0, len(order), 80)] + [[last], [(*last[:3], last[3] + 10_000_000, last[4])]]  # the watermark moves with the first, and acts with the second
 
 
 @pytest.mark.parametrize("seed", [1])
