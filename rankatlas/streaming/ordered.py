@@ -147,7 +147,7 @@ def _walk(log: DataFrame, key: str, number, flag, late: str, processor: InOrder,
 
 
 def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late: str = "1 hour") -> DataFrame:
-    """rate_audit() of a stream (client, second), exact for rows that are late by up to `late`: client, start, requests, retry_after.
+    """rate_audit() of a stream (client, second), for rows that are late by up to `late` (README: open defect under much disorder): client, start, requests, retry_after.
 
     A window is given out when a later request or the watermark has ended it.
     """
@@ -155,7 +155,7 @@ def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late
 
 
 def block_episode_stream(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """block_episodes() of a stream (engine, request_id, second, outcome), exact for rows that are late by up to `late`."""
+    """block_episodes() of a stream (engine, request_id, second, outcome), for rows that are late by up to `late` (README: open defect under much disorder)."""
     return _walk(log.filter(F.col("outcome") == "blocked"), "engine", F.col("request_id"), F.lit(True), late, BlockEpisodes(), "engine string, request_id long, second long, nth int, minutes int")
 
 
