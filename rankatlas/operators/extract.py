@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankatlas.functions import urls
 from rankatlas.functions.scalars import BLANK, compact_number, email_valid, emails_in, let, non_empty, normalize_phone, street_address, unwrap_redirect, url_host, url_origin, us_phone, valid_rating, website_url
-from rankatlas.operators.html import READ, attribute, first_match, fits, inside, matches, read_elements, text_of
+from rankatlas.operators.html import AT, CUT, READ, attribute, first_match, in_order, matches, read_elements, read_items, text_of
 
 # What a contact link's target or text holds, as whole words.
 CONTACT_WORDS = ("contact", "about", "team", "staff", "connect", "reach", "get-in-touch", "support")
@@ -160,26 +160,18 @@ def extract_local(pages: DataFrame, html: str = "html", names: list[str] = LOCAL
     an item has the first street in its text, without a phone the first US number there. The place
     id is of the element around the name or of one in the item. Names repeat only once a page.
     """
-    every = F.col("_page.elements")
-    heads = F.coalesce(*(F.when(F.exists(every, fits(s)), F.filter(every, fits(s))) for s in names))
-
-    def region(h: Column, following: Column) -> Column:
-        last = F.coalesce(following["n"], F.size(every))
-        end = F.coalesce(following["start"], F.length(F.col("_page.text")) + 1)
-        ids = lambda e: F.coalesce(*(attribute(e, x) for x in PLACE_IDS))
-        around = F.filter(F.slice(every, 1, h["n"] + 1), lambda e: (e["last"] >= h["n"]) & ids(e).isNotNull())
-        within = F.slice(every, h["n"] + 2, last - h["n"] - 1)
-        place = F.coalesce(F.get(F.transform(F.reverse(around), ids), F.lit(0)), first_match(within, [f"[{x}]" for x in PLACE_IDS], ids))
-        return F.struct(text_of(h).alias("name"), within.alias("elements"), F.substring(F.col("_page.text"), h["end"] + 1, end - h["end"]).alias("after"), place.alias("place_id"))
-
-    items = let(heads, lambda hs: F.transform(hs, lambda h, i: region(h, F.get(hs, i + 1))))
-    rows = _read(pages, html).select(*_others(pages, html), F.col(READ), F.posexplode(_in_order(F.filter(items, lambda x: x["name"] != ""), "name")).alias("nth", "x"))
-    text = F.struct(F.col("_page.text").alias("text"))
-    found = {f: _field(F.col("x.elements"), chain, text) for f, chain in fields.items()}
-    rows = rows.select(*_others(pages, html), (F.col("nth") + 1).alias("rank"), "x.name", "x.after", "x.place_id", *(v.alias(f) for f, v in found.items()))
-    address = F.coalesce("address", street_address(F.col("after")))
-    phone = F.coalesce(normalize_phone(F.col("phone_text")), us_phone(F.col("after")))
-    return rows.select(*_others(pages, html), "rank", "name", address.alias("address"), phone.alias("phone"), valid_rating(F.col("rating_text")).alias("rating"), compact_number(F.col("review_text")).alias("reviews"), "category", "website", "place_id")
+    chains = [x for chain in fields.values() for x in chain]
+    marks = [f"[{x}]" for x in PLACE_IDS]
+    others, item = _others(pages, html), F.col(CUT)
+    rows = read_items(pages, names, [*(s for s, _, _ in chains), *marks], [s for s, kind, _ in chains if kind == "text"], PLACE_IDS, following=True, html=html)
+    ids = lambda e: F.coalesce(*(attribute(e, x) for x in PLACE_IDS))
+    found = {f: _field(item["elements"], chain, item) for f, chain in fields.items()}
+    rows = rows.select(*others, AT, text_of(item["head"], item).alias("_name"), F.struct(item["after"].alias("after"), F.coalesce(item["near"], first_match(item["elements"], marks, ids)).alias("place_id"), *(v.alias(f) for f, v in found.items())).alias("_x")).filter(F.col("_name") != "")
+    address = F.coalesce("_x.address", street_address(F.col("_x.after")))
+    phone = F.coalesce(normalize_phone(F.col("_x.phone_text")), us_phone(F.col("_x.after")))
+    fields_of = F.struct(F.col("_name").alias("name"), address.alias("address"), phone.alias("phone"), valid_rating(F.col("_x.rating_text")).alias("rating"), compact_number(F.col("_x.review_text")).alias("reviews"), "_x.category", "_x.website", "_x.place_id")
+    ranked = in_order(rows.select(*others, AT, "_name", fields_of.alias("_x")), "_x", once="_name")
+    return ranked.select(*others, F.col("_nth").alias("rank"), "_x.*")
 
 
 #: Organic results: the block (of a page, the first that it holds), its link, its snippet.
@@ -195,17 +187,14 @@ def extract_organic(pages: DataFrame, rules: dict[str, list[str]] = ORGANIC, htm
 
     A block without a title or without an http(s) target is none and takes no position.
     """
-    every = F.col("_page.elements")
-    blocks = F.coalesce(*(F.when(F.exists(every, fits(s)), F.filter(every, fits(s))) for s in rules["block"]))
-
-    def result(b: Column) -> Column:
-        pick = lambda e: F.when(attribute(e, "href").isNotNull(), F.struct(unwrap_redirect(F.trim(attribute(e, "href"))).alias("url"), text_of(e).alias("title")))
-        link = first_match(inside(b), rules["link"], pick)
-        return F.struct(link["title"].alias("title"), link["url"].alias("url"), F.coalesce(first_match(inside(b), rules["snippet"], text_of), F.lit("")).alias("snippet"))
-
-    good = F.filter(F.transform(blocks, result), lambda r: r["url"].startswith("http") & (r["title"] != ""))
-    rows = _read(pages, html).select(*_others(pages, html), F.posexplode(good).alias("nth", "r"))
-    return rows.select(*_others(pages, html), (F.col("nth") + 1).alias("position"), "r.title", "r.url", F.lower(url_host(F.col("r.url"))).alias("domain"), "r.snippet")
+    others, item = _others(pages, html), F.col(CUT)
+    rows = read_items(pages, rules["block"], [*rules["link"], *rules["snippet"]], html=html)
+    text = lambda e: text_of(e, item)
+    pick = lambda e: F.when(attribute(e, "href").isNotNull(), F.struct(unwrap_redirect(F.trim(attribute(e, "href"))).alias("url"), text(e).alias("title")))
+    link, snippet = first_match(item["elements"], rules["link"], pick), first_match(item["elements"], rules["snippet"], text)
+    # what is no result is null, so that nothing is worked out once for a filter and again for its rows
+    good = let(link, lambda x: F.when(x["url"].startswith("http") & (x["title"] != ""), F.struct(x["title"].alias("title"), x["url"].alias("url"), F.coalesce(snippet, F.lit("")).alias("snippet"))))
+    return in_order(rows.select(*others, AT, good.alias("_r")), "_r").select(*others, F.col("_nth").alias("position"), "_r.title", "_r.url", F.lower(url_host(F.col("_r.url"))).alias("domain"), "_r.snippet")
 
 
 #: Types of JSON-LD documents that are businesses.
@@ -239,26 +228,12 @@ RELATED = ("div.s75CSd a, #brs a, a.k8XOCe", ())
 def extract_related(pages: DataFrame, rule: tuple[str, tuple[str, ...]] = QUESTIONS, html: str = "html") -> DataFrame:
     """Questions (or, with RELATED, searches) of each page in order, each text once: position, text."""
     selector, attributes = rule
-    every = F.col("_page.elements")
-    own = lambda e: first_match(inside(e), ["span"], lambda x: non_empty(text_of(x))) if attributes else text_of(e)
-    texts = F.transform(F.filter(every, lambda e: _descends(e, every, selector)), lambda e: F.coalesce(*(non_empty(attribute(e, a)) for a in attributes), own(e)))
-    return _read(pages, html).select(*_others(pages, html), F.posexplode(F.array_distinct(F.filter(texts, lambda t: t.isNotNull() & (t != "")))).alias("position", "text"))
-
-
-def _descends(element: Column, every: Column, selector: str) -> Column:
-    """matches(), where a comma-separated part may name an element around it first: `outer inner`."""
-    tests = []
-    for part in map(str.strip, selector.split(",")):
-        outer, _, inner = part.rpartition(" ")
-        fit = matches(element, inner)
-        if outer:
-            around = F.filter(F.slice(every, 1, element["n"]), lambda a: a["last"] >= element["n"])
-            fit &= F.exists(around, fits(outer))
-        tests.append(fit)
-    found = tests[0]
-    for t in tests[1:]:
-        found |= t
-    return found
+    others, item = _others(pages, html), F.col(CUT)
+    rows = read_items(pages, [selector], ["span"] if attributes else [], nested=True, html=html)
+    text = lambda e: text_of(e, item)
+    own = first_match(item["elements"], ["span"], lambda e: non_empty(text(e))) if attributes else text(item["head"])
+    texts = rows.select(*others, AT, F.coalesce(*(non_empty(attribute(item["head"], a)) for a in attributes), own).alias("_text")).filter(F.col("_text") != "")
+    return in_order(texts.withColumn("_once", F.col("_text")), "_text", once="_once").select(*others, (F.col("_nth") - 1).alias("position"), F.col("_text").alias("text"))
 
 
 def listings_from_snippets(organic: DataFrame, page: list[str] | None = None) -> DataFrame:

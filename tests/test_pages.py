@@ -134,3 +134,26 @@ def test_pages_are_read_once(spark):
     read = H.read_elements(frame(spark, PAGE))
     assert X.harvest_emails(read).columns[-2:] == ["_page", "emails"] and X.extract_jsonld(read).count() == 2
     assert "Exchange" not in X.extract_local(frame(spark, LOCAL))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_work_grows_with_the_page():
+    """A page of a hundred thousand items takes no more for each than a short one does, and an item holds its own text only."""
+    import time
+
+    def walk(n):
+        page = "".join(f"<div class='result'><h2><a href='https://x{i}.y/'>T{i}</a></h2><p class='st'>s{i}</p></div>" for i in range(n))
+        r, began = H.PageReader().read(page), time.process_time()
+        found = list(H._cut("".join(r.text), r.elements, X.ORGANIC["block"], ["a[href]"], ["a[href]"], (), False, False))
+        return found, time.process_time() - began
+
+    (few, short), (many, long) = walk(2_000), walk(100_000)
+    assert len(few) == 2_000 and long < 200 * short + 1  # a power of 1 would be 50 times, of 2 2,500 times
+    assert [x["text"].split() for x in many[99_998:]] == [["T99998", "s99998"], ["T99999", "s99999"]]
+
+
+def test_items_of_pages_that_are_read(spark):
+    html = '<div class="address" data-cid="c"><h2>A</h2><p class="address">1 Main St<h2>B</h2></p><h3>no</h3></div><h2>A</h2><b data-cid="d"></b><h2>C<h3>D</h3>call 561-526-3512</h2>'
+    got = X.extract_local(frame(spark, html)).orderBy("rank").collect()
+    assert [(r["rank"], r.name, r.address, r.phone, r.place_id) for r in got] == [(1, "A", "1 Main St B", None, "c"), (2, "B", None, None, "c"), (3, "no", None, None, "c"), (4, "C D call 561-526-3512", None, None, None), (5, "D", None, "+15615263512", None)]
+    pages = frame(spark, html, LOCAL)
+    assert X.extract_local(H.read_elements(pages)).drop("_page", "html").collect() == X.extract_local(pages).collect()
