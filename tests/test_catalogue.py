@@ -84,3 +84,13 @@ def test_gaps_and_areas_are_whole(spark):
     gaps = {(r.area_id, r.keyword) for r in fact if r.business_id in theirs} - {(r.area_id, r.keyword) for r in fact if r.business_id in ours}
     assert {tuple(r) for r in found["c17_keyword_gap_all"](spark, FOLDER).select("area_id", "keyword").collect()} == gaps
     assert {r.area_id for r in found["d19_keyword_area_ranks"](spark, FOLDER).collect()} == {r.area_id for r in fact} > {0, 1, 2, 3}
+
+
+def test_ratings_are_rounded_as_in_sql(spark, tmp_path):
+    values = [x / 100 for x in range(0, 60_000, 5)]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE events AS SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, i::BIGINT AS user_id, 'view' AS event_type, v AS value, 'n 1' AS props FROM (SELECT unnest(range(len($1))) AS i, unnest($1) AS v)", [values])
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalogue.queries()["e4_latest_reviews"](spark, str(tmp_path)).select("business_id", "rating").collect()
+    want = duck.execute(f"SELECT business_id, rating FROM ({catalogue.oracle_sql()['e4_latest_reviews']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
