@@ -78,3 +78,20 @@ def test_pages_are_read_whole(spark, tmp_path, kind):
         T.append(spark.createDataFrame([("u", html)], "url string, html string"), f"{tmp_path}/p")
     (row,) = T.read_pages(spark, f"{tmp_path}/a.html" if kind == "text" else f"{tmp_path}/p", kind).collect()
     assert row.html == html and (row.url == "u" or row.url.endswith("a.html"))
+
+
+def test_rankings_are_dealt_by_their_number(spark, monkeypatch):
+    """However many rankings there are, a task groups a bounded number of them."""
+    from rankatlas.plans import catalogue, views
+
+    folder = "/root/testdata/sf0.001"
+    few = sorted(map(str, catalogue.queries()["e10_rank_alerts"](spark, folder).collect()))
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    v = views.Views(spark, folder)
+    assert v.parts == -(-v.lineitem.count() // 100) > 50
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert f", {v.parts}), REPARTITION_BY_NUM" in plan(v.fact)
+    df = catalogue.queries()["e10_rank_alerts"](spark, folder)
+    # the sums and the walk over them need no further exchange
+    assert plan(df).count("Exchange hashpartitioning(business_id") == 1
+    assert sorted(map(str, df.collect())) == few
