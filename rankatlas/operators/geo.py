@@ -37,17 +37,34 @@ def cells_around(lat: Column, lng: Column, side: float) -> Column:
     return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
 
+#: Places met by an asked one in its first ring, on average; rings are added until there are no more, or this many.
+MET, MOST_RINGS = 256, 12
+
+
+def _rings(asked: DataFrame, places: DataFrame, miles: float, least: int) -> int:
+    """How many rings, each a third of the next, leave an asked place no more than MET places in its own cell of the first one: sums of counts, without a pair."""
+    sides = [miles / MILES_PER_DEGREE / 3**i for i in range(least - 1, MOST_RINGS)]
+    in_cells = lambda lat, lng: F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(lat) / x).alias("y"), F.floor(east(F.col(lng)) / x).alias("x")) for i, x in enumerate(sides)))
+    count = lambda df, lat, lng, name: df.select(F.explode(in_cells(lat, lng)).alias("c")).groupBy("c").agg(F.count("*").alias(name))
+    met = count(asked, "lat", "lng", "a").join(count(places, "lat2", "lng2", "b"), "c").groupBy("c.i").agg((F.sum(F.col("a") * F.col("b")) / F.sum("a")).alias("met")).collect()
+    crowded = [r.i for r in met if r.met > MET]
+    return least + min(max(crowded, default=-1) + 1, len(sides) - 1)
+
+
 def nearest(asked: DataFrame, places: DataFrame, miles: float, k: int, rings: int = 3) -> DataFrame:
     """The k places nearest to each of `asked` within some miles: id, other, miles and nth, ties to the smaller id.
 
-    Both have id, lat and lng; an id is not its own neighbour. Cells begin at a ninth of the reach
-    and are three times as wide for those that are not sure yet: who has k others no farther than a
-    cell's side has looked far enough, so the dense middle of a town is never read by the mile.
+    Both have id, lat and lng; an id is not its own neighbour. Cells begin at a ninth of the reach,
+    or at a third of that and so on where places are dense, and are three times as wide for those
+    that are not sure yet: who has k others no farther than a cell's side has looked far enough, so
+    the dense middle of a town is never read by the mile.
     Copies at one place are cut to the k + 1 smallest ids before they meet anyone.
     """
     copies = Window.partitionBy("lat", "lng").orderBy("id")
     few = places.dropna(subset=["id", "lat", "lng"]).withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    few = checkpoint(few)  # read by every ring
     left, found = asked.dropna(subset=["id", "lat", "lng"]).select("id", "lat", "lng"), None
+    rings = _rings(left, few, miles, rings)
     for ring in range(rings):
         reach = miles / 3 ** (rings - 1 - ring)
         side = reach / MILES_PER_DEGREE

@@ -150,3 +150,18 @@ def test_numbers_follow_the_order_in_every_group(spark, groups):
         assert {x["size"] for x in got if not groups or x.g == g} == {len(mine)}
     held = {x for x in itertools.chain.from_iterable([[r.g] for r in got])}
     assert held == {"a", "b", None} and not numbered(df.limit(0), groups, ["x"]).collect()
+
+
+def test_dense_towns_begin_with_smaller_cells(spark, monkeypatch):
+    """A reach of forty miles over a town of one: rings are added until cells hold few, and the nearest stay the same."""
+    def town(n, spread):
+        return spark.range(n).select("id", (26 + spread * (F.col("id") * 37 % n) / n).alias("lat"), (-80 - spread * (F.col("id") * 91 % n) / n).alias("lng"))
+
+    dense, wide = town(2_000, 0.01), town(20, 1.0)
+    few = lambda df: df.select(F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    assert G._rings(dense, few(dense), 40, 3) > 5 and G._rings(wide, few(wide), 40, 3) == 3
+    df = dense.unionByName(wide.withColumn("id", F.col("id") + 2_000))
+    asked = df.filter("id % 50 = 0")
+    got = sorted(tuple(r) for r in G.nearest(asked, df, 40, 4).select("id", "nth", "other").collect())
+    monkeypatch.setattr(G, "MET", 1 << 60)  # the rings as they were
+    assert got == sorted(tuple(r) for r in G.nearest(asked, df, 40, 4).select("id", "nth", "other").collect()) and len(got) > 160
