@@ -11,7 +11,7 @@ from rankatlas.operators import analytics as A
 from rankatlas.operators import catalog as C
 from rankatlas.operators import planning as P
 from rankatlas.operators import resolve as R
-from rankatlas.operators.lineage import shared_folder
+from rankatlas.operators.lineage import checkpoint, shared_folder
 from rankatlas.plans.catalogue import ENGINES, query
 from rankatlas.sources import tables as T
 
@@ -131,15 +131,16 @@ def j10_alert_stream(v):
     """Alerts as the stream itself writes them, scans in three micro-batches."""
     from rankatlas.streaming.streams import alert_stream
 
-    facts = v.fact.select("business_id", "keyword", "engine", "scan_month", "rank")
+    facts = v.dealt("fact", "business_id", "keyword", "engine").select("business_id", "keyword", "engine", "scan_month", "rank")
     path, third = _folder(v, "alerts"), F.ntile(3)
     from pyspark.sql import Window
 
     months = facts.select("scan_month").distinct().withColumn("part", third.over(Window.orderBy("scan_month")))
-    dealt = facts.join(months, "scan_month")
+    dealt = checkpoint(facts.join(F.broadcast(months), "scan_month"))
     for i in (1, 2, 3):
-        dealt.filter(F.col("part") == i).drop("part").select(*facts.columns).coalesce(1).write.mode("append").parquet(f"{path}/facts")
-    alert_stream(v.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/facts"), path).awaitTermination()
+        # a third comes in as many files as its tasks write; the stream goes on from its checkpoint and takes what is new as one micro-batch
+        dealt.filter(F.col("part") == i).select(*facts.columns).write.mode("append").parquet(f"{path}/facts")
+        alert_stream(v.spark.readStream.schema(facts.schema).parquet(f"{path}/facts"), path).awaitTermination()
     return v.spark.read.parquet(f"{path}/alerts").drop("batch")
 
 

@@ -88,3 +88,14 @@ def test_alerts_append_only_the_keys_of_a_batch(spark, tmp_path):
     alert_stream(found, f"{tmp_path}/out").awaitTermination()
     assert sorted((r.business_id, r.scan_month, r.change) for r in spark.read.parquet(f"{tmp_path}/out/alerts").collect()) == [(1, 2, 5.0), (2, 3, -8.0)]
     assert spark.read.parquet(f"{tmp_path}/out/means").groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()[1].n == 1
+
+
+def test_slices_of_alerts_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    from rankatlas.plans import catalogue, flows, views
+
+    monkeypatch.setattr(flows, "_folder", lambda v, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(views, "TASK_ROWS", 1_000)
+    got = catalogue.queries()["j10_alert_stream"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalogue.queries()["e10_rank_alerts"](spark, "/root/testdata/sf0.001").collect()))
+    assert sum(1 for _ in (tmp_path / "alerts/facts").glob("*.parquet")) > 3 * 2
+    assert {x.name for x in (tmp_path / "alerts/means").glob("batch=*")} == {"batch=0", "batch=1", "batch=2"}
