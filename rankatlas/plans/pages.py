@@ -49,7 +49,7 @@ def i2_built_links(v):
         '<a href="https://else.example/contact">other</a><a href="/./x/../team">People</a><a href="HTTPS://', host, ':443/deep/support#top"><b>Sup</b>port</a>',
     ]
     base = F.when(F.col("business_id") % 2 == 1, F.lit('<head><base href="../base/"></head>')).otherwise("")
-    pages = v.business.select("business_id", _text("https://", host, "/a/b/", n).alias("url"), _text(base, *links).alias("html"))
+    pages = v.spread("business", "business_id").select("business_id", _text("https://", host, "/a/b/", n).alias("url"), _text(base, *links).alias("html"))
     found = X.contact_links(pages)
     return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("business_id"), "nth", "target")
 

@@ -95,3 +95,11 @@ def test_rankings_are_dealt_by_their_number(spark, monkeypatch):
     # the sums and the walk over them need no further exchange
     assert plan(df).count("Exchange hashpartitioning(business_id") == 1
     assert sorted(map(str, df.collect())) == few
+
+
+def test_pages_of_small_rows_are_read_by_many_tasks(spark):
+    from rankatlas.plans import catalogue, views
+
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    assert v.spread("business", "business_id", rows=10).rdd.getNumPartitions() == -(-v.business.count() // 10) > 10
+    assert "REPARTITION_BY_NUM" in catalogue.queries()["i2_built_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
