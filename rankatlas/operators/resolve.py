@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ NEAR_MILES = 0.031
 CELL = NEAR_MILES / 69.0
 #: Edits that names may be apart, and the parts a name is cut into, of which one at least is then untouched.
 EDITS, PARTS = 3, 4
+#: Names of up to so many characters meet by what is left of them without EDITS characters; of longer ones there would be too many rests.
+SHORT = 12
+#: Names to a task: their keys are about a hundred times as many.
+TASK_NAMES = 15_000
 
 
 def _when() -> Column:
@@ -61,35 +66,75 @@ def _part(size: Column, i: Column) -> tuple[Column, Column]:
     return i * base + F.greatest(i - first_long, F.lit(0)), base + (i >= first_long).cast("int")
 
 
+def _cuts(spark: SparkSession, sizes: set[int]) -> DataFrame:
+    """What a name of `size` characters loses to leave EDITS fewer than `of`, both of `sizes`, each way a row: the places p1 to p3, or places after its end."""
+    gone = lambda size, of: combinations(range(1, size + 1), min(size, size - of + EDITS))
+    rows = [(size, of, *g, *range(size + 1, size + 1 + EDITS - len(g))) for size in sizes for of in sizes & set(range(size, size + EDITS + 1)) for g in gone(size, of)]
+    return spark.createDataFrame(rows, "size int, of int, p1 int, p2 int, p3 int").coalesce(1)
+
+
 def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of names (norm_phone, norm_name) under one phone within EDITS; right's columns have `other_` before them.
 
-    Of PARTS parts of a name one at least is untouched by fewer edits, and moves by no more than the
-    edits that are left. A longer name looks for each part of the lengths up to its own where it can
-    stand, so names meet only where they share a part, however many one phone has.
+    Names meet only where they share a key, however many one phone has. Where the longer one has
+    up to SHORT characters, the two share all but EDITS of its characters in their order, and the
+    key is such a rest of each. Of PARTS parts of a longer name one at least is untouched by fewer
+    edits, and moves by no more than the edits that are left: it looks for each part of the lengths
+    up to its own where it can stand. Keys are dealt by the number of names, and equal names meet
+    as they are.
     """
-    size = F.length("norm_name")
+    size, spark = F.length("norm_name"), left.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    alike = left is right
+    found = [df.agg(F.count("*"), F.collect_set(F.when(size <= SHORT, size))).first() for df in ([left] if alike else [left, right])]
+    parts = max(least, -(-max(n for n, _ in found) // TASK_NAMES))
+    cuts = F.broadcast(_cuts(spark, {x for _, sizes in found for x in sizes}))
+    # a small file is one task's, and so would all keys of its names be
+    left = left.repartition(parts, "norm_phone", "norm_name")
+    right = left if alike else right.repartition(parts, "norm_phone", "norm_name")
+
+    meet = ["norm_phone", "of", "piece"]
+
+    def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df.select(*columns, "of", "piece").repartition(parts, *meet)
+
+    def rests_of(df: DataFrame) -> DataFrame:
+        rows, name, char = df.join(cuts, size == F.col("size")), F.col("norm_name"), lambda p: F.substring("norm_name", p, F.lit(1))
+        # of characters that are alike and stand together the first ones go, so that a rest comes about once
+        for p, before in (("p1", F.lit(0)), ("p2", F.col("p1")), ("p3", F.col("p2"))):
+            rows = rows.filter((F.col(p) == 1) | (F.col(p) > size) | (F.col(p) - 1 == before) | (char(F.col(p)) != char(F.col(p) - 1)))
+        piece = lambda start, end: F.substring(name, F.col(start) + 1, F.col(end) - F.col(start) - 1)
+        rest = F.concat(F.substring(name, F.lit(1), F.col("p1") - 1), piece("p1", "p2"), piece("p2", "p3"), F.substring(name, F.col("p3") + 1, size))
+        return dealt(rows.withColumn("piece", F.xxhash64(rest)), df.columns)
 
     def parts_of(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = df.filter(size > SHORT - EDITS).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         start, n = _part(size, F.col("i"))
-        return rows.withColumns({"of": size, "piece": F.substring("norm_name", start + 1, n)})
+        return dealt(rows.withColumns({"of": size, "piece": F.xxhash64("i", F.substring("norm_name", start + 1, n))}), df.columns)
 
     def looked_for(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("less", F.explode(F.sequence(F.lit(0), F.lit(EDITS)))).withColumn("of", size - F.col("less")).filter("of > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = df.filter(size > SHORT).withColumn("less", F.explode(F.sequence(F.lit(0), F.lit(EDITS)))).withColumn("of", size - F.col("less")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         start, n = _part(F.col("of"), F.col("i"))
         back, ahead = F.floor((EDITS - F.col("less")) / 2).cast("int"), F.floor((EDITS + F.col("less")) / 2).cast("int")
         low, high = F.greatest(start - back, F.lit(0)), F.least(start + ahead, size - n)
-        places = F.when(n == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
-        rows = rows.withColumn("n", n).withColumn("at", F.explode(places))
-        return rows.withColumn("piece", F.substring("norm_name", F.col("at") + 1, F.col("n"))).drop("less", "n", "at").distinct()
-
-    key = ["norm_phone", "of", "i", "piece"]
-    named = lambda df, cols: df.select(*key, *(F.col(c).alias(f"other_{c}") for c in cols if c != "norm_phone"))
-    down = looked_for(left).join(named(parts_of(right), right.columns), key).drop("of", "i", "piece")
-    others = looked_for(right).select(*key, *(F.col(c).alias(f"other_{c}") for c in right.columns if c != "norm_phone"))
-    up = parts_of(left).join(others, key).drop("of", "i", "piece")
-    return down.unionByName(up).filter(names_close(F.col("norm_name"), F.col("other_norm_name"), EDITS)).distinct()
+        pieces = F.array_distinct(F.transform(F.when(low <= high, F.sequence(low, high)), lambda at: F.xxhash64("i", F.substring("norm_name", at + 1, n))))
+        return dealt(rows.withColumn("piece", F.explode(pieces)), df.columns)
+
+    gives = [*left.columns, *(f"other_{c}" for c in right.columns if c != "norm_phone")]
+    longer = F.greatest(size, F.length("other_norm_name"))
+
+    def met(a: DataFrame, b: DataFrame, only: Column) -> DataFrame:
+        others = b.select(*meet, *(F.col(c).alias(f"other_{c}") for c in b.columns if c not in meet))
+        pairs = a.join(others, meet).filter((F.col("norm_name") != F.col("other_norm_name")) & only)
+        return pairs.filter(names_close(F.col("norm_name"), F.col("other_norm_name"), EDITS)).select(*gives)
+
+    rests = rests_of(left)
+    short = met(rests, rests if alike else rests_of(right), longer == F.col("of"))
+    down = met(looked_for(left), parts_of(right), F.lit(True))
+    up = met(parts_of(left), looked_for(right), F.lit(True))
+    pairs = short.unionByName(down).unionByName(up).repartition(parts, "norm_phone", "norm_name").distinct()
+    named = right.select("norm_phone", "norm_name", *(F.col(c).alias(f"other_{c}") for c in right.columns if c != "norm_phone"))
+    return left.join(named, ["norm_phone", "norm_name"]).select(*gives).unionByName(pairs)
 
 
 def with_keys(observations: DataFrame) -> DataFrame:

@@ -81,6 +81,24 @@ def test_close_names_equal_brute_force(spark, seed):
     assert {(x.norm_phone, x.norm_name, x.other_norm_name) for x in got} == want and len(got) == len(want)
 
 
+def test_short_names_equal_brute_force(spark):
+    """All names of up to three letters, the empty one too, and some about the length from which names are cut into parts."""
+    r = random.Random(5)
+    names = ["", *("".join(x) for n in (1, 2, 3) for x in itertools.product("ab", repeat=n)), "aaaaaaaaaaaa", "abababababab", "aaaaaaaaaaab"]
+    names += ["".join(r.choice("ab0") for _ in range(r.randint(9, 15))) for _ in range(80)]
+    rows = sorted(set(names))
+    df = spark.createDataFrame([("p", n) for n in rows], "norm_phone string, norm_name string")
+    got = [(x.norm_name, x.other_norm_name) for x in R.close_names(df, df).collect()]
+    assert sorted(got) == sorted((a, b) for a in rows for b in rows if distance(a, b) <= 3)
+
+
+def test_keys_of_names_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_NAMES", 10, raising=False)
+    df = spark.range(200).select(F.lit("p").alias("norm_phone"), F.md5(F.col("id").cast("string")).substr(1, 8).alias("norm_name"))
+    plan = R.close_names(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 20" in plan and "Repartition" in plan
+
+
 def test_many_names_on_one_phone(spark):
     n = 20_000
     df = spark.range(n).select(F.lit("p").alias("norm_phone"), F.md5((F.col("id") / 2).cast("long").cast("string")).substr(F.lit(1), (18 + F.col("id") % 2).cast("int")).alias("norm_name"))
