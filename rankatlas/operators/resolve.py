@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankatlas.functions.scalars import engine_family, haversine_miles, names_close, non_empty, normalize_domain, normalize_name, normalize_phone
@@ -24,6 +24,12 @@ EDITS, PARTS = 3, 4
 SHORT = 12
 #: Names to a task: their keys are about a hundred times as many.
 TASK_NAMES = 15_000
+#: Observations to a task where their names, phones and sites are normalised.
+TASK_OBSERVATIONS = 100_000
+#: Places to a task where they meet in cells, about nine rows each.
+TASK_PLACES = 100_000
+#: How many of a phone's earliest names are looked through at once for a close one, before pairs are made.
+LOOKS = (16, 64)
 
 
 def _when() -> Column:
@@ -40,11 +46,16 @@ def _earliest(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
 def near_places(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of places (name, lat, lng and their own columns) of one name and within NEAR_MILES; right's columns have `other_` before them.
 
-    Places meet in cells: a left one looks into its own and all around it, a right one lies in its own.
+    Places meet in cells: a left one looks into its own and all around it, a right one lies in its
+    own. Cells are dealt by the places' number and merged: the ninefold rows of the left are no
+    table to broadcast, however small they were before.
     """
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-max(left.count(), right.count()) // TASK_PLACES))
     there = right.select(*(F.col(c).alias(f"other_{c}") for c in right.columns), F.explode(own_cells(F.col("lat"), F.col("lng"), CELL)).alias("other_cell"))
     around = left.withColumn("cell", F.explode(cells_around(F.col("lat"), F.col("lng"), CELL)))
-    met = around.join(there, (F.col("cell") == F.col("other_cell")) & (F.col("norm_name") == F.col("other_norm_name")))
+    around, there = around.repartition(parts, "cell", "norm_name"), there.repartition(parts, "other_cell", "other_norm_name")
+    met = around.hint("merge").join(there, (F.col("cell") == F.col("other_cell")) & (F.col("norm_name") == F.col("other_norm_name")))
     return met.filter(haversine_miles(F.col("lat"), F.col("lng"), F.col("other_lat"), F.col("other_lng")) < NEAR_MILES).drop("cell", "other_cell")
 
 
@@ -54,7 +65,7 @@ def _near(df: DataFrame) -> DataFrame:
     Observations of one name at one place are one candidate, so copies make no pairs.
     """
     placed = df.dropna(subset=["norm_name", "lat", "lng"]).filter("norm_name <> ''")
-    places = placed.groupBy("norm_name", "lat", "lng").agg(F.min(_when()).alias("p"))
+    places = checkpoint(placed.groupBy("norm_name", "lat", "lng").agg(F.min(_when()).alias("p")))
     earliest = near_places(places.drop("p"), places).groupBy("norm_name", "lat", "lng").agg(F.min("other_p").alias("parent"))
     return placed.join(earliest, ["norm_name", "lat", "lng"]).filter(_when() > F.col("parent")).select("obs_id", "parent", F.lit("name_location").alias("rule"))
 
@@ -142,14 +153,36 @@ def with_keys(observations: DataFrame) -> DataFrame:
     return observations.withColumns({"place_id": non_empty(F.col("place_id")), "norm_name": non_empty(normalize_name(F.col("name"))), "norm_phone": normalize_phone(F.col("phone")), "domain": non_empty(normalize_domain(F.col("website"))), "low_city": non_empty(F.lower("city"))})
 
 
+def _earliest_close(names: DataFrame) -> DataFrame:
+    """Of names (norm_phone, norm_name, p) each with the least p of those close to it under its phone, itself included, as `parent`.
+
+    A phone's first names are looked through in their order, so that where its names are close to
+    one another most find theirs without making pairs; only those that find none there are paired.
+    """
+    order = Window.partitionBy("norm_phone").orderBy("p")
+    first = names.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sum(LOOKS)).groupBy("norm_phone").agg(F.array_sort(F.collect_list(F.struct("p", "norm_name"))).alias("first"))
+    looks = [F.slice("first", sum(LOOKS[:i]) + 1, n) for i, n in enumerate(LOOKS)]
+    found = [F.get(F.filter(x, lambda y: names_close(F.col("norm_name"), y["norm_name"], EDITS)), F.lit(0))["p"] for x in looks]
+    looked = checkpoint(names.join(first, "norm_phone").select(*names.columns, F.coalesce(*found).alias("parent")))
+    rest = looked.filter("parent IS NULL").select("norm_phone", "norm_name")
+    others = names.join(rest.select("norm_phone").distinct(), "norm_phone", "left_semi")
+    paired = close_names(rest, others).groupBy("norm_phone", "norm_name").agg(F.min("other_p").alias("parent"))
+    return looked.filter("parent IS NOT NULL").select("norm_phone", "norm_name", "parent").unionByName(paired)
+
+
 def match_edges(observations: DataFrame, phone_requires_name: bool = False) -> DataFrame:
-    """Edges of all rules from each observation to an earlier one."""
-    df = with_keys(observations)
+    """Edges of all rules from each observation to an earlier one.
+
+    What the rules compare is worked out once, by as many tasks as there are observations for, and kept.
+    """
+    least = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = observations.repartition(max(least, -(-observations.count() // TASK_OBSERVATIONS)), "obs_id")
+    df = checkpoint(with_keys(dealt).select("obs_id", "observed_at", "place_id", "norm_name", "norm_phone", "domain", "low_city", "lat", "lng"))
     edges = _earliest(df, ["place_id"], "place_id").unionByName(_near(df)).unionByName(_earliest(df, ["domain", "low_city"], "domain_city"))
     if not phone_requires_name:
         return edges.unionByName(_earliest(df, ["norm_phone"], "phone"))
     names = df.dropna(subset=["norm_phone", "norm_name"]).groupBy("norm_phone", "norm_name").agg(F.min(_when()).alias("p"))
-    near = close_names(names.drop("p"), names).groupBy("norm_phone", "norm_name").agg(F.min("other_p").alias("parent"))
+    near = _earliest_close(checkpoint(names))
     close = df.join(near, ["norm_phone", "norm_name"]).filter(_when() > F.col("parent"))
     return edges.unionByName(close.select("obs_id", "parent", F.lit("fuzzy_name_phone").alias("rule")))
 

@@ -99,6 +99,31 @@ def test_keys_of_names_are_dealt_by_their_number(spark, monkeypatch):
     assert ", 20" in plan and "Repartition" in plan
 
 
+def test_most_find_their_earliest_close_name_without_pairs(spark, monkeypatch):
+    """A phone of names that are nearly all close to one another, and some that aren't close to the first ones."""
+    r, paired, made = random.Random(3), [], R.close_names
+    monkeypatch.setattr(R, "close_names", lambda left, right: paired.append(left.count()) or made(left, right))
+    names = [f"shop {i:010d} of the bay" for i in r.sample(range(1000), 300)] + ["".join(r.choice("xyz") for _ in range(14)) for _ in range(40)]
+    names = [*names[:250], *names[300:], *names[250:300], *(n[:-1] + "q" for n in names[300:])]
+    rows = [observation(i, i // 2, n, phone="5615263512") for i, n in enumerate(dict.fromkeys(names))]
+    edges = R.match_edges(spark.createDataFrame(rows, OBS), phone_requires_name=True)
+    got = {x.obs_id: x.parent.obs_id for x in edges.filter("rule = 'fuzzy_name_phone'").collect()}
+    first = {x[0]: next(y[0] for y in rows if distance(x[2], y[2]) <= 3) for x in rows}
+    assert got == {x: y for x, y in first.items() if x != y}
+    assert sum(paired) <= 90  # only those that none of the first ones is close to
+
+
+def test_keys_of_observations_are_worked_out_once(spark):
+    edges = R.match_edges(spark.createDataFrame([observation(1, 1, phone="5615263512"), observation(2, 2, phone="5615263512")], OBS))
+    assert "regexp" not in edges._jdf.queryExecution().optimizedPlan().toString() and edges.count() == 1
+
+
+def test_cells_of_places_are_not_broadcast(spark):
+    places = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0001, 2.0), ("b", 1.0, 2.0)], "norm_name string, lat double, lng double")
+    pairs = R.near_places(places, places)
+    assert pairs.count() == 5 and "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_names_on_one_phone(spark):
     n = 20_000
     df = spark.range(n).select(F.lit("p").alias("norm_phone"), F.md5((F.col("id") / 2).cast("long").cast("string")).substr(F.lit(1), (18 + F.col("id") % 2).cast("int")).alias("norm_name"))
