@@ -103,3 +103,16 @@ def test_pages_of_small_rows_are_read_by_many_tasks(spark):
     v = views.Views(spark, "/root/testdata/sf0.001")
     assert v.spread("business", "business_id", rows=10).rdd.getNumPartitions() == -(-v.business.count() // 10) > 10
     assert "REPARTITION_BY_NUM" in catalogue.queries()["i2_built_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["e10_rank_alerts", "e17_latest_ranks", "d16_cross_engine", "d18_market_overview", "d19_keyword_area_matrix", "d19_keyword_area_ranks", "d21_competitor_gap", "d21_gap_classes", "d21_geo_gap"])
+def test_facts_are_dealt_by_their_number(spark, monkeypatch, name):
+    """Rankings, their groups and the orders below them: none is left to the session's partitions."""
+    from rankatlas.plans import catalogue, views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert any("point_id" in x and x.endswith(", 60") for x in dealt)
+    assert any("business_id" in x and x.endswith(", 60") for x in dealt)
+    assert any("o_custkey" in x and x.endswith(", 15") for x in dealt)
