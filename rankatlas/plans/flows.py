@@ -18,6 +18,8 @@ from rankatlas.sources import tables as T
 # --- streams: a table in slices of time, some rows a slice late, and a last row far ahead that ends what is open
 
 SLICES = 3
+#: Requests to a bucket of clients that share state.
+BUCKET_ROWS = 50_000
 
 
 def _folder(v, name: str) -> str:
@@ -81,7 +83,7 @@ def j2_rate_windows_stream(v):
     from rankatlas.streaming.streams import run_once
 
     log, late = _request_stream(v)
-    return run_once(rate_windows_stream(log, 60, 3, late), "append").filter("client >= 0").select("client", "start", "requests")
+    return run_once(rate_windows_stream(log, 60, 3, late, max(64, v.request.count() // BUCKET_ROWS)), "append").filter("client >= 0").select("client", "start", "requests")
 
 
 @query(_WINDOWS, "request")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,28 +72,64 @@ class InOrder(StatefulProcessor):
         pass
 
 
-class RateWindows(InOrder):
-    """A client's windows, each anchored at the first request after the last one."""
+class RateWindows(StatefulProcessor):
+    """Windows of many clients, a bucket of them a key: each client's are anchored at the first request after the last one.
+
+    A client has few requests, so state and timers of its own would cost more than its walk. A
+    bucket's waiting rows (client, second) and open windows (client, start, requests, what was left
+    at the first request too many or -1) are one value each, arrays of whole numbers as bytes.
+    """
 
     COLUMNS = ["client", "start", "requests", "retry_after"]
-    HELD = "start long, requests long, over long"
 
     def __init__(self, seconds: int, most: int):
         self.seconds, self.most = seconds, most
 
-    def step(self, key, held, row):
-        out = []
-        if held is not None and row[0] - held[0] >= self.seconds:
-            out, held = self.due(key, held)[1], None
-        start, n, over = held or (row[0], 0, -1)
-        n += 1
-        if n == self.most + 1:
-            over = start + self.seconds - row[0]
-        return (start, n, over), out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "waiting binary, held binary")
 
-    def due(self, key, held):
-        start, n, over = held
-        return start + self.seconds, [(key[0], start, n, over if over >= 0 else None)], None
+    def _kept(self) -> tuple[np.ndarray, np.ndarray]:
+        waiting, held = self.state.get() if self.state.exists() else (b"", b"")
+        return np.frombuffer(bytes(waiting), np.int64).reshape(-1, 2), np.frombuffer(bytes(held), np.int64).reshape(-1, 4)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        new = [part[["client", "second"]].to_numpy(np.int64) for part in rows]
+        waiting, held = self._kept()
+        waiting = np.concatenate([waiting, *new])
+        if len(waiting):
+            self.state.update((waiting.tobytes(), held.tobytes()))
+            self.handle.registerTimer(max(int(waiting[:, 1].min()) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting, held = self._kept()
+        now = waiting[:, 1] * 1000 <= passed
+        ready, rest = waiting[now], waiting[~now]
+        opened = {c: [start, n, left] for c, start, n, left in held.tolist()}
+        for client, second in ready[np.argsort(ready[:, 1], kind="stable")].tolist():
+            w = opened.get(client)
+            if w is None or second - w[0] >= self.seconds:
+                if w is not None:
+                    out.append((client, *w))
+                w = opened[client] = [second, 0, -1]
+            w[1] += 1
+            if w[1] == self.most + 1:
+                w[2] = w[0] + self.seconds - second
+        for client in [c for c, w in opened.items() if (w[0] + self.seconds) * 1000 <= passed]:
+            out.append((client, *opened.pop(client)))
+        nexts = [w[0] + self.seconds for w in opened.values()] + ([int(rest[:, 1].min())] if len(rest) else [])
+        if nexts:
+            self.state.update((rest.tobytes(), np.array([(c, *w) for c, w in opened.items()], np.int64).tobytes()))
+            self.handle.registerTimer(max(min(nexts) * 1000, passed + 1))
+        else:
+            self.state.clear()
+        given = pd.DataFrame(out, columns=self.COLUMNS).astype("Int64")
+        yield given.assign(retry_after=given["retry_after"].mask(given["retry_after"] < 0))
+
+    def close(self) -> None:
+        pass
 
 
 class BlockEpisodes(InOrder):
@@ -146,12 +183,16 @@ def _walk(log: DataFrame, key: str, number, flag, late: str, processor: InOrder,
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late: str = "1 hour") -> DataFrame:
+def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late: str = "1 hour", buckets: int = 64) -> DataFrame:
     """rate_audit() of a stream (client, second), for rows that are late by up to `late` (README: open defect under much disorder): client, start, requests, retry_after.
 
-    A window is given out when a later request or the watermark has ended it.
+    A window is given out when a later request or the watermark has ended it. Clients share state
+    in `buckets`, which should grow with the rows that wait, 16 bytes each.
     """
-    return _walk(log, "client", F.lit(0), F.lit(False), late, RateWindows(seconds, most), "client long, start long, requests long, retry_after long")
+    bucket = F.pmod(F.xxhash64("client"), F.lit(buckets)).alias("bucket")
+    rows = log.select(bucket, F.col("client").cast("long").alias("client"), F.timestamp_seconds("second").alias("ts"), "second").withWatermark("ts", late)
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("bucket").transformWithStateInPandas(RateWindows(seconds, most), "client long, start long, requests long, retry_after long", "Append", "EventTime")
 
 
 def block_episode_stream(log: DataFrame, late: str = "1 hour") -> DataFrame:

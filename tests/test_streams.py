@@ -99,3 +99,16 @@ def test_slices_of_alerts_are_written_by_many_tasks(spark, monkeypatch, tmp_path
     assert sorted(map(str, got.collect())) == sorted(map(str, catalogue.queries()["e10_rank_alerts"](spark, "/root/testdata/sf0.001").collect()))
     assert sum(1 for _ in (tmp_path / "alerts/facts").glob("*.parquet")) > 3 * 2
     assert {x.name for x in (tmp_path / "alerts/means").glob("batch=*")} == {"batch=0", "batch=1", "batch=2"}
+
+
+def test_clients_share_buckets_of_state(spark, tmp_path):
+    """As many windows as the batch gives, whatever the number of buckets; a key a bucket, not a client."""
+    r = random.Random(2)
+    rows = [(r.randrange(40), "a", i, 1_700_000_000 + r.randrange(4000), "ok") for i in range(600)]
+    want = sorted(map(str, map(tuple, U.rate_audit(spark.createDataFrame(rows, LOG), 60, 2).select("client", "start", "requests", "retry_after").collect())))
+    assert any("None" not in x for x in want)
+    for buckets in (1, 7):
+        parts = [rows[i : i + 150] for i in range(0, len(rows), 150)] + [[(-1, "z", -1, s, "ok")] for s in (1_800_000_000, 1_900_000_000)]
+        log = stream(spark, tmp_path / f"log{buckets}", parts, LOG)
+        got = run_once(O.rate_windows_stream(log, 60, 2, "5000 seconds", buckets), "append", str(tmp_path)).filter("client >= 0")
+        assert sorted(map(str, map(tuple, got.collect()))) == want
