@@ -116,3 +116,19 @@ def test_facts_are_dealt_by_their_number(spark, monkeypatch, name):
     assert any("point_id" in x and x.endswith(", 60") for x in dealt)
     assert any("business_id" in x and x.endswith(", 60") for x in dealt)
     assert any("o_custkey" in x and x.endswith(", 15") for x in dealt)
+
+
+@pytest.mark.parametrize("name", ["d19_keyword_area_matrix", "d19_keyword_area_ranks", "d21_competitor_gap", "d21_gap_classes", "d21_geo_gap"])
+def test_parts_are_written_without_a_sort_while_they_can(spark, monkeypatch, name):
+    """Parts stay at as many as Spark writes directly until they hold three times the usual rows, and grow in number from there."""
+    from rankatlas.plans import catalogue, views
+
+    assert [views.parts_of(n * 1_000_000) for n in (0, 36, 100, 216, 300, 600)] == [0, 72, 200, 200, 200, 400]
+    folder = "/root/testdata/sf0.001"
+    few = sorted(map(str, catalogue.queries()[name](spark, folder).collect()))
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    monkeypatch.setattr(views, "DIRECT_PARTS", 30)
+    df = catalogue.queries()[name](spark, folder)
+    dealt = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert sorted(x.rsplit(", ", 1)[1] for x in dealt) == ["15", "30", "30"]
+    assert sorted(map(str, df.collect())) == few
