@@ -1,3 +1,4 @@
+import re
 import uuid
 
 import pytest
@@ -132,3 +133,22 @@ def test_parts_are_written_without_a_sort_while_they_can(spark, monkeypatch, nam
     dealt = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
     assert sorted(x.rsplit(", ", 1)[1] for x in dealt) == ["15", "30", "30"]
     assert sorted(map(str, df.collect())) == few
+
+
+@pytest.mark.parametrize("name", ["d21_competitor_gap"])
+def test_means_meet_businesses_where_they_were_dealt(spark, monkeypatch, name):
+    """Where businesses are too many to be broadcast, means of ranks aren't dealt again into the session's few partitions."""
+    from rankatlas.plans import catalogue, views
+
+    folder = "/root/testdata/sf0.001"
+    few = sorted(map(str, catalogue.queries()[name](spark, folder).collect()))
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalogue.queries()[name](spark, folder)
+        dealt = re.findall(r"hashpartitioning\(business_id#\d+L?, (\d+)\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+        assert sorted(set(dealt)) == [("60", "ENSURE_REQUIREMENTS"), ("60", "REPARTITION_BY_NUM")]
+        assert sorted(map(str, df.collect())) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
