@@ -264,7 +264,7 @@ _SPREAD = "SELECT area_id, keyword, business_id, rank + business_id * 13 % 17 AS
 @query(f"SELECT area_id, keyword, round(mine, 4) AS mine, round(theirs, 4) AS theirs, round(mine - theirs, 4) AS gap, CASE WHEN mine - theirs >= 10 OR (mine IS NULL AND theirs <= 3) THEN 'high' WHEN mine - theirs >= 5 THEN 'medium' ELSE 'low' END AS opportunity FROM (SELECT m.area_id, keyword, min(mean) FILTER (is_mine) AS mine, min(mean) FILTER (is_competitor) AS theirs FROM (SELECT area_id, keyword, business_id, avg(rank) AS mean FROM ({_SPREAD}) GROUP BY ALL) m JOIN ranked b ON m.business_id = b.business_id GROUP BY ALL) WHERE theirs IS NOT NULL", "fact ranked")
 def d21_gap_classes(v):
     """Ranks spread by business, so that gaps of all classes come up."""
-    return A.competitor_gap(v.dealt("fact", "area_id", "keyword", "business_id").withColumn("rank", F.col("rank") + F.col("business_id") * 13 % 17), v.ranked)
+    return A.competitor_gap(v.dealt("fact", "business_id").withColumn("rank", F.col("rank") + F.col("business_id") * 13 % 17), v.ranked)
 
 
 _SIDES = "SELECT point_id, status, area_id * 10 + point_id % 10 AS area_id, business_id % 4 AS business_id, min(rank) AS rank FROM fact GROUP BY ALL"
