@@ -135,7 +135,7 @@ def test_parts_are_written_without_a_sort_while_they_can(spark, monkeypatch, nam
     assert sorted(map(str, df.collect())) == few
 
 
-@pytest.mark.parametrize("name", ["d21_competitor_gap", "d21_gap_classes"])
+@pytest.mark.parametrize("name", ["d18_market_overview", "d21_competitor_gap", "d21_gap_classes"])
 def test_means_meet_businesses_where_they_were_dealt(spark, monkeypatch, name):
     """Where businesses are too many to be broadcast, means of ranks aren't dealt again into the session's few partitions."""
     from rankatlas.plans import catalogue, views
