@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -17,52 +18,93 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from rankatlas.operators.audit import BLOCK_MINUTES
 
 DAY = 86_400
+#: Rows that a worker gathers before it sums them or puts them into state.
+GATHERED = 500_000
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key (second, number, flag) in order. Subclasses have COLUMNS of the output, HELD, a value state's schema, and step() and due()."""
+    """Rows of a key, whole numbers with the second first, in order and a UTC day at a time.
 
+    Rows wait in a map of days, those of a day as bytes, so that a worker holds one day of one key
+    and what it has gathered (GATHERED rows), however long the watermark lets rows wait. Subclasses
+    have TAKEN, the columns of a row, COLUMNS of the output, HELD, a value state's schema, and
+    walk() and due(); merged() may sum rows.
+    """
+
+    TAKEN: list[str] = []
     COLUMNS: list[str] = []
     HELD = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "second long, number long, flag boolean")
+        self.waiting = handle.getMapState("waiting", "day long", "rows binary")
         self.held = handle.getValueState("held", self.HELD)
 
-    def step(self, key: tuple, held: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
-        """What is held after a row, and rows to give out."""
+    def merged(self, rows: np.ndarray) -> np.ndarray:
+        """Rows, of which those that a walk needn't tell apart may be one."""
+        return rows
+
+    def walk(self, key: tuple, held: tuple | None, rows: np.ndarray) -> tuple[tuple, pd.DataFrame]:
+        """What is held after a day's rows, or some of them, and rows to give out."""
         raise NotImplementedError
 
     def due(self, key: tuple, held: tuple) -> tuple[int, list[tuple], tuple | None]:
         """The second at which what is held ends by itself, what it gives out then, and what is held after it."""
         raise NotImplementedError
 
+    def _kept(self, day: int) -> np.ndarray:
+        found = self.waiting.getValue((day,))
+        return np.frombuffer(bytes(found[0]) if found else b"", np.int64).reshape(-1, len(self.TAKEN))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0] // DAY)) + 1):
+            day = int(part[0, 0]) // DAY
+            self.waiting.updateValue((day,), (self.merged(np.concatenate([self._kept(day), part])).tobytes(),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = [(int(s), int(n), bool(f)) for part in rows for s, n, f in part[["second", "number", "flag"]].itertuples(index=False)]
+        new, size, first = [], 0, None
+        for part in rows:
+            if len(part):
+                new.append(part[self.TAKEN].astype(np.int64).to_numpy())
+                size, least = size + len(part), int(new[-1][:, 0].min())
+                first = least if first is None else min(first, least)
+            if size >= GATHERED:
+                new = [self.merged(np.concatenate(new))]
+                size = len(new[0])
+                if size > GATHERED // 2:
+                    self._keep(new[0])
+                    new, size = [], 0
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(min(x[0] for x in new) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+            self._keep(np.concatenate(new))
+        if first is not None:
+            self.handle.registerTimer(max(first * 1000, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame([], columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
-        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        passed, out, nexts = timerValues.getCurrentWatermarkInMs(), [], []
         held = tuple(self.held.get()) if self.held.exists() else None
-        ready = [x for x in rows if x[0] * 1000 <= passed]
-        for row in ready:
-            held, given = self.step(key, held, row)
-            out += given
-        rest = rows[len(ready) :]
-        nexts = [rest[0][0]] if rest else []
+        for day in sorted(int(x[0]) for x in self.waiting.keys()):
+            if day * DAY * 1000 > passed:
+                nexts.append(day * DAY)
+                break
+            rows = self._kept(day)
+            now = rows[:, 0] * 1000 <= passed
+            if now.any():
+                held, given = self.walk(key, held, rows[now])
+                yield given
+            if not now.all():
+                rest = rows[~now]
+                self.waiting.updateValue((day,), (rest.tobytes(),))
+                nexts.append(int(rest[:, 0].min()))
+                break
+            self.waiting.removeKey((day,))
         while held is not None:
             ends, given, after = self.due(key, held)
             if ends * 1000 > passed:
                 nexts.append(ends)
                 break
             out, held = out + given, after
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
         self.held.update(held) if held is not None else self.held.clear()
         if nexts:
             self.handle.registerTimer(max(min(nexts) * 1000, passed + 1))
@@ -135,21 +177,34 @@ class RateWindows(StatefulProcessor):
 class BlockEpisodes(InOrder):
     """An engine's blocks with their number in a day anchored at the first, and how long each lasts."""
 
+    TAKEN = ["second", "request_id"]
     COLUMNS = ["engine", "request_id", "second", "nth", "minutes"]
     HELD = "start long, count long"
 
-    def step(self, key, held, row):
-        start, count = held if held is not None and row[0] - held[0] < DAY else (row[0], 0)
-        minutes = BLOCK_MINUTES[min(count, len(BLOCK_MINUTES) - 1)]
-        return (start, count + 1), [(key[0], row[1], row[0], count + 1, minutes)]
+    def walk(self, key, held, rows):
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        (start, count), at, nths = held or (0, 0), 0, []
+        while at < len(rows):
+            if not count or rows[at, 0] - start >= DAY:
+                start, count = int(rows[at, 0]), 0
+            end = int(np.searchsorted(rows[:, 0], start + DAY))
+            nths.append(np.arange(count + 1, count + 1 + end - at))
+            at, count = end, count + end - at
+        nth = np.concatenate(nths)
+        minutes = np.array(BLOCK_MINUTES)[np.minimum(nth, len(BLOCK_MINUTES)) - 1]
+        return (start, count), pd.DataFrame(dict(zip(self.COLUMNS, ([key[0]] * len(nth), rows[:, 1], rows[:, 0], nth, minutes), strict=True)))
 
     def due(self, key, held):
         return held[0] + DAY, [], None
 
 
 class Quota(InOrder):
-    """An engine's hours, each anchored at the first request after the last one, beside its UTC day's requests so far; number: limits as per_hour * 2**32 + per_day, flag: blocked."""
+    """An engine's hours, each anchored at the first request after the last one, beside its UTC day's requests so far.
+
+    Requests of one second are one row: they are never of two hours or days. limits: per_hour * 2**32 + per_day.
+    """
 
+    TAKEN = ["second", "requests", "blocked", "limits"]
     COLUMNS = ["engine", "start", "in_hour", "in_day", "state"]
     HELD = "start long, in_hour long, day long, in_day long, blocked boolean, per_hour long, per_day long"
     HOUR = 3600
@@ -159,28 +214,63 @@ class Quota(InOrder):
         state = "blocked" if blocked else "throttled" if hour >= per_hour or in_day >= per_day else "healthy"
         return (key[0], start, hour, in_day, state)
 
-    def step(self, key, held, row):
-        out, (second, limits, bad) = [], row
-        start, hour, day, in_day, blocked, _, _ = held or (-1, 0, second // DAY, 0, False, 0, 0)
-        if start >= 0 and second - start >= self.HOUR:
-            out, start = [self._verdict(key, held)], -1
-        if start < 0:
-            start, hour, blocked = second, 0, False
-        if second // DAY != day:
-            day, in_day = second // DAY, 0
-        return (start, hour + 1, day, in_day + 1, blocked or bad, limits >> 32, limits & 0xFFFFFFFF), out
+    def merged(self, rows):
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        first = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1))
+        return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1], first), *(np.maximum.reduceat(rows[:, i], first) for i in (2, 3))])
+
+    def walk(self, key, held, rows):
+        rows, at, out = self.merged(rows), 0, []
+        today = int(rows[0, 0]) // DAY
+        start, hour, day, in_day, blocked, per_hour, per_day = held or (0, 0, today, 0, False, 0, 0)
+        while at < len(rows):
+            if hour and rows[at, 0] - start >= self.HOUR:
+                out.append(self._verdict(key, (start, hour, day, in_day, blocked, per_hour, per_day)))
+                hour = 0
+            if not hour:
+                start, blocked = int(rows[at, 0]), False
+            if day != today:
+                day, in_day = today, 0
+            end = int(np.searchsorted(rows[:, 0], start + self.HOUR))
+            part, at = rows[at:end], end
+            n, limits = int(part[:, 1].sum()), int(part[-1, 3])
+            hour, in_day, blocked, per_hour, per_day = hour + n, in_day + n, blocked or bool(part[:, 2].any()), limits >> 32, limits & 0xFFFFFFFF
+        return (start, hour, day, in_day, blocked, per_hour, per_day), pd.DataFrame(out, columns=self.COLUMNS)
 
     def due(self, key, held):
         """The hour ends by itself; the day's count stays until its day is over."""
-        if held[0] >= 0:
-            return held[0] + self.HOUR, [self._verdict(key, held)], (-1, 0, *held[2:4], False, *held[5:])
+        if held[1]:
+            return held[0] + self.HOUR, [self._verdict(key, held)], (0, 0, *held[2:4], False, *held[5:])
         return (held[2] + 1) * DAY, [], None
 
 
-def _walk(log: DataFrame, key: str, number, flag, late: str, processor: InOrder, schema: str) -> DataFrame:
-    rows = log.select(F.col(key), F.timestamp_seconds("second").alias("ts"), "second", number.cast("long").alias("number"), flag.alias("flag")).withWatermark("ts", late)
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+def _by_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of an engine and second as one row, as far as a task can hold GATHERED of them."""
+
+    def summed() -> pa.Table:
+        table = pa.Table.from_batches(new)
+        sums = table.group_by(["engine", "second"], use_threads=False).aggregate([("requests", "sum"), ("blocked", "max")])
+        return sums.select(["engine", "second", "requests_sum", "blocked_max"]).rename_columns(table.column_names).cast(table.schema)
+
+    new, size = [], 0
+    for batch in batches:
+        new.append(batch)
+        size += batch.num_rows
+        if size >= GATHERED:
+            new = summed().to_batches()
+            size = sum(x.num_rows for x in new)
+            if size > GATHERED // 2:
+                yield from new
+                new, size = [], 0
+    if new:
+        yield from summed().to_batches()
+
+
+def _walk(rows: DataFrame, key: str, late: str, processor: InOrder, schema: str) -> DataFrame:
+    """rows: the key, and what the processor takes."""
+    timed = rows.select(key, F.timestamp_seconds("second").alias("ts"), *(F.col(c).cast("long").alias(c) for c in processor.TAKEN)).withWatermark("ts", late)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late: str = "1 hour", buckets: int = 64) -> DataFrame:
@@ -197,19 +287,21 @@ def rate_windows_stream(log: DataFrame, seconds: int = 60, most: int = 120, late
 
 def block_episode_stream(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """block_episodes() of a stream (engine, request_id, second, outcome), for rows that are late by up to `late` (README: open defect under much disorder)."""
-    return _walk(log.filter(F.col("outcome") == "blocked"), "engine", F.col("request_id"), F.lit(True), late, BlockEpisodes(), "engine string, request_id long, second long, nth int, minutes int")
+    return _walk(log.filter(F.col("outcome") == "blocked"), "engine", late, BlockEpisodes(), "engine string, request_id long, second long, nth int, minutes int")
 
 
 def quota_audit_stream(log: DataFrame, limits: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each engine's anchored hours as they end: start, requests in the hour, requests by then of the UTC day of its last one, and blocked, throttled or healthy.
 
     log: engine, second, outcome. limits: engine, per_hour, per_day, a static table; an engine
-    without limits is never throttled. Both buckets are one state of the engine.
+    without limits is never throttled. Both buckets are one state of the engine, which grows with
+    the seconds that wait, not with their requests; these are summed before they meet by engine.
     """
     most = F.lit((1 << 31) - 1)
-    bounded = log.join(limits, "engine", "left")
+    each = log.select("engine", F.col("second").cast("long").alias("second"), F.lit(1).cast("long").alias("requests"), F.coalesce(F.col("outcome") == "blocked", F.lit(False)).cast("long").alias("blocked"))
+    bounded = each.mapInArrow(_by_second, each.schema).join(limits, "engine", "left")
     packed = F.coalesce("per_hour", most).cast("long") * F.lit(1 << 32) + F.coalesce("per_day", most).cast("long")
-    return _walk(bounded, "engine", packed, F.col("outcome") == "blocked", late, Quota(), "engine string, start long, in_hour long, in_day long, state string")
+    return _walk(bounded.withColumn("limits", packed), "engine", late, Quota(), "engine string, start long, in_hour long, in_day long, state string")
 
 
 class ScanClock(StatefulProcessor):

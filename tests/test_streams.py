@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,99 @@ def test_clients_share_buckets_of_state(spark, tmp_path):
         log = stream(spark, tmp_path / f"log{buckets}", parts, LOG)
         got = run_once(O.rate_windows_stream(log, 60, 2, "5000 seconds", buckets), "append", str(tmp_path)).filter("client >= 0")
         assert sorted(map(str, map(tuple, got.collect()))) == want
+
+
+class States:
+    """A key's states in memory, as a processor's handle gives them."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers = {}, None, []
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getValue(self, key):  # noqa: N802
+        return self.maps.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.maps[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.maps[key]
+
+    def keys(self):
+        return iter(self.maps)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class At:
+    def __init__(self, second):
+        self.second = second
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.second * 1000
+
+
+def summed(rows, gathered, monkeypatch):
+    """Rows of a log as the stream's tasks sum them, from batches of 50."""
+    monkeypatch.setattr(O, "GATHERED", gathered)
+    tables = [pa.RecordBatch.from_pylist([{"engine": e, "second": s, "requests": 1, "blocked": int(o == "blocked")} for _, e, _, s, o in rows[i : i + 50]], pa.schema([pa.field("engine", pa.string()), pa.field("second", pa.int64()), pa.field("requests", pa.int64(), False), pa.field("blocked", pa.int64(), False)])) for i in range(0, len(rows), 50)]
+    return pa.Table.from_batches(list(O._by_second(iter(tables)))).to_pandas()
+
+
+@pytest.mark.parametrize("gathered", [60, 500, 500_000])
+def test_quotas_hold_seconds_of_a_day_not_requests(monkeypatch, gathered):
+    """Many requests of a second are one row before they meet by engine and in state, and a state's value is of one day."""
+    r = random.Random(3)
+    seconds = [1_700_000_000 + r.randrange(5 * 86_400) for _ in range(200)]
+    rows = [(0, "a", i, r.choice(seconds), r.choice(["ok"] * 40 + ["blocked"])) for i in range(6000)]
+    sums = summed(rows, gathered, monkeypatch)
+    assert sums["requests"].sum() == len(rows) and len(sums) <= (len(set(seconds)) if gathered > 60 else len(rows) - 1)
+    states, quota, limits = States(), O.Quota(), {"a": (40, 900)}
+    quota.init(states)
+    got, ends = [], max(seconds)
+    sums["limits"] = (40 << 32) + 900
+    cut = sums["second"] % 2 == 0  # half of the rows first; the watermark has passed none of them
+    for part in (sums[cut], sums[~cut]):
+        list(quota.handleInputRows(("a",), iter([part[:70], part[70:]]), At(0)))
+    assert sum(len(v[0]) for v in states.maps.values()) == len(set(x[3] for x in rows)) * 8 * 4
+    assert set(states.maps) == {(x[3] // 86_400,) for x in rows}
+    for passed in (min(seconds) + 86_400, min(seconds) + 100_000, ends - 50, ends + 1_000_000):
+        got += [tuple(x) for part in quota.handleExpiredTimer(("a",), At(passed), None) for x in part.itertuples(index=False)]
+    assert sorted(got) == sorted(quotas(rows, limits)) and {x[4] for x in got} == {"blocked", "throttled", "healthy"}
+    assert not states.maps and states.value is None
+
+
+def test_late_rows_of_engines_are_walked_in_order(spark, tmp_path):
+    """Hours and episodes over several micro-batches, rows late by up to a day, many in one second."""
+    r = random.Random(4)
+    rows, second = [], 1_700_000_000
+    for i in range(1500):
+        second += r.choice([0, 0, 0, 1, 20, 300, 1500])
+        rows.append((r.randrange(3), r.choice("ab"), i, second, r.choice(["ok", "ok", "ok", "blocked", "error"])))
+    late = 86_400
+    order = sorted(rows, key=lambda x: x[3] + r.uniform(0, late * 0.9))
+    parts = [order[i : i + 300] for i in range(0, len(order), 300)] + [[(-1, "z", -1, second + far, "blocked")] for far in (10_000_000, 20_000_000)]
+    log, batch = stream(spark, tmp_path / "log", parts, LOG), spark.createDataFrame(rows, LOG)
+    limits = spark.createDataFrame([("a", 7, 60)], "engine string, per_hour int, per_day int")
+    got = run_once(O.quota_audit_stream(log, limits, f"{late} seconds"), "append", str(tmp_path)).filter("engine <> 'z'").collect()
+    assert sorted(map(tuple, got)) == sorted(quotas(rows, {"a": (7, 60)})) and {x.state for x in got} == {"blocked", "throttled", "healthy"}
+    got = run_once(O.block_episode_stream(log, f"{late} seconds"), "append", str(tmp_path)).filter("engine <> 'z'").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, U.block_episodes(batch).select("engine", "request_id", "second", "nth", "minutes").collect()))
